@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
     """``batch`` in runs of whole rows of about ``limit`` bytes of text; a longer text is a run of its own."""
     if batch.num_rows == 0:
         return
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     run = np.cumsum(lengths.astype(np.int64)) // limit
     starts = np.flatnonzero(np.r_[True, np.diff(run) > 0])
     for start, end in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
