@@ -17,7 +17,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: A character that no piece covers costs this much less than the least likely piece.
 UNKNOWN_PENALTY = 10.0
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 200_000
 
 
 def zipf_scores(ranks: list[float]) -> list[float]:
@@ -64,6 +64,21 @@ class DoubleArray:
             base += 1
 
 
+class Segments:
+    """Segments solved lately, in two generations: when the new one is full it becomes the old one, and what is
+    used again moves on, so that frequent segments stay."""
+
+    def __init__(self):
+        self.new: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+
+    def found(self, segment: str, model: PieceModel) -> tuple[tuple[int, ...], float]:
+        if len(self.new) >= CACHE_SEGMENTS:
+            self.old, self.new = self.new, {}
+        result = self.new[segment] = self.old.get(segment) or model.segment(segment)
+        return result
+
+
 class PieceModel:
     """Pieces with their log scores; ``segment`` finds the likeliest pieces of a text's segment."""
 
@@ -75,8 +90,8 @@ class PieceModel:
         self.unknown = min(scores[i] for _, i in usable) - UNKNOWN_PENALTY
         # No piece may go on over these: texts part there into segments that are solved one by one.
         assert not any(MARK in p.lstrip(MARK) for p, _ in usable)
-        self.breaks = "\n" if not any("\n" in p for p, _ in usable) else ""
-        self.segments = re.compile(rf"{MARK}+[^{MARK}{self.breaks}]*|[{self.breaks}]|[^{MARK}{self.breaks}]+" if self.breaks else rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        line = "\n" if not any("\n" in p for p, _ in usable) else ""
+        self.segments = re.compile(rf"{MARK}+[^{MARK}{line}]*|[^{MARK}{line}]+" + (rf"|{line}" if line else ""))
         self.surface = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() if plain[i] else b"" for i, p in enumerate(pieces)]
 
     @classmethod
@@ -96,27 +111,30 @@ class PieceModel:
         """Ids of the likeliest pieces and their score. Of equal scores, the way found first from the left stays."""
         data, base, check, value, scores = text.encode(), self.trie.base, self.trie.check, self.trie.value, self.scores
         n, size = len(data), len(check)
-        best, back = [0.0] + [-math.inf] * n, [(-1, -1)] * (n + 1)
-        i = 0
-        while i < n:
-            width = 1 if (c := data[i]) < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
-            here, state, covered = best[i], 0, False
-            for j in range(i, n):
-                t = base[state] + data[j] + 1
+        best, origin, used = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for i, c in enumerate(data):
+            if 0x80 <= c < 0xC0:
+                continue
+            width = 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
+            here, state, covered, j = best[i], 0, False, i
+            for c in data[i:]:
+                t = base[state] + c + 1
+                j += 1
                 if t >= size or check[t] != state:
                     break
                 state = t
                 if (piece := value[t]) >= 0:
-                    covered |= j + 1 - i == width
-                    if (s := here + scores[piece]) > best[j + 1]:
-                        best[j + 1], back[j + 1] = s, (i, piece)
+                    if j - i == width:
+                        covered = True
+                    if (s := here + scores[piece]) > best[j]:
+                        best[j], origin[j], used[j] = s, i, piece
             if not covered and (s := here + self.unknown) > best[i + width]:
-                best[i + width], back[i + width] = s, (i, -1)
-            i += width
+                best[i + width], origin[i + width], used[i + width] = s, i, -1
         out: list[int] = []
         at = n
         while at > 0:
-            start, piece = back[at]
+            start, piece = origin[at], used[at]
             out += [piece] if piece >= 0 else [self.byte_ids[b] for b in reversed(data[start:at])]
             at = start
         return tuple(reversed(out)), best[n]
@@ -125,7 +143,7 @@ class PieceModel:
         """A mark that the text itself has goes by bytes, so that it does not become a space."""
         return tuple(self.byte_ids[b] for b in MARK.encode()), self.unknown
 
-    def encode(self, text: str, cache: dict) -> tuple[list[int], float]:
+    def encode(self, text: str, cache: Segments) -> tuple[list[int], float]:
         ids: list[int] = []
         total = 0.0
         for k, part in enumerate((" " + text).split(MARK)):
@@ -134,10 +152,8 @@ class PieceModel:
                 ids += own
                 total += score
             for segment in self.segments.findall(part.replace(" ", MARK)):
-                if (found := cache.get(segment)) is None:
-                    if len(cache) >= CACHE_SEGMENTS:
-                        cache.clear()
-                    found = cache[segment] = self.segment(segment)
+                if (found := cache.new.get(segment)) is None:
+                    found = cache.found(segment, self)
                 ids += found[0]
                 total += found[1]
         return ids, total
@@ -152,6 +168,12 @@ def _model(path: str) -> PieceModel:
     return PieceModel.load(path)
 
 
+@functools.lru_cache(maxsize=2)
+def _segments(path: str) -> Segments:
+    """What this worker remembers, also from one task to the next."""
+    return Segments()
+
+
 def encode_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """``docs`` (doc_id, text) with ``ids`` (pieces of the likeliest segmentation), ``score`` (its log probability)
     and ``n_bytes`` (ids that stand for single bytes); one pass, no shuffle.
@@ -164,7 +186,7 @@ def encode_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cache = _model(model), {}
+        own, cache = _model(model), _segments(model)
         is_byte = np.zeros(len(own.pieces), bool)
         is_byte[list(own.byte_of)] = True
         for batch in batches:
