@@ -16,12 +16,15 @@ def _pairs(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 
 
 def phase_edges(phases: DataFrame, window: list[str] | None = None) -> DataFrame:
-    """plv, mean phase, pli and directed pli of each two channels (per session and what else ``window`` names)."""
+    """plv, mean phase, pli and directed pli of each two channels (per session and what else ``window`` names).
+
+    A difference whose sine is 0 to nine places leads in neither direction.
+    """
     window = window or ["session_id"]
     d = F.col("phase_i") - F.col("phase_j")
-    rows = _pairs(phases, [*window, "idx"], ["phase"]).withColumns({"_c": F.cos(d), "_s": F.sin(d)})
+    rows = _pairs(phases, [*window, "idx"], ["phase"]).withColumns({"_c": F.cos(d), "_s": F.sin(d), "_g": F.round(F.sin(d), 9)})
     c, s = F.avg("_c"), F.avg("_s")
-    return rows.groupBy(*window, "ch_i", "ch_j").agg(F.sqrt(c * c + s * s).alias("plv"), F.atan2(s, c).alias("mean_phase"), F.abs(F.avg(F.signum("_s"))).alias("pli"), F.avg((F.col("_s") > 0).cast("int")).alias("dpli"))
+    return rows.groupBy(*window, "ch_i", "ch_j").agg(F.sqrt(c * c + s * s).alias("plv"), F.atan2(s, c).alias("mean_phase"), F.abs(F.avg(F.signum("_g"))).alias("pli"), F.avg((F.col("_g") > 0).cast("int")).alias("dpli"))
 
 
 def locking_n_m(phases: DataFrame, reference: str, orders: list[tuple[int, int]]) -> DataFrame:

@@ -274,7 +274,7 @@ def f11_coherence_null(spark, s):
     return sp.shifted_coherence(reads(spark, s), REFERENCE, 19).groupBy("session_id", "channel", "f0").agg(F.percentile("msc", 0.95).alias("null95"), F.count("*").alias("reps"))
 
 
-@query("""SELECT session_id, ch_i, ch_j, r{sqrt(avg(cos(p1 - p2)) ** 2 + avg(sin(p1 - p2)) ** 2)} AS plv, r{atan2(avg(sin(p1 - p2)), avg(cos(p1 - p2)))} AS mean_phase, r{abs(avg(sign(sin(p1 - p2))))} AS pli, r{avg((sin(p1 - p2) > 0)::INT)} AS dpli FROM pr GROUP BY ALL""", READS)
+@query("""SELECT session_id, ch_i, ch_j, r{sqrt(avg(cos(p1 - p2)) ** 2 + avg(sin(p1 - p2)) ** 2)} AS plv, r{atan2(avg(sin(p1 - p2)), avg(cos(p1 - p2)))} AS mean_phase, r{abs(avg(sign(round(sin(p1 - p2), 9))))} AS pli, r{avg((round(sin(p1 - p2), 9) > 0)::INT)} AS dpli FROM pr GROUP BY ALL""", READS)
 def c2_phase_edges(spark, s):
     return cp.phase_edges(phases(spark, s))
 
