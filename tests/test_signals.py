@@ -44,7 +44,7 @@ def test_graph_kernels():
 
 def test_csv_layouts(spark, tmp_path):
     (tmp_path / "one.csv").write_text("meta,1\nTimestamp,EEG.F3,Other,EEG.F4\n1000,1,9,2\n1008,3,9,4\n")
-    got = recordings.read_headset_csv(spark, str(tmp_path / "one.csv"), ["F3", "F4", "O1"]).toPandas()
+    got = recordings.read_headset_csv(spark, str(tmp_path / "one.csv"), ["F3", "F4", "O1"]).orderBy("Timestamp").toPandas()
     assert got["EEG.F4"].tolist() == [2, 4] and got["EEG.O1"].isna().all() and set(got.session_id) == {"one"}
     long = recordings.to_long(recordings.normalised_time(recordings.read_headset_csv(spark, str(tmp_path / "one.csv"), ["F3", "F4"])), ["session_id", "idx", "t"]).toPandas()
     assert len(long) == 4
