@@ -51,7 +51,10 @@ def test_index_remembers_earlier_batches(spark):
     assert got == {1: (6, False), 2: (2, True), 3: (2, False)} and index.rows().count() == 3
 
 
-def test_jaccard_components(spark, texts):
+@pytest.mark.parametrize("hot, block", [(jaccard_join.HOT, jaccard_join.BLOCK), (2, 3)])
+def test_jaccard_components(spark, texts, monkeypatch, hot, block):
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set() for w in ((t or "").lower().split() for t in texts)]
     root = list(range(len(texts)))
 
@@ -70,6 +73,17 @@ def test_jaccard_components(spark, texts):
     assert len({find(i) for i in range(len(texts))}) < len(texts) - 20
 
 
+def test_common_elements_and_stars():
+    rng = np.random.default_rng(1)
+    a = [np.unique(rng.integers(0, most, rng.integers(1, 60))) for most in rng.choice([50, 5000], 120)]
+    b = [np.unique(rng.integers(0, 300, rng.integers(1, 60))) for _ in range(70)]
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    for rare in (256, 3, 0):
+        assert (jaccard_join._common(a, b, rare, 7) == want).all()
+    node, root = jaccard_join._stars(np.array([5, 7, 9, 1]), np.array([7, 9, 2, 8]))
+    assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {5: 2, 7: 2, 9: 2, 8: 1}
+
+
 def test_similar_sets_share_enough_signatures():
     rng, scheme = np.random.default_rng(5), jaccard_join.PartEnum()
     for n in [1, 2, 5, 11, 20, 33, 100, 400]:
