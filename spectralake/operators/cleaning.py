@@ -94,3 +94,9 @@ def below_mean_bin(samples: DataFrame) -> DataFrame:
     """bin: 1 where x is below its channel's mean, else 0."""
     mean = samples.groupBy(*KEYS).agg(F.avg("x").alias("_m"))
     return samples.join(mean, KEYS).withColumn("bin", (F.col("x") < F.col("_m")).cast("int")).drop("_m")
+
+
+def virtual_channel(samples: DataFrame, weights: DataFrame) -> DataFrame:
+    """One series for each session: the mean of its channels with weights (session_id, channel, w)."""
+    own = samples.join(weights, ["session_id", "channel"]).groupBy("session_id", "idx")
+    return own.agg((F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("x"))

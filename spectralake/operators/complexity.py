@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.kernels import gaussian_measures
+from .joins import gram
+
 KEYS = ["session_id", "channel"]
 
 
@@ -59,3 +64,19 @@ def spectrum_breadth(powers: DataFrame, by: list[str]) -> DataFrame:
     w = W.partitionBy(*by)
     rows = powers.withColumns({"_q": F.col("power") / F.sum("power").over(w), "_rank": F.row_number().over(w.orderBy(F.col("power").desc(), F.col("mode"))), "_n": F.count("*").over(w)})
     return rows.groupBy(*by).agg((-F.sum(F.when(F.col("_q") > 0, F.col("_q") * F.ln("_q")).otherwise(0.0))).alias("entropy"), (1 / F.sum(F.col("_q") ** 2)).alias("participation"), F.sum(F.when(F.col("_rank") <= F.ceil(F.col("_n") * 0.1), F.col("_q")).otherwise(0.0)).alias("top_share"))
+
+
+def gaussian_information(samples: DataFrame) -> DataFrame:
+    """Total and dual total correlation and O-information of each session's channels, from their covariances.
+
+    Only the covariances, a row for each two channels, reach the kernel.
+    """
+    spread = samples.groupBy("session_id", "channel").agg(F.var_pop("x").alias("cov")).select("session_id", F.col("channel").alias("ch_i"), F.col("channel").alias("ch_j"), "cov")
+    pairs = gram(samples).select("session_id", "ch_i", "ch_j", "cov").unionByName(spread)
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        upper = own.pivot(index="ch_i", columns="ch_j", values="cov").to_numpy()
+        cov = np.where(np.isnan(upper), upper.T, upper)
+        return pd.DataFrame([[own["session_id"].iloc[0], *gaussian_measures(cov)]], columns=["session_id", "total", "dual", "o_information"])
+
+    return pairs.groupBy("session_id").applyInPandas(run, "session_id string, total double, dual double, o_information double")

@@ -91,3 +91,29 @@ def winding(phases: DataFrame) -> DataFrame:
 def weighted_score(values: DataFrame, by: list[str]) -> DataFrame:
     """Mean of v over orders k with weights 1 / k."""
     return values.groupBy(*by).agg((F.sum(F.col("v") / F.col("k")) / F.sum(1 / F.col("k"))).alias("score"))
+
+
+def _with_reference(phases: DataFrame, reference: str) -> DataFrame:
+    r = phases.where(F.col("channel") == reference).select("session_id", "idx", F.col("phase").alias("_r"))
+    return phases.where(F.col("channel") != reference).join(r, ["session_id", "idx"]).withColumn("_d", F.col("phase") - F.col("_r"))
+
+
+def sliding_locking(phases: DataFrame, reference: str, half: int) -> DataFrame:
+    """Phase locking with the reference over the 2 half + 1 times around each time (at), where all are there."""
+    rows = _with_reference(phases, reference).withColumn("at", F.explode(F.sequence(F.col("idx") - half, F.col("idx") + half)))
+    found = rows.groupBy("session_id", "channel", "at").agg(F.sqrt(F.avg(F.cos("_d")) ** 2 + F.avg(F.sin("_d")) ** 2).alias("plv"), F.count("*").alias("_n"))
+    return found.where(F.col("_n") == 2 * half + 1).drop("_n")
+
+
+def phase_lead(phases: DataFrame, reference: str) -> DataFrame:
+    """Share of the times at which a channel's phase is ahead of the reference's by less than half a turn."""
+    ahead = F.round(F.sin("_d"), 9) > 0
+    return _with_reference(phases, reference).groupBy("session_id", "channel").agg(F.avg(ahead.cast("int")).alias("lead"))
+
+
+def comodulogram(reads: DataFrame, bins: int = 18) -> DataFrame:
+    """Modulation index of the amplitude of each line by the phase of each lower one, over frames."""
+    at = ["session_id", "channel", "frame"]
+    p = reads.select(*at, F.col("f0").alias("f_phase"), F.atan2("im", "re").alias("phase"))
+    a = reads.select(*at, F.col("f0").alias("f_amp"), F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("amp"))
+    return modulation_index(p.join(a, at).where("f_phase < f_amp"), ["session_id", "channel", "f_phase", "f_amp"], bins)

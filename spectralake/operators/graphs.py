@@ -55,3 +55,9 @@ def matrix_measures(edges: DataFrame, by: list[str]) -> DataFrame:
         return pd.DataFrame([[*own[by].iloc[0], min_cut(w), laplacian_entropy(w)]], columns=[*by, "min_cut", "entropy"])
 
     return edges.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {dict(edges.dtypes)[c]}" for c in by) + ", min_cut double, entropy double")
+
+
+def scaled_by_nodes(edges: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
+    """Edges with w times the root of the product of their ends' values (by, channel, v); edges whose ends have none go."""
+    i, j = (nodes.select(*by, F.col("channel").alias(c), F.col("v").alias(f"_{c}")) for c in ("ch_i", "ch_j"))
+    return edges.join(i, [*by, "ch_i"]).join(j, [*by, "ch_j"]).withColumn("w", F.col("w") * F.sqrt(F.col("_ch_i") * F.col("_ch_j"))).drop("_ch_i", "_ch_j")

@@ -68,3 +68,10 @@ def aligned_tables(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """Two spectra side by side, matched on f rounded to two places."""
     left, right = (x.groupBy(*by, F.round("f", 2).alias("f")).agg(F.avg("p").alias(n)) for x, n in ((a, "p_a"), (b, "p_b")))
     return left.join(right, [*by, "f"], "full_outer")
+
+
+def time_shuffle(rows: DataFrame, reps: int) -> DataFrame:
+    """Each channel once for every rep, its samples in an order that a digest of rep and idx gives."""
+    own = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    order = W.partitionBy("session_id", "channel", "rep").orderBy(F.md5(F.concat_ws(":", "rep", "session_id", "channel", "idx")))
+    return own.withColumn("idx", F.row_number().over(order).cast("long") - 1)

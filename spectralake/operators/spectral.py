@@ -126,3 +126,45 @@ def blocks_of(samples: DataFrame, size: int, halo: int, fs: float) -> DataFrame:
     start = F.col("block") * size
     own = own.select("session_id", "channel", F.lit(fs).alias("fs"), start.alias("start_idx"), F.size(F.filter("_s", lambda s: s["idx"] < start)).alias("halo_left"), F.size(F.filter("_s", lambda s: s["idx"] >= start + size)).alias("halo_right"), F.transform("_s", lambda s: s["x"]).alias("x"))
     return own.where(F.size("x") > F.col("halo_left") + F.col("halo_right"))
+
+
+def relative_power_table(powers: DataFrame, bands: list[str]) -> DataFrame:
+    """Mean share of each band, a row for each channel and a column for each band."""
+    return powers.groupBy("channel").pivot("band", bands).agg(F.avg("share"))
+
+
+def frame_spectra(samples: DataFrame, win: int, step: int, fs: float, lo: float, hi: float) -> DataFrame:
+    """Power of each bin from lo to hi in each whole frame."""
+    bins = samples.sparkSession.range(win // 2 + 1).select((F.col("id") * fs / win).alias("f0")).where(F.col("f0").between(lo, hi))
+    read = lock_in(frames(samples, win, step), bins, win, fs)
+    return read.select("session_id", "channel", "frame", F.col("f0").alias("f"), (F.col("re") ** 2 + F.col("im") ** 2).alias("p"))
+
+
+def ridge(framed: DataFrame) -> DataFrame:
+    """The strongest bin of each frame; of bins equal to six places the lowest."""
+    top = framed.groupBy("session_id", "channel", "frame").agg(F.min_by(F.struct("f", "p"), F.struct(-F.round("p", 6), F.col("f"))).alias("b"))
+    return top.select("session_id", "channel", "frame", "b.f", "b.p")
+
+
+def band_features(framed: DataFrame, bands: DataFrame, names: list[str]) -> DataFrame:
+    """Power of each band (f_lo <= f < f_hi) in each frame, a column for each band."""
+    own = framed.join(F.broadcast(bands), (F.col("f") >= F.col("f_lo")) & (F.col("f") < F.col("f_hi")))
+    return own.groupBy("session_id", "channel", "frame").pivot("band", names).agg(F.sum("p"))
+
+
+def sliding_coherence(reads: DataFrame, reference: str, half: int) -> DataFrame:
+    """Coherence with the reference over the 2 half + 1 frames around each frame (at), where all are there."""
+    spread = reads.withColumn("at", F.explode(F.sequence(F.col("frame") - half, F.col("frame") + half)))
+    return coherence(spread, reference, ("session_id", "at")).where(F.col("frames") == 2 * half + 1)
+
+
+def trace_summary(traces: DataFrame, by: list[str], value: str, threshold: float) -> DataFrame:
+    """Median and largest value of traces, and the share of their points above ``threshold``."""
+    return traces.groupBy(*by).agg(F.percentile(value, 0.5).alias("median"), F.max(value).alias("largest"), F.avg((F.col(value) > threshold).cast("int")).alias("coverage"))
+
+
+def overtone_index(spectra: DataFrame, by: list[str], f0: float, half: float, most: int) -> DataFrame:
+    """Sum of the mean powers near the overtones 2 f0 to most f0, over that near f0."""
+    near = lambda k: F.avg(F.when(F.abs(F.col("f") - k * f0) <= half, F.col("p")))
+    over = sum((near(k) for k in range(3, most + 1)), near(2))
+    return spectra.groupBy(*by).agg((over / F.nullif(near(1), F.lit(0.0))).alias("stack_index"))

@@ -44,3 +44,9 @@ def transitions(labels: DataFrame) -> DataFrame:
     nxt = labels.withColumn("to", F.lead("label").over(W.partitionBy("session_id").orderBy("idx"))).where("to is not null and to <> label")
     counts = nxt.groupBy("session_id", "label", "to").agg(F.count("*").alias("n"))
     return counts.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("session_id", "label")))
+
+
+def occupancy(epoched: DataFrame) -> DataFrame:
+    """Share of each label at each tau around the onsets."""
+    counts = epoched.groupBy("tau", "label").agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("tau")))

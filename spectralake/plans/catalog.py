@@ -502,3 +502,161 @@ def t4_state_contrast(spark, s):
 def t5_aligned_tables(spark, s):
     p = spectra(s)
     return inf.aligned_tables(p, p.withColumn("p", F.col("p") * 2), ["session_id", "channel"])
+
+
+@query("SELECT session_id, channel, idx, CASE WHEN idx % 5 = 0 THEN 0 ELSE x END AS x FROM samples")
+def p1_numeric(spark, s):
+    return cl.numeric(s.withColumn("x", F.when(F.col("idx") % 5 == 0, "none").otherwise(F.col("x").cast("string")))).select("session_id", "channel", "idx", "x")
+
+
+_SHARES = """, bp AS (SELECT session_id, channel, band, power / sum(power) OVER (PARTITION BY session_id, channel) AS share FROM
+ (SELECT session_id, channel, band, sum((f1 - f) * (p + p1) / 2) AS power FROM (SELECT *, lead(f) OVER w AS f1, lead(p) OVER w AS p1 FROM spectra WINDOW w AS (PARTITION BY session_id, channel ORDER BY f)) JOIN bands ON f >= f_lo AND f1 <= f_hi GROUP BY ALL))"""
+
+
+def _share_table(spark, s):
+    return sp.relative_power_table(sp.band_power(spectra(s), bands(spark), ["session_id", "channel"]), [b[0] for b in BANDS])
+
+
+@query(_SHARES + " SELECT channel, r{avg(share) FILTER (band = 'slow')} AS slow, r{avg(share) FILTER (band = 'mid')} AS mid, r{avg(share) FILTER (band = 'fast')} AS fast FROM bp GROUP BY ALL", SPECTRA)
+def f3_relative_power_table(spark, s):
+    return _share_table(spark, s)
+
+
+@query(_SHARES + " SELECT channel AS electrode, 'ALL' AS condition, 'rel' AS kind, band, r{avg(share)} AS value FROM bp GROUP BY channel, band", SPECTRA)
+def p16_band_table_to_long(spark, s):
+    return cl.band_table_to_long(_share_table(spark, s).withColumnsRenamed({"channel": "electrode"} | {b[0]: f"rel_{b[0]}" for b in BANDS}))
+
+
+@query(""", w AS (SELECT session_id, channel, avg(p) FILTER (abs(f - f0) <= 0.011) / avg(p) FILTER (abs(f - f0) > 0.011) AS w FROM spectra JOIN lines ON abs(f - f0) <= 0.15 WHERE f0 < 0.05 GROUP BY session_id, channel)
+ SELECT session_id, idx, r{sum(w * x) / sum(w)} AS x FROM samples JOIN w USING (session_id, channel) GROUP BY ALL""", SPECTRA)
+def p17_virtual_channel(spark, s):
+    weights = sp.line_snr(spectra(s), lines(spark).where("f0 < 0.05"), ["session_id", "channel"], 0.011, 0.15)
+    return cl.virtual_channel(s, weights.select("session_id", "channel", F.col("snr").alias("w")))
+
+
+_SLIDING = """, sl AS (SELECT a.session_id, a.channel, k AS "at", a.f0, (avg(a.re * b.re + a.im * b.im) ** 2 + avg(a.im * b.re - a.re * b.im) ** 2) / (avg(a.re ** 2 + a.im ** 2) * avg(b.re ** 2 + b.im ** 2)) AS msc, count(*) AS frames
+ FROM range(3, 26) q(k) JOIN rd a ON a.frame BETWEEN k - 3 AND k + 3 JOIN rd b ON a.session_id = b.session_id AND a.frame = b.frame AND a.f0 = b.f0 WHERE b.channel = 'view' AND a.channel <> 'view' GROUP BY a.session_id, a.channel, k, a.f0)"""
+
+
+@query(_SLIDING + ' SELECT session_id, channel, "at", r{f0} AS f0, r{msc} AS msc, frames FROM sl', READS)
+def f12_sliding_coherence(spark, s):
+    return sp.sliding_coherence(reads(spark, s), REFERENCE, 3)
+
+
+@query(_SLIDING + " SELECT session_id, r{f0} AS f0, r{quantile_cont(msc, 0.5)} AS median, r{max(msc)} AS largest, r{avg((msc > 0.3)::INT)} AS coverage FROM sl GROUP BY session_id, f0", READS)
+def f13_trace_summary(spark, s):
+    return sp.trace_summary(sp.sliding_coherence(reads(spark, s), REFERENCE, 3), ["session_id", "f0"], "msc", 0.3)
+
+
+@query(" SELECT session_id, channel, frame, r{first(f0 ORDER BY round(re * re + im * im, 6) DESC, f0)} AS f, r{max(re * re + im * im)} AS p FROM rs WHERE f0 BETWEEN 0.02 AND 0.25 GROUP BY ALL", SPECTRA, 5)
+def f16_ridge(spark, s):
+    return sp.ridge(sp.frame_spectra(s, WIN, STEP, 1.0, 0.02, 0.25))
+
+
+@query(" SELECT session_id, channel, frame, r{sum(re * re + im * im) FILTER (f0 >= 0.02 AND f0 < 0.1)} AS slow, r{sum(re * re + im * im) FILTER (f0 >= 0.1 AND f0 < 0.25)} AS mid, r{sum(re * re + im * im) FILTER (f0 >= 0.25 AND f0 < 0.5)} AS fast FROM rs GROUP BY ALL", SPECTRA, 5)
+def m7_band_features(spark, s):
+    return sp.band_features(sp.frame_spectra(s, WIN, STEP, 1.0, 0.0, 0.5), bands(spark), [b[0] for b in BANDS])
+
+
+@query(" SELECT session_id, channel, r{(avg(p) FILTER (abs(f - 4 / 48.0) < 0.005) + avg(p) FILTER (abs(f - 6 / 48.0) < 0.005) + avg(p) FILTER (abs(f - 8 / 48.0) < 0.005)) / avg(p) FILTER (abs(f - 2 / 48.0) < 0.005)} AS stack_index FROM spectra GROUP BY ALL", SPECTRA, 5)
+def e11_overtone_index(spark, s):
+    return sp.overtone_index(spectra(s), ["session_id", "channel"], 1 / 24, 0.005, 4)
+
+
+_REGION = """, rg AS (SELECT session_id, roi AS channel, frame, f0, avg(re) AS re, avg(im) AS im FROM rd JOIN regions USING (channel) GROUP BY ALL)"""
+
+
+@query(_REGION + """ SELECT a.session_id, a.channel, r{a.f0} AS f0, r{(avg(a.re * b.re + a.im * b.im) ** 2 + avg(a.im * b.re - a.re * b.im) ** 2) / (avg(a.re ** 2 + a.im ** 2) * avg(b.re ** 2 + b.im ** 2))} AS msc, count(*) AS frames
+ FROM rg a JOIN rd b ON a.session_id = b.session_id AND a.frame = b.frame AND a.f0 = b.f0 WHERE b.channel = 'view' GROUP BY a.session_id, a.channel, a.f0""", READS)
+def c4_region_coherence(spark, s):
+    regions = cl.region_mean(s, spark.createDataFrame(REGIONS, "roi string, channel string")).withColumnRenamed("roi", "channel")
+    both = regions.unionByName(s.where(F.col("channel") == REFERENCE).select(*regions.columns))
+    return sp.coherence(reads(spark, both), REFERENCE)
+
+
+@query(""", l AS (SELECT DISTINCT session_id, channel, idx, phase FROM ph) SELECT a.session_id, a.channel, k AS "at", r{sqrt(avg(cos(a.phase - b.phase)) ** 2 + avg(sin(a.phase - b.phase)) ** 2)} AS plv
+ FROM range(3, 26) q(k) JOIN l a ON a.idx BETWEEN k - 3 AND k + 3 JOIN l b ON a.session_id = b.session_id AND a.idx = b.idx WHERE b.channel = 'view' AND a.channel <> 'view' GROUP BY ALL""", READS)
+def c10_sliding_locking(spark, s):
+    return cp.sliding_locking(phases(spark, s), REFERENCE, 3)
+
+
+_MSC = """, ms AS (SELECT a.session_id, a.channel, a.f0, (avg(a.re * b.re + a.im * b.im) ** 2 + avg(a.im * b.re - a.re * b.im) ** 2) / (avg(a.re ** 2 + a.im ** 2) * avg(b.re ** 2 + b.im ** 2)) AS msc
+ FROM rd a JOIN rd b ON a.session_id = b.session_id AND a.frame = b.frame AND a.f0 = b.f0 WHERE b.channel = 'view' AND a.channel <> 'view' GROUP BY a.session_id, a.channel, a.f0)"""
+
+
+@query(_MSC + " SELECT session_id, channel, r{sum(msc / round(f0 * 24)) / sum(1 / round(f0 * 24))} AS score FROM ms GROUP BY ALL", READS)
+def c11_weighted_score(spark, s):
+    found = sp.coherence(reads(spark, s), REFERENCE)
+    return cp.weighted_score(found.select("session_id", "channel", F.col("msc").alias("v"), F.round(F.col("f0") * 24).alias("k")), ["session_id", "channel"])
+
+
+@query(" SELECT a.session_id, a.channel, r{avg((round(sin(a.phase - b.phase), 9) > 0)::INT)} AS lead FROM ph a JOIN ph b ON a.session_id = b.session_id AND a.idx = b.idx WHERE b.channel = 'view' AND a.channel <> 'view' GROUP BY ALL", READS)
+def c20_phase_lead(spark, s):
+    return cp.phase_lead(phases(spark, s), REFERENCE)
+
+
+@query(""", k AS (SELECT session_id, channel, frame, f0, atan2(im, re) AS phase, sqrt(re * re + im * im) AS amp FROM rs WHERE round(f0 * 48) IN (2, 4, 8)),
+ b AS (SELECT p.session_id, p.channel, p.f0 AS fp, a.f0 AS fa, least(floor((p.phase + pi()) / (2 * pi()) * 6), 5) AS b, avg(a.amp) AS a FROM k p JOIN k a ON p.session_id = a.session_id AND p.channel = a.channel AND p.frame = a.frame AND p.f0 < a.f0 GROUP BY ALL),
+ q AS (SELECT session_id, channel, fp, fa, a / sum(a) OVER (PARTITION BY session_id, channel, fp, fa) AS p FROM b)
+ SELECT session_id, channel, r{fp} AS f_phase, r{fa} AS f_amp, r{(ln(6) + sum(p * ln(p))) / ln(6)} AS mi FROM q GROUP BY session_id, channel, fp, fa""", SPECTRA)
+def c16_comodulogram(spark, s):
+    own = sp.lock_in(cl.frames(s, WIN, STEP), spark.createDataFrame([(k / 48,) for k in (2, 4, 8)], "f0 double"), WIN, 1.0)
+    return cp.comodulogram(own, 6)
+
+
+@query(_MSC + " SELECT e.session_id, ch_i, ch_j, r{w * sqrt(i.msc * j.msc)} AS w FROM edges e JOIN ms i ON e.session_id = i.session_id AND ch_i = i.channel JOIN ms j ON e.session_id = j.session_id AND ch_j = j.channel WHERE i.f0 < 0.05 AND j.f0 < 0.05", READS)
+def c30_scaled_edges(spark, s):
+    nodes = sp.coherence(reads(spark, s).where("f0 < 0.05"), REFERENCE).select("session_id", "channel", F.col("msc").alias("v"))
+    return gr.scaled_by_nodes(edges(spark, s), nodes, ["session_id"]).select("session_id", "ch_i", "ch_j", "w")
+
+
+@query(""", e AS (SELECT session_id, channel, idx FROM (SELECT *, lag(x >= 1, 1, false) OVER (PARTITION BY session_id, channel ORDER BY idx) AS was FROM samples) WHERE x >= 1 AND NOT was),
+ t AS (SELECT session_id, channel, min(idx) AS onset FROM e GROUP BY ALL UNION ALL SELECT e.session_id, e.channel, min(e.idx) FROM t JOIN e ON t.session_id = e.session_id AND t.channel = e.channel AND e.idx - onset >= 12 GROUP BY e.session_id, e.channel)
+ SELECT session_id, channel, onset FROM t""", f"RECURSIVE {SAMPLES}")
+def e4_burst_onsets(spark, s):
+    return ev.debounced_onsets(s, F.col("x") >= 1, ["session_id", "channel"], 12)
+
+
+@query(""", n AS (SELECT session_id, channel, t, CASE WHEN t - lag(t) OVER w <= 1 THEN 0 ELSE 1 END AS n FROM samples WHERE x >= 1 WINDOW w AS (PARTITION BY session_id ORDER BY t, channel)),
+ g AS (SELECT *, sum(n) OVER (PARTITION BY session_id ORDER BY t, channel ROWS UNBOUNDED PRECEDING) AS grp FROM n) SELECT session_id, grp::BIGINT AS grp, min(t) AS t0, max(t) AS t1, count(*) AS n, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels FROM g GROUP BY session_id, grp""")
+def e7_coincident_groups(spark, s):
+    return ev.coincident_groups(s.where("x >= 1"), 1.0)
+
+
+@query(""", z AS (SELECT session_id, channel, idx, (x - avg(x) OVER w) / (stddev_pop(x) OVER w + 1e-12) AS z FROM samples WINDOW w AS (PARTITION BY session_id, channel)), l AS (SELECT session_id, channel, min(idx) - 240 AS l FROM z WHERE idx >= 240 AND z >= 1 GROUP BY ALL)
+ SELECT session_id, first(channel ORDER BY l, channel) AS seed, max(l) - min(l) AS spread, r{quantile_cont(l, 0.5)} AS median_latency FROM l GROUP BY ALL""")
+def e12_seed_channel(spark, s):
+    return ev.seed_channel(ev.latencies(cl.z_score(s), 1.0, 240))
+
+
+@query(""", g AS (SELECT session_id, idx, round(var_pop(x), 9) AS gfp FROM samples GROUP BY ALL), k AS (SELECT session_id, idx FROM (SELECT *, max(gfp) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM g) WHERE gfp = m AND gfp > 0),
+ v AS (SELECT session_id, idx, channel, x - avg(x) OVER (PARTITION BY session_id, idx) AS v FROM samples JOIN k USING (session_id, idx)), u AS (SELECT session_id, idx, channel, v / sqrt(sum(v * v) OVER (PARTITION BY session_id, idx)) AS v FROM v),
+ f AS (SELECT session_id, idx, mode AS k, abs(sum(v * w)) AS r FROM u JOIN basis USING (channel) GROUP BY ALL) SELECT session_id, idx, first(k ORDER BY round(r, 9) DESC, k) AS k, r{max(r)} AS fit FROM f GROUP BY ALL""")
+def m3_backfit(spark, s):
+    peaks = st.field_peaks(ev.field_power(s).withColumn("gfp", F.round("gfp", 9)), 3)
+    return st.backfit(st.topographies(s, peaks), spark.createDataFrame(BASIS, "k int, channel string, w double"))
+
+
+@query(_LABELS + """ SELECT tau, label, count(*) AS n, r{count(*) / sum(count(*)) OVER (PARTITION BY tau)} AS share FROM (SELECT l.label, l.idx - o.onset AS tau FROM lb l JOIN (VALUES (100), (300), (715)) o(onset) ON l.idx BETWEEN o.onset - 6 AND o.onset + 12) GROUP BY tau, label""")
+def m9_occupancy(spark, s):
+    return st.occupancy(jn.epochs(_labels(s), _onsets(spark), 6, 12))
+
+
+@query("SELECT session_id, channel, rep::INT AS rep, row_number() OVER (PARTITION BY session_id, channel, rep ORDER BY md5(rep || ':' || session_id || ':' || channel || ':' || idx)) - 1 AS idx, x FROM samples, range(1, 4) q(rep)")
+def i2_time_shuffle(spark, s):
+    return inf.time_shuffle(s, 3).select("session_id", "channel", "rep", "idx", "x")
+
+
+@query("SELECT channel, state, count(*) AS n, r{avg(x)} AS mean, r{stddev_samp(x)} AS sd, r{stddev_samp(x) / sqrt(count(*))} AS sem FROM samples JOIN windows ON t >= t0 AND t < t1 GROUP BY ALL")
+def t2_condition_means(spark, s):
+    return inf.summary(jn.in_windows(s, windows(spark)), ["channel", "state"], "x").select("channel", "state", "n", "mean", "sd", "sem")
+
+
+@query()
+def x5_gaussian_information(spark, s):
+    return cx.gaussian_information(s)
+
+
+@query()
+def p6_band_pass(spark, s):
+    return c1_band_phase(spark, s).select("session_id", "channel", "band", "idx", (F.col("amp") * F.cos("phase")).alias("x"))

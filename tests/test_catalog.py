@@ -25,7 +25,7 @@ def rows(frame):
     return sorted(str(tuple(map(plain, r))) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["s3_samples", "p4_z_score", "j4_align", "f1_welch", "f11_coherence", "c2_phase_edges", "e3_islands", "e5_merge_intervals", "x3_permutation_entropy", "m5_transitions", "g2_node_strength", "t4_state_contrast"])
+@pytest.mark.parametrize("name", ["s3_samples", "p4_z_score", "j4_align", "f1_welch", "f11_coherence", "c2_phase_edges", "e3_islands", "e5_merge_intervals", "x3_permutation_entropy", "m5_transitions", "g2_node_strength", "t4_state_contrast", "f12_sliding_coherence", "f16_ridge", "p17_virtual_channel", "c16_comodulogram", "e4_burst_onsets", "e7_coincident_groups", "m3_backfit", "i2_time_shuffle"])
 def test_against_sql(spark, db, name):
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), db.execute(catalog.ORACLE_SQL[name]).df()
     assert len(got) > 0 and rows(got) == rows(want)
@@ -35,3 +35,34 @@ def test_against_sql(spark, db, name):
 def test_plan_has_no_python(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "MapInPandas" not in plan and "MapInArrow" not in plan
+
+
+def test_gaussian_information(spark):
+    """Against the determinants of the covariances of the whole series."""
+    import numpy as np
+
+    from spectralake.operators.complexity import gaussian_information
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3, 200))
+    x[2] += x[0]
+    data = [("s", f"c{i}", j, float(j), float(x[i, j])) for i in range(3) for j in range(200)]
+    got = gaussian_information(spark.createDataFrame(data, "session_id string, channel string, idx long, t double, x double")).first()
+    cov = np.cov(x, bias=True)
+    h = lambda c: 0.5 * np.log(np.linalg.det(np.atleast_2d(c)))
+    rest = [h(np.delete(np.delete(cov, i, 0), i, 1)) for i in range(3)]
+    total, dual = sum(h(cov[i, i]) for i in range(3)) - h(cov), sum(rest) - 2 * h(cov)
+    assert np.allclose([got.total, got.dual, got.o_information], [total, dual, total - dual], atol=1e-6)
+
+
+def test_band_pass_keeps_the_band(spark):
+    """A tone in the band stays, one outside goes."""
+    import math
+
+    from spectralake.operators.spectral import band_phase, blocks_of
+
+    data = [("s", c, i, float(i), math.sin(2 * math.pi * i / n)) for c, n in (("in", 24), ("out", 4)) for i in range(720)]
+    samples = spark.createDataFrame(data, "session_id string, channel string, idx long, t double, x double")
+    found = band_phase(blocks_of(samples, 240, 96, 1.0), spark.createDataFrame([("daily", 0.03, 0.06)], "band string, f_lo double, f_hi double"))
+    kept = {r.channel: r.a for r in found.where("idx between 200 and 500").groupBy("channel").agg({"amp": "avg"}).withColumnRenamed("avg(amp)", "a").collect()}
+    assert 0.9 < kept["in"] < 1.1 and kept["out"] < 0.05
