@@ -660,3 +660,12 @@ def x5_gaussian_information(spark, s):
 @query()
 def p6_band_pass(spark, s):
     return c1_band_phase(spark, s).select("session_id", "channel", "band", "idx", (F.col("amp") * F.cos("phase")).alias("x"))
+
+
+@query(""", pl AS (SELECT session_id, ch_i, ch_j, CASE WHEN idx IN (10, 11, 20, 21) THEN 'event' WHEN idx IN (12, 13) THEN 'rebound' ELSE 'baseline' END AS state, sqrt(avg(cos(p1 - p2)) ** 2 + avg(sin(p1 - p2)) ** 2) AS plv FROM pr GROUP BY ALL),
+ m AS (SELECT session_id, avg(plv) FILTER (state = 'event') AS e, avg(plv) FILTER (state = 'baseline') AS b FROM pl GROUP BY ALL) SELECT count(*) AS n, r{avg(e - b)} AS mean, r{stddev_samp(e - b) / sqrt(count(*))} AS sem FROM m""", READS)
+def g11_state_locking(spark, s):
+    labelled = jn.label_state(phases(spark, s).withColumn("t", F.col("idx") * STEP), windows(spark), ["event", "rebound"], "baseline")
+    mean = cp.phase_edges(labelled, ["session_id", "state"]).groupBy("session_id", "state").agg(F.avg("plv").alias("value"))
+    delta = inf.state_contrast(mean, ["session_id"])
+    return delta.agg(F.count("delta").alias("n"), F.avg("delta").alias("mean"), (F.stddev_samp("delta") / F.sqrt(F.count("delta"))).alias("sem"))
