@@ -79,14 +79,15 @@ class PartEnum:
     def surely_common(self, size, other, largest: int):
         """A column: the least number of signatures that linked sets of these sizes (columns) share, over all their keys.
 
-        Sets that differ in d elements agree on all but d partitions; each leaves out all but k + COMMON.
+        Sets that differ in d elements agree on all but d partitions; each leaves out all but k + COMMON. In the
+        lowest bands a set keeps only the elements of which one is sure to be common, so one is all that is asked.
         """
         self.band(largest)
-        ks = [0 if self.top(j) < SMALL else self.differences(j) for j in range(len(self.lows) - 1)]
+        kept = [1 if self.top(j) < SMALL else self.differences(j) + COMMON for j in range(len(self.lows) - 1)]
         band = lambda n: F.size(F.filter(F.array(*map(F.lit, self.lows)), lambda x: x <= n))  # noqa: E731  counted from 1
         total = size + other
         d = total - 2 * F.ceil(self.num * total / (self.num + self.den))
-        of_key = lambda j: F.when(j < 1, 0).otherwise(F.greatest(F.lit(1), F.coalesce(F.get(F.array(*map(F.lit, ks or [0])), j - 1), F.lit(0)) + COMMON - d))
+        of_key = lambda j: F.when(j < 1, 0).otherwise(F.greatest(F.lit(1), F.coalesce(F.get(F.array(*map(F.lit, kept or [1])), j - 1), F.lit(1)) - d))
         low, high = F.least(band(size), band(other)), F.greatest(band(size), band(other))
         return F.when(low == high, of_key(low - 1) + of_key(low)).otherwise(of_key(low))
 

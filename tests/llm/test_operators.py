@@ -95,6 +95,30 @@ def test_similar_sets_share_enough_signatures():
                 assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b))) >= (jaccard_join.COMMON if n > 32 else 1)
 
 
+def test_small_similar_sets_are_compared(spark):
+    scheme = jaccard_join.PartEnum()
+    base = [[f"d{r}w{i}" for i in range(24)] for r in range(3)]
+    sized = [(n, m, r) for n in range(1, 21) for m in range(n, 21) for r in range(3) if 100 * n >= 75 * m]
+    sets = {(n, r): jaccard_join.shingle_sets([" ".join(base[r][: n + 4]).encode()], jaccard_join.WordHashes())[0] for n in range(1, 21) for r in range(3)}
+    rows = [(n, m, len(np.intersect1d(scheme.signatures(sets[n, r]), scheme.signatures(sets[m, r])))) for n, m, r in sized]
+    need = spark.createDataFrame(rows, "size long, other long, times long")
+    for largest in (20, 1000):
+        asked = need.withColumn("least", jaccard_join.PartEnum().surely_common(need["size"], need["other"], largest))
+        assert not [tuple(r) for r in asked.collect() if r.times < r.least]
+
+
+@pytest.mark.parametrize("cut", ["end", "start"])
+def test_one_word_more_links_short_texts(spark, cut):
+    words = [[f"n{n}w{i}" for i in range(n + 1)] for n in range(5, 21)]
+    own = [" ".join(t) for w in words for t in (w, w[:-1] if cut == "end" else w[1:])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs(spark, own)).collect()}
+    want = {}
+    for k, n in enumerate(range(5, 21)):
+        linked = 100 * (n - 4) >= 75 * (n - 3)
+        want |= {2 * k: (n - 3, 2 * k), 2 * k + 1: (n - 4, 2 * k if linked else 2 * k + 1)}
+    assert got == want
+
+
 def test_language_model(spark, texts):
     for order in (2, 3):
         got = {r.doc_id: r.score for r in ngram_lm.score_documents(docs(spark, texts), order=order).collect()}
