@@ -40,6 +40,21 @@ def block_bootstrap(series: DataFrame, by: list[str], n: int, block: int, reps:
     return means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
 
 
+def circular_block_bootstrap(series: DataFrame, by: list[str], n: int, block: int, reps: int) -> DataFrame:
+    """95 % interval of the mean of n values by resampling circular blocks; n is a multiple of block.
+
+    The start of a block is a digest of rep and block, mod n, so that every rep is a draw of its own.
+    """
+    spark = series.sparkSession
+    plan = spark.range(1, reps + 1).select(F.col("id").alias("rep")).crossJoin(spark.range(n // block).select(F.col("id").alias("b")))
+    digest = F.substring(F.md5(F.concat_ws(":", "rep", "b")), 1, 12)
+    plan = plan.withColumn("idx", F.pmod(F.conv(digest, 16, 10).cast("long"), F.lit(n)))
+    wrapped = series.select(*by, "idx", "x").union(series.where(F.col("idx") < block - 1).select(*by, F.col("idx") + n, "x"))
+    sums = wrapped.withColumn("_s", F.sum("x").over(W.partitionBy(*by).orderBy("idx").rowsBetween(0, block - 1)))
+    means = sums.join(F.broadcast(plan), "idx").groupBy(*by, "rep").agg((F.sum("_s") / n).alias("_m"))
+    return means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
+
+
 def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, mean, sd, sem, median and quartiles."""
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

@@ -100,6 +100,14 @@ def shifted_coherence(reads: DataFrame, reference: str, reps: int, by: tuple[str
     return coherence(others.unionByName(r), reference, (*by, "rep"))
 
 
+def every_shifted_coherence(reads: DataFrame, reference: str, most: int, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """Coherence with the reference's frames moved round by 1, 2, .. frames: every distinct shift but none, up to ``most``."""
+    count = reads.groupBy(*by).agg(F.countDistinct("frame").alias("_n"))
+    every = count.where("_n > 1").withColumn("rep", F.explode(F.sequence(F.lit(1), F.least(F.col("_n") - 1, F.lit(most)).cast("int"))))
+    both = reads.join(every, list(by)).withColumn("frame", F.when(F.col("channel") == reference, F.pmod(F.col("frame") + F.col("rep"), F.col("_n"))).otherwise(F.col("frame")))
+    return coherence(both.drop("_n"), reference, (*by, "rep"))
+
+
 def band_phase(blocks: DataFrame, bands: DataFrame) -> DataFrame:
     """amp and phase of each band for blocks (session_id, channel, fs, start_idx, halo, x array): a kernel per block.
 

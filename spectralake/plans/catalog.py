@@ -477,6 +477,43 @@ def i4_block_bootstrap(spark, s):
     return inf.block_bootstrap(s, ["session_id", "channel"], 720, 24, 20)
 
 
+# The surrogates above with as many replicates as the survey and the reference take.
+@query(""", b AS (SELECT rep, session_id, (frame + rep) % 29 AS frame, f0, re, im FROM rd, range(1, 29) q(rep) WHERE channel = 'view'),
+ z AS (SELECT a.session_id, a.channel, a.f0, rep, (avg(a.re * b.re + a.im * b.im) ** 2 + avg(a.im * b.re - a.re * b.im) ** 2) / (avg(a.re ** 2 + a.im ** 2) * avg(b.re ** 2 + b.im ** 2)) AS v
+   FROM rd a JOIN b ON a.session_id = b.session_id AND a.frame = b.frame AND a.f0 = b.f0 WHERE a.channel <> 'view' GROUP BY ALL)
+ SELECT session_id, channel, r{f0} AS f0, r{quantile_cont(v, 0.95)} AS null95, count(*) AS reps FROM z GROUP BY session_id, channel, f0""", READS)
+def f11_coherence_null_full(spark, s):
+    return sp.every_shifted_coherence(reads(spark, s), REFERENCE, 200).groupBy("session_id", "channel", "f0").agg(F.percentile("msc", 0.95).alias("null95"), F.count("*").alias("reps"))
+
+
+@query("SELECT session_id, channel, rep::INT AS rep, (idx + rep * 37) % 720 AS idx, x FROM samples, range(1, 101) q(rep)")
+def i1_circular_shift_full(spark, s):
+    return inf.circular_shift(s, 720, 100, 37).select("session_id", "channel", "rep", "idx", "x")
+
+
+@query("SELECT session_id, channel, rep::INT AS rep, row_number() OVER (PARTITION BY session_id, channel, rep ORDER BY md5(rep || ':' || session_id || ':' || channel || ':' || idx)) - 1 AS idx, x FROM samples, range(1, 101) q(rep)")
+def i2_time_shuffle_full(spark, s):
+    return inf.time_shuffle(s, 100).select("session_id", "channel", "rep", "idx", "x")
+
+
+@query(""", o AS (SELECT a.session_id, a.channel, round(corr(a.x, b.x), 9) AS r FROM samples a JOIN samples b ON a.session_id = b.session_id AND a.idx = b.idx WHERE b.channel = 'view' AND a.channel <> 'view' GROUP BY ALL),
+ n AS (SELECT a.session_id, a.channel, rep, round(corr(a.x, b.x), 9) AS v FROM samples a, range(1, 101) q(rep), samples b WHERE a.session_id = b.session_id AND (a.idx + rep * 37) % 720 = b.idx AND b.channel = 'view' AND a.channel <> 'view' GROUP BY ALL)
+ SELECT session_id, channel, r{any_value(r)} AS r, r{(count(*) FILTER (v >= r) + 1) / (count(*) + 1)} AS p, r{quantile_cont(v, 0.95)} AS null95, r{(any_value(r) - avg(v)) / (stddev_pop(v) + 1e-12)} AS z FROM o JOIN n USING (session_id, channel) GROUP BY ALL""")
+def i9_metric_against_surrogates_full(spark, s):
+    reference = s.where(F.col("channel") == REFERENCE).select("session_id", "idx", F.col("x").alias("_r"))
+    # Counts tie often: rounded, ties stay ties.
+    metric = lambda rows, by: rows.join(reference, ["session_id", "idx"]).groupBy(*by).agg(F.round(F.corr("x", "_r"), 9).alias("r"))
+    return inf.metric_against_surrogates(s.where(F.col("channel") != REFERENCE), metric, ["session_id", "channel"], "r", 720, 100, 37)
+
+
+@query(""", st AS (SELECT rep, b, ('0x' || substr(md5(rep || ':' || b), 1, 12))::BIGINT % 720 AS a FROM range(1, 1001) q(rep), range(20) u(b)),
+ e AS (SELECT session_id, channel, idx, x FROM samples UNION ALL SELECT session_id, channel, idx + 720, x FROM samples),
+ w AS (SELECT session_id, channel, a, avg(x) AS v FROM e JOIN (SELECT DISTINCT a FROM st) ON idx >= a AND idx < a + 36 GROUP BY ALL), m AS (SELECT session_id, channel, rep, avg(v) AS m FROM w JOIN st USING (a) GROUP BY ALL)
+ SELECT session_id, channel, r{quantile_cont(m, 0.025)} AS low, r{quantile_cont(m, 0.975)} AS high FROM m GROUP BY ALL""", places=9)
+def i4_block_bootstrap_full(spark, s):
+    return inf.circular_block_bootstrap(s, ["session_id", "channel"], 720, 36, 1000)
+
+
 @query("SELECT session_id, channel, count(x) AS n, r{avg(x)} AS mean, r{stddev_samp(x)} AS sd, r{stddev_samp(x) / sqrt(count(x))} AS sem, r{quantile_cont(x, 0.5)} AS median, r{quantile_cont(x, 0.25)} AS q1, r{quantile_cont(x, 0.75)} AS q3 FROM samples GROUP BY ALL")
 def t1_summary(spark, s):
     return inf.summary(s, ["session_id", "channel"], "x")
