@@ -256,3 +256,39 @@ def test_pipeline(spark, tmp_path):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert len(out) and out.round_trip.all() and len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    given = common.table(spark, sf, "documents")
+    model = toxicity.ToxicityModel.fit(toxicity.labelled_sample(given, common.table(spark, sf, "labels")))
+    ids = lambda d: sorted(r.doc_id for r in d.select("doc_id").collect())
+    steps = [given]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        steps.append(common.written(stage(spark, steps[-1], sf), name.replace(" ", "-")))
+    scored = toxicity.score_toxicity(given, model).collect()
+    assert ids(steps[1]) == sorted(r.doc_id for r in scored if r.score < r.threshold)
+    texts = {r.doc_id: (r.text or "").encode() for r in steps[1].collect()}
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(re.sub(rb"[\x20\x09-\x0D]+", b" ", texts[i]), i)
+    assert ids(steps[2]) == sorted(first.values())
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set() for i, w in ((i, texts[i].lower().split()) for i in first.values())}
+    component = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in sets:
+        before = dict(component)
+        for a, b in links:
+            component[a] = component[b] = min(component[a], component[b])
+        if component == before:
+            break
+    assert ids(steps[3]) == sorted(i for i in sets if component[i] == i)
+    copies = {r.doc_id: r for r in mixing.mix_sources(steps[3]).collect()}
+    assert ids(steps[4]) == sorted(i for i, r in copies.items() for _ in range(r.copies))
+    for leaf in {(r.domain, r.lang, r.source) for r in copies.values()}:
+        own = [r for r in copies.values() if (r.domain, r.lang, r.source) == leaf]
+        assert sum(r.n_tokens * r.copies for r in own) <= own[0].alloc
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert sorted(r.doc_id for r in out) == ids(steps[4]) and all(r.round_trip for r in out)
