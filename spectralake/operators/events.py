@@ -32,14 +32,18 @@ def spike_events(samples: DataFrame, z: float, least: int, min_len: int, baselin
 def debounced_onsets(rows: DataFrame, mask: Column, by: list[str], gap: int) -> DataFrame:
     """Rising edges of ``mask`` of which each is at least ``gap`` after the last one taken (greedy, from the left).
 
-    Only the edges, far fewer than the samples, are gathered and folded for each of ``by``.
+    An edge at least ``gap`` after the edge before is always taken, and what comes after does not depend on what came
+    before it: so edges part into crowds there, and only within a crowd are they folded one after another.
     """
-    edges = rows.withColumn("_on", mask).withColumn("_was", F.lag("_on", 1, False).over(W.partitionBy(*by).orderBy("idx"))).where("_on and not _was")
+    order = W.partitionBy(*by).orderBy("idx")
+    edges = rows.withColumn("_on", mask).withColumn("_was", F.lag("_on", 1, False).over(order)).where("_on and not _was")
+    apart = F.coalesce(F.col("idx") - F.lag("idx").over(order) >= gap, F.lit(True)).cast("int")
+    crowds = edges.withColumn("_new", apart).withColumn("_crowd", F.sum("_new").over(order))
     taken = F.aggregate(
         F.array_sort(F.collect_list("idx")), F.array().cast("array<bigint>"),
         lambda got, i: F.when((F.size(got) == 0) | (i - F.element_at(got, -1) >= gap), F.array_append(got, i)).otherwise(got),
     )
-    return edges.groupBy(*by).agg(taken.alias("onset")).select(*by, F.explode("onset").alias("onset"))
+    return crowds.groupBy(*by, "_crowd").agg(taken.alias("onset")).select(*by, F.explode("onset").alias("onset"))
 
 
 def merge_intervals(spans: DataFrame, by: list[str], gap: float = 0) -> DataFrame:
@@ -108,3 +112,98 @@ def avalanches(samples: DataFrame, share: float) -> DataFrame:
 def tail_exponent(found: DataFrame, size: str, least: float) -> DataFrame:
     """Power-law exponent of sizes from ``least`` on: 1 + n / sum(ln(size / least))."""
     return found.where(F.col(size) >= least).groupBy("session_id").agg((1 + F.count("*") / F.nullif(F.sum(F.ln(F.col(size) / least)), F.lit(0.0))).alias("alpha"), F.count("*").alias("n"))
+
+
+def rounded_windows(spans: DataFrame, first: int, last: int, least: int = 1) -> DataFrame:
+    """Intervals clipped to the recording and widened to whole units; those of ``least`` or less go."""
+    start, end = F.floor(F.greatest("start", F.lit(first))), F.ceil(F.least("end", F.lit(last)))
+    return spans.withColumns({"start": start.cast("long"), "end": end.cast("long")}).where(F.col("end") - F.col("start") > least)
+
+
+def prominent_peaks(curve: DataFrame, by: list[str], height: float, prominence: float, distance: int, reach: int) -> DataFrame:
+    """Local maxima of x at least ``height`` high that stand out by ``prominence`` within ``reach`` samples: idx, x, prominence.
+
+    A peak's base on a side is the lowest sample before a higher one or the end of the reach; prominence is over the higher
+    base. Of peaks nearer than ``distance`` only one that no higher (of equal ones, earlier) peak has near it stays.
+    """
+    run = W.partitionBy(*by).orderBy("idx")
+    side = lambda values: F.aggregate(  # noqa: E731  lowest sample before a higher one
+        values, F.struct(F.col("x").alias("low"), F.lit(True).alias("open")),
+        lambda got, v: F.when(got["open"] & (v <= F.col("x")), F.struct(F.least(got["low"], v).alias("low"), F.lit(True).alias("open"))).otherwise(F.struct(got["low"].alias("low"), F.lit(False).alias("open"))),
+    )["low"]
+    rows = curve.withColumns({"_l": F.lag("x").over(run), "_r": F.lead("x").over(run), "_before": F.collect_list("x").over(run.rowsBetween(-reach, -1)), "_after": F.collect_list("x").over(run.rowsBetween(1, reach))})
+    tops = rows.where((F.col("x") > F.col("_l")) & (F.col("x") >= F.col("_r")) & (F.col("x") >= height))
+    tops = tops.withColumn("prominence", F.col("x") - F.greatest(side(F.reverse("_before")), side(F.col("_after")))).where(F.col("prominence") >= prominence)
+    near = W.partitionBy(*by).orderBy("idx").rangeBetween(-(distance - 1), distance - 1)
+    best = F.max(F.struct("x", (-F.col("idx")).alias("i"))).over(near)
+    return tops.withColumn("_best", best).where(F.col("_best.i") == -F.col("idx")).select(*by, "idx", "x", "prominence")
+
+
+def cycle_shape(samples: DataFrame, k: int = 1) -> DataFrame:
+    """Of each cycle (see :func:`cycles`): rise over decay, the peak's sharpness over the samples k away, and the share of the period before its peak."""
+    run = W.partitionBy("session_id", "channel").orderBy("idx")
+    sharp = samples.select("session_id", "channel", F.col("idx").alias("_p"), (F.col("x") - (F.lag("x", k).over(run) + F.lead("x", k).over(run)) / 2).alias("sharpness"))
+    found = cycles(samples).withColumn("_p", F.col("idx") + F.col("rise")).join(sharp, ["session_id", "channel", "_p"], "left")
+    return found.select("session_id", "channel", "idx", (F.col("rise") / F.col("decay")).alias("ratio"), "sharpness", (F.col("rise") / F.col("period")).alias("asymmetry"))
+
+
+def pseudo_onset_band(curve: DataFrame, onsets: DataFrame, n: int, before: int, after: int, reps: int, step: int) -> DataFrame:
+    """Event average of a series (session_id, idx, x) at each tau, with the 2.5 and 97.5 % points of the averages at onsets moved round by rep * step."""
+    from .joins import epochs
+
+    moved = onsets.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("onset", F.pmod(F.col("onset") + F.col("rep") * step, F.lit(n)))
+    means = epochs(curve, moved, before, after).groupBy("rep", "tau").agg(F.avg("x").alias("m"))
+    null = F.when(F.col("rep") > 0, F.col("m"))
+    return means.groupBy("tau").agg(F.max(F.when(F.col("rep") == 0, F.col("m"))).alias("mean"), F.percentile(null, 0.025).alias("low"), F.percentile(null, 0.975).alias("high"))
+
+
+def perturbation(reads: DataFrame, onsets: DataFrame, before: int, after: int) -> DataFrame:
+    """At each line and frame around the onsets: power in dB over the mean before them, trial by trial, and coherence between trials."""
+    from .joins import epochs
+
+    rows = epochs(reads.withColumnRenamed("frame", "idx"), onsets, before, after).withColumn("_p", F.col("re") ** 2 + F.col("im") ** 2)
+    trial = ["session_id", "channel", "f0", "event_id"]
+    base = F.avg(F.when(F.col("tau") < 0, F.col("_p"))).over(W.partitionBy(*trial))
+    phase = F.atan2("im", "re")
+    rows = rows.withColumns({"_db": 10 * F.log10((F.col("_p") + 1e-12) / (base + 1e-12)), "_c": F.cos(phase), "_s": F.sin(phase)})
+    return rows.groupBy("channel", "f0", "tau").agg(F.avg("_db").alias("ersp"), F.sqrt(F.avg("_c") ** 2 + F.avg("_s") ** 2).alias("itc"), F.count("*").alias("n"))
+
+
+def event_records(r: DataFrame, active: DataFrame, windows: DataFrame, level: float = 0.6) -> DataFrame:
+    """One row for each session and window: duration, largest synchrony, where it rises most (t0), peak, its time and area of the activity.
+
+    ``r`` has (session_id, t, r), ``active`` (session_id, t, activity). t0 is where r grows most among times with r of at least
+    ``level``; if there are none, among all.
+    """
+    from .joins import in_windows
+
+    step = F.col("r") - F.lag("r").over(W.partitionBy("session_id").orderBy("t"))
+    keys = ["session_id", "state", "window_id"]
+    high = F.col("r") >= level
+    best = F.min_by("t", F.struct(F.when(high, 0).otherwise(1), -F.round(F.coalesce("_d", F.lit(0.0)), 9), "t"))
+    sync = in_windows(r.withColumn("_d", step), windows).groupBy(*keys, "t0", "t1").agg(F.max("r").alias("max_r"), best.alias("onset"))
+    power = in_windows(active, windows).groupBy(*keys).agg(F.max("activity").alias("peak"), F.min_by("t", F.struct(-F.round("activity", 9), F.col("t"))).alias("peak_t"), F.sum("activity").alias("area"))
+    return sync.join(power, keys).select(*keys, (F.col("t1") - F.col("t0")).alias("duration"), "max_r", "onset", "peak", "peak_t", "area")
+
+
+def event_type(z, stack, overtone, peaks, f0: float):
+    """The label of an event by its line z, stack index, strongest overtone's frequency and number of peaks (columns)."""
+    return (
+        F.when((z >= 3) & (stack >= 0.2), "fundamental-led").when((z < 2) & ((stack >= 0.5) | (overtone >= 6 * f0 - 1)), "overtone-led")
+        .when(peaks >= 2, "two-phase").otherwise("fundamental-led")
+    )
+
+
+def phase_at_onset(phases: DataFrame, onsets: DataFrame, bins: int) -> DataFrame:
+    """Trials by the phase that a channel has at their onset: number and mean amplitude in each bin of the circle."""
+    import math
+
+    at = phases.join(onsets.select("session_id", "event_id", F.col("onset").alias("idx")), ["session_id", "idx"])
+    b = F.least(F.floor((F.col("phase") + math.pi) / (2 * math.pi) * bins), F.lit(bins - 1))
+    return at.groupBy("channel", b.cast("int").alias("bin")).agg(F.count("*").alias("trials"), F.avg("amp").alias("amp"))
+
+
+def latency_summary(latency: DataFrame, roi_of, within: int) -> DataFrame:
+    """For each session and region (``roi_of``: a column of channel): first latency, spread (median less first) and the share of channels within ``within``."""
+    own = latency.withColumn("roi", roi_of)
+    return own.groupBy("session_id", "roi").agg(F.min("latency").alias("first"), (F.percentile("latency", 0.5) - F.min("latency")).alias("spread"), F.avg((F.col("latency") <= within).cast("int")).alias("synchronised"))

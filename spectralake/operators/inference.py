@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import kernels
+
 
 def circular_shift(rows: DataFrame, n: int, reps: int, step: int) -> DataFrame:
     """Each row once for every rep, its idx moved round by rep * step within n."""
@@ -15,7 +19,11 @@ def circular_shift(rows: DataFrame, n: int, reps: int, step: int) -> DataFrame:
 
 
 def against_null(observed: DataFrame, null: DataFrame, by: list[str], value: str) -> DataFrame:
-    """p = (nulls at or above the value + 1) / (nulls + 1), the nulls' 95 % point, and z against them."""
+    """p = (nulls at or above the value + 1) / (nulls + 1), the nulls' 95 % point, and z against them.
+
+    Values count as equal when they are so to nine places: a null that is the observed value is at it, however it was summed.
+    """
+    observed, null = (x.withColumn(value, F.round(value, 9)) for x in (observed, null))
     both = null.withColumnRenamed(value, "_null").join(observed, by)
     return both.groupBy(*by).agg(
         F.first(value).alias(value), ((F.count_if(F.col("_null") >= F.col(value)) + 1) / (F.count("_null") + 1)).alias("p"), F.percentile("_null", 0.95).alias("null95"),
@@ -36,7 +44,7 @@ def block_bootstrap(series: DataFrame, by: list[str], n: int, block: int, reps:
     sums = series.withColumn("_c", F.sum("x").over(W.partitionBy(*by).orderBy("idx"))).select(*by, "idx", "_c")
     low = sums.select(*by, (F.col("idx") + 1).alias("_start"), F.col("_c").alias("_lo")).unionByName(sums.select(*by).distinct().withColumns({"_start": F.lit(0).cast("long"), "_lo": F.lit(0.0)}))
     high = sums.select(*by, (F.col("idx") - block + 1).alias("_start"), F.col("_c").alias("_hi"))
-    means = low.join(high, [*by, "_start"]).join(F.broadcast(plan), "_start").groupBy(*by, "rep").agg((F.sum(F.col("_hi") - F.col("_lo")) / (block * pieces)).alias("_m"))
+    means = low.join(high, [*by, "_start"]).join(plan, "_start").groupBy(*by, "rep").agg((F.sum(F.col("_hi") - F.col("_lo")) / (block * pieces)).alias("_m"))
     return means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
 
 
@@ -51,7 +59,7 @@ def circular_block_bootstrap(series: DataFrame, by: list[str], n: int, block: in
     plan = plan.withColumn("idx", F.pmod(F.conv(digest, 16, 10).cast("long"), F.lit(n)))
     wrapped = series.select(*by, "idx", "x").union(series.where(F.col("idx") < block - 1).select(*by, F.col("idx") + n, "x"))
     sums = wrapped.withColumn("_s", F.sum("x").over(W.partitionBy(*by).orderBy("idx").rowsBetween(0, block - 1)))
-    means = sums.join(F.broadcast(plan), "idx").groupBy(*by, "rep").agg((F.sum("_s") / n).alias("_m"))
+    means = sums.join(plan, "idx").groupBy(*by, "rep").agg((F.sum("_s") / n).alias("_m"))
     return means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
 
 
@@ -90,3 +98,79 @@ def time_shuffle(rows: DataFrame, reps: int) -> DataFrame:
     own = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     order = W.partitionBy("session_id", "channel", "rep").orderBy(F.md5(F.concat_ws(":", "rep", "session_id", "channel", "idx")))
     return own.withColumn("idx", F.row_number().over(order).cast("long") - 1)
+
+
+def phase_randomised(samples: DataFrame, reps: int) -> DataFrame:
+    """Each channel once for every rep with its amplitude spectrum and random phases, seeded by (session, channel, rep)."""
+    packed = samples.groupBy("session_id", "channel").agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s"))
+    each = packed.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).select("session_id", "channel", "rep", F.xxhash64("session_id", "channel", "rep").alias("seed"), F.transform("s", lambda v: v["x"]).alias("x"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own in parts:
+            yield own[["session_id", "channel", "rep"]].assign(x=[kernels.phase_randomised(np.asarray(x), seed % (1 << 63)) for x, seed in zip(own["x"], own["seed"], strict=True)])
+
+    found = each.mapInPandas(run, "session_id string, channel string, rep int, x array<double>")
+    return found.select("session_id", "channel", "rep", F.posexplode("x").alias("idx", "x"))
+
+
+def within_cycle_shuffle(samples: DataFrame, starts: DataFrame, reps: int, step: int) -> DataFrame:
+    """Samples moved round within the cycle that holds them, by rep * step; ``starts`` (session_id, channel, idx) begin cycles.
+
+    What comes before the first start stays in a cycle of its own.
+    """
+    keys = ["session_id", "channel"]
+    marked = samples.join(starts.select(*keys, "idx").withColumn("_new", F.lit(1)), [*keys, "idx"], "left")
+    cycle = marked.withColumn("_cycle", F.coalesce(F.sum("_new").over(W.partitionBy(*keys).orderBy("idx")), F.lit(0)))
+    own = W.partitionBy(*keys, "_cycle")
+    placed = cycle.withColumns({"_a": F.min("idx").over(own), "_n": F.count("*").over(own)})
+    return placed.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).select(*keys, "rep", (F.col("_a") + F.pmod(F.col("idx") - F.col("_a") + F.col("rep") * step, F.col("_n"))).alias("idx"), "x")
+
+
+def max_of_resampled(series: DataFrame, by: list[str], n: int, block: int, reps: int) -> DataFrame:
+    """95 % point of the largest value of a trace built of n // block random blocks of itself (circular), over ``reps``."""
+    spark = series.sparkSession
+    plan = spark.range(1, reps + 1).select(F.col("id").alias("rep")).crossJoin(spark.range(n // block).select(F.col("id").alias("b")))
+    plan = plan.withColumn("idx", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "b")), 1, 12), 16, 10).cast("long"), F.lit(n)))
+    wrapped = series.select(*by, "idx", "x").union(series.where(F.col("idx") < block - 1).select(*by, F.col("idx") + n, "x"))
+    top = wrapped.withColumn("_m", F.max("x").over(W.partitionBy(*by).orderBy("idx").rowsBetween(0, block - 1)))
+    return top.join(plan, "idx").groupBy(*by, "rep").agg(F.max("_m").alias("_m")).groupBy(*by).agg(F.percentile("_m", 0.95).alias("threshold"))
+
+
+def control_windows(baseline: DataFrame, length: int, reps: int) -> DataFrame:
+    """Mean of x in ``reps`` windows of ``length`` samples drawn from each session and channel's baseline.
+
+    A window begins at the baseline sample whose number is a digest of session and rep, mod the places there are.
+    """
+    keys = ["session_id", "channel"]
+    rows = baseline.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy("idx")) - 1).withColumn("_n", F.count("*").over(W.partitionBy(*keys)))
+    rows = rows.where(F.col("_n") >= length).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "session_id", "rep")), 1, 12), 16, 10).cast("long"), F.col("_n") - length + 1)
+    return rows.where((F.col("_k") >= start) & (F.col("_k") < start + length)).groupBy(*keys, "rep").agg(F.avg("x").alias("mean"))
+
+
+def sign_flip_clusters(trials: DataFrame, reps: int, share: float = 0.95) -> DataFrame:
+    """Clusters of the mean curve of ``trials`` (trial, tau, x) above the pointwise ``share`` point of its sign-flipped means.
+
+    A cluster is a run of such tau; its mass, the sum of the means, is held against the largest mass of each flipped curve.
+    Rep 0 is the curve itself. Returns start, end (exclusive), mass, p and significant.
+    """
+    sign = F.when((F.col("rep") == 0) | (F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "trial")), 1, 1), 16, 10).cast("int") < 8), 1.0).otherwise(-1.0)
+    curves = trials.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).groupBy("rep", "tau").agg(F.avg(sign * F.col("x")).alias("m"))
+    limit = curves.where("rep > 0").groupBy("tau").agg(F.percentile("m", share).alias("_t"))
+    above = curves.join(limit, "tau").where(F.round(F.col("m") - F.col("_t"), 9) > 0)
+    above = above.withColumn("_run", F.col("tau") - F.row_number().over(W.partitionBy("rep").orderBy("tau")))
+    mass = above.groupBy("rep", "_run").agg(F.min("tau").alias("start"), (F.max("tau") + 1).alias("end"), F.sum("m").alias("mass"))
+    every = trials.sparkSession.range(1, reps + 1).select(F.col("id").alias("rep"))
+    null = every.join(mass.where("rep > 0").groupBy("rep").agg(F.max("mass").alias("top")), "rep", "left").select("rep", F.coalesce("top", F.lit(0.0)).alias("top"))
+    own = mass.where("rep = 0").select("start", "end", "mass")
+    counts = own.crossJoin(null).groupBy("start", "end", "mass").agg(((F.count_if(F.round(F.col("top") - F.col("mass"), 9) >= 0) + 1) / (F.count("*") + 1)).alias("p"))
+    return counts.withColumn("significant", F.col("p") <= 1 - share + 1e-9)
+
+
+def stacked(tables: dict[str, DataFrame]) -> DataFrame:
+    """Result tables one under another with their name as ``metric``; columns that a table lacks are null."""
+    parts = [df.withColumn("metric", F.lit(name)) for name, df in tables.items()]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out

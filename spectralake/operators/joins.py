@@ -7,24 +7,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _with_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """``rows`` with ``_w``, the windows of their session in one array, or all of them where windows name no session.
+
+    A row stays a row. Windows of a session are few; whether their table is broadcast is left to its measured size.
+    Windows without a session are a parameter of the query, and one row.
+    """
+    fields = [c for c in windows.columns if c != "session_id"]
+    packed = F.array_sort(F.collect_list(F.struct("t0", "t1", *[c for c in fields if c not in ("t0", "t1")]))).alias("_w")
+    if "session_id" in windows.columns:
+        return rows.join(windows.groupBy("session_id").agg(packed), "session_id", "left")
+    return rows.crossJoin(windows.agg(packed))
+
+
+def _holding():
+    return F.filter("_w", lambda w: (F.col("t") >= w["t0"]) & (F.col("t") < w["t1"]))
+
+
 def in_windows(samples: DataFrame, windows: DataFrame, min_sec: float = 0.0) -> DataFrame:
     """Samples with each window (state, window_id, t0, t1) that holds them, t0 <= t < t1; shorter windows are left out."""
-    w = windows.where(F.col("t1") - F.col("t0") >= min_sec)
-    return samples.join(F.broadcast(w), (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")) & (samples["session_id"] == w["session_id"] if "session_id" in w.columns else F.lit(True))).drop(w["session_id"] if "session_id" in w.columns else "_")
+    names = [c for c in windows.columns if c != "session_id"]
+    found = _with_windows(samples, windows.where(F.col("t1") - F.col("t0") >= min_sec))
+    return found.withColumn("_h", F.explode(_holding())).select(*samples.columns, *[F.col(f"_h.{c}").alias(c) for c in names])
 
 
 def outside_windows(samples: DataFrame, windows: DataFrame) -> DataFrame:
-    """Samples in no window: the baseline."""
-    return samples.join(F.broadcast(windows), (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")), "left_anti")
+    """Samples in no window of their session: the baseline."""
+    return _with_windows(samples, windows).where(F.size(F.coalesce(_holding(), F.array())) == 0).select(*samples.columns)
 
 
 def label_state(rows: DataFrame, windows: DataFrame, order: list[str], other: str = "other") -> DataFrame:
-    """Adds state: of the windows that hold t, the state that comes first in ``order``; else ``other``."""
+    """Adds state: of the windows of the row's session that hold t, the state that comes first in ``order``; else ``other``."""
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("state"))
-    spans = windows.withColumn("_rank", rank).select("state", "_rank", "t0", "t1").alias("w")
-    keys = rows.columns
-    found = rows.join(F.broadcast(spans), (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")), "left")
-    return found.groupBy(*keys).agg(F.coalesce(F.min_by("state", "_rank"), F.lit(other)).alias("state"))
+    spans = windows.withColumn("_rank", rank).where("_rank > 0")
+    first = F.array_min(F.transform(_holding(), lambda w: F.struct(w["_rank"].alias("rank"), w["state"].alias("state"))))["state"]
+    return _with_windows(rows, spans).withColumn("state", F.coalesce(first, F.lit(other))).drop("_w")
 
 
 def align(series: DataFrame, times: DataFrame, by: list[str]) -> DataFrame:
@@ -45,9 +62,25 @@ def nearest_bin(spectra: DataFrame, lines: DataFrame, by: list[str]) -> DataFram
 
 
 def epochs(samples: DataFrame, onsets: DataFrame, before: int, after: int) -> DataFrame:
-    """Samples from ``before`` samples ahead of each onset (event_id, onset) to ``after`` behind it; adds tau; edges are cut."""
-    o = F.broadcast(onsets)
-    return samples.join(o, (samples["session_id"] == onsets["session_id"]) & (F.col("idx") >= F.col("onset") - before) & (F.col("idx") <= F.col("onset") + after)).drop(onsets["session_id"]).withColumn("tau", F.col("idx") - F.col("onset"))
+    """Samples from ``before`` samples ahead of each onset (event_id, onset) to ``after`` behind it; adds tau; edges are cut.
+
+    Both sides meet by session and stretch of time, so a sample sees only the onsets near it.
+    """
+    stretch = before + after + 1
+    spread = F.explode(F.sequence(F.floor((F.col("onset") - before) / stretch), F.floor((F.col("onset") + after) / stretch)))
+    near = onsets.withColumn("_s", spread)
+    found = samples.withColumn("_s", F.floor(F.col("idx") / stretch)).join(near, ["session_id", "_s"])
+    return found.where(F.col("idx").between(F.col("onset") - before, F.col("onset") + after)).drop("_s").withColumn("tau", F.col("idx") - F.col("onset"))
+
+
+def reflected_epochs(samples: DataFrame, onsets: DataFrame, before: int, after: int) -> DataFrame:
+    """As :func:`epochs`, but whole at the edges: what lies outside the recording is its mirror image (session_id, channel, event_id, tau, x)."""
+    ends = samples.groupBy("session_id").agg(F.min("idx").alias("_a"), F.max("idx").alias("_b"))
+    wanted = onsets.join(ends, "session_id").withColumn("tau", F.explode(F.sequence(F.lit(-before), F.lit(after))))
+    at = F.col("onset") + F.col("tau")
+    mirror = F.when(at < F.col("_a"), 2 * F.col("_a") - at).when(at > F.col("_b"), 2 * F.col("_b") - at).otherwise(at)
+    wanted = wanted.select("session_id", "event_id", "tau", mirror.alias("idx"))
+    return samples.select("session_id", "channel", "idx", "x").join(wanted, ["session_id", "idx"]).select("session_id", "channel", "event_id", "tau", "x")
 
 
 def channel_pairs(samples: DataFrame, value: str = "x", by: tuple[str, ...] = ("session_id", "idx")) -> DataFrame:
