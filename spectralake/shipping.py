@@ -9,8 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Adds this package's source to the session's Python files, once for each Spark context."""
+    """Adds this package's source to the session's Python files, once for each Spark context, and bounds Arrow batches.
+
+    Batches of rows to Python workers are bounded by bytes, since texts may be long, unless the session has its own bound.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
     sc = spark.sparkContext
     if getattr(sc, "_spectralake_shipped", False):
         return

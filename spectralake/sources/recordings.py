@@ -14,8 +14,9 @@ SECOND_DEVICE = {"timestamps": "Timestamp", "eeg_1": "EEG.AF7", "eeg_2": "EEG.AF
 
 
 def session_of_file() -> Column:
-    """A session is named after its file."""
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.csv)?$", 1)
+    """A session is named after its folder (session_id=..), if that names one, else after its file."""
+    path = F.col("_metadata.file_path")
+    return F.coalesce(F.nullif(F.regexp_extract(path, r"/session_id=([^/]+)/", 1), F.lit("")), F.regexp_extract(path, r"([^/]+?)(?:\.csv)?$", 1))
 
 
 def read_headset_csv(spark: SparkSession, path: str, channels: list[str]) -> DataFrame:
@@ -24,20 +25,28 @@ def read_headset_csv(spark: SparkSession, path: str, channels: list[str]) -> Dat
     The header's place of every column may differ from file to file, so each file's own header is joined to
     its lines. Returns session_id, Timestamp and a column for each of ``channels`` (null where absent).
     """
+    lines, value = _lines_with_header(spark, path, "Timestamp")
+    return lines.select("session_id", value("Timestamp").alias("Timestamp"), *[value(f"EEG.{c}").alias(f"EEG.{c}") for c in channels])
+
+
+def _lines_with_header(spark: SparkSession, path: str, marker: str):
+    """Lines of all files as cells, each with the header of its own file (the line that has ``marker``), and how to read a column by its name."""
     lines = spark.read.text(path).select(session_of_file().alias("session_id"), F.split("value", ",").alias("cells"))
-    is_header = F.array_contains("cells", F.lit("Timestamp"))
+    is_header = F.array_contains("cells", F.lit(marker))
     names = lines.where(is_header).groupBy("session_id").agg(F.first("cells").alias("names"))
     rows = lines.join(names, "session_id").where(~is_header & (F.size("cells") == F.size("names")))
-    value = lambda name: F.when(F.array_contains("names", name), F.try_element_at("cells", F.greatest(F.lit(1), F.array_position("names", F.lit(name))).cast("int")).try_cast("double"))
-    return rows.select("session_id", value("Timestamp").alias("Timestamp"), *[value(f"EEG.{c}").alias(f"EEG.{c}") for c in channels])
+    value = lambda name: F.when(F.array_contains("names", F.lit(name)), F.try_element_at("cells", F.greatest(F.lit(1), F.array_position("names", F.lit(name))).cast("int")).try_cast("double"))
+    return rows, value
 
 
 def read_second_device_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Files with a header on the first line; columns get the first device's names; rows with a null channel go."""
-    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in SECOND_DEVICE])
-    raw = spark.read.schema(schema).option("header", True).csv(path)
-    found = raw.select(session_of_file().alias("session_id"), *SECOND_DEVICE).withColumnsRenamed(SECOND_DEVICE)
-    return found.dropna(subset=[c for c in SECOND_DEVICE.values() if c.startswith("EEG.")])
+    """Files with a header on the first line, read by its names in whatever order and among other columns.
+
+    Columns get the first device's names; rows with a null channel go.
+    """
+    lines, value = _lines_with_header(spark, path, "timestamps")
+    found = lines.select("session_id", *[value(c).alias(name) for c, name in SECOND_DEVICE.items()])
+    return found.dropna(subset=[f"`{c}`" for c in SECOND_DEVICE.values() if c.startswith("EEG.")])
 
 
 def to_long(wide: DataFrame, ids: list[str], prefix: str = "EEG.") -> DataFrame:
@@ -84,10 +93,37 @@ def write_results(df: DataFrame, path: str, kind: str = "parquet", by: str | Non
     (writer.partitionBy(by) if by and by in df.columns else writer).option("header", True).format(kind).save(path)
 
 
-def hourly_events(spark: SparkSession, sf_dir: str, sessions: int = 4) -> DataFrame:
-    """The table events as recordings: users by remainder, event types as channels, counts of 720 hours from 2024-01-01."""
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table events as recordings: counts of each event type (a channel) in each of 720 hours from 2024-01-01.
+
+    Users are dealt into sessions by remainder; there is a session for each 2,500 events, four at least.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts")
+    sessions = max(4, events.count() // 2500)
     hour = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200) / 3600)
     counts = events.groupBy((F.col("user_id") % sessions).cast("string").alias("session_id"), F.col("event_type").alias("channel"), hour.alias("idx")).agg(F.count("*").cast("double").alias("x"))
     grid = spark.range(sessions).select(F.col("id").cast("string").alias("session_id")).crossJoin(events.select(F.col("event_type").alias("channel")).distinct()).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))))
     return grid.join(counts, [*KEYS, "idx"], "left").select(*KEYS, "idx", F.col("idx").cast("double").alias("t"), F.coalesce("x", F.lit(0.0)).alias("x"))
+
+
+def embedding_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table embeddings as recordings: a label is a session, a dimension a channel, vectors in order of vec_id the samples."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id is not null and embedding is not null")
+    order = W.partitionBy("label").orderBy("vec_id")
+    rows = rows.withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
+    return rows.select(F.col("label").cast("string").alias("session_id"), "idx", F.posexplode("embedding").alias("_k", "_x")).select("session_id", F.format_string("d%02d", "_k").alias("channel"), "idx", F.col("idx").cast("double").alias("t"), F.col("_x").cast("double").alias("x"))
+
+
+def daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table lineitem as recordings: a supplier is a session, a return flag with its line status a channel, revenue of each week (1,000 at most, from 1992) that has any a sample."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate", "l_extendedprice", "l_discount")
+    week = F.floor(F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")) / 7)
+    sums = rows.groupBy(F.col("l_suppkey").cast("string").alias("session_id"), F.concat("l_returnflag", "l_linestatus").alias("channel"), week.alias("idx")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("double").alias("x"))
+    return sums.select("session_id", "channel", "idx", F.col("idx").cast("double").alias("t"), "x")
+
+
+def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw table events as irregular recordings: a user is a session, an event type a channel, value at the second of ts."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null and ts is not null")
+    order = W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    return rows.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("channel"), (F.row_number().over(order) - 1).cast("long").alias("idx"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").cast("double").alias("x"))
