@@ -13,6 +13,22 @@ def band_response(n: int, fs: float, lo: float, hi: float, order: int = 4) -> np
         return 1 / (1 + ((w * w - w1 * w2) / ((w2 - w1) * w)) ** (2 * order))
 
 
+def high_response(n: int, fs: float, lo: float, order: int = 2) -> np.ndarray:
+    """Power response of a Butterworth high-pass run forwards and backwards, at the bins of a real FFT of n samples."""
+    w, w1 = (np.tan(np.pi * np.minimum(f, 0.4999 * fs) / fs) for f in (np.fft.rfftfreq(n, 1 / fs), lo))
+    with np.errstate(divide="ignore"):
+        return 1 / (1 + (w1 / w) ** (2 * order))
+
+
+def high_passed(x: np.ndarray, fs: float, lo: float, order: int = 2) -> np.ndarray:
+    """Series without what is slower than ``lo``. Ends are extended by odd reflection."""
+    n = len(x)
+    if n < 2:
+        return np.zeros(n)
+    ext = np.r_[2 * x[0] - x[n - 1 : 0 : -1], x, 2 * x[-1] - x[-2::-1]]
+    return np.fft.irfft(np.fft.rfft(ext - ext.mean()) * high_response(len(ext), fs, lo, order), len(ext))[n - 1 : 2 * n - 1]
+
+
 def analytic_band(x: np.ndarray, fs: float, lo: float, hi: float, order: int = 4) -> np.ndarray:
     """Complex signal of the band: amplitude is its envelope, angle its phase. Ends are extended by odd reflection."""
     n = len(x)

@@ -100,3 +100,42 @@ def virtual_channel(samples: DataFrame, weights: DataFrame) -> DataFrame:
     """One series for each session: the mean of its channels with weights (session_id, channel, w)."""
     own = samples.join(weights, ["session_id", "channel"]).groupBy("session_id", "idx")
     return own.agg((F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("x"))
+
+
+def rolling_robust_z(samples: DataFrame, half: int) -> DataFrame:
+    """(x - median) / (1.4826 MAD + 1e-12) over the up to 2 half + 1 samples around each."""
+    middle = lambda a: (F.element_at(F.array_sort(a), F.floor((F.size(a) + 1) / 2).cast("int")) + F.element_at(F.array_sort(a), F.floor(F.size(a) / 2 + 1).cast("int"))) / 2
+    rows = samples.withColumn("_w", F.collect_list("x").over(_run().rowsBetween(-half, half)))
+    rows = rows.withColumn("_m", middle(F.col("_w"))).withColumn("_d", F.transform("_w", lambda v: F.abs(v - F.col("_m"))))
+    return rows.withColumn("z", (F.col("x") - F.col("_m")) / (1.4826 * middle(F.col("_d")) + 1e-12)).drop("_w", "_m", "_d")
+
+
+def hann_average(samples: DataFrame, half: int) -> DataFrame:
+    """Sum of the up to 2 half + 1 samples around each with Hann weights that sum to 1; what is outside counts as 0."""
+    import math
+
+    raw = [0.5 - 0.5 * math.cos(2 * math.pi * (k + half + 1) / (2 * half + 2)) for k in range(-half, half + 1)]
+    parts = [F.coalesce(F.lead("x", k).over(_run()), F.lit(0.0)) * (w / sum(raw)) for k, w in zip(range(-half, half + 1), raw, strict=True)]
+    return samples.withColumn("x", sum(parts[1:], parts[0]))
+
+
+def orthogonalised(regions: DataFrame) -> DataFrame:
+    """Region series (session_id, roi, idx, x) turned symmetrically so that they share nothing: as near to the old ones as can be.
+
+    Only the regions' inner products, a row for each two, reach the kernel; its weights join back to the samples.
+    """
+    import numpy as np
+    import pandas as pd
+
+    i, j = regions.select("session_id", "idx", F.col("roi").alias("a"), F.col("x").alias("xa")), regions.select("session_id", "idx", F.col("roi").alias("b"), F.col("x").alias("xb"))
+    gram = i.join(j, ["session_id", "idx"]).groupBy("session_id", "a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("g"))
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        m = own.pivot(index="a", columns="b", values="g")
+        values, vectors = np.linalg.eigh(m.to_numpy())
+        root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-12 * values.max()))) @ vectors.T
+        out = pd.DataFrame(root, index=m.index, columns=m.columns).stack().rename("w").reset_index()
+        return out.assign(session_id=own["session_id"].iloc[0])[["session_id", "a", "b", "w"]]
+
+    weights = gram.groupBy("session_id").applyInPandas(run, "session_id string, a string, b string, w double")
+    return j.join(weights, ["session_id", "b"]).groupBy("session_id", F.col("a").alias("roi"), "idx").agg(F.sum(F.col("w") * F.col("xb")).alias("x"))

@@ -80,3 +80,181 @@ def gaussian_information(samples: DataFrame) -> DataFrame:
         return pd.DataFrame([[own["session_id"].iloc[0], *gaussian_measures(cov)]], columns=["session_id", "total", "dual", "o_information"])
 
     return pairs.groupBy("session_id").applyInPandas(run, "session_id string, total double, dual double, o_information double")
+
+
+def _tiles(points: DataFrame, size: int) -> DataFrame:
+    """Points (session_id, channel, idx, point, ..) in tiles: every two blocks of ``size`` points of a series meet in one (i, j),
+    so that no task gets a whole series. ``own`` tells a point's block."""
+    numbered = points.withColumn("own", F.floor((F.row_number().over(W.partitionBy(*KEYS).orderBy("idx")) - 1) / size))
+    count = numbered.groupBy(*KEYS).agg((F.max("own") + 1).alias("_blocks"))
+    spread = numbered.join(count, KEYS).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    return spread.withColumns({"i": F.least("own", "_o"), "j": F.greatest("own", "_o")}).drop("_o", "_blocks")
+
+
+def _sides(own: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return own[own["own"] == own["i"].iloc[0]].sort_values("idx"), own[own["own"] == own["j"].iloc[0]].sort_values("idx")
+
+
+def sample_entropy(samples: DataFrame, scales: list[int], m: int = 2, share: float = 0.2, size: int = 512) -> DataFrame:
+    """-ln(A / B) of each series coarse-grained by each scale: B pairs of m samples in a row within ``share`` sd of each other in all
+    of them, A pairs of m + 1; null where either is 0. Pairs are counted tile by tile."""
+    from .cleaning import coarse_grain
+
+    keyed = [coarse_grain(samples, k).withColumn("channel", F.concat_ws("|", "channel", F.lit(str(k)))) for k in scales]
+    series = keyed[0]
+    for more in keyed[1:]:
+        series = series.unionByName(more)
+    run = W.partitionBy(*KEYS).orderBy("idx")
+    limit = series.groupBy(*KEYS).agg((share * F.stddev_pop("x")).alias("tol"))
+    points = series.withColumn("point", F.array(*[F.lead("x", k).over(run) for k in range(m + 1)])).where(F.get("point", F.lit(m - 1)).isNotNull()).join(limit, KEYS)
+
+    def count(own: pd.DataFrame) -> pd.DataFrame:
+        a, b = _sides(own)
+        x, y = (np.array([[np.nan if v is None else v for v in p] for p in side["point"]]) for side in (a, b))
+        near = np.abs(x[:, None, :] - y[None, :, :]) <= own["tol"].iloc[0]
+        if own["i"].iloc[0] == own["j"].iloc[0]:
+            near &= np.triu(np.ones(near.shape[:2], bool), 1)[:, :, None]
+        return pd.DataFrame([[*own[KEYS].iloc[0], int(near[:, :, :m].all(2).sum()), int(near.all(2).sum())]], columns=[*KEYS, "b", "a"])
+
+    found = _tiles(points.select(*KEYS, "idx", "point", "tol"), size).groupBy(*KEYS, "i", "j").applyInPandas(count, "session_id string, channel string, b long, a long")
+    total = found.groupBy(*KEYS).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    part = F.split("channel", r"\|")
+    return total.select("session_id", part[0].alias("channel"), part[1].cast("int").alias("scale"), F.when((F.col("a") > 0) & (F.col("b") > 0), -F.ln(F.col("a") / F.col("b"))).alias("entropy"))
+
+
+def entropy_area(curve: DataFrame) -> DataFrame:
+    """Area under each entropy curve over its scales (trapezoids), and its value at the middle scale."""
+    run = W.partitionBy(*KEYS).orderBy("scale")
+    rows = curve.withColumns({"_s": F.lead("scale").over(run), "_e": F.lead("entropy").over(run), "_k": F.row_number().over(run), "_n": F.count("*").over(W.partitionBy(*KEYS))})
+    return rows.groupBy(*KEYS).agg(F.sum((F.col("_s") - F.col("scale")) * (F.col("entropy") + F.col("_e")) / 2).alias("area"), F.max(F.when(F.col("_k") == F.floor((F.col("_n") + 1) / 2), F.col("entropy"))).alias("middle"))
+
+
+def nearest(points: DataFrame, k: int, theiler: int = 0, size: int = 512) -> DataFrame:
+    """The k nearest other points of each (Euclidean, more than ``theiler`` apart in idx; of equal ones the earlier): idx, near (d, idx)."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        a, b = _sides(own)
+        out = []
+        for left, right in ((a, b), (b, a)) if own["i"].iloc[0] != own["j"].iloc[0] else ((a, a),):
+            x, y = np.stack(left["point"].to_numpy()), np.stack(right["point"].to_numpy())
+            at, other = left["idx"].to_numpy(), right["idx"].to_numpy()
+            d = np.sqrt(sum((x[:, None, c] - y[None, :, c]) ** 2 for c in range(x.shape[1]))).round(9)
+            d[np.abs(at[:, None] - other[None, :]) <= theiler] = np.inf
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            near = np.take_along_axis(d, order, 1)
+            row, place = np.nonzero(np.isfinite(near))
+            out.append(pd.DataFrame({"idx": at[row], "d": near[row, place], "other": other[order[row, place]]}))
+        return pd.concat(out).assign(session_id=own["session_id"].iloc[0], channel=own["channel"].iloc[0])[[*KEYS, "idx", "d", "other"]]
+
+    found = _tiles(points.select(*KEYS, "idx", "point"), size).groupBy(*KEYS, "i", "j").applyInPandas(run, "session_id string, channel string, idx long, d double, other long")
+    return found.groupBy(*KEYS, "idx").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("near"))
+
+
+def false_neighbours(samples: DataFrame, dims: list[int], delay: int, theiler: int = 10, ratio: float = 15.0) -> DataFrame:
+    """For each dimension m the share of points whose nearest neighbour is false: the next coordinate parts them by more than
+    ``ratio`` times their distance (neighbours at distance 0 are left out), and the least m with a share of 5 % or less, 3 at least."""
+    out = None
+    for m in dims:
+        own = nearest(embed(samples, m, delay), 1, theiler).select(*KEYS, "idx", F.col("near")[0]["d"].alias("d"), F.col("near")[0]["other"].alias("other")).where("d > 0")
+        later = samples.select(*KEYS, (F.col("idx") - m * delay).alias("idx"), F.col("x").alias("_x"))
+        other = later.withColumnsRenamed({"idx": "other", "_x": "_y"})
+        part = own.join(later, [*KEYS, "idx"]).join(other, [*KEYS, "other"]).groupBy(*KEYS).agg(F.avg((F.abs(F.col("_x") - F.col("_y")) / F.col("d") > ratio).cast("int")).alias("share")).withColumn("m", F.lit(m))
+        out = part if out is None else out.unionByName(part)
+    first = F.min(F.when(F.col("share") <= 0.05, F.col("m"))).over(W.partitionBy(*KEYS))
+    return out.withColumn("chosen", F.greatest(F.lit(3), F.coalesce(first, F.lit(max(dims)))))
+
+
+def divergence(samples: DataFrame, m: int, delay: int, theiler: int, most: int) -> DataFrame:
+    """Largest exponent: slope over k of the mean log of how far nearest neighbours are apart k samples on, over their first distance."""
+    points = embed(samples, m, delay)
+    pairs = nearest(points, 1, theiler).select(*KEYS, "idx", F.col("near")[0]["d"].alias("d"), F.col("near")[0]["other"].alias("other")).where("d > 0")
+    on = pairs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most)))).withColumns({"idx": F.col("idx") + F.col("k"), "other": F.col("other") + F.col("k")})
+    a, b = points.select(*KEYS, "idx", F.col("point").alias("_p")), points.select(*KEYS, F.col("idx").alias("other"), F.col("point").alias("_q"))
+    gap = F.sqrt(F.aggregate(F.zip_with("_p", "_q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, v: t + v))
+    rows = on.join(a, [*KEYS, "idx"]).join(b, [*KEYS, "other"]).withColumn("_g", gap).where("_g > 0")
+    curve = rows.groupBy(*KEYS, "k").agg(F.avg(F.ln(F.col("_g") / F.col("d"))).alias("mean"))
+    return curve.groupBy(*KEYS).agg(F.regr_slope("mean", "k").alias("exponent"))
+
+
+def recurrences(points: DataFrame, share: float, size: int = 512) -> DataFrame:
+    """Pairs of points (i < j) nearer than ``share`` of their series' spread (the root of the sum of the coordinates' variances)."""
+    spread = points.select(*KEYS, F.posexplode("point").alias("_k", "_x")).groupBy(*KEYS, "_k").agg(F.var_pop("_x").alias("_v")).groupBy(*KEYS).agg((share * F.sqrt(F.sum("_v"))).alias("eps"))
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        a, b = _sides(own)
+        x, y = np.stack(a["point"].to_numpy()), np.stack(b["point"].to_numpy())
+        near = ((x[:, None, :] - y[None, :, :]) ** 2).sum(2) < own["eps"].iloc[0] ** 2
+        if own["i"].iloc[0] == own["j"].iloc[0]:
+            near = np.triu(near, 1)
+        left, right = np.nonzero(near)
+        out = pd.DataFrame({"i": a["idx"].to_numpy()[left], "j": b["idx"].to_numpy()[right]})
+        return out.assign(session_id=own["session_id"].iloc[0], channel=own["channel"].iloc[0])[[*KEYS, "i", "j"]]
+
+    tiled = _tiles(points.select(*KEYS, "idx", "point").join(spread, KEYS), size)
+    return tiled.groupBy(*KEYS, "i", "j").applyInPandas(run, "session_id string, channel string, i long, j long")
+
+
+def recurrence_measures(pairs: DataFrame, counts: DataFrame, least: int = 2) -> DataFrame:
+    """Of recurrent pairs (i < j): rate (of the n (n - 1) / 2 there are; counts: n), share on diagonals of ``least`` or more (det), longest and
+    mean diagonal and the entropy of their lengths, share on columns (lam) and their mean length (tt). Columns take both halves of the plot."""
+    diagonal = pairs.withColumn("_d", F.col("j") - F.col("i")).withColumn("_run", F.col("i") - F.row_number().over(W.partitionBy(*KEYS, "_d").orderBy("i")))
+    lines = diagonal.groupBy(*KEYS, "_d", "_run").agg(F.count("*").alias("n"))
+    long = F.col("n") >= least
+    both = pairs.union(pairs.select(*KEYS, F.col("j").alias("i"), F.col("i").alias("j")))
+    column = both.withColumn("_run", F.col("j") - F.row_number().over(W.partitionBy(*KEYS, "i").orderBy("j"))).groupBy(*KEYS, "i", "_run").agg(F.count("*").alias("n"))
+    sizes = lines.where(long).groupBy(*KEYS, "n").agg(F.count("*").alias("c")).withColumn("_q", F.col("c") / F.sum("c").over(W.partitionBy(*KEYS)))
+    entropy = sizes.groupBy(*KEYS).agg((-F.sum(F.col("_q") * F.ln("_q"))).alias("hdiag"))
+    a = lines.groupBy(*KEYS).agg(F.sum("n").alias("_all"), F.sum(F.when(long, F.col("n"))).alias("_on"), F.max("n").alias("lmax"), F.avg(F.when(long, F.col("n"))).alias("lmean"))
+    b = column.groupBy(*KEYS).agg(F.sum("n").alias("_call"), F.sum(F.when(long, F.col("n"))).alias("_con"), F.avg(F.when(long, F.col("n"))).alias("tt"))
+    rows = counts.join(a, KEYS).join(b, KEYS).join(entropy, KEYS, "left")
+    return rows.select(*KEYS, (2 * F.col("_all") / (F.col("n") * (F.col("n") - 1))).alias("rate"), (F.coalesce("_on", F.lit(0)) / F.col("_all")).alias("det"), "lmax", "lmean", "hdiag", (F.coalesce("_con", F.lit(0)) / F.col("_call")).alias("lam"), "tt")
+
+
+def correlation_dimension(points: DataFrame, radii: list[float], size: int = 512) -> DataFrame:
+    """Slope of the log of the share of pairs nearer than r on ln r, for r the given shares of a series' spread."""
+    out = None
+    for r in radii:
+        part = recurrences(points, r, size).groupBy(*KEYS).agg(F.count("*").alias("c")).withColumn("r", F.lit(r))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(*KEYS).agg(F.regr_slope(F.ln("c"), F.ln("r")).alias("dimension"))
+
+
+def two_nearest_dimension(points: DataFrame) -> DataFrame:
+    """Intrinsic dimension: one over the mean log of the second nearest distance over the nearest (points with a double at distance 0 go)."""
+    own = nearest(points, 2).where(F.size("near") == 2).select(*KEYS, F.col("near")[0]["d"].alias("a"), F.col("near")[1]["d"].alias("b")).where("a > 0")
+    return own.groupBy(*KEYS).agg((1 / F.nullif(F.avg(F.ln(F.col("b") / F.col("a"))), F.lit(0.0))).alias("dimension"))
+
+
+def histogram_entropy(samples: DataFrame, bins: int) -> DataFrame:
+    """Entropy of the bins² cells between least and largest value that (x, next x) falls in."""
+    run = W.partitionBy(*KEYS).orderBy("idx")
+    ends = samples.groupBy(*KEYS).agg(F.min("x").alias("_a"), F.max("x").alias("_b"))
+    cell = lambda c: F.least(F.floor((F.col(c) - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0)) * bins), F.lit(bins - 1))
+    rows = samples.withColumn("_y", F.lead("x").over(run)).where("_y is not null").join(ends, KEYS)
+    share = rows.groupBy(*KEYS, cell("x").alias("_i"), cell("_y").alias("_j")).agg(F.count("*").alias("_c")).withColumn("_q", F.col("_c") / F.sum("_c").over(W.partitionBy(*KEYS)))
+    return share.groupBy(*KEYS).agg((-F.sum(F.col("_q") * F.ln("_q"))).alias("entropy"))
+
+
+def lempel_ziv(samples: DataFrame, size: int) -> DataFrame:
+    """Number of new phrases (of 1976's parsing) of x above its channel's mean, in each run of ``size`` samples, times log2(size) / size."""
+    mean = samples.groupBy(*KEYS).agg(F.avg("x").alias("_m"))
+    bits = samples.join(mean, KEYS).groupBy(*KEYS, F.floor(F.col("idx") / size).alias("part")).agg(F.array_sort(F.collect_list(F.struct("idx", (F.col("x") > F.col("_m")).cast("int").alias("b")))).alias("s"))
+    text = bits.select(*KEYS, "part", F.concat_ws("", F.transform("s", lambda v: v["b"].cast("string"))).alias("s"))
+
+    def run(parts):
+        for own in parts:
+            yield own[[*KEYS, "part"]].assign(complexity=[phrases(s) * np.log2(max(2, len(s))) / len(s) for s in own["s"]])
+
+    return text.mapInPandas(run, "session_id string, channel string, part long, complexity double")
+
+
+def phrases(s: str) -> int:
+    """Phrases of a string, each the shortest that has not begun before where it stands."""
+    found, start = 0, 0
+    while start < len(s):
+        size = 1
+        while start + size <= len(s) and s.find(s[start : start + size], 0, start + size - 1) >= 0:
+            size += 1
+        found += 1
+        start += size
+    return found

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -117,3 +117,195 @@ def comodulogram(reads: DataFrame, bins: int = 18) -> DataFrame:
     p = reads.select(*at, F.col("f0").alias("f_phase"), F.atan2("im", "re").alias("phase"))
     a = reads.select(*at, F.col("f0").alias("f_amp"), F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("amp"))
     return modulation_index(p.join(a, at).where("f_phase < f_amp"), ["session_id", "channel", "f_phase", "f_amp"], bins)
+
+
+def reference_lag(reads: DataFrame, reference: str) -> DataFrame:
+    """Phase locking of each channel with the reference at each line, mean phase and the lag it stands for."""
+    r = reads.where(F.col("channel") == reference).select("session_id", "frame", "f0", F.atan2("im", "re").alias("_r"))
+    rows = reads.where(F.col("channel") != reference).join(r, ["session_id", "frame", "f0"]).withColumn("_d", F.atan2("im", "re") - F.col("_r"))
+    c, s = F.avg(F.cos("_d")), F.avg(F.sin("_d"))
+    own = rows.groupBy("session_id", "channel", "f0").agg(F.sqrt(c * c + s * s).alias("plv"), F.atan2(s, c).alias("phase"))
+    return own.withColumn("lag", F.col("phase") / (2 * math.pi * F.col("f0")))
+
+
+def shifted(rows: DataFrame, channels: Column, reps: int, time: str = "idx") -> DataFrame:
+    """``rows`` once for each rep from 0 on; for rep > 0 the times of ``channels`` (a condition) are moved round by rep."""
+    count = rows.groupBy("session_id").agg(F.countDistinct(time).alias("_n"))
+    each = rows.join(count, "session_id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+    return each.withColumn(time, F.when(channels, F.pmod(F.col(time) + F.col("rep"), F.col("_n"))).otherwise(F.col(time))).drop("_n")
+
+
+def significance(values: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Of values by rep (0: as observed): the observed one, its p against the others, their 95 % point and z; nine places count."""
+    rows = values.withColumn("_v", F.round(value, 9))
+    own = W.partitionBy(*by)
+    rows = rows.withColumn("_o", F.max(F.when(F.col("rep") == 0, F.col("_v"))).over(own)).where("rep > 0")
+    return rows.groupBy(*by).agg(
+        F.first("_o").alias(value), ((F.count_if(F.col("_v") >= F.col("_o")) + 1) / (F.count("*") + 1)).alias("p"), F.percentile("_v", 0.95).alias("null95"),
+        ((F.first("_o") - F.avg("_v")) / (F.stddev_pop("_v") + 1e-12)).alias("z"),
+    )
+
+
+def locking_with_null(phases: DataFrame, reference: str, orders: list[tuple[int, int]], reps: int) -> DataFrame:
+    """n:m locking with the reference, against that with the reference's times moved round."""
+    grid = F.broadcast(phases.sparkSession.createDataFrame(orders, "n int, m int"))
+    each = shifted(phases, F.col("channel") == reference, reps)
+    r = each.where(F.col("channel") == reference).select("session_id", "rep", "idx", F.col("phase").alias("_r"))
+    d = F.col("n") * F.col("phase") - F.col("m") * F.col("_r")
+    rows = each.where(F.col("channel") != reference).join(r, ["session_id", "rep", "idx"]).crossJoin(grid)
+    keys = ["session_id", "channel", "n", "m"]
+    return significance(rows.groupBy(*keys, "rep").agg(F.sqrt(F.avg(F.cos(d)) ** 2 + F.avg(F.sin(d)) ** 2).alias("plv")), keys, "plv")
+
+
+def cross_order_locking(reads: DataFrame, reference: str, low: float, order: int, half: int) -> DataFrame:
+    """Locking of each channel's phase at order * low with order times the reference's phase at low, over the frames around each (at)."""
+    near = lambda f: F.abs(F.col("f0") - f) < 1e-9
+    r = reads.where((F.col("channel") == reference) & near(low)).select("session_id", "frame", F.atan2("im", "re").alias("_r"))
+    rows = reads.where((F.col("channel") != reference) & near(order * low)).join(r, ["session_id", "frame"])
+    d = F.atan2("im", "re") - order * F.col("_r")
+    rows = rows.withColumn("_d", d).withColumn("at", F.explode(F.sequence(F.col("frame") - half, F.col("frame") + half)))
+    found = rows.groupBy("session_id", "channel", "at").agg(F.sqrt(F.avg(F.cos("_d")) ** 2 + F.avg(F.sin("_d")) ** 2).alias("plv"), F.count("*").alias("_n"))
+    return found.where(F.col("_n") == 2 * half + 1).drop("_n")
+
+
+def metastability_with_null(phases: DataFrame, reps: int) -> DataFrame:
+    """Variance of the synchrony over time, against that with each channel's times moved round by rep times its rank (the first: not)."""
+    rank = F.dense_rank().over(W.partitionBy("session_id").orderBy("channel")) - 1
+    count = phases.groupBy("session_id").agg(F.countDistinct("idx").alias("_n"))
+    each = phases.withColumn("_k", rank).join(count, "session_id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+    each = each.withColumn("idx", F.pmod(F.col("idx") + F.col("rep") * F.col("_k"), F.col("_n")))
+    r = each.groupBy("session_id", "rep", "idx").agg(F.sqrt(F.avg(F.cos("phase")) ** 2 + F.avg(F.sin("phase")) ** 2).alias("r"))
+    return significance(r.groupBy("session_id", "rep").agg(F.var_pop("r").alias("metastability")), ["session_id"], "metastability")
+
+
+def phase_regression(rows: DataFrame, by: list[str]) -> DataFrame:
+    """R² of amp on the sine and cosine of phase, from correlations."""
+    c, s = F.cos("phase"), F.sin("phase")
+    yc, ys, cs = F.corr("amp", c), F.corr("amp", s), F.corr(c, s)
+    return rows.groupBy(*by).agg(((yc * yc + ys * ys - 2 * yc * ys * cs) / (1 - cs * cs)).alias("r2"))
+
+
+def comodulogram_with_null(reads: DataFrame, reps: int, bins: int) -> DataFrame:
+    """Comodulogram cells within and across channels (the phase's and the amplitude's), against amplitudes moved round in time."""
+    p = reads.select("session_id", "frame", F.col("channel").alias("of_phase"), F.col("f0").alias("f_phase"), F.atan2("im", "re").alias("phase"))
+    a = reads.select("session_id", "frame", F.col("channel").alias("of_amp"), F.col("f0").alias("f_amp"), F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("amp"))
+    a = shifted(a, F.lit(True), reps, "frame")
+    keys = ["session_id", "of_phase", "of_amp", "f_phase", "f_amp"]
+    return significance(modulation_index(p.join(a, ["session_id", "frame"]).where("f_phase < f_amp"), [*keys, "rep"], bins), keys, "mi")
+
+
+def best_cell(cells: DataFrame, by: list[str]) -> DataFrame:
+    """The cell with the largest modulation index for each of ``by``."""
+    return cells.groupBy(*by).agg(F.min_by(F.struct("f_phase", "f_amp", "mi", "z"), F.struct(-F.round("mi", 9), "f_phase", "f_amp")).alias("b")).select(*by, "b.*")
+
+
+def sliding_modulation(phases: DataFrame, half: int, bins: int) -> DataFrame:
+    """Modulation index over the 2 half + 1 times around each time (at), where all are there."""
+    count = phases.groupBy("session_id").agg(F.max("idx").alias("_last"))
+    rows = phases.join(count, "session_id").withColumn("at", F.explode(F.sequence(F.col("idx") - half, F.col("idx") + half)))
+    rows = rows.where((F.col("at") >= half) & (F.col("at") <= F.col("_last") - half))
+    return modulation_index(rows, ["session_id", "channel", "at"], bins)
+
+
+def series_lag_scan(series: DataFrame, other: DataFrame, most: int) -> DataFrame:
+    """Correlation of series (session_id, channel, at, v) with other (session_id, at, w) ``lag`` steps before, for each lag up to ``most``."""
+    rows = series.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("_a", F.col("at") - F.col("lag"))
+    return rows.join(other.select("session_id", F.col("at").alias("_a"), "w"), ["session_id", "_a"]).groupBy("session_id", "channel", "lag").agg(F.corr("v", "w").alias("r"))
+
+
+def coupling_around_onsets(phases: DataFrame, onsets: DataFrame, before: int, after: int) -> DataFrame:
+    """Mean vector length of amp on phase over all onsets at each tau, less its mean before them."""
+    from .joins import epochs
+
+    rows = vector_length(epochs(phases, onsets, before, after), ["channel", "tau"])
+    return rows.withColumn("change", F.col("mvl") - F.avg(F.when(F.col("tau") < 0, F.col("mvl"))).over(W.partitionBy("channel")))
+
+
+def order_score(medians: DataFrame, constraints: DataFrame, tolerance: float) -> DataFrame:
+    """Share of the constraints (first, second) that hold by a session's medians (session_id, name, t): first at most ``tolerance`` after second."""
+    a = medians.select("session_id", F.col("name").alias("first"), F.col("t").alias("_a"))
+    b = medians.select("session_id", F.col("name").alias("second"), F.col("t").alias("_b"))
+    both = F.broadcast(constraints).join(a, "first").join(b, ["session_id", "second"])
+    return both.groupBy("session_id").agg(F.count("*").alias("tested"), F.avg((F.col("_a") <= F.col("_b") + tolerance).cast("int")).alias("score"))
+
+
+def circular_statistics(phases: DataFrame, reference: str, bins: int) -> DataFrame:
+    """Of each channel: resultant length, circular correlation with the reference, and the entropy of their joint phase bins over ln bins²."""
+    own = W.partitionBy("session_id", "channel")
+    mean = F.atan2(F.avg(F.sin("phase")).over(own), F.avg(F.cos("phase")).over(own))
+    rows = phases.withColumn("_e", F.sin(F.col("phase") - mean))
+    r = rows.where(F.col("channel") == reference).select("session_id", "idx", F.col("phase").alias("_rp"), F.col("_e").alias("_re"))
+    both = rows.where(F.col("channel") != reference).join(r, ["session_id", "idx"])
+    keys = ["session_id", "channel"]
+    rho = F.avg(F.col("_e") * F.col("_re")) / F.sqrt(F.avg(F.col("_e") ** 2) * F.avg(F.col("_re") ** 2))
+    line = both.groupBy(*keys).agg(F.sqrt(F.avg(F.cos("phase")) ** 2 + F.avg(F.sin("phase")) ** 2).alias("resultant"), rho.alias("rho"))
+    cell = lambda c: F.least(F.floor((F.col(c) + math.pi) / (2 * math.pi) * bins), F.lit(bins - 1))
+    share = both.groupBy(*keys, cell("phase").alias("_i"), cell("_rp").alias("_j")).agg(F.count("*").alias("_c")).withColumn("_q", F.col("_c") / F.sum("_c").over(W.partitionBy(*keys)))
+    return line.join(share.groupBy(*keys).agg((-F.sum(F.col("_q") * F.ln("_q")) / math.log(bins * bins)).alias("joint_entropy")), keys)
+
+
+def lagged_moments(samples: DataFrame, order: int) -> DataFrame:
+    """Sums of products of every two of the series x(channel, t - lag), lags 0 to ``order``, at the times where all are there: a row for
+    each session and pair (ca, la, cb, lb), with the number of times n. The series are taken from their means."""
+    base = samples.groupBy("session_id", "channel").agg(F.avg("x").alias("_m"))
+    centred = samples.join(base, ["session_id", "channel"]).select("session_id", "channel", "idx", (F.col("x") - F.col("_m")).alias("x"))
+    lags = centred.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(order)))).withColumn("idx", F.col("idx") + F.col("lag"))
+    ends = samples.groupBy("session_id").agg((F.min("idx") + order).alias("_a"), F.max("idx").alias("_b"))
+    lags = lags.join(ends, "session_id").where(F.col("idx").between(F.col("_a"), F.col("_b"))).select("session_id", "idx", "channel", "lag", "x")
+    a = lags.select("session_id", "idx", F.col("channel").alias("ca"), F.col("lag").alias("la"), F.col("x").alias("xa"))
+    b = lags.select("session_id", "idx", F.col("channel").alias("cb"), F.col("lag").alias("lb"), F.col("x").alias("xb"))
+    return a.join(b, ["session_id", "idx"]).groupBy("session_id", "ca", "la", "cb", "lb").agg(F.sum(F.col("xa") * F.col("xb")).alias("s"), F.count("*").alias("n"))
+
+
+def granger(samples: DataFrame, order: int) -> DataFrame:
+    """For every ordered pair of channels: F and log-variance gain of the source's past in predicting the target, at the order from 1
+    to ``order`` with the largest F. Only the lagged moments reach the kernel."""
+    import numpy as np
+    import pandas as pd
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(own["ca"].unique())
+        at = {(c, lag): i for i, (c, lag) in enumerate((c, lag) for c in names for lag in range(order + 1))}
+        m = np.zeros((len(at), len(at)))
+        m[[at[k] for k in zip(own["ca"], own["la"], strict=True)], [at[k] for k in zip(own["cb"], own["lb"], strict=True)]] = own["s"]
+        n, out = int(own["n"].max()), []
+
+        def rss(target: int, past: list[int]) -> float:
+            return m[target, target] - m[target, past] @ np.linalg.lstsq(m[np.ix_(past, past)], m[past, target], rcond=None)[0]
+
+        for source in names:
+            for target in names:
+                if source != target:
+                    tried = []
+                    for p in range(1, order + 1):
+                        past = [at[target, k] for k in range(1, p + 1)]
+                        less, full = rss(at[target, 0], past), rss(at[target, 0], past + [at[source, k] for k in range(1, p + 1)])
+                        tried.append((((less - full) / p) / (full / (n - 2 * p)), np.log(less / full), p))
+                    best = max(tried)
+                    out.append((own["session_id"].iloc[0], source, target, best[2], best[0], best[1]))
+        return pd.DataFrame(out, columns=["session_id", "source", "target", "order", "f", "log_gain"])
+
+    return lagged_moments(samples, order).groupBy("session_id").applyInPandas(run, "session_id string, source string, target string, order int, f double, log_gain double")
+
+
+def envelope_coupling(reads: DataFrame) -> DataFrame:
+    """Slope and correlation of each line's amplitude on every line's amplitude one frame before, by channel."""
+    amp = reads.select("session_id", "channel", "frame", "f0", F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("amp"))
+    before = amp.select("session_id", "channel", (F.col("frame") + 1).alias("frame"), F.col("f0").alias("f_from"), F.col("amp").alias("_x"))
+    return amp.join(before, ["session_id", "channel", "frame"]).groupBy("session_id", "channel", "f_from", F.col("f0").alias("f_to")).agg(F.regr_slope("amp", "_x").alias("slope"), F.corr("amp", "_x").alias("r"))
+
+
+def phase_gradient(phases: DataFrame, places: DataFrame, f0: float) -> DataFrame:
+    """At each time, the plane through the channels' phases over their places (channel, px, py): direction and speed of the wave it stands for.
+
+    Phases are taken from their circular mean, the short way round.
+    """
+    at = W.partitionBy("session_id", "idx")
+    mean = F.atan2(F.avg(F.sin("phase")).over(at), F.avg(F.cos("phase")).over(at))
+    d = F.col("phase") - F.col("_m")
+    rows = phases.join(F.broadcast(places), "channel").withColumn("_m", mean).withColumn("_p", F.atan2(F.sin(d), F.cos(d)))
+    xx, yy, xy = F.var_pop("px"), F.var_pop("py"), F.covar_pop("px", "py")
+    px, py = F.covar_pop("px", "_p"), F.covar_pop("py", "_p")
+    det = xx * yy - xy * xy
+    fit = rows.groupBy("session_id", "idx").agg(((px * yy - py * xy) / det).alias("_gx"), ((py * xx - px * xy) / det).alias("_gy"))
+    return fit.select("session_id", "idx", F.atan2("_gy", "_gx").alias("direction"), (2 * math.pi * f0 / (F.sqrt(F.col("_gx") ** 2 + F.col("_gy") ** 2) + 1e-12)).alias("speed"))

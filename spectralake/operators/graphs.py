@@ -61,3 +61,52 @@ def scaled_by_nodes(edges: DataFrame, nodes: DataFrame, by: list[str]) -> DataFr
     """Edges with w times the root of the product of their ends' values (by, channel, v); edges whose ends have none go."""
     i, j = (nodes.select(*by, F.col("channel").alias(c), F.col("v").alias(f"_{c}")) for c in ("ch_i", "ch_j"))
     return edges.join(i, [*by, "ch_i"]).join(j, [*by, "ch_j"]).withColumn("w", F.col("w") * F.sqrt(F.col("_ch_i") * F.col("_ch_j"))).drop("_ch_i", "_ch_j")
+
+
+def shortest_paths(edges: DataFrame, by: list[str], nodes: int) -> DataFrame:
+    """Length of the shortest way between each two nodes of each graph, an edge being 1 / w long: (by, a, b, d).
+
+    Ways of up to 1, 2, 4, .. edges are joined with themselves until they can have nodes - 1; a graph is as small as a session has channels.
+    """
+    e = both_ways(edges.where("w > 0"), by).select(*by, F.col("node").alias("a"), F.col("peer").alias("b"), (1 / F.col("w")).alias("d"))
+    steps = 1
+    while steps < nodes - 1:
+        more = e.join(e.select(*by, F.col("a").alias("b"), F.col("b").alias("c"), F.col("d").alias("d2")), [*by, "b"]).where("a <> c").select(*by, "a", F.col("c").alias("b"), (F.col("d") + F.col("d2")).alias("d"))
+        e = e.union(more).groupBy(*by, "a", "b").agg(F.min("d").alias("d"))
+        steps *= 2
+    return e
+
+
+def path_measures(paths: DataFrame, by: list[str]) -> DataFrame:
+    """Mean length of the shortest ways and global efficiency (mean of one over the length), over connected pairs."""
+    return paths.groupBy(*by).agg(F.avg("d").alias("path_length"), F.avg(1 / F.col("d")).alias("efficiency"))
+
+
+def betweenness(paths: DataFrame, by: list[str]) -> DataFrame:
+    """For each node the share of the pairs of other nodes whose shortest way goes by it (to nine places)."""
+    first, second = paths.select(*by, "a", F.col("b").alias("node"), F.col("d").alias("d1")), paths.select(*by, F.col("a").alias("node"), "b", F.col("d").alias("d2"))
+    via = first.join(second, [*by, "node"]).where("a < b").join(paths, [*by, "a", "b"])
+    return via.groupBy(*by, "node").agg(F.avg((F.abs(F.col("d1") + F.col("d2") - F.col("d")) < 1e-9).cast("int")).alias("betweenness"))
+
+
+def eigenmodes(edges: DataFrame, by: list[str]) -> DataFrame:
+    """Modes of each graph's Laplacian: mode (0 is the smoothest), channel, w, value. A mode's largest entry (of equal ones the first) is above 0."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        nodes = sorted({*own["ch_i"], *own["ch_j"]})
+        at = {c: i for i, c in enumerate(nodes)}
+        w = np.zeros((len(nodes), len(nodes)))
+        for r in own.itertuples():
+            w[at[r.ch_i], at[r.ch_j]] = w[at[r.ch_j], at[r.ch_i]] = r.w
+        values, vectors = np.linalg.eigh(np.diag(w.sum(1)) - w)
+        vectors = vectors * np.sign(vectors[np.abs(vectors).round(9).argmax(0), np.arange(len(nodes))])
+        key = [own[c].iloc[0] for c in by]
+        return pd.DataFrame([(*key, k, c, vectors[i, k], values[k]) for k in range(len(nodes)) for i, c in enumerate(nodes)], columns=[*by, "mode", "channel", "w", "value"])
+
+    return edges.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {dict(edges.dtypes)[c]}" for c in by) + ", mode int, channel string, w double, value double")
+
+
+def mode_shares(modes: DataFrame, maps: DataFrame, by: list[str]) -> DataFrame:
+    """Share of each mode in the power of a map (by, channel, v) of the same graph."""
+    a = modes.join(maps, [*by, "channel"]).groupBy(*by, "mode").agg(F.sum(F.col("w") * F.col("v")).alias("_a"))
+    return a.select(*by, "mode", (F.col("_a") ** 2 / F.nullif(F.sum(F.col("_a") ** 2).over(W.partitionBy(*by)), F.lit(0.0))).alias("share"))

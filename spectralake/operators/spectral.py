@@ -1,16 +1,18 @@
-"""Spectra and line reads. Lines are read by summing windowed cosines and sines in SQL: no sample leaves the JVM."""
+"""Spectra and line reads. Few lines are read by summing windowed cosines and sines in SQL, so no sample leaves the JVM; all bins
+of a frame come from an FFT over blocks of frames."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.kernels import analytic_band
+from ..functions.kernels import analytic_band, high_passed
 from .cleaning import frames
 
 
@@ -29,13 +31,67 @@ def lock_in(framed: DataFrame, lines: DataFrame, win: int, fs: float) -> DataFra
     return sums.where(F.col("n") == win).select("session_id", "channel", "frame", "f0", (F.col("xc") - F.col("m") * F.col("c")).alias("re"), (F.col("m") * F.col("s") - F.col("xs")).alias("im"))
 
 
-def welch(samples: DataFrame, win: int, fs: float) -> DataFrame:
-    """Power density by half-overlapping Hann frames with their mean removed, averaged over frames."""
-    bins = samples.sparkSession.range(win // 2 + 1).select((F.col("id") * fs / win).alias("f0"))
-    read = lock_in(frames(samples, win, win // 2), bins, win, fs)
-    norm = fs * win * 0.375  # fs times the sum of the squared window
-    sided = F.when((F.col("f0") == 0) | (F.col("f0") == fs / 2), 1.0).otherwise(2.0)
-    return read.groupBy("session_id", "channel", F.col("f0").alias("f")).agg(F.avg((F.col("re") ** 2 + F.col("im") ** 2) / norm * sided).alias("p"))
+def _framed_blocks(samples: DataFrame, win: int, step: int, frames_each: int = 64) -> DataFrame:
+    """Samples packed into runs of ``frames_each`` frames, each with all samples its frames need: session_id, channel, block, s (idx, x)."""
+    size = step * frames_each
+    first = F.greatest(F.floor((F.col("idx") - win + step) / size), F.lit(0))
+    spread = samples.withColumn("block", F.explode(F.sequence(F.least(first, F.floor(F.col("idx") / size)), F.floor(F.col("idx") / size))))
+    return spread.groupBy("session_id", "channel", "block").agg(F.collect_list(F.struct("idx", "x")).alias("s"))
+
+
+def _block_frames(s, block: int, win: int, step: int, frames_each: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and samples of the whole frames that begin in a block; frames with a missing sample are left out."""
+    start = block * step * frames_each
+    x = np.full(step * (frames_each - 1) + win, np.nan)
+    at, value = np.array([v["idx"] for v in s]) - start, np.array([v["x"] for v in s], float)
+    inside = (at >= 0) & (at < len(x))
+    x[at[inside]] = value[inside]
+    rows = np.lib.stride_tricks.sliding_window_view(x, win)[::step]
+    whole = ~np.isnan(rows).any(1)
+    return np.flatnonzero(whole) + block * frames_each, rows[whole]
+
+
+def _transformed(rows: np.ndarray) -> np.ndarray:
+    """FFT of frames without their mean, through a periodic Hann window."""
+    win = rows.shape[1]
+    return np.fft.rfft((rows - rows.mean(1, keepdims=True)) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(win) / win)), axis=1)
+
+
+def frame_transform(samples: DataFrame, win: int, step: int, frames_each: int = 64) -> DataFrame:
+    """re and im of every bin k of each whole frame: an FFT kernel over blocks of frames, so no recording is one group."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for row in part.itertuples():
+                number, rows = _block_frames(row.s, row.block, win, step, frames_each)
+                z = _transformed(rows)
+                out += [(row.session_id, row.channel, int(k), a.real, a.imag) for k, a in zip(number, z, strict=True)]
+            yield pd.DataFrame(out, columns=["session_id", "channel", "frame", "re", "im"])
+
+    packed = _framed_blocks(samples, win, step, frames_each).mapInPandas(run, "session_id string, channel string, frame long, re array<double>, im array<double>")
+    return packed.select("session_id", "channel", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("k", "v")).select("session_id", "channel", "frame", "k", "v.re", "v.im")
+
+
+def welch(samples: DataFrame, win: int, fs: float, frames_each: int = 64) -> DataFrame:
+    """Power density by half-overlapping Hann frames with their mean removed, averaged over frames.
+
+    A block of frames gives one row with its summed spectra; only these are summed over blocks.
+    """
+    sided = np.where((np.arange(win // 2 + 1) == 0) | (np.arange(win // 2 + 1) * 2 == win), 1.0, 2.0) / (fs * win * 0.375)  # fs times the sum of the squared window
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for row in part.itertuples():
+                _, rows = _block_frames(row.s, row.block, win, win // 2, frames_each)
+                if len(rows):
+                    out.append((row.session_id, row.channel, len(rows), (np.abs(_transformed(rows)) ** 2).sum(0) * sided))
+            yield pd.DataFrame(out, columns=["session_id", "channel", "n", "p"])
+
+    packed = _framed_blocks(samples, win, win // 2, frames_each).mapInPandas(run, "session_id string, channel string, n long, p array<double>")
+    each = packed.select("session_id", "channel", "n", F.posexplode("p").alias("k", "p"))
+    return each.groupBy("session_id", "channel", (F.col("k") * fs / win).alias("f")).agg((F.sum("p") / F.sum("n")).alias("p"))
 
 
 def band_power(spectra: DataFrame, bands: DataFrame, by: list[str]) -> DataFrame:
@@ -126,6 +182,30 @@ def band_phase(blocks: DataFrame, bands: DataFrame) -> DataFrame:
     return packed.select("session_id", "channel", "band", "start_idx", F.posexplode(F.arrays_zip("amp", "phase")).alias("k", "v")).select("session_id", "channel", "band", (F.col("start_idx") + F.col("k")).alias("idx"), "v.amp", "v.phase")
 
 
+def high_pass(blocks: DataFrame, lo: float) -> DataFrame:
+    """Series of blocks (see :func:`blocks_of`) without what is slower than ``lo``: session_id, channel, idx, x."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for row in part.itertuples():
+                y = high_passed(row.x, row.fs, lo)
+                out.append((row.session_id, row.channel, row.start_idx, y[row.halo_left : len(y) - row.halo_right]))
+            yield pd.DataFrame(out, columns=["session_id", "channel", "start_idx", "y"])
+
+    found = blocks.mapInPandas(run, "session_id string, channel string, start_idx long, y array<double>")
+    return found.select("session_id", "channel", "start_idx", F.posexplode("y").alias("k", "x")).select("session_id", "channel", (F.col("start_idx") + F.col("k")).alias("idx"), "x")
+
+
+def band_decomposition(phases: DataFrame) -> DataFrame:
+    """Of band signals (session_id, channel, band, idx, amp, phase): each sample's value x, power, share of all bands' power and
+    whether x is below its mean."""
+    rows = phases.withColumn("x", F.col("amp") * F.cos("phase")).withColumn("power", F.col("x") ** 2)
+    at, own = W.partitionBy("session_id", "channel", "idx"), W.partitionBy("session_id", "channel", "band")
+    rows = rows.withColumns({"share": F.col("power") / F.nullif(F.sum("power").over(at), F.lit(0.0)), "bin": (F.col("x") < F.avg("x").over(own)).cast("int")})
+    return rows.select("session_id", "channel", "band", "idx", "x", "power", "share", "bin")
+
+
 def blocks_of(samples: DataFrame, size: int, halo: int, fs: float) -> DataFrame:
     """Samples packed into blocks of ``size`` with ``halo`` samples of the neighbours: a recording is never one group."""
     first, last = F.floor((F.col("idx") - halo) / size), F.floor((F.col("idx") + halo) / size)
@@ -143,9 +223,54 @@ def relative_power_table(powers: DataFrame, bands: list[str]) -> DataFrame:
 
 def frame_spectra(samples: DataFrame, win: int, step: int, fs: float, lo: float, hi: float) -> DataFrame:
     """Power of each bin from lo to hi in each whole frame."""
-    bins = samples.sparkSession.range(win // 2 + 1).select((F.col("id") * fs / win).alias("f0")).where(F.col("f0").between(lo, hi))
-    read = lock_in(frames(samples, win, step), bins, win, fs)
-    return read.select("session_id", "channel", "frame", F.col("f0").alias("f"), (F.col("re") ** 2 + F.col("im") ** 2).alias("p"))
+    read = frame_transform(samples, win, step).withColumn("f", F.col("k") * fs / win).where(F.col("f").between(lo, hi))
+    return read.select("session_id", "channel", "frame", "f", (F.col("re") ** 2 + F.col("im") ** 2).alias("p"))
+
+
+def frame_slopes(framed: DataFrame, lo: float, hi: float, excluded: list[tuple[float, float]], least: int) -> DataFrame:
+    """Aperiodic slope (log10 p on log10 f) of each frame between lo and hi, without the excluded bands, where ``least`` bins are left."""
+    keep = F.col("f").between(lo, hi) & (F.col("f") > 0) & (F.col("p") > 0)
+    for a, b in excluded:
+        keep &= ~F.col("f").between(a, b)
+    own = framed.where(keep).groupBy("session_id", "channel", "frame").agg(F.regr_slope(F.log10("p"), F.log10("f")).alias("slope"), F.count("*").alias("_n"))
+    return own.where(F.col("_n") >= least).drop("_n")
+
+
+def line_hits(z: DataFrame, by: list[str], level: float) -> DataFrame:
+    """Lines whose z reaches ``level``, and the harmonicity index: the sum of the positive z."""
+    return z.groupBy(*by).agg(F.count_if(F.round("z", 9) >= level).alias("hits"), F.sum(F.greatest("z", F.lit(0.0))).alias("harmonicity"))
+
+
+def binomial_tail(n: Column, least: Column, p0: float) -> Column:
+    """Chance of ``least`` or more successes in ``n`` draws of chance p0."""
+    term = lambda k: F.factorial(n.cast("int")) / (F.factorial(k.cast("int")) * F.factorial((n - k).cast("int"))) * F.pow(F.lit(p0), k) * F.pow(F.lit(1 - p0), n - k)
+    return F.aggregate(F.sequence(least.cast("int"), n.cast("int")), F.lit(0.0), lambda got, k: got + term(k))
+
+
+def epoch_consistency(z: DataFrame, by: list[str], level: float, p0: float) -> DataFrame:
+    """Of z by epoch: number of epochs, the share with z of at least ``level``, and the one-sided binomial p of as many hits."""
+    own = z.groupBy(*by).agg(F.count("*").alias("epochs"), F.count_if(F.round("z", 9) >= level).alias("_h"))
+    return own.select(*by, "epochs", (F.col("_h") / F.col("epochs")).alias("consistency"), binomial_tail(F.col("epochs"), F.col("_h"), p0).alias("p"))
+
+
+def smoothed_ridge(ridges: DataFrame, half: int) -> DataFrame:
+    """Ridge frequencies by the running median of up to 2 half + 1 frames."""
+    around = W.partitionBy("session_id", "channel").orderBy("frame").rowsBetween(-half, half)
+    return ridges.withColumn("f", F.percentile("f", 0.5).over(around))
+
+
+def ridge_agreement(ridges: DataFrame, reference: str, f0: float, level: float) -> DataFrame:
+    """Of each channel's ridge: mean distance from f0, share of frames with power above ``level``, and correlation with the reference's ridge."""
+    r = ridges.where(F.col("channel") == reference).select("session_id", "frame", F.col("f").alias("_r"))
+    both = ridges.where(F.col("channel") != reference).join(r, ["session_id", "frame"])
+    return both.groupBy("session_id", "channel").agg(F.avg(F.abs(F.col("f") - f0)).alias("alignment"), F.avg((F.col("p") > level).cast("int")).alias("coverage"), F.corr("f", "_r").alias("r"))
+
+
+def largest_overtone(spectra: DataFrame, by: list[str], f0: float, half: float, most: int) -> DataFrame:
+    """The overtone (2 to ``most``) with the largest mean power over that near f0, and that ratio."""
+    near = lambda k: F.avg(F.when(F.abs(F.col("f") - k * f0) <= half, F.col("p")))
+    ratios = F.array_max(F.array(*[F.struct(F.round(near(k) / F.nullif(near(1), F.lit(0.0)), 9).alias("ratio"), F.lit(k).alias("overtone")) for k in range(2, most + 1)]))
+    return spectra.groupBy(*by).agg(ratios.alias("b")).select(*by, "b.overtone", "b.ratio")
 
 
 def ridge(framed: DataFrame) -> DataFrame:

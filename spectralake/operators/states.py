@@ -50,3 +50,181 @@ def occupancy(epoched: DataFrame) -> DataFrame:
     """Share of each label at each tau around the onsets."""
     counts = epoched.groupBy("tau", "label").agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("tau")))
+
+
+def smoothed_labels(labels: DataFrame, least: int) -> DataFrame:
+    """Labels in which runs shorter than ``least`` take the label of the longer run beside them (of equal ones the one before).
+
+    Lengths are those before smoothing; a run without neighbours stays.
+    """
+    order = W.partitionBy("session_id").orderBy("start")
+    own = runs(labels).withColumns({"_l": F.lag("label").over(order), "_ln": F.lag("n").over(order), "_r": F.lead("label").over(order), "_rn": F.lead("n").over(order)})
+    merged = F.when(F.col("n") >= least, F.col("label")).otherwise(F.coalesce(F.when(F.col("_rn").isNull() | (F.col("_ln") >= F.col("_rn")), F.col("_l")), F.col("_r"), F.col("_l"), F.col("label")))
+    return own.withColumn("label", merged).select("session_id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("idx"), "label")
+
+
+def sequence_entropy(metrics: DataFrame) -> DataFrame:
+    """Entropy (bits) of the labels' coverages."""
+    return metrics.groupBy("session_id").agg((-F.sum(F.when(F.col("coverage") > 0, F.col("coverage") * F.log2("coverage")).otherwise(0.0))).alias("entropy"))
+
+
+def explained_variance(maps_at: DataFrame, gfp: DataFrame, fit: DataFrame) -> DataFrame:
+    """Share of the field power that the best map of each time explains: sum of (gfp r)² over sum of gfp²; fit has (session_id, idx, fit)."""
+    rows = fit.join(gfp, ["session_id", "idx"])
+    return rows.agg((F.sum((F.col("gfp") * F.col("fit")) ** 2) / F.sum(F.col("gfp") ** 2)).alias("explained"))
+
+
+def microstate_maps(maps_at: DataFrame, gfp: DataFrame, ks: list[int], seed: int = 1) -> DataFrame:
+    """Maps (k, channel, w, explained) by k-means over all sessions' topographies, for the number of maps in ``ks`` that explains most.
+
+    A map and its negative are one: each topography is first turned so that its first nonzero channel is above 0. Of maps that
+    explain as much (to nine places) the fewer win.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    turned = maps_at.groupBy("session_id", "idx").agg(F.array_sort(F.collect_list(F.struct("channel", "v"))).alias("m"))
+    sign = F.signum(F.coalesce(F.element_at(F.filter("m", lambda c: F.abs(c["v"]) > 1e-9), 1)["v"], F.lit(1.0)))
+    rows = turned.select("session_id", "idx", F.transform("m", lambda c: c["v"] * sign).alias("v")).withColumn("features", array_to_vector("v")).persist()
+    names = [r.channel for r in maps_at.select("channel").distinct().orderBy("channel").collect()]
+    best = None
+    for k in ks:
+        centers = KMeans(k=k, seed=seed, featuresCol="features").fit(rows).clusterCenters()
+        maps = [(i, c, float(w / max(1e-12, sum(v * v for v in center) ** 0.5))) for i, center in enumerate(centers) for c, w in zip(names, center, strict=True)]
+        table = maps_at.sparkSession.createDataFrame(maps, "k int, channel string, w double")
+        explained = explained_variance(maps_at, gfp, backfit(maps_at, table)).first()[0] or 0.0
+        if best is None or round(explained, 9) > round(best[0], 9):
+            best = explained, table
+    rows.unpersist()
+    return best[1].withColumn("explained", F.lit(best[0]))
+
+
+def _vectors(features: DataFrame, names: list[str]):
+    from pyspark.ml.functions import array_to_vector
+
+    return features.withColumn("features", array_to_vector(F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in names])))
+
+
+def standardised(features: DataFrame, names: list[str], by: list[str]) -> DataFrame:
+    """Columns less their mean over their sd within ``by``; null and NaN count as 0 afterwards."""
+    w = W.partitionBy(*by)
+    return features.select(*[c for c in features.columns if c not in names], *[F.coalesce((F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + 1e-12), F.lit(0.0)).alias(c) for c in names])
+
+
+def principal_components(features: DataFrame, names: list[str], k: int) -> DataFrame:
+    """``features`` with ``pc``, its first k principal components over all rows, and ``share``, the variance of each."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+
+    rows = _vectors(features, names)
+    model = PCA(k=k, inputCol="features", outputCol="pc").fit(rows)
+    return model.transform(rows).withColumn("pc", vector_to_array("pc")).withColumn("share", F.array(*[F.lit(float(v)) for v in model.explainedVariance])).drop("features")
+
+
+def mixture_states(features: DataFrame, names: list[str], k: int, seed: int = 1) -> DataFrame:
+    """State of each row by a Gaussian mixture over all rows, and the posterior of that state. States are numbered by their first mean."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import vector_to_array
+
+    rows = _vectors(features, names)
+    model = GaussianMixture(k=k, seed=seed, tol=1e-9, maxIter=300).fit(rows)
+    order = sorted(range(k), key=lambda i: float(model.gaussians[i].mean[0]))
+    number = F.array(*[F.lit(order.index(i)) for i in range(k)])
+    return model.transform(rows).withColumn("state", F.get(number, F.col("prediction"))).withColumn("posterior", F.array_max(vector_to_array("probability"))).drop("features", "probability", "prediction")
+
+
+def connectivity_states(vectors: DataFrame, names: list[str], ks: list[int], seed: int = 1) -> DataFrame:
+    """Rows (features ``names``) by k-means on their first two principal components, for the k in ``ks`` with the best silhouette."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    rows = principal_components(vectors, names, 2).withColumn("features", array_to_vector("pc")).persist()
+    tried = []
+    for k in ks:
+        found = KMeans(k=k, seed=seed).fit(rows).transform(rows)
+        tried.append((ClusteringEvaluator().evaluate(found), -k, found))
+    score, k, found = max(tried, key=lambda t: t[:2])
+    return found.withColumnRenamed("prediction", "state").withColumns({"k": F.lit(-k), "silhouette": F.lit(float(score))}).drop("features")
+
+
+def change_auc(labels: DataFrame, amplitude: DataFrame) -> DataFrame:
+    """How well the amplitude (session_id, idx, amp) tells times before which the label changes from the others: area under the ROC curve, by mean ranks."""
+    order = W.partitionBy("session_id").orderBy("idx")
+    rows = labels.withColumn("_was", F.lag("label").over(order)).where("_was is not null").withColumn("y", (F.col("label") != F.col("_was")).cast("int")).join(amplitude, ["session_id", "idx"])
+    rows = rows.withColumn("amp", F.round("amp", 9))
+    by = W.partitionBy("session_id").orderBy("amp")
+    ranked = rows.withColumn("_r", F.rank().over(by) + (F.count("*").over(W.partitionBy("session_id", "amp")) - 1) / 2)
+    n1, n0 = F.sum("y"), F.sum(1 - F.col("y"))
+    return ranked.groupBy("session_id").agg(((F.sum(F.when(F.col("y") == 1, F.col("_r"))) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0))).alias("auc"), n1.alias("changes"))
+
+
+def change_regression(labels: DataFrame, amplitude: DataFrame) -> DataFrame:
+    """Logistic regression of label changes on the amplitude over all sessions: coefficient, intercept and area under the ROC curve."""
+    from pyspark.ml.classification import LogisticRegression
+
+    order = W.partitionBy("session_id").orderBy("idx")
+    rows = labels.withColumn("_was", F.lag("label").over(order)).where("_was is not null").withColumn("label", (F.col("label") != F.col("_was")).cast("double")).join(amplitude, ["session_id", "idx"])
+    model = LogisticRegression().fit(_vectors(rows.select("label", "amp"), ["amp"]))
+    return labels.sparkSession.createDataFrame([(float(model.coefficients[0]), float(model.intercept), float(model.summary.areaUnderROC))], "coefficient double, intercept double, auc double")
+
+
+def _pair_distances(points: DataFrame, names: list[str], value: str) -> DataFrame:
+    a, b = points.select("session_id", F.col("idx").alias("i"), *[F.col(c).alias(f"a_{c}") for c in names]), points.select("session_id", F.col("idx").alias("j"), *[F.col(c).alias(f"b_{c}") for c in names])
+    d = F.sqrt(sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in names[1:]), (F.col(f"a_{names[0]}") - F.col(f"b_{names[0]}")) ** 2))
+    return a.join(b, "session_id").where("i <> j").select("session_id", "i", "j", F.round(d, 9).alias(value))
+
+
+def neighbourhood_preservation(points: DataFrame, high: list[str], low: list[str], k: int) -> DataFrame:
+    """Trustworthiness and continuity of the columns ``low`` as a picture of the columns ``high``, over the windows of each session."""
+    both = _pair_distances(points, high, "dh").join(_pair_distances(points, low, "dl"), ["session_id", "i", "j"])
+    at = W.partitionBy("session_id", "i")
+    ranked = both.withColumns({"rh": F.row_number().over(at.orderBy("dh", "j")), "rl": F.row_number().over(at.orderBy("dl", "j")), "_n": F.count("*").over(at) + 1})
+    n = F.first("_n")
+    scale = 2 / (n * k * (2 * n - 3 * k - 1))
+    lost = lambda a, b: F.sum(F.when((F.col(a) <= k) & (F.col(b) > k), F.col(b) - k).otherwise(0))
+    return ranked.groupBy("session_id").agg((1 - scale * lost("rl", "rh")).alias("trustworthiness"), (1 - scale * lost("rh", "rl")).alias("continuity"))
+
+
+def silhouette_with_null(points: DataFrame, names: list[str], reps: int) -> DataFrame:
+    """Mean silhouette of ``state`` over the windows (idx 0, 1, ..) of each session, against that with the states moved round by rep."""
+    from .coupling import significance
+
+    count = points.groupBy("session_id").agg(F.count("*").alias("_n"))
+    label = points.join(count, "session_id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).select("session_id", "rep", F.pmod(F.col("idx") + F.col("rep"), F.col("_n")).alias("idx"), "state")
+    pairs = _pair_distances(points, names, "d").join(label.withColumnsRenamed({"idx": "i", "state": "si"}), ["session_id", "i"]).join(label.withColumnsRenamed({"idx": "j", "state": "sj"}), ["session_id", "rep", "j"])
+    mean = pairs.groupBy("session_id", "rep", "i", "si", "sj").agg(F.avg("d").alias("d"))
+    own = mean.groupBy("session_id", "rep", "i").agg(F.max(F.when(F.col("si") == F.col("sj"), F.col("d"))).alias("a"), F.min(F.when(F.col("si") != F.col("sj"), F.col("d"))).alias("b"))
+    score = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), (F.col("b") - F.col("a")) / (F.greatest("a", "b") + 1e-12)).otherwise(0.0)
+    return significance(own.groupBy("session_id", "rep").agg(F.avg(score).alias("silhouette")), ["session_id"], "silhouette")
+
+
+def spatial_mode(reads: DataFrame) -> DataFrame:
+    """Of the channels' covariance at each line (real part, over frames): share of the first component, and how far it is in phase everywhere."""
+    import numpy as np
+    import pandas as pd
+
+    at = ["session_id", "f0", "frame"]
+    i, j = (reads.select(*at, F.col("channel").alias(f"c{k}"), F.col("re").alias(f"re{k}"), F.col("im").alias(f"im{k}")) for k in "ij")
+    gram = i.join(j, at).groupBy("session_id", "f0", "ci", "cj").agg(F.avg(F.col("rei") * F.col("rej") + F.col("imi") * F.col("imj")).alias("g"))
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        values, vectors = np.linalg.eigh(own.pivot(index="ci", columns="cj", values="g").to_numpy())
+        w = vectors[:, -1]
+        return pd.DataFrame([[*own[["session_id", "f0"]].iloc[0], values[-1] / (values.sum() + 1e-12), abs(w.sum()) / np.sqrt(len(w))]], columns=["session_id", "f0", "share", "in_phase"])
+
+    return gram.groupBy("session_id", "f0").applyInPandas(run, "session_id string, f0 double, share double, in_phase double")
+
+
+def occupancy_boost(labels: DataFrame, onsets: DataFrame, n: int, span: int, reps: int, step: int) -> DataFrame:
+    """Share of each label within ``span`` of the onsets over its share everywhere, against onsets moved round by rep * step."""
+    from .coupling import significance
+    from .joins import epochs
+
+    moved = onsets.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("onset", F.pmod(F.col("onset") + F.col("rep") * step, F.lit(n)))
+    near = epochs(labels, moved, span, span)
+    every = labels.groupBy("label").agg((F.count("*") / labels.count()).alias("_all"))
+    total = near.groupBy("rep").agg(F.count("*").alias("_t"))
+    grid = every.crossJoin(total)
+    found = grid.join(near.groupBy("rep", "label").agg(F.count("*").alias("_c")), ["rep", "label"], "left")
+    return significance(found.select("rep", "label", (F.coalesce("_c", F.lit(0)) / F.col("_t") / F.col("_all")).alias("boost")), ["label"], "boost")
