@@ -1,7 +1,7 @@
 """Registered queries over the driver's tables read as recordings, and the SQL that says the same.
 
-The recordings are hourly counts of ``events`` (four sessions, an event type a channel, 720 hours); phases and
-amplitudes are line reads of two-day frames, a frame being a step of time.
+The recordings are hourly counts of ``events`` (a session for each 2,500 events, an event type a channel, 720 hours);
+phases and amplitudes are line reads of two-day frames, a frame being a step of time.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ BANDS = [("slow", 0.02, 0.1), ("mid", 0.1, 0.25), ("fast", 0.25, 0.5)]
 REGIONS = [("front", "view"), ("front", "click"), ("back", "purchase"), ("back", "signup"), ("back", "error")]
 BASIS = [(0, "view", 0.5), (0, "click", 0.5), (1, "view", 0.7), (1, "purchase", -0.7), (2, "error", 1.0)]
 
-SAMPLES = """c AS (SELECT (user_id % 4)::VARCHAR AS session_id, event_type AS channel, floor((floor(epoch(ts)) - 1704067200) / 3600)::BIGINT AS idx, count(*)::DOUBLE AS x FROM events GROUP BY ALL),
- samples AS (SELECT g.session_id, g.channel, g.idx, g.idx::DOUBLE AS t, coalesce(c.x, 0) AS x FROM (SELECT s::VARCHAR AS session_id, channel, idx FROM range(4) a(s), (SELECT DISTINCT event_type AS channel FROM events), range(720) b(idx)) g LEFT JOIN c USING (session_id, channel, idx)),
+SAMPLES = """ns AS (SELECT greatest(4, count(*) // 2500) AS k FROM events), c AS (SELECT (user_id % (SELECT k FROM ns))::VARCHAR AS session_id, event_type AS channel, floor((floor(epoch(ts)) - 1704067200) / 3600)::BIGINT AS idx, count(*)::DOUBLE AS x FROM events GROUP BY ALL),
+ samples AS (SELECT g.session_id, g.channel, g.idx, g.idx::DOUBLE AS t, coalesce(c.x, 0) AS x FROM (SELECT s::VARCHAR AS session_id, channel, idx FROM (SELECT unnest(range(k)) AS s FROM ns), (SELECT DISTINCT event_type AS channel FROM events), range(720) b(idx)) g LEFT JOIN c USING (session_id, channel, idx)),
  windows(state, window_id, t0, t1) AS (VALUES ('event', 0, 240.0, 288.0), ('event', 1, 480.0, 528.0), ('rebound', 2, 288.0, 336.0)),
  lines AS (SELECT unnest([1.0::DOUBLE / 24, 1.0::DOUBLE / 12]) AS f0), bands(band, f_lo, f_hi) AS (VALUES ('slow', 0.02, 0.1), ('mid', 0.1, 0.25), ('fast', 0.25, 0.5)),
  regions(roi, channel) AS (VALUES ('front', 'view'), ('front', 'click'), ('back', 'purchase'), ('back', 'signup'), ('back', 'error')),
@@ -56,12 +56,12 @@ SPECTRA = f"""{SAMPLES}, rs AS ({_reads('(SELECT k / 48.0 AS f0 FROM range(25) q
  spectra AS (SELECT session_id, channel, f0 AS f, avg((re * re + im * im) / (48 * 0.375) * CASE WHEN f0 IN (0, 0.5) THEN 1 ELSE 2 END) AS p FROM rs GROUP BY ALL)"""
 
 
-def query(sql: str | None = None, base: str = SAMPLES, places: int = 6):
+def query(sql: str | None = None, base: str = SAMPLES, places: int = 6, source=src.hourly_events):
     """Registers a query of (spark, samples) with its SQL; doubles are rounded here, and in the SQL as r{...}."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            out = f(spark, src.hourly_events(spark, sf_dir))
+            out = f(spark, source(spark, sf_dir))
             # Adding 0 makes a negative zero a plain one.
             return out.select(*[(F.round(F.col(c), places) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes])
 
@@ -202,12 +202,12 @@ def j5_nearest_bin(spark, s):
 
 @query("""SELECT session_id, channel, event_id, tau, r{x} AS x FROM (SELECT s.session_id, s.channel, o.event_id, s.idx - o.onset AS tau, x FROM samples s JOIN (VALUES (1, 100), (2, 300), (3, 715)) o(event_id, onset) ON s.idx BETWEEN o.onset - 6 AND o.onset + 12)""")
 def j6_epochs(spark, s):
-    return jn.epochs(s, _onsets(spark), 6, 12).select("session_id", "channel", "event_id", "tau", "x")
+    return jn.epochs(s, _onsets(s), 6, 12).select("session_id", "channel", "event_id", "tau", "x")
 
 
-def _onsets(spark):
-    rows = [(str(k), i, o) for k in range(4) for i, o in ((1, 100), (2, 300), (3, 715))]
-    return spark.createDataFrame(rows, "session_id string, event_id int, onset long")
+def _onsets(s, onsets=((1, 100), (2, 300), (3, 715))):
+    """The same onsets (event_id, onset) in every session."""
+    return s.select("session_id").distinct().crossJoin(s.sparkSession.createDataFrame(onsets, "event_id int, onset long"))
 
 
 @query("SELECT a.session_id, a.channel AS ch_i, b.channel AS ch_j, r{covar_pop(a.x, b.x)} AS cov, r{corr(a.x, b.x)} AS r FROM samples a JOIN samples b ON a.session_id = b.session_id AND a.idx = b.idx AND a.channel < b.channel GROUP BY ALL")
@@ -355,7 +355,7 @@ def e8_activity(spark, s):
 
 @query("""SELECT s.channel, s.idx - o.onset AS tau, r{avg(x)} AS mean, r{stddev_samp(x) / sqrt(count(x))} AS sem, count(x) AS n FROM samples s JOIN (VALUES (1, 100), (2, 300), (3, 715)) o(event_id, onset) ON s.idx BETWEEN o.onset - 6 AND o.onset + 12 GROUP BY ALL""")
 def e14_event_average(spark, s):
-    return ev.event_average(jn.epochs(s, _onsets(spark), 6, 12), ["channel"])
+    return ev.event_average(jn.epochs(s, _onsets(s), 6, 12), ["channel"])
 
 
 @query(""", k AS (SELECT session_id, channel, idx, x, CASE WHEN x > l AND x >= r THEN 'p' WHEN x < l AND x <= r THEN 't' END AS k FROM (SELECT *, lag(x) OVER w AS l, lead(x) OVER w AS r FROM samples WINDOW w AS (PARTITION BY session_id, channel ORDER BY idx))),
@@ -462,8 +462,8 @@ def i1_circular_shift(spark, s):
     return inf.circular_shift(s, 720, 3, 37).select("session_id", "channel", "rep", "idx", "x")
 
 
-@query(""", o AS (SELECT a.session_id, a.channel, corr(a.x, b.x) AS r FROM samples a JOIN samples b ON a.session_id = b.session_id AND a.idx = b.idx WHERE b.channel = 'view' AND a.channel <> 'view' GROUP BY ALL),
- n AS (SELECT a.session_id, a.channel, rep, corr(a.x, b.x) AS v FROM samples a, range(1, 20) q(rep), samples b WHERE a.session_id = b.session_id AND (a.idx + rep * 37) % 720 = b.idx AND b.channel = 'view' AND a.channel <> 'view' GROUP BY ALL)
+@query(""", o AS (SELECT a.session_id, a.channel, round(corr(a.x, b.x), 9) AS r FROM samples a JOIN samples b ON a.session_id = b.session_id AND a.idx = b.idx WHERE b.channel = 'view' AND a.channel <> 'view' GROUP BY ALL),
+ n AS (SELECT a.session_id, a.channel, rep, round(corr(a.x, b.x), 9) AS v FROM samples a, range(1, 20) q(rep), samples b WHERE a.session_id = b.session_id AND (a.idx + rep * 37) % 720 = b.idx AND b.channel = 'view' AND a.channel <> 'view' GROUP BY ALL)
  SELECT session_id, channel, r{any_value(r)} AS r, r{(count(*) FILTER (v >= r) + 1) / (count(*) + 1)} AS p, r{quantile_cont(v, 0.95)} AS null95, r{(any_value(r) - avg(v)) / (stddev_pop(v) + 1e-12)} AS z FROM o JOIN n USING (session_id, channel) GROUP BY ALL""")
 def i9_metric_against_surrogates(spark, s):
     reference = s.where(F.col("channel") == REFERENCE).select("session_id", "idx", F.col("x").alias("_r"))
@@ -501,8 +501,7 @@ def i2_time_shuffle_full(spark, s):
  SELECT session_id, channel, r{any_value(r)} AS r, r{(count(*) FILTER (v >= r) + 1) / (count(*) + 1)} AS p, r{quantile_cont(v, 0.95)} AS null95, r{(any_value(r) - avg(v)) / (stddev_pop(v) + 1e-12)} AS z FROM o JOIN n USING (session_id, channel) GROUP BY ALL""")
 def i9_metric_against_surrogates_full(spark, s):
     reference = s.where(F.col("channel") == REFERENCE).select("session_id", "idx", F.col("x").alias("_r"))
-    # Counts tie often: rounded, ties stay ties.
-    metric = lambda rows, by: rows.join(reference, ["session_id", "idx"]).groupBy(*by).agg(F.round(F.corr("x", "_r"), 9).alias("r"))
+    metric = lambda rows, by: rows.join(reference, ["session_id", "idx"]).groupBy(*by).agg(F.corr("x", "_r").alias("r"))
     return inf.metric_against_surrogates(s.where(F.col("channel") != REFERENCE), metric, ["session_id", "channel"], "r", 720, 100, 37)
 
 
@@ -676,7 +675,7 @@ def m3_backfit(spark, s):
 
 @query(_LABELS + """ SELECT tau, label, count(*) AS n, r{count(*) / sum(count(*)) OVER (PARTITION BY tau)} AS share FROM (SELECT l.label, l.idx - o.onset AS tau FROM lb l JOIN (VALUES (100), (300), (715)) o(onset) ON l.idx BETWEEN o.onset - 6 AND o.onset + 12) GROUP BY tau, label""")
 def m9_occupancy(spark, s):
-    return st.occupancy(jn.epochs(_labels(s), _onsets(spark), 6, 12))
+    return st.occupancy(jn.epochs(_labels(s), _onsets(s), 6, 12))
 
 
 @query("SELECT session_id, channel, rep::INT AS rep, row_number() OVER (PARTITION BY session_id, channel, rep ORDER BY md5(rep || ':' || session_id || ':' || channel || ':' || idx)) - 1 AS idx, x FROM samples, range(1, 4) q(rep)")

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 from spectralake.functions import kernels
-from spectralake.operators import cleaning, events, spectral
+from spectralake.operators import cleaning, complexity, coupling, events, graphs, inference, joins, spectral, states
 from spectralake.sources import recordings
 
 
@@ -48,3 +48,145 @@ def test_csv_layouts(spark, tmp_path):
     assert got["EEG.F4"].tolist() == [2, 4] and got["EEG.O1"].isna().all() and set(got.session_id) == {"one"}
     long = recordings.to_long(recordings.normalised_time(recordings.read_headset_csv(spark, str(tmp_path / "one.csv"), ["F3", "F4"])), ["session_id", "idx", "t"]).toPandas()
     assert len(long) == 4
+
+
+def windows_of(spark, *rows):
+    return spark.createDataFrame(list(rows), "session_id string, state string, window_id int, t0 double, t1 double")
+
+
+def test_windows_hold_for_their_own_session(spark):
+    s = spark.createDataFrame([(k, "c", i, float(i), 1.0) for k in "ab" for i in range(4)] * 2, "session_id string, channel string, idx long, t double, x double")
+    w = windows_of(spark, ("a", "event", 1, 0.0, 2.0), ("a", "rebound", 2, 1.0, 3.0), ("b", "event", 1, 3.0, 4.0))
+    got = joins.label_state(s, w, ["event", "rebound"])
+    assert got.count() == 16  # repeated rows stay
+    found = {(r.session_id, r.idx): r.state for r in got.collect()}
+    assert [found["a", i] for i in range(4)] == ["event", "event", "rebound", "other"] and [found["b", i] for i in range(4)] == ["other", "other", "other", "event"]
+    assert sorted({(r.session_id, r.idx) for r in joins.outside_windows(s, w).collect()}) == [("a", 3), ("b", 0), ("b", 1), ("b", 2)]
+    assert joins.in_windows(s, w).count() == 2 * (2 + 2 + 1) and joins.in_windows(s, w.where("false")).count() == 0
+    assert joins.outside_windows(s, w.where("false")).count() == 16 and set(joins.label_state(s, w.where("state = 'x'"), ["event"]).toPandas().state) == {"other"}
+
+
+def test_second_device_goes_by_names(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("note,eeg_2,timestamps,eeg_1,eeg_4,eeg_3\na,2,0,1,4,3\nb,,1,1,4,3\n")
+    (tmp_path / "two.csv").write_text("timestamps,eeg_1,eeg_2,eeg_3,eeg_4\n5,1,2,3,4\n")
+    got = recordings.read_second_device_csv(spark, str(tmp_path)).toPandas().sort_values("session_id")
+    assert got[["EEG.AF7", "EEG.AF8", "EEG.TP9", "EEG.TP10"]].values.tolist() == [[1, 2, 3, 4]] * 2 and got.Timestamp.tolist() == [0, 5]
+
+
+def test_ties_with_a_null_count(spark):
+    observed = spark.createDataFrame([("a", 0.1 + 0.2)], "k string, v double")
+    null = spark.createDataFrame([("a", 0.3), ("a", 0.1)], "k string, v double")
+    assert abs(inference.against_null(observed, null, ["k"], "v").first().p - 2 / 3) < 1e-9
+
+
+def test_debounce_over_crowds(spark):
+    rng = np.random.default_rng(3)
+    x = (rng.random(400) < 0.3).astype(float)
+    edges = [i for i in range(400) if x[i] and not (i and x[i - 1])]
+    want, last = [], -99
+    for i in edges:
+        if i - last >= 7:
+            want.append(i)
+            last = i
+    s = series(spark, a=x)
+    assert sorted(events.debounced_onsets(s, s.x > 0, ["session_id"], 7).toPandas().onset) == want
+
+
+def test_spectra_of_blocks_equal_lock_in(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=1000)
+    s = series(spark, a=x).where("idx not in (300, 301)")  # frames with a gap go
+    bins = spark.createDataFrame([(k / 32,) for k in range(17)], "f0 double")
+    want = spectral.lock_in(cleaning.frames(s, 32, 16), bins, 32, 1.0).toPandas().sort_values(["frame", "f0"])
+    got = spectral.frame_transform(s, 32, 16, 5).toPandas().sort_values(["frame", "k"])
+    assert len(got) == len(want) and np.allclose(got[["re", "im"]].to_numpy(), want[["re", "im"]].to_numpy(), atol=1e-9)
+    power = spectral.welch(s, 32, 1.0, 5).toPandas().sort_values("f")
+    sided = np.where(np.isin(np.arange(17), (0, 16)), 1, 2)
+    assert np.allclose(power.p, (want.assign(p=want.re**2 + want.im**2).groupby("f0").p.mean().to_numpy() / (32 * 0.375)) * sided, atol=1e-9)
+
+
+def test_high_pass(spark):
+    t = np.arange(960)
+    got = spectral.high_pass(spectral.blocks_of(series(spark, slow=np.sin(2 * np.pi * t / 400), fast=np.sin(2 * np.pi * t / 8)), 240, 200, 1.0), 0.05).toPandas()
+    rms = got[got.idx.between(200, 760)].groupby("channel").x.std()
+    assert rms["slow"] < 0.05 and abs(rms["fast"] - 2**-0.5) < 0.02
+
+
+def test_band_decomposition_parts_the_power(spark):
+    t = np.arange(720)
+    s = series(spark, a=2 * np.sin(2 * np.pi * t / 24) + np.sin(2 * np.pi * t / 5))
+    bands = spark.createDataFrame([("low", 0.03, 0.06), ("high", 0.15, 0.25)], "band string, f_lo double, f_hi double")
+    got = spectral.band_decomposition(spectral.band_phase(spectral.blocks_of(s, 240, 96, 1.0), bands)).toPandas()
+    inner = got[got.idx.between(150, 560)]
+    assert np.allclose(inner.groupby("idx").share.sum(), 1) and 3 < (inner[inner.band == "low"].power.mean() / inner[inner.band == "high"].power.mean()) < 5
+
+
+def test_granger_against_least_squares(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=600), np.zeros(600)
+    for i in range(2, 600):
+        y[i] = 0.4 * y[i - 1] + 0.6 * x[i - 2] + rng.normal()
+    got = coupling.granger(series(spark, x=x, y=y), 3).toPandas().set_index(["source", "target"])
+    xs, ys = x - x.mean(), y - y.mean()
+
+    def rss(p, use):
+        past = [v[3 - k : 600 - k] for v in use for k in range(1, p + 1)]
+        return np.linalg.lstsq(np.array(past).T, ys[3:], rcond=None)[1][0]
+
+    f = [((rss(p, [ys]) - rss(p, [ys, xs])) / p) / (rss(p, [ys, xs]) / (597 - 2 * p)) for p in (1, 2, 3)]
+    assert abs(got.loc[("x", "y"), "f"] - max(f)) < 1e-6 * max(f) and got.loc[("x", "y"), "f"] > 20 * got.loc[("y", "x"), "f"]
+
+
+def test_lempel_ziv_phrases(spark):
+    assert complexity.phrases("0001101001000101") == 6  # 0|001|10|100|1000|101
+    assert complexity.phrases("") == 0 and complexity.phrases("0") == 1
+    got = complexity.lempel_ziv(series(spark, flat=[0, 1] * 120, noise=np.random.default_rng(1).normal(size=240)), 120).toPandas()
+    mean = got.groupby("channel").complexity.mean()
+    assert mean["noise"] > 2 * mean["flat"]
+
+
+def test_states_and_modes(spark):
+    rng = np.random.default_rng(6)
+    maps = np.linalg.qr(rng.normal(size=(5, 5)))[0][:3]
+    maps = maps - maps.mean(1, keepdims=True)
+    rows = [("a", i, f"c{c}", float(v)) for i in range(90) for c, v in enumerate(maps[i % 3] / np.linalg.norm(maps[i % 3]) * (-1) ** (i // 3))]
+    at = spark.createDataFrame(rows, "session_id string, idx long, channel string, v double")
+    gfp = spark.createDataFrame([("a", i, 1.0) for i in range(90)], "session_id string, idx long, gfp double")
+    got = states.microstate_maps(at, gfp, [3, 4]).toPandas()
+    assert got.k.nunique() == 3 and got.explained.iloc[0] > 0.999
+    labels = spark.createDataFrame([("a", i, s) for i, s in enumerate("xxxxyzzzzwxxx")], "session_id string, idx long, label string")
+    smooth = "".join(states.smoothed_labels(labels, 2).orderBy("idx").toPandas().label)
+    assert smooth == "xxxxxzzzzzxxx"
+    points = spark.createDataFrame([("a", i, float(x), float(3 * x + 0.1 * y)) for i, (x, y) in enumerate(rng.normal(size=(60, 2)))], "session_id string, idx long, p double, q double")
+    pc = states.principal_components(points, ["p", "q"], 2).toPandas()
+    x = points.toPandas()[["p", "q"]].to_numpy()
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    assert np.allclose(pc.share.iloc[0], values / values.sum(), atol=1e-6)
+    mixed = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(np.r_[rng.normal(0, 1, 60), rng.normal(20, 1, 40)])], "session_id string, idx long, f double")
+    state = states.mixture_states(mixed, ["f"], 2).toPandas().sort_values("idx")
+    assert state.state.tolist() == [0] * 60 + [1] * 40 and state.posterior.min() > 0.99
+    both = states.connectivity_states(mixed.withColumn("g", mixed.f * 0), ["f", "g"], [2, 3]).toPandas()
+    assert both.k.iloc[0] == 2 and both.sort_values("idx").state.iloc[:60].nunique() == 1
+
+
+def test_spatial_mode_and_eigenmodes(spark):
+    rows = [("a", c, i, 0.1, float(w * np.cos(i)), float(w * np.sin(i))) for i in range(20) for c, w in (("p", 1), ("q", 2), ("r", 2))]
+    got = states.spatial_mode(spark.createDataFrame(rows, "session_id string, channel string, frame long, f0 double, re double, im double")).first()
+    assert abs(got.share - 1) < 1e-9 and abs(got.in_phase - 5 / 3 / 3**0.5) < 1e-9
+    edges = spark.createDataFrame([("a", "p", "q", 1.0), ("a", "q", "r", 1.0), ("a", "p", "r", 0.5)], "session_id string, ch_i string, ch_j string, w double")
+    modes = graphs.eigenmodes(edges, ["session_id"]).toPandas()
+    w = modes.pivot(index="channel", columns="mode", values="w").to_numpy()
+    lap = np.array([[1.5, -1, -0.5], [-1, 2, -1], [-0.5, -1, 1.5]])
+    assert np.allclose(w.T @ lap @ w, np.diag(modes.groupby("mode").value.first()), atol=1e-9)
+    paths = graphs.shortest_paths(edges, ["session_id"], 3).toPandas().set_index(["a", "b"]).d
+    assert paths["p", "r"] == 2 and paths["p", "q"] == 1
+    cut = graphs.matrix_measures(edges, ["session_id"]).first()
+    assert abs(cut.min_cut - 1.5) < 1e-9
+
+
+def test_sign_flip_clusters(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"t{k}", t, float(rng.normal() + (2 if 5 <= t < 9 else 0))) for k in range(30) for t in range(20)]
+    got = inference.sign_flip_clusters(spark.createDataFrame(rows, "trial string, tau long, x double"), 100).toPandas()
+    best = got.sort_values("mass").iloc[-1]
+    assert best.start <= 5 and best.end >= 9 and best.significant
