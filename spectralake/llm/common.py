@@ -6,20 +6,18 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as in ``[\x20\x09-\x0D]``.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Text is worked on in slices of about this many bytes inside a task, which bounds a worker's memory.
-SLICE_BYTES = 4 << 20
-#: Entries a worker's word cache may hold before it starts afresh (results do not depend on it).
-CACHE_WORDS = 400_000
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,27 +63,6 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(start, end - start)
 
 
-class WordHashes(dict):
-    """Word (bytes) to its 64-bit hash, remembered within bounds."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def hashed(words: list[list[bytes]], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """All words' hashes in a row, and the number of words of each text."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    out = np.empty(int(sizes.sum()), np.uint64)
-    at, get = 0, cache.__getitem__
-    for own in words:
-        out[at : at + len(own)] = np.fromiter(map(get, own), np.uint64, len(own))
-        at += len(own)
-    return out, sizes
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +70,68 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: What parts words: ASCII white space, or every ASCII character that is no letter and no digit.
+WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+NO_WORD = np.array([c < 0x80 and not chr(c).isalnum() for c in range(256)])
+#: A value for each byte; in FOLDED those of A-Z are those of a-z.
+PLAIN = mix(np.arange(1, 257, dtype=np.uint64))
+FOLDED = np.array([PLAIN[c + 32 if 0x41 <= c <= 0x5A else c] for c in range(256)], np.uint64)
+_BASE, _KEPT = 0x9E3779B97F4A7C15, 1 << 20
+
+
+@functools.lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.full(n, base, np.uint64))
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` mod 2^64; those that slices take are kept."""
+    return _powers(base, _KEPT)[:n] if n <= _KEPT else np.multiply.accumulate(np.full(n, base, np.uint64))
+
+
+@dataclass
+class Words:
+    """The words of a run of texts, as places in their joined bytes; their hashes come from prefix sums of a polynomial."""
+
+    prefix: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array | pa.ChunkedArray, parts: np.ndarray = WHITE, values: np.ndarray = PLAIN) -> Words:
+        """``texts``: a string column (null counts as empty); ``parts``: which bytes part words; ``values``: a number for each byte."""
+        data, offsets = joined_bytes(texts)
+        inside = ~parts[data]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        cuts = offsets[offsets < len(data)]
+        first[cuts] = inside[cuts]
+        cuts = offsets[offsets > 0] - 1
+        last[cuts] = inside[cuts]
+        starts = np.flatnonzero(first)
+        prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(values[data] * _power(_BASE, len(data)), out=prefix[1:])
+        return cls(prefix, starts, np.flatnonzero(last) + 1, np.diff(np.searchsorted(starts, offsets)))
+
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """64-bit hashes of all words in a row, or of their first ``most`` bytes."""
+        ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
+        own = (self.prefix[ends] - self.prefix[self.starts]) * _power(pow(_BASE, -1, 1 << 64), len(self.prefix))[self.starts]
+        return mix(own + (ends - self.starts).astype(np.uint64))
+
+
+def joined_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column in a row, without a copy, and where each row's begin (one more: the end)."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    texts = texts.cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
 def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of ``width`` values in a row, one for each start (also across texts: the caller masks those)."""
     n = len(hashes) - width + 1

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, hashed, mix, rolled, slices, starts_of, utf8, written
+from .common import FOLDED, Words, connected_components, mix, rolled, slices, starts_of, written
 
 #: Sets link when DEN * intersection >= NUM * union.
 NUM, DEN, WIDTH = 75, 100, 5
@@ -22,14 +22,17 @@ SMALL = 16
 #: Signatures beyond k that a set keeps, which linked sets then have in common (see PartEnum).
 COMMON = 4
 #: Signatures with at least HOT documents have these compared in blocks of BLOCK documents or BLOCK_ELEMENTS elements.
-HOT, BLOCK, BLOCK_ELEMENTS = 64, 1000, 2_000_000
+HOT, BLOCK, BLOCK_ELEMENTS = 64, 1000, 500_000
+#: Pairs of sets that share a rare element which are counted in one go.
+COUNTED = 1_000_000
 #: Document ids that are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 
 
-def shingle_sets(texts: list[bytes], cache: WordHashes, width: int = WIDTH) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its ``width``-word shingles; a shorter text is one shingle."""
-    hashes, sizes = hashed([t.lower().split() for t in texts], cache)
+    own = Words.of(texts, values=FOLDED)
+    hashes, sizes = own.hashes(), own.sizes
     every, out = rolled(hashes, width), []
     for start, n in zip(starts_of(sizes).tolist(), sizes.tolist(), strict=True):
         if n >= width:
@@ -125,10 +128,9 @@ def set_rows(docs: DataFrame, arrays: bool = False) -> DataFrame:
     """doc_id, n (size of the set), set_hash (128 bits; null for empty sets) and, if asked, the set itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
             for part in slices(batch):
-                sets = shingle_sets(utf8(part.column("text")), cache)
+                sets = shingle_sets(part.column("text"))
                 columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())]
                 more = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))] if arrays else []
                 yield pa.RecordBatch.from_arrays([*columns, *more], ["doc_id", "n", "set_hash", "elements"][: 3 + arrays])
@@ -144,11 +146,11 @@ def packed_signatures(docs: DataFrame, buckets: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, scheme = WordHashes(), PartEnum()
+        scheme = PartEnum()
         for batch in batches:
             for part in slices(batch):
                 own: dict[bytes, tuple[int, np.ndarray]] = {}
-                for doc, s in zip(part.column("doc_id").to_pylist(), shingle_sets(utf8(part.column("text")), cache), strict=True):
+                for doc, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text")), strict=True):
                     key = xxhash.xxh3_128_digest(s.tobytes())
                     if doc is not None and len(s) and (key not in own or doc < own[key][0]):
                         own[key] = (doc, s)
@@ -217,9 +219,14 @@ def _common(a: list[np.ndarray], b: list[np.ndarray], rare: int = 256, width: in
     (rows, fa, sa), (columns, fb, sb) = sides
     few = np.flatnonzero((fa > 0) & (fb > 0) & (fa * fb <= rare))
     pairs = fa[few] * fb[few]
-    element, k = np.repeat(few, pairs), np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-    flat = rows[sa[element] + k // fb[element]] * len(b) + columns[sb[element] + k % fb[element]]
-    out = np.bincount(flat, minlength=len(a) * len(b)).reshape(len(a), len(b)).astype(np.float32)
+    out = np.zeros(len(a) * len(b), np.float32)
+    piece = np.cumsum(pairs) // COUNTED
+    for own in np.split(np.arange(len(few)), np.flatnonzero(np.diff(piece)) + 1) if len(few) else []:
+        some, n = few[own], pairs[own]
+        element, k = np.repeat(some, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        flat = rows[sa[element] + k // fb[element]] * len(b) + columns[sb[element] + k % fb[element]]
+        out += np.bincount(flat, minlength=len(out))
+    out = out.reshape(len(a), len(b))
     many = np.flatnonzero(fa * fb > rare)
     for start in range(0, len(many), width):
         some = many[start : start + width]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hashed, mix, rolled, starts_of, utf8, written
+from .common import Words, mix, rolled, starts_of, written
 
 #: N-grams of up to ORDER words; longer than one word they need CUTOFF occurrences, else they back off by ALPHA.
 ORDER, CUTOFF, ALPHA = 2, 2, 0.4
@@ -17,9 +17,10 @@ ORDER, CUTOFF, ALPHA = 2, 2, 0.4
 BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 2 << 20
 
 
-def ngrams(texts: list[bytes], order: int, cache: WordHashes) -> tuple[list[np.ndarray], np.ndarray]:
+def ngrams(texts: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """For each length 1 to ``order`` the hash of the n-gram that ends at each word (0: it would begin before its text)."""
-    words, sizes = hashed([t.split() for t in texts], cache)
+    found = Words.of(texts)
+    words, sizes = found.hashes(), found.sizes
     place = np.arange(len(words)) - np.repeat(starts_of(sizes), sizes)
     out = []
     for k in range(1, order + 1):
@@ -39,8 +40,8 @@ def _unplane(data: bytes, kind=np.uint64) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
-def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    grams, _ = ngrams(texts, order, WordHashes())
+def _distinct(texts: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    grams, _ = ngrams(texts, order)
     every = np.concatenate(grams)
     return np.unique(every[every != 0], return_counts=True)
 
@@ -72,7 +73,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, a
     own = docs.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def ask(rows: pa.Table) -> pa.Table:
-        distinct, counts = _distinct(utf8(rows.column("text")), order)
+        distinct, counts = _distinct(rows.column("text"), order)
         cuts, block = _cuts(distinct, buckets), rows.column("block")[0].as_py()
         out = [(block, b, _plane(np.diff(distinct[x:y], prepend=np.uint64(0))), _plane(counts[x:y].astype(np.uint64))) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if x < y]
         return pa.Table.from_pylist([dict(zip(asked.names, r, strict=True)) for r in out], schema=asked)
@@ -86,8 +87,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, a
         return pa.table([rows.column("block"), rows.column("bucket"), pa.array([_plane(p) for p in parts], pa.binary())], schema=answered)
 
     def score(rows: pa.Table, known: pa.Table) -> pa.Table:
-        texts = utf8(rows.column("text"))
-        grams, sizes = ngrams(texts, order, WordHashes())
+        grams, sizes = ngrams(rows.column("text"), order)
         distinct = np.concatenate(grams)
         distinct = np.unique(distinct[distinct != 0])
         found = sorted(zip(known.column("bucket").to_pylist(), known.column("totals").to_pylist(), strict=True))
