@@ -18,6 +18,11 @@ from .sharding import minimax_shards
 from .toxicity import ToxicityModel, labelled_sample, score_toxicity
 
 
+def pieces(spark: SparkSession) -> str:
+    """The piece model's file, from the setting ``spark.spectralake.pieces``."""
+    return spark.conf.get("spark.spectralake.pieces", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -69,7 +74,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents")))
+    coded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), pieces(spark)), pieces(spark))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "n_bytes", F.round("score", 4).alias("score"), F.xxhash64("ids").alias("ids_hash"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
 
 

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spectralake.llm import common, exact_dedup, jaccard_join, license_scan, mixing, ngram_lm, piece_codec, secret_scan, sharding, toxicity
@@ -99,7 +100,7 @@ def test_small_similar_sets_are_compared(spark):
     scheme = jaccard_join.PartEnum()
     base = [[f"d{r}w{i}" for i in range(24)] for r in range(3)]
     sized = [(n, m, r) for n in range(1, 21) for m in range(n, 21) for r in range(3) if 100 * n >= 75 * m]
-    sets = {(n, r): jaccard_join.shingle_sets([" ".join(base[r][: n + 4]).encode()], jaccard_join.WordHashes())[0] for n in range(1, 21) for r in range(3)}
+    sets = {(n, r): jaccard_join.shingle_sets(pa.array([" ".join(base[r][: n + 4])]))[0] for n in range(1, 21) for r in range(3)}
     rows = [(n, m, len(np.intersect1d(scheme.signatures(sets[n, r]), scheme.signatures(sets[m, r])))) for n, m, r in sized]
     need = spark.createDataFrame(rows, "size long, other long, times long")
     for largest in (20, 1000):
@@ -212,14 +213,47 @@ def test_secrets(spark):
     assert len(got[0].base) == 3 and not got[1].base and not got[2].added
 
 
-def test_pieces_round_trip_and_optimum(spark):
-    own = ["a  b", "", None, "né 日本 \U0001f600 ▁ x", "line\n\n tab\t", "Hello, world. e.g. 3.14", "x" * 5000]
-    got = piece_codec.decode_pieces(piece_codec.encode_pieces(docs(spark, own))).orderBy("doc_id").collect()
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def test_pieces_round_trip(spark):
+    own = ["a  b", "", None, "né 日本 \U0001f600 ▁ x▁▁", "line\n\n tab\t", "Hello, world. e.g. 3.14", "x" * 5000, "\x00", "word " * 60_000]
+    got = piece_codec.decode_pieces(piece_codec.encode_pieces(docs(spark, own), MODEL), MODEL).orderBy("doc_id").collect()
     assert [r.decoded for r in got] == own
-    model = piece_codec.PieceModel.load()
-    for t in ("Hello, world. e.g. 3.14", "a  b né"):
-        whole = model.segment((" " + t).replace(" ", piece_codec.MARK))
-        assert abs(whole[1] - model.encode(t, piece_codec.Segments())[1]) < 1e-9
+    assert got[2].ids is None and got[2].score is None and got[2].n_bytes is None
+    given = spark.createDataFrame([(None, None), ([], "x"), ([0xE9 + 3, 0xE9 + 3], "x")], "ids array<int>, decoded string")
+    assert [r.decoded for r in piece_codec.decode_pieces(given, MODEL).collect()] == [None, "", "\ufffd\ufffd"]
+
+
+def every_segmentation(text: str, scores: dict, unknown: float) -> float:
+    """The best score over all ways to part ``text`` into pieces and, where no piece is that one character, single characters."""
+    if not text:
+        return 0.0
+    found = [scores[text[:k]] + every_segmentation(text[k:], scores, unknown) for k in range(1, len(text) + 1) if text[:k] in scores]
+    if text[0] not in scores:
+        found.append(unknown + every_segmentation(text[1:], scores, unknown))
+    return max(found)
+
+
+def test_pieces_are_the_likeliest():
+    rng = random.Random(6)
+    pieces = ["<unk>"] + [f"<0x{b:02X}>" for b in range(256)] + sorted({"".join(rng.choices("ab▁é", k=rng.randint(1, 4))) for _ in range(40)} - {"é"})
+    plain = [i > 256 and "▁" not in p.lstrip("▁") for i, p in enumerate(pieces)]
+    scores = [float(rng.choice([-1, -2, -3, -4])) for _ in pieces]  # many ties
+    model = piece_codec.PieceModel(pieces, scores, {b: b + 1 for b in range(256)}, plain)
+    known = {p: s for p, s, own in zip(pieces, scores, plain, strict=True) if own}
+    texts = ["".join(rng.choices("abé \nz", k=rng.randint(0, 9))) for _ in range(300)] + ["ab" * 40 + "é"]
+    flat, offsets, got = model.encode(pa.array(texts))
+    for i, text in enumerate(texts[:-1]):
+        assert got[i] == every_segmentation((" " + text).replace(" ", "▁"), known, model.unknown)
+    for i, text in enumerate(texts):
+        ids = flat[offsets[i] : offsets[i + 1]].tolist()
+        assert b"".join(model.surface[k].as_py() for k in ids).decode() == " " + text
+    # Solved alone, segments have the same pieces as side by side with others, ties included.
+    segments = [(" " + t).replace(" ", "▁").encode() for t in texts if " " not in t and "\n" not in t and t]
+    ids, begin, many, _ = model.solve(pa.array([s.replace("▁".encode(), b" ") for s in segments], pa.binary()))
+    for k, s in enumerate(segments):
+        assert model.segment(s)[0] == ids[begin[k] : begin[k] + many[k]].tolist()
 
 
 def test_toxicity_learns(spark):
@@ -247,7 +281,7 @@ def test_components(spark):
 
 def test_empty_tables(spark):
     none = docs(spark, ["x"]).limit(0)
-    for f in (exact_dedup.exact_dedup, jaccard_join.jaccard_components, ngram_lm.score_documents, sharding.minimax_shards, mixing.mix_sources, license_scan.scan_licenses, secret_scan.scan_secrets, piece_codec.encode_pieces):
+    for f in (exact_dedup.exact_dedup, jaccard_join.jaccard_components, ngram_lm.score_documents, sharding.minimax_shards, mixing.mix_sources, license_scan.scan_licenses, secret_scan.scan_secrets, lambda d: piece_codec.encode_pieces(d, MODEL), lambda d: piece_codec.decode_pieces(piece_codec.encode_pieces(d, MODEL), MODEL)):
         assert f(none).count() == 0
 
 
