@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,9 +21,11 @@ TEMPLATES = (
     ("Licensed under the Apache License, Version 2.0.", "apache-2"),
     ("you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache-2"),
     ("This work is licensed under a Creative Commons Attribution NonCommercial license, CC BY-NC 4.0", "cc-by-nc"),
+    ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
     ("This work is licensed under a Creative Commons Attribution-ShareAlike license, CC BY-SA 4.0", "cc-by-sa"),
     ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
     ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl"),
+    ("This work is licensed under the GNU General Public License, version 3", "gpl-3"),
     ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
     ("This is free and unencumbered software released into the public domain.", "unlicense"),
     ("All rights reserved. No part of this publication may be reproduced without permission", "all-rights-reserved"),
@@ -30,7 +33,7 @@ TEMPLATES = (
 #: ASCII letters become small, digits stay, all other ASCII parts words; what is not ASCII belongs to words.
 _WORD_BYTES = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
-SCHEMA = "doc_id long, n_words long, places array<struct<label:string,word:long>>, spans array<struct<label:string,start:long,end:long,coverage:double>>"
+SCHEMA = "doc_id long, n_words long, places array<struct<label:string,word:long>>, spans array<struct<label:string,start:long,end:long,coverage:double>>, coverage double"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -42,7 +45,7 @@ def words(text: bytes) -> list[bytes]:
 class SuffixAutomaton:
     """Every run of tokens of every template, in one automaton.
 
-    ``at`` has, for each state, where its strings end: (template, position) once for each template.
+    ``at`` has, for each state, where its strings end: every position in every template.
     """
 
     next: list[dict] = field(default_factory=lambda: [{}])
@@ -59,7 +62,7 @@ class SuffixAutomaton:
 
     def _split(self, p: int, q: int, token: int) -> int:
         """The strings of ``q`` that are no longer than one token after ``p``, as a state of their own."""
-        clone = self._state(self.length[p] + 1, dict(self.at[q]))
+        clone = self._state(self.length[p] + 1, {k: [*at] for k, at in self.at[q].items()})
         self.next[clone], self.link[clone] = dict(self.next[q]), self.link[q]
         self.link[q] = clone
         while p >= 0 and self.next[p].get(token) == q:
@@ -83,7 +86,7 @@ class SuffixAutomaton:
                     self.link[last] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, token)
             v = last
             while v > 0:
-                self.at[v].setdefault(template, i + 1)
+                self.at[v].setdefault(template, []).append(i + 1)
                 v = self.link[v]
 
     def walk(self, tokens: list[int]) -> int:
@@ -127,21 +130,39 @@ class Scanner:
             self.ending.append(found)
         self.shortest = min([least, *(len(ws) for ws, _ in self.phrases)])
 
-    def _chain(self, matches: list[tuple[int, int, int]], size: int) -> Iterator[tuple[int, int, float]]:
-        """Colinear matches (text start, template start, length) at most ``gap`` apart, as spans with their coverage."""
-        current: list[tuple[int, int, int]] = []
-        for m in [*sorted(matches), None]:
-            if current and (m is None or m[0] - (current[-1][0] + current[-1][2]) > self.gap or m[1] <= current[-1][1]):
-                covered = np.zeros(size, bool)
-                for _, b, n in current:
-                    covered[b : b + n] = True
-                yield current[0][0], max(a + n for a, _, n in current), float(covered.mean())
-                current = []
-            if m is not None:
-                current.append(m)
-
-    def scan(self, found: list[bytes]) -> tuple[list, list]:
-        """Places of the base phrases (label, word) and template spans (label, start, end, coverage) of a text's words."""
+    def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Chains of matches (text start, template start, length) as (start, end, template words they cover).
+
+        In a chain both starts and both ends grow, and at most ``gap`` words of the text lie between a match and the next.
+        Each match ends the best chain that can lead to it; of all these the best that do not meet in the text are
+        taken, of equal ones the first. Matches are no longer than a template, so few can come before another.
+        """
+        matches = sorted(set(matches))
+        covers, begins, first = [], [], 0
+        longest = max(n for _, _, n in matches)
+        for j, (a, b, n) in enumerate(matches):
+            best, begin = n, a
+            while matches[first][0] + longest + self.gap < a:
+                first += 1
+            for i in range(first, j):
+                a0, b0, n0 = matches[i]
+                if a0 < a and b0 < b and a0 + n0 < a + n and b0 + n0 < b + n and a - a0 - n0 <= self.gap:
+                    own = covers[i] + n - max(0, a0 + n0 - a, b0 + n0 - b)
+                    if own > best:
+                        best, begin = own, begins[i]
+            covers.append(best)
+            begins.append(begin)
+        taken: list[tuple[int, int, int]] = []
+        for j in sorted(range(len(matches)), key=lambda j: (-covers[j], begins[j], matches[j])):
+            start, end = begins[j], matches[j][0] + matches[j][2]
+            k = bisect.bisect(taken, (start, end, 0))
+            if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+                taken.insert(k, (start, end, covers[j]))
+        return taken
+
+    def scan(self, found: list[bytes]) -> tuple[list, list, float]:
+        """Places of the base phrases (label, word), template spans (label, start, end, coverage) of a text's words, and the
+        largest coverage of any chain, be it a span or not."""
         get = self.ids.get
         ids = np.array([get(w, -1) for w in found], np.int32)
         known = np.flatnonzero(np.diff(np.r_[False, ids >= 0, False]))
@@ -155,14 +176,16 @@ class Scanner:
                     if len(self.phrases[k][0]) <= length:
                         places.append((self.phrases[k][1], start + i + 1 - len(self.phrases[k][0])))
                 if length >= self.least and steps[i + 1][1] != length + 1:  # it cannot be made longer
-                    for t, stop in self.automaton.at[state].items():
+                    for t, stops in self.automaton.at[state].items():
                         if t < len(self.templates):
-                            matches.setdefault(t, []).append((start + i + 1 - length, stop - length, length))
-        spans = []
+                            matches.setdefault(t, []).extend((start + i + 1 - length, stop - length, length) for stop in stops)
+        spans, top = [], 0.0
         for t, own in matches.items():
             ws, label = self.templates[t]
-            spans += [(label, a, b, c) for a, b, c in self._chain(own, len(ws)) if c >= self.cover]
-        return sorted(places, key=lambda x: (x[1], x[0])), sorted(spans, key=lambda x: (x[1], x[2], x[0], -x[3]))
+            chains = [(label, a, b, c / len(ws)) for a, b, c in self._chains(own)]
+            top = max([top, *(c[3] for c in chains)])
+            spans += [c for c in chains if c[3] >= self.cover]
+        return sorted(places, key=lambda x: (x[1], x[0])), sorted(spans, key=lambda x: (x[1], x[2], x[0], -x[3])), top
 
 
 def scan_licenses(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
@@ -170,7 +193,7 @@ def scan_licenses(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
 
     Returns doc_id, n_words, places (each base phrase's label and first word) and spans: runs of words that a
     licence notice covers, by chaining its long matches, with the part of the notice they cover (at least
-    ``cover``). The automaton only ever sees runs of licence words, since no match can reach across others.
+    ``cover``), and coverage: the largest part of a notice that any chain covers, spans or not. The automaton only ever sees runs of licence words, since no match can reach across others.
     Null and empty texts have no words and no finds; ids may be null or repeat, a row gives a row; other
     columns are ignored. Places may overlap and are all given, in order of word and label.
     """
@@ -179,11 +202,12 @@ def scan_licenses(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                out = {"doc_id": part.column("doc_id"), "n_words": [], "places": [], "spans": []}
+                out = {"doc_id": part.column("doc_id"), "n_words": [], "places": [], "spans": [], "coverage": []}
                 for text in utf8(part.column("text")):
                     found = words(text)
-                    places, spans = scanner.scan(found)
+                    places, spans, coverage = scanner.scan(found)
                     out["n_words"].append(len(found))
+                    out["coverage"].append(coverage)
                     out["places"].append([{"label": a, "word": b} for a, b in places])
                     out["spans"].append([dict(zip(("label", "start", "end", "coverage"), s, strict=True)) for s in spans])
                 yield pa.RecordBatch.from_pydict(out, schema=ARROW)
@@ -193,5 +217,5 @@ def scan_licenses(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
 
 ARROW = pa.schema([
     ("doc_id", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))),
-    ("spans", pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())]))),
+    ("spans", pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())]))), ("coverage", pa.float64()),
 ])

@@ -44,11 +44,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda labels: F.concat_ws(",", F.array_sort(F.array_distinct(labels)))
     found = scan_licenses(table(spark, sf_dir, "documents"))
-    n_base, coverage = F.size("places").cast("long"), F.coalesce(F.array_max("spans.coverage"), F.lit(0.0))
     return found.select(
-        "doc_id", "n_words", n_base.alias("n_base"), F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"),
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"),
         joined(F.col("places.label")).alias("base_labels"), joined(F.concat("places.label", "spans.label")).alias("labels"),
-        F.when(n_base > 0, 1.0).otherwise(coverage).alias("score"), F.size("spans").cast("long").alias("n_spans"),
+        F.col("coverage").alias("score"), F.size("spans").cast("long").alias("n_spans"),
     )
 
 
