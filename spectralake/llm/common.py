@@ -102,18 +102,10 @@ class Words:
     def of(cls, texts: pa.Array | pa.ChunkedArray, parts: np.ndarray = WHITE, values: np.ndarray = PLAIN) -> Words:
         """``texts``: a string column (null counts as empty); ``parts``: which bytes part words; ``values``: a number for each byte."""
         data, offsets = joined_bytes(texts)
-        inside = ~parts[data]
-        first, last = inside.copy(), inside.copy()
-        first[1:] &= ~inside[:-1]
-        last[:-1] &= ~inside[1:]
-        cuts = offsets[offsets < len(data)]
-        first[cuts] = inside[cuts]
-        cuts = offsets[offsets > 0] - 1
-        last[cuts] = inside[cuts]
-        starts = np.flatnonzero(first)
+        starts, ends = runs_of(~parts[data], offsets)
         prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values[data] * _power(_BASE, len(data)), out=prefix[1:])
-        return cls(prefix, starts, np.flatnonzero(last) + 1, np.diff(np.searchsorted(starts, offsets)))
+        return cls(prefix, starts, ends, np.diff(np.searchsorted(starts, offsets)))
 
     def hashes(self, most: int | None = None) -> np.ndarray:
         """64-bit hashes of all words in a row, or of their first ``most`` bytes."""
@@ -122,6 +114,18 @@ class Words:
         return mix(own + (ends - self.starts).astype(np.uint64))
 
 
+def runs_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of bytes that are ``inside`` begin and end; none goes on from one text (``offsets``) into the next."""
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cuts = offsets[offsets < len(inside)]
+    first[cuts] = inside[cuts]
+    cuts = offsets[offsets > 0] - 1
+    last[cuts] = inside[cuts]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 def joined_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column in a row, without a copy, and where each row's begin (one more: the end)."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts

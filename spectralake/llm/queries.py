@@ -68,8 +68,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     kinds = F.array(*[F.lit(k) for k in ("assign", "access", "hex", "like_assign", "like_access", "like_hex")])
-    ranked = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(ranked).alias("spans"))
+    ranked = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+    spans = F.array_sort(F.concat(ranked(F.col("base")), ranked(F.col("added"))))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(spans).alias("spans"), "n_candidates", F.round("top_gain", 4).alias("top_gain"))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
