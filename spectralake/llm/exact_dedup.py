@@ -65,13 +65,25 @@ class DigestIndex:
         )
 
 
-def exact_dedup(docs: DataFrame, buckets: int = 64) -> DataFrame:
-    """``docs`` deduplicated as the first batch of an index of its own; see :meth:`DigestIndex.add`."""
-    return DigestIndex(docs.sparkSession, buckets=buckets).add(docs)
+def buckets_for(rows: int) -> int:
+    """Buckets of about 128 MB for the digests and ids of so many rows (some 44 bytes each), 64 at least."""
+    return max(64, rows * 44 // (128 << 20))
+
+
+def exact_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """``docs`` deduplicated as the first batch of an index of its own; see :meth:`DigestIndex.add`.
+
+    Without ``buckets`` their number follows from the number of rows.
+    """
+    return DigestIndex(docs.sparkSession, buckets=buckets or buckets_for(docs.count())).add(docs)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and text, one."""
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and text, one.
+
+    Null texts count as empty ones. A row without an id stays only where no row of its text has one. An id that stands
+    with several texts is kept for those of which it is the smallest id. No rows give no rows.
+    """
     kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest")).distinct()
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), digest(F.col("text")).alias("digest"))
     found = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")

@@ -100,8 +100,14 @@ def mix_sources(docs: DataFrame, share: float = 0.5, max_epochs: int = 2, seed:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` as often as :func:`mix_sources` takes them, with all their columns."""
-    taken = mix_sources(docs, **how).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies").distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"))
-    found = rows.join(taken, F.col("id").eqNullSafe(F.col("taken_id")))
+    """The rows of ``docs`` as often as :func:`mix_sources` takes them, with all their columns.
+
+    A row is taken as often as its id is in its own leaf: an id that stands in several leaves has the copies of each only
+    there. Rows that repeat an id within a leaf share one place in the order and come as often as one of them.
+    Null ids, langs, sources and texts are handled as there; no rows give no rows.
+    """
+    taken = mix_sources(docs, **how).where("copies > 0").select(F.col("doc_id").alias("taken_id"), *LEVELS, "copies").distinct()
+    source = F.coalesce(docs["source"], F.lit(""))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), domain_of(source).alias("domain"), F.coalesce(docs["lang"], F.lit("")).alias("lang"), source.alias("source"))
+    found = rows.alias("r").join(taken.alias("t"), F.col("r.id").eqNullSafe(F.col("t.taken_id")) & F.expr(" and ".join(f"r.{c} = t.{c}" for c in LEVELS)))
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
