@@ -18,12 +18,30 @@ def numeric(samples: DataFrame) -> DataFrame:
     return samples.withColumn("x", F.coalesce(F.col("x").try_cast("double"), F.lit(0.0)))
 
 
-def fill_gaps(samples: DataFrame) -> DataFrame:
-    """Nulls inside a channel become values on the line between their neighbours; at its ends the nearest value."""
+def fill_gaps(samples: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Nulls inside a channel become values on the line between their neighbours; at its ends the nearest value.
+
+    Each block of a channel is worked on by itself; from the others it only gets the last value known before it and the first after it.
+    """
     known = F.when(F.col("x").isNotNull(), F.struct("idx", "x"))
-    rows = samples.withColumn("_a", F.last(known, True).over(_run())).withColumn("_b", F.first(known, True).over(_run().rowsBetween(0, W.unboundedFollowing)))
+    rows = samples.withColumns({"_block": F.floor(F.col("idx") / block), "_k": known})
+    edges = rows.groupBy(*KEYS, "_block").agg(F.max("_k").alias("_last"), F.min("_k").alias("_first"))
+    order = W.partitionBy(*KEYS).orderBy("_block")
+    edges = edges.select(*KEYS, "_block", F.last("_last", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
+    run = W.partitionBy(*KEYS, "_block").orderBy("idx")
+    rows = rows.withColumn("_a", F.last("_k", True).over(run)).withColumn("_b", F.first("_k", True).over(run.rowsBetween(0, W.unboundedFollowing)))
+    rows = rows.join(edges, [*KEYS, "_block"]).withColumns({"_a": F.coalesce("_a", "_before"), "_b": F.coalesce("_b", "_after")})
     line = F.col("_a.x") + (F.col("_b.x") - F.col("_a.x")) * (F.col("idx") - F.col("_a.idx")) / (F.col("_b.idx") - F.col("_a.idx"))
-    return rows.withColumn("x", F.coalesce("x", line, "_a.x", "_b.x")).drop("_a", "_b")
+    return rows.withColumn("x", F.coalesce("x", line, "_a.x", "_b.x")).select(*samples.columns)
+
+
+def running_sum(rows: DataFrame, value: str, out: str, block: int = 1 << 16) -> DataFrame:
+    """Adds ``out``, the sum of ``value`` up to and with each idx of a channel: sums inside blocks, plus what the blocks before add up to."""
+    rows = rows.withColumn("_block", F.floor(F.col("idx") / block))
+    before = W.partitionBy(*KEYS).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = rows.groupBy(*KEYS, "_block").agg(F.sum(value).alias("_t")).select(*KEYS, "_block", F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_o"))
+    inside = F.sum(value).over(W.partitionBy(*KEYS, "_block").orderBy("idx"))
+    return rows.withColumn("_i", inside).join(offsets, [*KEYS, "_block"]).withColumn(out, F.col("_i") + F.col("_o")).drop("_block", "_i", "_o")
 
 
 def detrend(samples: DataFrame) -> DataFrame:

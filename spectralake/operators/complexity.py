@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.kernels import gaussian_measures
+from .cleaning import running_sum
 from .joins import gram
 
 KEYS = ["session_id", "channel"]
@@ -17,7 +18,7 @@ KEYS = ["session_id", "channel"]
 def detrended_fluctuation(samples: DataFrame, scales: list[int]) -> DataFrame:
     """Exponent with which the residual of a line, in segments of the summed series, grows with the segments' length."""
     mean = samples.groupBy(*KEYS).agg(F.avg("x").alias("_m"), F.count("*").alias("_n"))
-    walk = samples.join(mean, KEYS).withColumn("y", F.sum(F.col("x") - F.col("_m")).over(W.partitionBy(*KEYS).orderBy("idx")))
+    walk = running_sum(samples.join(mean, KEYS).withColumn("_d", F.col("x") - F.col("_m")), "_d", "y")
     cut = walk.withColumn("s", F.explode(F.array(*map(F.lit, scales)))).withColumn("seg", F.floor(F.col("idx") / F.col("s"))).where((F.col("seg") + 1) * F.col("s") <= F.col("_n"))
     residual = F.regr_syy("y", "idx") - F.regr_sxy("y", "idx") ** 2 / F.regr_sxx("y", "idx")
     parts = cut.groupBy(*KEYS, "s", "seg").agg((residual / F.count("*")).alias("_v"))
@@ -258,3 +259,12 @@ def phrases(s: str) -> int:
         found += 1
         start += size
     return found
+
+
+def relative_breadth(powers: DataFrame, by: list[str], state: str, base: str) -> DataFrame:
+    """Spectral entropy over ln of the number of modes in ``state`` and in ``base``, and the difference (powers: by, state, mode, power)."""
+    w = W.partitionBy(*by, "state")
+    rows = powers.withColumns({"_q": F.col("power") / F.sum("power").over(w), "_n": F.count("*").over(w)})
+    h = rows.groupBy(*by, "state").agg((-F.sum(F.when(F.col("_q") > 0, F.col("_q") * F.ln("_q")).otherwise(0.0)) / F.ln(F.first("_n"))).alias("h"))
+    own = lambda s: F.max(F.when(F.col("state") == s, F.col("h")))
+    return h.groupBy(*by).agg(own(state).alias("in_state"), own(base).alias("in_base"), (own(state) - own(base)).alias("delta"))

@@ -309,3 +309,83 @@ def phase_gradient(phases: DataFrame, places: DataFrame, f0: float) -> DataFrame
     det = xx * yy - xy * xy
     fit = rows.groupBy("session_id", "idx").agg(((px * yy - py * xy) / det).alias("_gx"), ((py * xx - px * xy) / det).alias("_gy"))
     return fit.select("session_id", "idx", F.atan2("_gy", "_gx").alias("direction"), (2 * math.pi * f0 / (F.sqrt(F.col("_gx") ** 2 + F.col("_gy") ** 2) + 1e-12)).alias("speed"))
+
+
+def phase_to_amplitude(phases: DataFrame, reference: str, most: int) -> DataFrame:
+    """By how much the reference's phase (sine and cosine), ``lag`` steps before, raises the R² of each channel's amplitude over what its own
+    amplitude then says: from partial correlations."""
+    r = phases.where(F.col("channel") == reference).select("session_id", "idx", F.sin("phase").alias("_s"), F.cos("phase").alias("_c"))
+    before = phases.where(F.col("channel") != reference).select("session_id", "channel", "idx", F.col("amp").alias("_a")).join(r, ["session_id", "idx"])
+    before = before.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(most)))).withColumn("idx", F.col("idx") + F.col("lag"))
+    rows = phases.select("session_id", "channel", "idx", F.col("amp").alias("_y")).join(before, ["session_id", "channel", "idx"])
+    pairs = {f"{a}{b}": F.corr(f"_{a}", f"_{b}").alias(f"{a}{b}") for a, b in ("ya", "ys", "yc", "sa", "ca", "sc")}
+    own = rows.groupBy("session_id", "channel", "lag").agg(*pairs.values())
+    part = lambda x, y, xa, ya: (F.col(x + y) - F.col(xa) * F.col(ya)) / F.sqrt((1 - F.col(xa) ** 2) * (1 - F.col(ya) ** 2))
+    s, c, sc = part("y", "s", "sa", "ya"), part("y", "c", "ca", "ya"), part("s", "c", "sa", "ca")
+    gain = (1 - F.col("ya") ** 2) * (s * s + c * c - 2 * s * c * sc) / (1 - sc * sc)
+    return own.select("session_id", "channel", "lag", gain.alias("gain"))
+
+
+def directed_spectra(samples: DataFrame, order: int, lines: list[float], fs: float, ridge: float = 1e-8) -> DataFrame:
+    """Vector autoregression of each session's channels (the order up to ``order`` with the least BIC), and from it at each line the
+    directed transfer function (shares of a target's inflow) and partial directed coherence (shares of a source's outflow) of every
+    ordered pair. Only the lagged moments reach the kernel."""
+    import numpy as np
+    import pandas as pd
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(own["ca"].unique())
+        k, n = len(names), int(own["n"].max())
+        at = {(c, lag): lag * k + i for lag in range(order + 1) for i, c in enumerate(names)}
+        m = np.zeros((len(at), len(at)))
+        m[[at[x] for x in zip(own["ca"], own["la"], strict=True)], [at[x] for x in zip(own["cb"], own["lb"], strict=True)]] = own["s"]
+        tried = []
+        for p in range(1, order + 1):
+            past = m[k : k * (p + 1), k : k * (p + 1)]
+            a = np.linalg.solve(past + ridge * np.trace(past) / len(past) * np.eye(len(past)), m[k : k * (p + 1), :k]).T
+            noise = (m[:k, :k] - a @ m[k : k * (p + 1), :k]) / n
+            tried.append((n * np.linalg.slogdet(noise)[1] + k * k * p * np.log(n), p, a))
+        _, p, a = min(tried, key=lambda t: t[:2])
+        out = []
+        for f in lines:
+            b = np.eye(k) - sum(a[:, j * k : (j + 1) * k] * np.exp(-2j * np.pi * f * (j + 1) / fs) for j in range(p))
+            h = np.abs(np.linalg.inv(b)) ** 2
+            b = np.abs(b) ** 2
+            dtf, pdc = h / h.sum(1, keepdims=True), b / b.sum(0, keepdims=True)
+            out += [(own["session_id"].iloc[0], names[j], names[i], f, p, dtf[i, j], pdc[i, j]) for i in range(k) for j in range(k) if i != j]
+        return pd.DataFrame(out, columns=["session_id", "source", "target", "f0", "order", "dtf", "pdc"])
+
+    return lagged_moments(samples, order).groupBy("session_id").applyInPandas(run, "session_id string, source string, target string, f0 double, order int, dtf double, pdc double")
+
+
+def net_flow(spectra: DataFrame) -> DataFrame:
+    """For each channel and line what goes out of it less what comes in, by the directed transfer function."""
+    out = spectra.select("session_id", "f0", F.col("source").alias("channel"), "dtf").union(spectra.select("session_id", "f0", F.col("target").alias("channel"), -F.col("dtf")))
+    return out.groupBy("session_id", "f0", "channel").agg(F.sum("dtf").alias("net"))
+
+
+def frame_synchrony(r: DataFrame, samples_rms: DataFrame, half: int, guard: int, floor: float = 1e-7) -> DataFrame:
+    """Mean synchrony over the 2 half + 1 times around each, ``guard`` times off either end, null where the signal (session_id, idx, rms) is
+    flatter than ``floor`` there."""
+    around = W.partitionBy("session_id").orderBy("idx").rowsBetween(-half, half)
+    every = W.partitionBy("session_id")
+    rows = r.join(samples_rms, ["session_id", "idx"]).withColumns({"_r": F.avg("r").over(around), "_f": F.avg("rms").over(around), "_a": F.min("idx").over(every), "_b": F.max("idx").over(every)})
+    return rows.where(F.col("idx").between(F.col("_a") + guard, F.col("_b") - guard)).select("session_id", "idx", F.when(F.col("_f") >= floor, F.col("_r")).alias("r"))
+
+
+def sub_harmonic_locking(reads: DataFrame, reference: str, low: float, order: int, half: int) -> DataFrame:
+    """Locking of order times each channel's phase at low with the reference's phase at order * low, over the frames around each (at)."""
+    near = lambda f: F.abs(F.col("f0") - f) < 1e-9
+    r = reads.where((F.col("channel") == reference) & near(order * low)).select("session_id", "frame", F.atan2("im", "re").alias("_r"))
+    rows = reads.where((F.col("channel") != reference) & near(low)).join(r, ["session_id", "frame"])
+    rows = rows.withColumn("_d", order * F.atan2("im", "re") - F.col("_r")).withColumn("at", F.explode(F.sequence(F.col("frame") - half, F.col("frame") + half)))
+    found = rows.groupBy("session_id", "channel", "at").agg(F.sqrt(F.avg(F.cos("_d")) ** 2 + F.avg(F.sin("_d")) ** 2).alias("plv"), F.count("*").alias("_n"))
+    return found.where(F.col("_n") == 2 * half + 1).drop("_n")
+
+
+def peak_lag_null(samples: DataFrame, reference: str, most: int, n: int, reps: int, step: int) -> DataFrame:
+    """The strongest correlation with the reference at any lag up to ``most``, against that with the reference moved round by rep * step."""
+    r = samples.where(F.col("channel") == reference).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).select("session_id", "rep", F.pmod(F.col("idx") + F.col("rep") * step, F.lit(n)).alias("_i"), F.col("x").alias("_r"))
+    rows = samples.where(F.col("channel") != reference).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("_i", F.col("idx") - F.col("lag"))
+    each = rows.join(r, ["session_id", "_i"]).groupBy("session_id", "channel", "rep", "lag").agg(F.abs(F.corr("x", "_r")).alias("r"))
+    return significance(each.groupBy("session_id", "channel", "rep").agg(F.max("r").alias("r")), ["session_id", "channel"], "r")

@@ -739,3 +739,64 @@ def a3_field_power(spark, s):
 @query("SELECT user_id::VARCHAR AS session_id, event_type AS channel, count(*) AS n, r{sum(value)} AS total, r{max(epoch_us(ts) / 1e6) - min(epoch_us(ts) / 1e6)} AS span FROM events GROUP BY ALL", "one AS (SELECT 1)", 2, src.user_events)
 def a4_user_summary(spark, s):
     return s.groupBy("session_id", "channel").agg(F.count("*").alias("n"), F.sum("x").alias("total"), (F.max("t") - F.min("t")).alias("span"))
+
+
+@query(""", pa AS (SELECT y.session_id, y.channel, l::INT AS lag, corr(y.amp, a.amp) AS ya, corr(y.amp, sin(r.phase)) AS ys, corr(y.amp, cos(r.phase)) AS yc, corr(sin(r.phase), a.amp) AS sa, corr(cos(r.phase), a.amp) AS ca, corr(sin(r.phase), cos(r.phase)) AS sc
+  FROM ph y JOIN range(1, 4) q(l) ON true JOIN ph a ON a.session_id = y.session_id AND a.channel = y.channel AND a.idx = y.idx - l JOIN ph r ON r.session_id = y.session_id AND r.idx = a.idx WHERE r.channel = 'view' AND y.channel <> 'view' GROUP BY y.session_id, y.channel, l),
+ pp AS (SELECT *, (ys - sa * ya) / sqrt((1 - sa * sa) * (1 - ya * ya)) AS s, (yc - ca * ya) / sqrt((1 - ca * ca) * (1 - ya * ya)) AS c, (sc - sa * ca) / sqrt((1 - sa * sa) * (1 - ca * ca)) AS x FROM pa)
+ SELECT session_id, channel, lag, r{(1 - ya * ya) * (s * s + c * c - 2 * s * c * x) / (1 - x * x)} AS gain FROM pp""", READS, 5)
+def c23_phase_to_amplitude(spark, s):
+    return cp.phase_to_amplitude(phases(spark, s), REFERENCE, 3)
+
+
+@query()
+def c24_directed_spectra(spark, s):
+    return cp.directed_spectra(s, 3, [1 / 24, 1 / 12], 1.0)
+
+
+@query(" SELECT DISTINCT session_id, f0s AS f0, r{0.0} AS total FROM edges, (SELECT unnest([round(1.0::DOUBLE / 24, 6), round(1.0::DOUBLE / 12, 6)]) AS f0s)", READS)
+def c24_net_flow_total(spark, s):
+    """What leaves one channel comes to another: the net flows of a session sum to 0."""
+    return cp.net_flow(cp.directed_spectra(s, 3, [1 / 24, 1 / 12], 1.0)).groupBy("session_id", "f0").agg(F.sum("net").alias("total"))
+
+
+@query(", sy AS (SELECT session_id, idx, sqrt(avg(cos(phase)) ** 2 + avg(sin(phase)) ** 2) AS r, sqrt(avg(amp * amp)) AS rms FROM ph GROUP BY ALL), sw AS (SELECT session_id, idx, avg(r) OVER w AS r, avg(rms) OVER w AS f FROM sy WINDOW w AS (PARTITION BY session_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT session_id, idx, r{CASE WHEN f >= 1e-7 THEN r END} AS r FROM sw WHERE idx BETWEEN 2 AND 26", READS)
+def c12_frame_synchrony(spark, s):
+    p = phases(spark, s)
+    return cp.frame_synchrony(cp.synchrony(p), p.groupBy("session_id", "idx").agg(F.sqrt(F.avg(F.col("amp") ** 2)).alias("rms")), 2, 2)
+
+
+@query(f""" SELECT a.session_id, a.channel, k AS "at", r{{sqrt(avg(cos(2 * a.phase - b.phase)) ** 2 + avg(sin(2 * a.phase - b.phase)) ** 2)}} AS plv FROM range(3, 26) q(k) JOIN {_PD} a ON a.frame BETWEEN k - 3 AND k + 3 JOIN {_PD} b ON a.session_id = b.session_id AND a.frame = b.frame
+ WHERE b.channel = 'view' AND a.channel <> 'view' AND a.f0 < 0.05 AND b.f0 > 0.05 GROUP BY a.session_id, a.channel, k""", READS)
+def c10_sub_harmonic(spark, s):
+    return cp.sub_harmonic_locking(reads(spark, s), REFERENCE, 1 / 24, 2, 3)
+
+
+@query(", pl AS (SELECT a.session_id, a.channel, rep, l, abs(corr(a.x, b.x)) AS r FROM samples a, range(-3, 4) q(l), range(0, 20) u(rep), samples b WHERE b.session_id = a.session_id AND (b.idx + rep * 37) % 720 = a.idx - l AND b.channel = 'view' AND a.channel <> 'view' GROUP BY ALL), pm AS (SELECT session_id, channel, rep, max(r) AS r FROM pl GROUP BY ALL) " + _significance("pm", "session_id, channel", "r"))
+def c19_peak_lag_null(spark, s):
+    return cp.peak_lag_null(s, REFERENCE, 3, 720, 19, 37)
+
+
+@query(""", ps AS (SELECT session_id, channel, CASE WHEN t >= 240 AND t < 288 OR t >= 480 AND t < 528 THEN 'event' WHEN t >= 288 AND t < 336 THEN 'rebound' ELSE 'baseline' END AS state, avg(x * x) AS p FROM samples GROUP BY ALL), pq AS (SELECT *, p / sum(p) OVER w AS q, count(*) OVER w AS n FROM ps WINDOW w AS (PARTITION BY session_id, state)),
+ ph_ AS (SELECT session_id, state, -sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END) / ln(any_value(n)) AS h FROM pq GROUP BY ALL) SELECT session_id, r{max(h) FILTER (state = 'event')} AS in_state, r{max(h) FILTER (state = 'baseline')} AS in_base, r{max(h) FILTER (state = 'event') - max(h) FILTER (state = 'baseline')} AS delta FROM ph_ GROUP BY session_id""")
+def x14_breadth_contrast(spark, s):
+    labelled = jn.label_state(s, windows(spark), ["event", "rebound"], "baseline")
+    return cx.relative_breadth(labelled.groupBy("session_id", "state", F.col("channel").alias("mode")).agg(F.avg(F.col("x") ** 2).alias("power")), ["session_id"], "event", "baseline")
+
+
+@query(""", mf AS (SELECT session_id, channel, frame, sum(re * re + im * im) FILTER (f0 >= 0.02 AND f0 < 0.1) AS slow, sum(re * re + im * im) FILTER (f0 >= 0.1 AND f0 < 0.25) AS mid, sum(re * re + im * im) FILTER (f0 >= 0.25 AND f0 < 0.5) AS fast, max(sqrt(re * re + im * im)) FILTER (round(f0 * 48) = 2) AS amp FROM rs GROUP BY ALL)
+ SELECT session_id, frame, r{avg(slow)} AS slow, r{avg(mid)} AS mid, r{avg(fast)} AS fast, r{max(amp) FILTER (channel = 'view')} AS envelope FROM mf GROUP BY session_id, frame""", SPECTRA, 4)
+def m7_features_and_envelope(spark, s):
+    each = sp.band_features(sp.frame_spectra(s, WIN, STEP, 1.0, 0.0, 0.5), bands(spark), [b[0] for b in BANDS])
+    mean = each.groupBy("session_id", "frame").agg(*[F.avg(b[0]).alias(b[0]) for b in BANDS])
+    envelope = phases(spark, s).where(F.col("channel") == REFERENCE).select("session_id", F.col("idx").alias("frame"), F.col("amp").alias("envelope"))
+    return mean.join(envelope, ["session_id", "frame"])
+
+
+@query(""", ha AS (SELECT a.session_id, a.channel, a.idx, sum(b.x * (0.5 - 0.5 * cos(2 * pi() * (k + 4) / 8)) / 4) AS x FROM samples a, range(-3, 4) q(k), samples b WHERE b.session_id = a.session_id AND b.channel = a.channel AND b.idx = a.idx + k GROUP BY ALL),
+ hz AS (SELECT session_id, channel, idx, round((x - avg(x) OVER w) / (stddev_pop(x) OVER w + 1e-12), 9) >= 1.5 AS m FROM ha WINDOW w AS (PARTITION BY session_id, channel)), e AS MATERIALIZED (SELECT session_id, channel, idx FROM (SELECT *, lag(m, 1, false) OVER (PARTITION BY session_id, channel ORDER BY idx) AS was FROM hz) WHERE m AND NOT was),
+ t AS (SELECT session_id, channel, min(idx) AS onset FROM e GROUP BY ALL UNION ALL SELECT e.session_id, e.channel, min(e.idx) FROM t JOIN e ON t.session_id = e.session_id AND t.channel = e.channel AND e.idx - onset >= 12 GROUP BY e.session_id, e.channel)
+ SELECT session_id, channel, onset FROM t""", f"RECURSIVE {SAMPLES}")
+def e4_smoothed_bursts(spark, s):
+    z = cl.z_score(cl.hann_average(s, 3)).withColumn("z", F.round("z", 9))
+    return ev.debounced_onsets(z, F.col("z") >= 1.5, ["session_id", "channel"], 12)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from spectralake.functions import kernels
 from spectralake.operators import cleaning, complexity, coupling, events, graphs, inference, joins, spectral, states
@@ -190,3 +191,30 @@ def test_sign_flip_clusters(spark):
     got = inference.sign_flip_clusters(spark.createDataFrame(rows, "trial string, tau long, x double"), 100).toPandas()
     best = got.sort_values("mass").iloc[-1]
     assert best.start <= 5 and best.end >= 9 and best.significant
+
+
+def test_directed_spectra_follow_the_flow(spark):
+    rng = np.random.default_rng(8)
+    x, y, z = (np.zeros(2000) for _ in "xyz")
+    for i in range(1, 2000):
+        e = rng.normal(size=3)
+        x[i], y[i], z[i] = 0.5 * x[i - 1] + e[0], 0.4 * y[i - 1] + 0.6 * x[i - 1] + e[1], 0.3 * z[i - 1] + e[2]
+    found = coupling.directed_spectra(series(spark, x=x, y=y, z=z), 3, [0.1], 1.0)
+    got = found.toPandas().set_index(["source", "target"])
+    a = np.array([[0.5, 0, 0], [0.6, 0.4, 0], [0, 0, 0.3]])
+    b = np.eye(3) - a * np.exp(-0.2j * np.pi)
+    h, p = np.abs(np.linalg.inv(b)) ** 2, np.abs(b) ** 2
+    assert set(got.order) == {1} and abs(got.loc[("x", "y"), "dtf"] - h[1, 0] / h[1].sum()) < 0.05 and abs(got.loc[("x", "y"), "pdc"] - p[1, 0] / p[:, 0].sum()) < 0.05
+    assert got.drop(("x", "y")).dtf.max() < 0.02
+    net = coupling.net_flow(found).toPandas().set_index("channel").net
+    assert net["x"] > 0.2 > -0.2 > net["y"]
+
+
+def test_blocks_join_up(spark):
+    x = np.array([np.nan, 1, np.nan, np.nan, np.nan, np.nan, np.nan, 8, 9, np.nan])
+    s = series(spark, a=x).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    for block in (2, 3, 100):
+        got = cleaning.fill_gaps(s, block).orderBy("idx").toPandas().x
+        assert np.allclose(got, [1, 1, 13 / 6, 20 / 6, 27 / 6, 34 / 6, 41 / 6, 8, 9, 9])
+        total = cleaning.running_sum(series(spark, a=np.arange(10)), "x", "y", block).orderBy("idx").toPandas().y
+        assert np.allclose(total, np.cumsum(np.arange(10)))
