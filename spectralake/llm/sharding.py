@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+#: A group with more than a HOT-th of all rows is hot; there are fewer than HOT of these.
+HOT = 1000
+
+
 def _blocks(spark) -> int:
     return 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -17,14 +21,20 @@ def ordered(rows: DataFrame) -> DataFrame:
     """``rows`` (doc_id, size, text_crc32, digest, row_id) in group order, numbered over the whole table.
 
     Groups (equal digests) stand by their smallest doc_id; adds first_id, g (tells groups of one first_id
-    apart), n (1 for the first row) and total (bytes up to and with the row). The rows are dealt by range
-    into many blocks and summed inside a block; a row for each block gives the offsets. A hot group spreads
+    apart), n (1 for the first row) and total (bytes up to and with the row). A group with more than a HOT-th of all
+    rows learns its first_id by a broadcast, of which there can be HOT at most, so that no task gets a hot
+    group's rows; the others do by a join. The rows are dealt by range into many blocks and summed inside a block; a row for each block gives the offsets. A hot group spreads
     over blocks, since ids break its ties.
     """
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    first = written(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), "groups")
+    limit = (first.agg(F.sum("rows")).first()[0] or 0) / HOT
+    hot = F.broadcast(first.where(F.col("rows") > limit).select("digest", "first_id"))
+    columns = ["digest", "first_id", "doc_id", "row_id", "size", "text_crc32"]
+    known = rows.join(hot, "digest").select(columns)
+    others = rows.join(hot, "digest", "left_anti").join(first.where(F.col("rows") <= limit), "digest").select(columns)
     keys = ["first_id", "g", "doc_id", "row_id"]
     ranged = written(
-        rows.join(first, "digest").select("first_id", F.xxhash64("digest").alias("g"), "doc_id", "row_id", "size", "text_crc32")
+        known.union(others).select("first_id", F.xxhash64("digest").alias("g"), "doc_id", "row_id", "size", "text_crc32")
         .repartitionByRange(_blocks(rows.sparkSession), *keys).withColumn("block", F.spark_partition_id()),
         "ranged",
     )
