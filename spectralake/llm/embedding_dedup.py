@@ -19,9 +19,9 @@ CHUNK, CELL_ROWS = 1024, 20_000
 
 
 def plan_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """(bits, tables): bits keep buckets at about 16 unrelated vectors; tables then make the chance that a pair at the
+    """(bits, tables): bits keep buckets at about 128 unrelated vectors; tables then make the chance that a pair at the
     threshold meets in one of them at least ``recall``."""
-    bits = min(30, max(6, math.ceil(math.log2(max(2, n))) - 4))
+    bits = min(30, max(6, math.ceil(math.log2(max(2, n))) - 7))
     meets = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meets))
 
@@ -49,7 +49,8 @@ def sign_tables(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFr
                 # A scale keeps products of huge components finite; signs do not depend on it.
                 signs = (x / np.abs(x).max(1, keepdims=True)) @ planes[dim] >= 0
                 out[own] = signs.reshape(len(own), tables, bits) @ (1 << np.arange(bits))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(out), pa.list_(pa.int32()))], [*batch.schema.names, "signs"])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, flat], [*batch.schema.names, "signs"])
 
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
