@@ -88,3 +88,37 @@ def gaussian_measures(cov: np.ndarray) -> tuple[float, float, float]:
     # Entropy of a variable given all others is that of 1 / its diagonal entry of the inverse.
     dual = 0.5 * (logdet + np.log(np.diag(np.linalg.inv(cov))).sum())
     return float(total), float(dual), float(total - dual)
+
+
+def digamma(x: float) -> float:
+    """Logarithmic derivative of the gamma function, by recurrence up to 6 and its asymptotic series."""
+    out = 0.0
+    while x < 6:
+        out -= 1 / x
+        x += 1
+    return out + np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+
+
+def knn_entropy(points: np.ndarray, k: int = 4) -> float:
+    """Entropy of a sample (rows) from the distance (largest coordinate) of each point to its k-th neighbour."""
+    n, d = points.shape
+    gap = np.abs(points[:, None, :] - points[None, :, :]).max(2)
+    radius = np.maximum(np.partition(gap, k, axis=1)[:, k], 1e-12)
+    return float(digamma(n) - digamma(k) + d * np.log(2 * radius).mean())
+
+
+def welch_power(x: np.ndarray, win: int, fs: float) -> np.ndarray:
+    """Power density of a series by half-overlapping Hann frames without their mean."""
+    rows = np.lib.stride_tricks.sliding_window_view(x, win)[:: win // 2]
+    z = np.fft.rfft((rows - rows.mean(1, keepdims=True)) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(win) / win)), axis=1)
+    return (np.abs(z) ** 2).mean(0) * 2 / (fs * win * 0.375)
+
+
+def fractal_power(x: np.ndarray, win: int, fs: float, factors: np.ndarray) -> np.ndarray:
+    """Spectrum that stays when the time axis is stretched: for each factor the geometric mean of the spectra of the series stretched and
+    shrunk by it, and the median over factors. Lines move with the axis, and so fall out of the median."""
+    at, found = np.arange(len(x)), []
+    for h in factors:
+        longer, shorter = (np.interp(np.arange(0, len(x) - 1, step), at, x) for step in (1 / h, h))
+        found.append(np.sqrt(welch_power(longer, win, fs) * welch_power(shorter, win, fs)))
+    return np.median(found, axis=0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import gaussian_measures
 from .cleaning import running_sum
-from .joins import gram
+from .joins import channel_pairs
 
 KEYS = ["session_id", "channel"]
 
@@ -67,20 +67,46 @@ def spectrum_breadth(powers: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg((-F.sum(F.when(F.col("_q") > 0, F.col("_q") * F.ln("_q")).otherwise(0.0))).alias("entropy"), (1 / F.sum(F.col("_q") ** 2)).alias("participation"), F.sum(F.when(F.col("_rank") <= F.ceil(F.col("_n") * 0.1), F.col("_q")).otherwise(0.0)).alias("top_share"))
 
 
-def gaussian_information(samples: DataFrame) -> DataFrame:
-    """Total and dual total correlation and O-information of each session's channels, from their covariances.
+def gaussian_information(samples: DataFrame, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """Total and dual total correlation and O-information of the channels of each session (and what else ``by`` names), from their covariances.
 
     Only the covariances, a row for each two channels, reach the kernel.
     """
-    spread = samples.groupBy("session_id", "channel").agg(F.var_pop("x").alias("cov")).select("session_id", F.col("channel").alias("ch_i"), F.col("channel").alias("ch_j"), "cov")
-    pairs = gram(samples).select("session_id", "ch_i", "ch_j", "cov").unionByName(spread)
+    keys = list(by)
+    spread = samples.groupBy(*keys, "channel").agg(F.var_pop("x").alias("cov")).select(*keys, F.col("channel").alias("ch_i"), F.col("channel").alias("ch_j"), "cov")
+    pairs = channel_pairs(samples, by=(*keys, "idx")).groupBy(*keys, "ch_i", "ch_j").agg(F.covar_pop("xi", "xj").alias("cov")).unionByName(spread)
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         upper = own.pivot(index="ch_i", columns="ch_j", values="cov").to_numpy()
         cov = np.where(np.isnan(upper), upper.T, upper)
-        return pd.DataFrame([[own["session_id"].iloc[0], *gaussian_measures(cov)]], columns=["session_id", "total", "dual", "o_information"])
+        return pd.DataFrame([[*own[keys].iloc[0], *gaussian_measures(cov)]], columns=[*keys, "total", "dual", "o_information"])
 
-    return pairs.groupBy("session_id").applyInPandas(run, "session_id string, total double, dual double, o_information double")
+    kinds = dict(samples.dtypes)
+    return pairs.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", total double, dual double, o_information double")
+
+
+def integration(phases: DataFrame, half: int) -> DataFrame:
+    """0.7 times the total correlation of the channels' amplitudes plus 0.3 times the entropy of their locking graph, over the times around
+    each (session_id, at, score)."""
+    from .coupling import phase_edges
+    from .graphs import matrix_measures
+
+    ends = phases.groupBy("session_id").agg(F.max("idx").alias("_last"))
+    around = phases.join(ends, "session_id").withColumn("at", F.explode(F.sequence(F.col("idx") - half, F.col("idx") + half))).where((F.col("at") >= half) & (F.col("at") <= F.col("_last") - half))
+    total = gaussian_information(around.withColumn("x", F.col("amp")), ("session_id", "at"))
+    graph = matrix_measures(phase_edges(around, ["session_id", "at"]).select("session_id", "at", "ch_i", "ch_j", F.col("plv").alias("w")), ["session_id", "at"])
+    return total.join(graph, ["session_id", "at"]).select("session_id", "at", (0.7 * F.col("total") + 0.3 * F.col("entropy")).alias("score"))
+
+
+def against_envelope(scores: DataFrame, envelope: DataFrame, reps: int) -> DataFrame:
+    """Correlation of a score (session_id, at, score) with an envelope (session_id, at, amp), against that with the envelope moved round."""
+    from .coupling import shifted, significance
+
+    order = W.partitionBy("session_id").orderBy("at")
+    rows = scores.join(envelope, ["session_id", "at"]).withColumn("k", (F.row_number().over(order) - 1).cast("long"))
+    moved = shifted(rows.select("session_id", "k", "amp"), F.lit(True), reps, "k")
+    each = rows.select("session_id", "k", "score").join(moved, ["session_id", "k"]).groupBy("session_id", "rep").agg(F.corr("score", "amp").alias("r"))
+    return significance(each, ["session_id"], "r")
 
 
 def _tiles(points: DataFrame, size: int) -> DataFrame:

@@ -389,3 +389,35 @@ def peak_lag_null(samples: DataFrame, reference: str, most: int, n: int, reps: i
     rows = samples.where(F.col("channel") != reference).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("_i", F.col("idx") - F.col("lag"))
     each = rows.join(r, ["session_id", "_i"]).groupBy("session_id", "channel", "rep", "lag").agg(F.abs(F.corr("x", "_r")).alias("r"))
     return significance(each.groupBy("session_id", "channel", "rep").agg(F.max("r").alias("r")), ["session_id", "channel"], "r")
+
+
+def transfer_entropy(samples: DataFrame, reference: str, lags: list[int], block: int = 360, k: int = 4) -> DataFrame:
+    """Transfer entropy between each channel and the reference, both ways, at each lag: entropies by k-th neighbours within blocks of
+    ``block`` samples, averaged over the blocks of a recording.
+
+    The series are taken in units of their sd. A block with fewer than 8 k points is left out.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from ..functions.kernels import knn_entropy
+    from .cleaning import z_score
+
+    z = z_score(samples).select("session_id", "channel", "idx", F.col("z").alias("x"))
+    r = z.where(F.col("channel") == reference).select("session_id", "idx", F.col("x").alias("r"))
+    both = z.where(F.col("channel") != reference).join(r, ["session_id", "idx"]).withColumn("block", F.floor(F.col("idx") / block))
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("idx")
+        out = []
+        for lag in lags:
+            if len(own) - lag >= 8 * k:
+                for way, x, y in (("from_reference", own["r"], own["x"]), ("to_reference", own["x"], own["r"])):
+                    x, y = x.to_numpy(), y.to_numpy()
+                    f, p, s = y[lag:], y[:-lag], x[:-lag]
+                    h = lambda *columns: knn_entropy(np.column_stack(columns), k)
+                    out.append((own["session_id"].iloc[0], own["channel"].iloc[0], way, lag, h(f, p) - h(p) - h(f, p, s) + h(p, s)))
+        return pd.DataFrame(out, columns=["session_id", "channel", "direction", "lag", "te"])
+
+    found = both.groupBy("session_id", "channel", "block").applyInPandas(run, "session_id string, channel string, direction string, lag int, te double")
+    return found.groupBy("session_id", "channel", "direction", "lag").agg(F.avg("te").alias("te"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.kernels import analytic_band, high_passed
+from ..functions.kernels import analytic_band, fractal_power, high_passed, welch_power
 from .cleaning import frames
 
 
@@ -301,3 +301,26 @@ def overtone_index(spectra: DataFrame, by: list[str], f0: float, half: float, mo
     near = lambda k: F.avg(F.when(F.abs(F.col("f") - k * f0) <= half, F.col("p")))
     over = sum((near(k) for k in range(3, most + 1)), near(2))
     return spectra.groupBy(*by).agg((over / F.nullif(near(1), F.lit(0.0))).alias("stack_index"))
+
+
+def fractal_split(samples: DataFrame, win: int, fs: float, size: int = 4096) -> DataFrame:
+    """Power of each bin by block of ``size`` samples, averaged over blocks, and how much of it is fractal and how much oscillates.
+
+    Factors go from 1.1 to 1.9; blocks too short for two frames when shrunk go.
+    """
+    packed = samples.groupBy("session_id", "channel", F.floor(F.col("idx") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s"))
+    factors = np.arange(1.1, 1.95, 0.05)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for row in part.itertuples():
+                x = np.array([v["x"] for v in row.s], float)
+                if len(x) >= 2 * 1.5 * win:
+                    out.append((row.session_id, row.channel, welch_power(x, win, fs), fractal_power(x, win, fs, factors)))
+            yield pd.DataFrame(out, columns=["session_id", "channel", "p", "q"])
+
+    found = packed.select("session_id", "channel", "s").mapInPandas(run, "session_id string, channel string, p array<double>, q array<double>")
+    each = found.select("session_id", "channel", F.posexplode(F.arrays_zip("p", "q")).alias("k", "v")).where("k > 0")
+    own = each.groupBy("session_id", "channel", (F.col("k") * fs / win).alias("f")).agg(F.avg("v.p").alias("p"), F.avg("v.q").alias("fractal"))
+    return own.withColumn("oscillatory", F.col("p") - F.col("fractal"))

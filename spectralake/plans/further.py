@@ -800,3 +800,39 @@ def m7_features_and_envelope(spark, s):
 def e4_smoothed_bursts(spark, s):
     z = cl.z_score(cl.hann_average(s, 3)).withColumn("z", F.round("z", 9))
     return ev.debounced_onsets(z, F.col("z") >= 1.5, ["session_id", "channel"], 12)
+
+
+@query()
+def c27_transfer_entropy(spark, s):
+    return cp.transfer_entropy(_smooth(s), REFERENCE, [6, 12])
+
+
+@query()
+def x6_integration(spark, s):
+    p = phases(spark, s)
+    envelope = p.where(F.col("channel") == REFERENCE).select("session_id", F.col("idx").alias("at"), "amp")
+    return cx.against_envelope(cx.integration(p, 7), envelope, 14)
+
+
+@query()
+def c1_slow_envelope(spark, s):
+    """Envelope of a band, and the phase of its slow changes."""
+    fast = sp.band_phase(sp.blocks_of(s, 240, 96, 1.0), spark.createDataFrame([("daily", 0.03, 0.06)], "band string, f_lo double, f_hi double"))
+    envelope = fast.select("session_id", "channel", "idx", F.col("amp").alias("x"))
+    slow = sp.band_phase(sp.blocks_of(envelope, 240, 240, 1.0), spark.createDataFrame([("slow", 0.004, 0.015)], "band string, f_lo double, f_hi double"))
+    return slow.select("session_id", "channel", "idx", "amp", "phase")
+
+
+@query()
+def g11_state_graphs(spark, s):
+    """Minimum cut and Laplacian entropy of the locking graphs in and out of the events."""
+    labelled = jn.label_state(phases(spark, s).withColumn("t", F.col("idx") * STEP), windows(spark), ["event", "rebound"], "baseline")
+    graph = cp.phase_edges(labelled, ["session_id", "state"]).select("session_id", "state", "ch_i", "ch_j", F.col("plv").alias("w"))
+    found = gr.matrix_measures(graph, ["session_id", "state"])
+    long = found.unpivot(["session_id", "state"], ["min_cut", "entropy"], "metric", "value")
+    return inf.state_contrast(long, ["session_id", "metric"])
+
+
+@query()
+def f22_fractal_split(spark, s):
+    return sp.fractal_split(s, WIN, 1.0)

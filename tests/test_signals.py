@@ -218,3 +218,60 @@ def test_blocks_join_up(spark):
         assert np.allclose(got, [1, 1, 13 / 6, 20 / 6, 27 / 6, 34 / 6, 41 / 6, 8, 9, 9])
         total = cleaning.running_sum(series(spark, a=np.arange(10)), "x", "y", block).orderBy("idx").toPandas().y
         assert np.allclose(total, np.cumsum(np.arange(10)))
+
+
+def test_transfer_entropy_follows_the_drive(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=720), np.zeros(720)
+    for i in range(1, 720):
+        y[i] = 0.9 * x[i - 1] + 0.3 * rng.normal()
+    got = coupling.transfer_entropy(series(spark, x=x, y=y), "x", [1]).toPandas().set_index("direction").te
+    assert got["from_reference"] > 0.4 > 0.2 > got["to_reference"]
+    assert abs(kernels.knn_entropy(rng.normal(size=(800, 1))) - 0.5 * np.log(2 * np.pi * np.e)) < 0.1 and abs(kernels.digamma(1.0) + 0.5772156649) < 1e-8
+
+
+def test_integration_tells_the_coupled(spark):
+    rng = np.random.default_rng(10)
+    rows = []
+    for i in range(60):
+        base = rng.normal()
+        for c in "pqr":
+            both = base if i < 30 else rng.normal()
+            rows.append(("a", c, i, float(both + 0.05 * rng.normal()), float(3 + both + 0.3 * rng.normal())))
+    p = spark.createDataFrame(rows, "session_id string, channel string, idx long, phase double, amp double")
+    got = complexity.integration(p, 6).toPandas().sort_values("at")
+    assert len(got) == 48 and got.score.iloc[:15].min() > got.score.iloc[-15:].max()
+    envelope = spark.createDataFrame([("a", i, 1.0 if i < 30 else 0.0) for i in range(60)], "session_id string, at long, amp double")
+    assert complexity.against_envelope(complexity.integration(p, 6), envelope, 20).first().r > 0.7
+
+
+def test_a_line_is_no_fractal(spark):
+    rng = np.random.default_rng(11)
+    x = np.cumsum(rng.normal(size=4096)) * 0.2
+    x -= x.mean()
+    got = spectral.fractal_split(series(spark, a=x + 3 * np.sin(2 * np.pi * 0.125 * np.arange(4096))), 256, 1.0).toPandas().set_index("f")
+    base = got.fractal[(got.index > 0.1) & (got.index < 0.15)].median()
+    assert got.p[0.125] > 20 * base and got.fractal[0.125] < 4 * base and got.oscillatory[0.125] > 0.8 * got.p[0.125]
+
+
+def test_slow_phase_of_an_envelope(spark):
+    t = np.arange(1440)
+    x = (2 + np.cos(2 * np.pi * t / 120)) * np.sin(2 * np.pi * t / 24)
+    fast = spectral.band_phase(spectral.blocks_of(series(spark, a=x), 480, 240, 1.0), spark.createDataFrame([("d", 0.025, 0.07)], "band string, f_lo double, f_hi double"))
+    slow = spectral.band_phase(spectral.blocks_of(fast.withColumnRenamed("amp", "x").select("session_id", "channel", "idx", "x"), 480, 480, 1.0), spark.createDataFrame([("s", 0.004, 0.015)], "band string, f_lo double, f_hi double"))
+    got = slow.where("idx between 400 and 1000").orderBy("idx").toPandas()
+    assert np.abs(np.angle(np.exp(1j * (got.phase - 2 * np.pi * got.idx / 120)))).max() < 0.3 and abs(got.amp.mean() - 1) < 0.15
+
+
+def test_changes_follow_the_amplitude(spark):
+    rng = np.random.default_rng(12)
+    label, rows, amps = "x", [], []
+    for i in range(400):
+        amp = rng.random()
+        if amp > 0.7 and rng.random() < 0.9:
+            label = "y" if label == "x" else "x"
+        rows.append(("a", i, label))
+        amps.append(("a", i, float(amp)))
+    labels, amplitude = spark.createDataFrame(rows, "session_id string, idx long, label string"), spark.createDataFrame(amps, "session_id string, idx long, amp double")
+    model, auc = states.change_regression(labels, amplitude).first(), states.change_auc(labels, amplitude).first()
+    assert model.coefficient > 3 and model.auc > 0.9 and abs(model.auc - auc.auc) < 0.02
