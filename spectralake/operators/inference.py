@@ -163,7 +163,10 @@ def sign_flip_clusters(trials: DataFrame, reps: int, share: float = 0.95) -> Dat
     every = trials.sparkSession.range(1, reps + 1).select(F.col("id").alias("rep"))
     null = every.join(mass.where("rep > 0").groupBy("rep").agg(F.max("mass").alias("top")), "rep", "left").select("rep", F.coalesce("top", F.lit(0.0)).alias("top"))
     own = mass.where("rep = 0").select("start", "end", "mass")
-    counts = own.crossJoin(null).groupBy("start", "end", "mass").agg(((F.count_if(F.round(F.col("top") - F.col("mass"), 9) >= 0) + 1) / (F.count("*") + 1)).alias("p"))
+    # One row with a value for each rep, of which there are as many as asked for.
+    tops = F.broadcast(null.agg(F.collect_list("top").alias("_tops")))
+    above = F.size(F.filter("_tops", lambda t: F.round(t - F.col("mass"), 9) >= 0))
+    counts = own.crossJoin(tops).select("start", "end", "mass", ((above + 1) / (F.size("_tops") + 1)).alias("p"))
     return counts.withColumn("significant", F.col("p") <= 1 - share + 1e-9)
 
 

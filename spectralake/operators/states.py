@@ -225,6 +225,6 @@ def occupancy_boost(labels: DataFrame, onsets: DataFrame, n: int, span: int, rep
     near = epochs(labels, moved, span, span)
     every = labels.groupBy("label").agg((F.count("*") / labels.count()).alias("_all"))
     total = near.groupBy("rep").agg(F.count("*").alias("_t"))
-    grid = every.crossJoin(total)
+    grid = every.crossJoin(F.broadcast(total))  # a row for each rep
     found = grid.join(near.groupBy("rep", "label").agg(F.count("*").alias("_c")), ["rep", "label"], "left")
     return significance(found.select("rep", "label", (F.coalesce("_c", F.lit(0)) / F.col("_t") / F.col("_all")).alias("boost")), ["label"], "boost")
