@@ -283,29 +283,31 @@ def _model(path: str) -> PieceModel:
     return PieceModel.load(path)
 
 
-def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, verify: bool = False) -> DataFrame:
     """``docs`` (doc_id, text) with ``ids`` (pieces of the likeliest segmentation), ``score`` (its log probability)
     and ``n_bytes`` (ids that stand for single bytes); one pass, no shuffle.
 
     ``model`` is the path of a model file that every executor has. Spaces become marks after one leading mark;
     pieces never go on over a mark, so the best segmentation of a text is that of its segments. A slice of
-    text is parted into segments at once, each distinct one of which is solved once. Characters without a piece fall back to their bytes. Null stays null
-    with no ids (null); an empty text is a lone mark. Ids may be null or repeat: a row gives a row. Other
-    columns are ignored; no rows give no rows.
+    text is parted into segments at once, each distinct one of which is solved once. Characters without a piece fall back to
+    their bytes. ``verify``: in the same pass the ids are decoded again, and ``round_trip``, whether they give the text, takes
+    the place of the text. Null stays null with no ids (null), and goes round; an empty text is a lone mark. Ids may be
+    null or repeat: a row gives a row. Other columns are ignored; no rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(model)
         for batch in batches:
             for part in slices(batch, limit=ENCODE_BYTES):
-                texts = part.column("text")
+                texts = part.column("text").cast(pa.string())
                 none = texts.is_null().to_numpy(zero_copy_only=False)
                 flat, offsets, scores = own.encode(texts)
                 n_bytes = np.diff(np.r_[0, np.cumsum(own.is_byte[flat])][offsets])
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat), mask=pa.array(none))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), texts.cast(pa.string()), ids, pa.array(scores, mask=none), pa.array(n_bytes, mask=none)], ["doc_id", "text", "ids", "score", "n_bytes"])
+                second = pc.fill_null(pc.equal(own.decode(ids), texts), True) if verify else texts
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), second, ids, pa.array(scores, mask=none), pa.array(n_bytes, mask=none)], ["doc_id", "round_trip" if verify else "text", "ids", "score", "n_bytes"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, text string, ids array<int>, score double, n_bytes long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, f"doc_id long, {'round_trip boolean' if verify else 'text string'}, ids array<int>, score double, n_bytes long")
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
