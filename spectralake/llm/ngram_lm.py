@@ -14,7 +14,7 @@ from .common import Words, mix, rolled, starts_of, written
 #: N-grams of up to ORDER words; longer than one word they need CUTOFF occurrences, else they back off by ALPHA.
 ORDER, CUTOFF, ALPHA = 2, 2, 0.4
 #: Bytes of text that are counted in one piece, and that one bucket of the count tables stands for.
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 2 << 20
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
 
 
 def ngrams(texts: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -41,15 +41,20 @@ def _unplane(data: bytes, kind=np.uint64) -> np.ndarray:
 
 
 def _distinct(texts: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    grams, _ = ngrams(texts, order)
-    every = np.concatenate(grams)
-    return np.unique(every[every != 0], return_counts=True)
+    """Distinct n-grams of all lengths in order of their hash, and how often each stands there."""
+    found = [np.unique(g[g != 0], return_counts=True) for g in ngrams(texts, order)[0]]
+    every, counts = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    order_ = np.argsort(every, kind="stable")
+    every, counts = every[order_], counts[order_]
+    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.empty(0, np.int64)
+    return every[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _cuts(distinct: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket of a sorted list of hashes begins: buckets are equal ranges of hashes."""
-    edges = [-(-(b << 64) // buckets) for b in range(buckets)]
-    return np.r_[np.searchsorted(distinct, np.array(edges, np.uint64)), len(distinct)]
+def _dealt(values: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of the buckets that sorted hashes fall in: buckets are equal ranges of hashes."""
+    own = ((values >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else np.empty(0, np.int64)
+    return [(int(own[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, alpha: float = ALPHA) -> DataFrame:
@@ -63,7 +68,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, a
     Blocks of documents count their own distinct n-grams first, so a frequent n-gram is one entry a block. The
     entries go to the bucket of their hash, where the corpus' counts are summed: a count table partitioned by
     hash. Joined back to each block's entries they return to the block, whose documents sum their words'
-    scores. Entries travel as sorted hashes; hashes have 64 bits.
+    scores. Entries travel as sorted hashes of 64 bits; a block makes no more rows than it has entries, however many
+    buckets there are.
 
     Returns doc_id, n_words, score (sum of natural logs) and mean_score (null without words). Null and empty texts have
     no words and score 0. Ids may be null or repeat, a row gives a row; other columns are ignored.
@@ -74,8 +80,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, a
 
     def ask(rows: pa.Table) -> pa.Table:
         distinct, counts = _distinct(rows.column("text"), order)
-        cuts, block = _cuts(distinct, buckets), rows.column("block")[0].as_py()
-        out = [(block, b, _plane(np.diff(distinct[x:y], prepend=np.uint64(0))), _plane(counts[x:y].astype(np.uint64))) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if x < y]
+        block = rows.column("block")[0].as_py()
+        out = [(block, b, _plane(np.diff(distinct[x:y], prepend=np.uint64(0))), _plane(counts[x:y].astype(np.uint64))) for b, x, y in _dealt(distinct, buckets)]
         return pa.Table.from_pylist([dict(zip(asked.names, r, strict=True)) for r in out], schema=asked)
 
     def answer(rows: pa.Table) -> pa.Table:
@@ -88,8 +94,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, a
 
     def score(rows: pa.Table, known: pa.Table) -> pa.Table:
         grams, sizes = ngrams(rows.column("text"), order)
-        distinct = np.concatenate(grams)
-        distinct = np.unique(distinct[distinct != 0])
+        distinct = np.unique(np.concatenate([np.unique(g[g != 0]) for g in grams]))
         found = sorted(zip(known.column("bucket").to_pylist(), known.column("totals").to_pylist(), strict=True))
         totals = np.concatenate([_unplane(x, np.int64) for _, x in found]) if found else np.empty(0, np.int64)
         n = len(grams[0])

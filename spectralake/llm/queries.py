@@ -12,7 +12,7 @@ from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .ngram_lm import score_documents
-from .piece_codec import decode_pieces, encode_pieces
+from .piece_codec import encode_pieces
 from .secret_scan import scan_secrets
 from .sharding import minimax_shards
 from .toxicity import ToxicityModel, labelled_sample, score_toxicity
@@ -74,8 +74,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), pieces(spark)), pieces(spark))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "n_bytes", F.round("score", 4).alias("score"), F.xxhash64("ids").alias("ids_hash"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    coded = encode_pieces(table(spark, sf_dir, "documents"), pieces(spark), verify=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "n_bytes", F.round("score", 4).alias("score"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_toxicity, op4_embedding_near_dedup, op5_license_scan, op6_sharding, op7_source_mixing, op8_jaccard_join, op9_secret_scan, op10_sentencepiece)}
@@ -96,6 +96,13 @@ ORACLE_SQL = {
         a AS (SELECT doc_id, sum(x) AS x FROM s GROUP BY doc_id)
         SELECT d.doc_id, len(ws)::BIGINT AS n_words, round(coalesce(x, 0), 3) AS score, CASE WHEN len(ws) > 0 THEN round(x / len(ws), 5) END AS mean_score
         FROM d LEFT JOIN a USING (doc_id)""",
+    "op4_embedding_near_dedup": r"""
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        g AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS l FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        k AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE a.l > 0 AND b.l > 0 AND list_inner_product(a.e, b.e) / (a.l * b.l) >= 0.9),
+        n AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+        r AS (SELECT vec_id AS id, vec_id AS low FROM v UNION SELECT n.b, r.low FROM r JOIN n ON n.a = r.id WHERE r.low < n.b)
+        SELECT vec_id, (SELECT count(*) FROM n WHERE n.a = vec_id) AS n_links, (SELECT min(low) FROM r WHERE r.id = vec_id) AS component_id, vec_id = (SELECT min(low) FROM r WHERE r.id = vec_id) AS kept FROM v""",
     "op7_source_mixing": r"""
         WITH r AS (SELECT doc_id, 'domain' || (ascii(substr(md5(coalesce(source, '')), 1, 1)) % 4) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents),
@@ -115,4 +122,14 @@ ORACLE_SQL = {
         e AS (SELECT *, CASE WHEN tokens > 0 THEN alloc // tokens ELSE 0 END AS epochs FROM a3),
         k AS (SELECT r.*, alloc, epochs, alloc - epochs * tokens AS rest, md5('7:' || epochs || ':' || doc_id) AS key FROM r JOIN e USING (domain, lang, source))
         SELECT doc_id, domain, lang, source, n_tokens, alloc, (epochs + (sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) <= rest)::INT)::BIGINT AS copies FROM k""",
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [list_aggregate(ws, 'string_agg', ' ') || ' .'] ELSE list_transform(range(1, len(ws) - 3), lambda i: list_aggregate(ws[i:i + 4], 'string_agg', ' ')) END) AS g FROM w)),
+        c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        k AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * m >= 75 * (x.n + y.n - m)),
+        l AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+        r AS (SELECT doc_id AS id, doc_id AS low FROM w UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.id WHERE r.low < l.b),
+        f AS (SELECT id, min(low) AS low FROM r GROUP BY id)
+        SELECT w.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, f.low AS component_id FROM w LEFT JOIN c USING (doc_id) JOIN f ON f.id = w.doc_id""",
 }
