@@ -33,14 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage."""
+    """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage; it goes with the session, or by :func:`forget`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spectralake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`written` made and that nothing reads any more."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -169,11 +178,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = written(large, "large")
+        forget(e)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         e = written(
             large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct(),
             "small",
         )
+        forget(large)
         now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if tuple(now) == seen:
             break

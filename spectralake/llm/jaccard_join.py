@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED, Words, connected_components, mix, rolled, slices, starts_of, written
+from .common import FOLDED, Words, connected_components, forget, mix, rolled, slices, starts_of, written
 
 #: Sets link when DEN * intersection >= NUM * union.
 NUM, DEN, WIDTH = 75, 100, 5
@@ -188,10 +188,12 @@ def _shared(own: pd.DataFrame) -> pd.DataFrame:
 
 def _elements_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id and elements of the documents ``ids`` (id) names; only these are read again."""
-    ids = written(ids, "ids")
-    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
-    wanted = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    return written(set_rows(wanted, arrays=True).select("doc_id", "elements"), "elements")
+    named = written(ids, "ids")
+    small = F.broadcast(named) if named.count() <= MAX_BROADCAST else named
+    wanted = docs.select("doc_id", "text").join(small, F.col("doc_id") == F.col("id"), "left_semi")
+    out = written(set_rows(wanted, arrays=True).select("doc_id", "elements"), "elements")
+    forget(named)
+    return out
 
 
 def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -199,7 +201,9 @@ def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sets = _elements_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs)
     a, b = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    return written(pairs.join(a, "a").join(b, "b").where(DEN * common >= NUM * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    links = written(pairs.join(a, "a").join(b, "b").where(DEN * common >= NUM * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    forget(sets)
+    return links
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray], rare: int = 256, width: int = 2048) -> np.ndarray:
@@ -282,7 +286,9 @@ def _hot_links(hot: DataFrame, docs: DataFrame) -> DataFrame:
     placed = placed.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component")
     sets = _elements_of(members.select(F.col("doc").alias("id")).distinct(), docs)
     cells = placed.join(sets, placed["doc"] == sets["doc_id"]).select("cluster", "i", "j", "own", "component", "elements")
-    return written(cells.groupBy("cluster", "i", "j").applyInPandas(_cell_links, "a long, b long"), "hot-links")
+    links = written(cells.groupBy("cluster", "i", "j").applyInPandas(_cell_links, "a long, b long"), "hot-links")
+    forget(sets, members)
+    return links
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
