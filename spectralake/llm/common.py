@@ -160,6 +160,20 @@ def starts_of(sizes: np.ndarray) -> np.ndarray:
     return np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else sizes
 
 
+def list_matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The matrix of a list column whose rows all have ``width`` entries, none null."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def summed(rows: DataFrame, keys: list[str], column: str, kind: str) -> dict[tuple, list]:
+    """The sums, place by place and as ``kind``, of an array column, by key: as many numbers as the arrays of all keys have places."""
+    places = rows.select(*keys, F.posexplode(column).alias("place", "value")).groupBy(*keys, "place").agg(F.sum(F.col("value").cast(kind)).alias("value"))
+    out: dict[tuple, list] = {}
+    for r in places.orderBy(*keys, "place").collect():
+        out.setdefault(tuple(r[k] for k in keys), []).append(r["value"])
+    return out
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b); component is the smallest node reachable.
 

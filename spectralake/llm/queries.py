@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroid_clustering import cluster
 from .common import table
 from .embedding_dedup import near_duplicates
 from .exact_dedup import exact_dedup
@@ -13,9 +14,11 @@ from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .ngram_lm import score_documents
 from .piece_codec import encode_pieces
+from .quality import score_quality
 from .secret_scan import scan_secrets
 from .sharding import minimax_shards
 from .toxicity import ToxicityModel, labelled_sample, score_toxicity
+from .whitening import whiten
 
 
 def pieces(spark: SparkSession) -> str:
@@ -78,7 +81,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "n_bytes", F.round("score", 4).alias("score"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_toxicity, op4_embedding_near_dedup, op5_license_scan, op6_sharding, op7_source_mixing, op8_jaccard_join, op9_secret_scan, op10_sentencepiece)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each usable vector and leading axis (numbered from 1)."""
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    axes = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "axis")
+    return found.select("vec_id", "n", "deviation", "identity_error", axes).select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "axis.whitened", "axis.explained", "identity_error")
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document, labelled or not."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector of 64 finite components."""
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_toxicity, op4_embedding_near_dedup, op5_license_scan, op6_sharding, op7_source_mixing, op8_jaccard_join, op9_secret_scan, op10_sentencepiece, op11_embedding_whitening, op12_quality, op13_centroid_clustering)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
