@@ -179,7 +179,7 @@ class QualityModel:
         classes = []
         for m, s in zip(means, spreads, strict=True):
             c = (1 - pooled) * s + pooled * inner
-            c = (1 - round_) * c + round_ * max(np.trace(c) / p, 1e-6) * np.eye(p)
+            c = (1 - round_) * c + round_ * max(np.trace(c) / p, 0.01) * np.eye(p)
             classes.append(Gaussian.of((m - center) / scale, c))
         return cls(center, scale, tuple(classes), shrinkage=(pooled, round_))
 

@@ -153,3 +153,24 @@ ORACLE_SQL = {
         f AS (SELECT id, min(low) AS low FROM r GROUP BY id)
         SELECT w.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, f.low AS component_id FROM w LEFT JOIN c USING (doc_id) JOIN f ON f.id = w.doc_id""",
 }
+
+
+def _clustering_sql(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds one after the other: a_t is the assignment of round t, c_t the centroids that it starts from (c, d, y)."""
+    near = "SELECT vec_id, min_by(c, (dist, c)) AS c, min(dist)::BIGINT AS dist FROM (SELECT v.vec_id, c, sum((x - y) * (x - y)) AS dist FROM v JOIN c{0} USING (d) GROUP BY v.vec_id, c) GROUP BY vec_id"
+    floor_ = "(s - ((s % n) + n) % n) // n"
+    parts = [
+        "g AS (SELECT vec_id, embedding AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)",
+        "v AS MATERIALIZED (SELECT vec_id, d, floor(1024 * e[d]::DOUBLE)::BIGINT AS x FROM g, range(1, 65) q(d))",
+        f"c0 AS MATERIALIZED (SELECT k - 1 AS c, d, x AS y FROM (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) AS k FROM g) JOIN v USING (vec_id) WHERE k <= {k})",
+    ]
+    for t in range(rounds):
+        parts.append(f"a{t} AS MATERIALIZED ({near.format(t)})")
+        sums = f"(SELECT c, d, sum(x)::BIGINT AS s, count(*) AS n FROM a{t} JOIN v USING (vec_id) GROUP BY c, d)"
+        parts.append(f"c{t + 1} AS MATERIALIZED (SELECT c, d, coalesce({floor_}, y) AS y FROM c{t} LEFT JOIN {sums} USING (c, d))")
+    parts.append(f"f AS MATERIALIZED ({near.format(rounds)})")
+    parts.append(f"h AS (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)")
+    return f"WITH {', '.join(parts)} SELECT vec_id, c::INT AS cluster, dist AS distance, (sum(dist) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(dist) OVER ())::BIGINT AS inertia, centroid_sha256 FROM f JOIN h USING (c)"
+
+
+ORACLE_SQL["op13_centroid_clustering"] = _clustering_sql()
