@@ -17,7 +17,7 @@ from .piece_codec import encode_pieces
 from .quality import score_quality
 from .secret_scan import scan_secrets
 from .sharding import minimax_shards
-from .toxicity import ToxicityModel, labelled_sample, score_toxicity
+from .toxicity import fit_toxicity, score_toxicity
 from .whitening import whiten
 
 
@@ -37,7 +37,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score_toxicity(docs, ToxicityModel.fit(labelled_sample(docs, table(spark, sf_dir, "labels"))))
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
