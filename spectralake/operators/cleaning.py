@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.blocks import halo_blocks, map_blocks
+from ..functions.order_statistics import rolling_median_and_deviation
+
 KEYS = ["session_id", "channel"]
 
 
@@ -120,20 +124,40 @@ def virtual_channel(samples: DataFrame, weights: DataFrame) -> DataFrame:
     return own.agg((F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("x"))
 
 
-def rolling_robust_z(samples: DataFrame, half: int) -> DataFrame:
-    """(x - median) / (1.4826 MAD + 1e-12) over the up to 2 half + 1 samples around each."""
-    middle = lambda a: (F.element_at(F.array_sort(a), F.floor((F.size(a) + 1) / 2).cast("int")) + F.element_at(F.array_sort(a), F.floor(F.size(a) / 2 + 1).cast("int"))) / 2
-    rows = samples.withColumn("_w", F.collect_list("x").over(_run().rowsBetween(-half, half)))
-    rows = rows.withColumn("_m", middle(F.col("_w"))).withColumn("_d", F.transform("_w", lambda v: F.abs(v - F.col("_m"))))
-    return rows.withColumn("z", (F.col("x") - F.col("_m")) / (1.4826 * middle(F.col("_d")) + 1e-12)).drop("_w", "_m", "_d")
+def reflected(samples: DataFrame, most: int, by: list[str] = KEYS) -> DataFrame:
+    """Samples with a mirror image of up to ``most`` of them beyond either end of a series; ``mirrored`` tells which those are."""
+    ends = samples.groupBy(*by).agg(F.min("idx").alias("_a"), F.max("idx").alias("_b"))
+    places = F.array(F.struct(F.col("idx"), F.lit(False).alias("m")), F.struct((2 * F.col("_a") - F.col("idx")).alias("idx"), (F.col("idx") > F.col("_a")).alias("m")), F.struct((2 * F.col("_b") - F.col("idx")).alias("idx"), (F.col("idx") < F.col("_b")).alias("m")))
+    near = lambda p: (p["idx"] == F.col("idx")) & ~p["m"] | p["m"] & ((p["idx"] < F.col("_a")) & (p["idx"] >= F.col("_a") - most) | (p["idx"] > F.col("_b")) & (p["idx"] <= F.col("_b") + most))
+    rows = samples.join(ends, by).withColumn("_p", F.explode(F.array_distinct(F.filter(places, near))))
+    return rows.select(*[F.col("_p.idx").alias("idx") if c == "idx" else F.col(c) for c in samples.columns], F.col("_p.m").alias("mirrored"))
+
+
+def rolling_robust_z(samples: DataFrame, half: int, by: list[str] = KEYS, mirror: bool = False, size: int = 1 << 16) -> DataFrame:
+    """(x - median) / (1.4826 MAD + 1e-12) over the samples with idx up to ``half`` away from each: by, idx, x, z.
+
+    A kernel takes a block of at least ``size`` samples with ``half`` more on either side; the cost of a sample grows with the logarithm
+    of the block, not with the window. Nulls are in no window and have no z. Windows are cut at the ends of a series, or
+    filled by its mirror image.
+    """
+    size = max(size, 4 * half)
+    rows = reflected(samples, half, by) if mirror else samples.withColumn("mirrored", F.lit(False))
+
+    def kernel(start: int, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        idx, x = rows["_t"], rows["x"].astype(np.float64)
+        own, known = (idx >= start) & (idx < start + size) & ~rows["mirrored"].astype(bool), ~np.isnan(x)
+        middle, deviation = rolling_median_and_deviation(idx[known], x[known], idx[own], half)
+        return {"idx": idx[own], "x": x[own], "z": (x[own] - middle) / (1.4826 * deviation + 1e-12)}
+
+    return map_blocks(halo_blocks(rows.withColumn("x", F.col("x").cast("double")), by, size, half, ["x", "mirrored"]), by, size, kernel, "idx long, x double, z double")
 
 
-def hann_average(samples: DataFrame, half: int) -> DataFrame:
+def hann_average(samples: DataFrame, half: int, by: list[str] = KEYS) -> DataFrame:
     """Sum of the up to 2 half + 1 samples around each with Hann weights that sum to 1; what is outside counts as 0."""
     import math
 
     raw = [0.5 - 0.5 * math.cos(2 * math.pi * (k + half + 1) / (2 * half + 2)) for k in range(-half, half + 1)]
-    parts = [F.coalesce(F.lead("x", k).over(_run()), F.lit(0.0)) * (w / sum(raw)) for k, w in zip(range(-half, half + 1), raw, strict=True)]
+    parts = [F.coalesce(F.lead("x", k).over(_run(by)), F.lit(0.0)) * (w / sum(raw)) for k, w in zip(range(-half, half + 1), raw, strict=True)]
     return samples.withColumn("x", sum(parts[1:], parts[0]))
 
 
@@ -142,7 +166,6 @@ def orthogonalised(regions: DataFrame) -> DataFrame:
 
     Only the regions' inner products, a row for each two, reach the kernel; its weights join back to the samples.
     """
-    import numpy as np
     import pandas as pd
 
     i, j = regions.select("session_id", "idx", F.col("roi").alias("a"), F.col("x").alias("xa")), regions.select("session_id", "idx", F.col("roi").alias("b"), F.col("x").alias("xb"))

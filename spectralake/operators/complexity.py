@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.kernels import gaussian_measures
+from ..functions.blocks import halo_blocks, map_blocks
+from ..functions.kernels import gaussian_measures, laplacian_entropy
 from .cleaning import running_sum
-from .joins import channel_pairs
+from .joins import gram
 
 KEYS = ["session_id", "channel"]
 
@@ -74,7 +75,7 @@ def gaussian_information(samples: DataFrame, by: tuple[str, ...] = ("session_id"
     """
     keys = list(by)
     spread = samples.groupBy(*keys, "channel").agg(F.var_pop("x").alias("cov")).select(*keys, F.col("channel").alias("ch_i"), F.col("channel").alias("ch_j"), "cov")
-    pairs = channel_pairs(samples, by=(*keys, "idx")).groupBy(*keys, "ch_i", "ch_j").agg(F.covar_pop("xi", "xj").alias("cov")).unionByName(spread)
+    pairs = gram(samples, by).drop("r").unionByName(spread)
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         upper = own.pivot(index="ch_i", columns="ch_j", values="cov").to_numpy()
@@ -85,17 +86,39 @@ def gaussian_information(samples: DataFrame, by: tuple[str, ...] = ("session_id"
     return pairs.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", total double, dual double, o_information double")
 
 
-def integration(phases: DataFrame, half: int) -> DataFrame:
-    """0.7 times the total correlation of the channels' amplitudes plus 0.3 times the entropy of their locking graph, over the times around
-    each (session_id, at, score)."""
-    from .coupling import phase_edges
-    from .graphs import matrix_measures
+def integration(phases: DataFrame, half: int, size: int = 512) -> DataFrame:
+    """0.7 times the total correlation of the channels' amplitudes plus 0.3 times the entropy of their locking graph, over the 2 half + 1 times
+    around each (session_id, at, score), where all of a session's channels are there.
 
-    ends = phases.groupBy("session_id").agg(F.max("idx").alias("_last"))
-    around = phases.join(ends, "session_id").withColumn("at", F.explode(F.sequence(F.col("idx") - half, F.col("idx") + half))).where((F.col("at") >= half) & (F.col("at") <= F.col("_last") - half))
-    total = gaussian_information(around.withColumn("x", F.col("amp")), ("session_id", "at"))
-    graph = matrix_measures(phase_edges(around, ["session_id", "at"]).select("session_id", "at", "ch_i", "ch_j", F.col("plv").alias("w")), ["session_id", "at"])
-    return total.join(graph, ["session_id", "at"]).select("session_id", "at", (0.7 * F.col("total") + 0.3 * F.col("entropy")).alias("score"))
+    A kernel gets stretches of ``size`` times with a margin; the matrices of a window are differences of running sums of products.
+    """
+    count = phases.groupBy("session_id").agg(F.countDistinct("channel").alias("_all"))
+
+    def kernel(start: int, rows: dict[str, np.ndarray], channels: int) -> dict[str, np.ndarray] | None:
+        names, row = np.unique(rows["channel"].astype(str), return_inverse=True)
+        first, length, win = start - half, size + 2 * half, 2 * half + 1
+        amp, phase = np.full((2, len(names), length), np.nan)
+        amp[row, rows["_t"] - first], phase[row, rows["_t"] - first] = rows["amp"], rows["phase"]
+        whole = np.convolve((~np.isnan(amp + phase)).all(0).astype(int), np.ones(win, int), "valid") == win
+        at = np.flatnonzero(whole)
+        if len(names) < channels or not len(at):
+            return None
+        z = np.where(np.isnan(phase), 0, np.exp(1j * np.nan_to_num(phase))).T
+        x = np.nan_to_num(amp - np.nanmean(amp, 1, keepdims=True)).T
+
+        def over(products: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([np.zeros((1, *products.shape[1:]), products.dtype), np.cumsum(products, 0)])
+            return (sums[at + win] - sums[at]) / win
+
+        mean = over(x)
+        cov = over(x[:, :, None] * x[:, None, :]) - mean[:, :, None] * mean[:, None, :]
+        graph = np.abs(over(z[:, :, None] * z[:, None, :].conj()))
+        graph[:, np.arange(len(names)), np.arange(len(names))] = 0
+        score = [0.7 * gaussian_measures(c)[0] + 0.3 * laplacian_entropy(g) for c, g in zip(cov, graph, strict=True)]
+        return {"at": at + start, "score": np.array(score)}
+
+    blocks = halo_blocks(phases, ["session_id"], size, half, ["channel", "amp", "phase"]).join(count, "session_id")
+    return map_blocks(blocks, ["session_id"], size, kernel, "at long, score double", ["_all"])
 
 
 def against_envelope(scores: DataFrame, envelope: DataFrame, reps: int) -> DataFrame:

@@ -4,27 +4,32 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.blocks import pair_blocks, signs_of_pairs
+from .windows import numbered, sliding_sums
 
-def _pairs(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    i = rows.select(*by, F.col("channel").alias("ch_i"), *[F.col(c).alias(f"{c}_i") for c in columns])
-    j = rows.select(*by, F.col("channel").alias("ch_j"), *[F.col(c).alias(f"{c}_j") for c in columns])
-    return i.join(j, by).where("ch_i < ch_j")
 
-
-def phase_edges(phases: DataFrame, window: list[str] | None = None) -> DataFrame:
+def phase_edges(phases: DataFrame, window: list[str] | None = None, size: int = 4096) -> DataFrame:
     """plv, mean phase, pli and directed pli of each two channels (per session and what else ``window`` names).
 
-    A difference whose sine is 0 to nine places leads in neither direction.
+    A difference whose sine is 0 to nine places leads in neither direction. Unit phasors of all channels are multiplied stretch by stretch of
+    time, and only sums for each two channels and stretch leave the kernel.
     """
-    window = window or ["session_id"]
-    d = F.col("phase_i") - F.col("phase_j")
-    rows = _pairs(phases, [*window, "idx"], ["phase"]).withColumns({"_c": F.cos(d), "_s": F.sin(d), "_g": F.round(F.sin(d), 9)})
-    c, s = F.avg("_c"), F.avg("_s")
-    return rows.groupBy(*window, "ch_i", "ch_j").agg(F.sqrt(c * c + s * s).alias("plv"), F.atan2(s, c).alias("mean_phase"), F.abs(F.avg(F.signum("_g"))).alias("pli"), F.avg((F.col("_g") > 0).cast("int")).alias("dpli"))
+
+    def kernel(known: np.ndarray, phase: np.ndarray) -> dict[str, np.ndarray]:
+        z, m = np.where(known, np.exp(1j * phase), 0), known.astype(float)
+        mean = z @ z.conj().T
+        sign, above, _ = signs_of_pairs(z)
+        return {"n": m @ m.T, "c": mean.real, "s": mean.imag, "sign": sign, "above": above}
+
+    keys = [*(window or ["session_id"]), "ch_i", "ch_j"]
+    parts = pair_blocks(phases, keys[:-2], ["phase"], kernel, "n long, c double, s double, sign double, above double", size=size)
+    mean = lambda c: F.sum(c) / F.sum("n")
+    return parts.groupBy(*keys).agg(F.sqrt(mean("c") ** 2 + mean("s") ** 2).alias("plv"), F.atan2(mean("s"), mean("c")).alias("mean_phase"), F.abs(mean("sign")).alias("pli"), mean("above").alias("dpli"))
 
 
 def locking_n_m(phases: DataFrame, reference: str, orders: list[tuple[int, int]]) -> DataFrame:
@@ -37,14 +42,17 @@ def locking_n_m(phases: DataFrame, reference: str, orders: list[tuple[int, int]]
     return rows.groupBy("session_id", "channel", "n", "m").agg(F.sqrt(F.avg(F.cos(d)) ** 2 + F.avg(F.sin(d)) ** 2).alias("plv"))
 
 
-def cross_spectra(reads: DataFrame) -> DataFrame:
-    """Imaginary coherency and weighted phase-lag index of each two channels at each line, over frames."""
-    rows = _pairs(reads, ["session_id", "frame", "f0"], ["re", "im"])
-    x = F.col("re_i") * F.col("re_j") + F.col("im_i") * F.col("im_j")
-    y = F.col("im_i") * F.col("re_j") - F.col("re_i") * F.col("im_j")
-    power = F.sqrt(F.avg(F.col("re_i") ** 2 + F.col("im_i") ** 2) * F.avg(F.col("re_j") ** 2 + F.col("im_j") ** 2))
-    rows = rows.withColumns({"_x": x, "_y": y})
-    return rows.groupBy("session_id", "ch_i", "ch_j", "f0").agg((F.avg("_y") / power).alias("imag_coherency"), (F.abs(F.avg("_y")) / F.nullif(F.avg(F.abs("_y")), F.lit(0.0))).alias("wpli"))
+def cross_spectra(reads: DataFrame, size: int = 4096) -> DataFrame:
+    """Imaginary coherency and weighted phase-lag index of each two channels at each line, over frames; as :func:`phase_edges` a product of matrices."""
+
+    def kernel(known: np.ndarray, re: np.ndarray, im: np.ndarray) -> dict[str, np.ndarray]:
+        z, m = re + 1j * im, known.astype(float)
+        own = (re * re + im * im) @ m.T
+        return {"n": m @ m.T, "y": (z @ z.conj().T).imag, "size": signs_of_pairs(z)[2], "pi": own, "pj": own.T}
+
+    keys = ["session_id", "ch_i", "ch_j", "f0"]
+    parts = pair_blocks(reads, ["session_id", "f0"], ["re", "im"], kernel, "n long, y double, size double, pi double, pj double", time="frame", size=size)
+    return parts.groupBy(*keys).agg((F.sum("y") / F.sqrt(F.sum("pi") * F.sum("pj"))).alias("imag_coherency"), (F.abs(F.sum("y")) / F.nullif(F.sum("size"), F.lit(0.0))).alias("wpli"))
 
 
 def synchrony(phases: DataFrame) -> DataFrame:
@@ -98,11 +106,15 @@ def _with_reference(phases: DataFrame, reference: str) -> DataFrame:
     return phases.where(F.col("channel") != reference).join(r, ["session_id", "idx"]).withColumn("_d", F.col("phase") - F.col("_r"))
 
 
+def _sliding_length(rows: DataFrame, keys: list[str], time: str, half: int, angle: Column) -> DataFrame:
+    """Length of the mean of exp(i angle) over the 2 half + 1 times around each (at), where all are there."""
+    sums = sliding_sums(rows, keys, time, {"c": F.cos(angle), "s": F.sin(angle)}, half)
+    return sums.select(*keys, "at", (F.sqrt(F.col("c") ** 2 + F.col("s") ** 2) / F.col("n")).alias("plv"))
+
+
 def sliding_locking(phases: DataFrame, reference: str, half: int) -> DataFrame:
     """Phase locking with the reference over the 2 half + 1 times around each time (at), where all are there."""
-    rows = _with_reference(phases, reference).withColumn("at", F.explode(F.sequence(F.col("idx") - half, F.col("idx") + half)))
-    found = rows.groupBy("session_id", "channel", "at").agg(F.sqrt(F.avg(F.cos("_d")) ** 2 + F.avg(F.sin("_d")) ** 2).alias("plv"), F.count("*").alias("_n"))
-    return found.where(F.col("_n") == 2 * half + 1).drop("_n")
+    return _sliding_length(_with_reference(phases, reference), ["session_id", "channel"], "idx", half, F.col("_d"))
 
 
 def phase_lead(phases: DataFrame, reference: str) -> DataFrame:
@@ -129,9 +141,11 @@ def reference_lag(reads: DataFrame, reference: str) -> DataFrame:
 
 
 def shifted(rows: DataFrame, channels: Column, reps: int, time: str = "idx") -> DataFrame:
-    """``rows`` once for each rep from 0 on; for rep > 0 the times of ``channels`` (a condition) are moved round by rep."""
-    count = rows.groupBy("session_id").agg(F.countDistinct(time).alias("_n"))
-    each = rows.join(count, "session_id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+    """``rows`` once for each rep from 0 on; for rep > 0 the times of ``channels`` (a condition) are moved round by rep.
+
+    Times are numbered in the order of all the session has, so that a gap in them parts no pairs.
+    """
+    each = numbered(rows, time).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
     return each.withColumn(time, F.when(channels, F.pmod(F.col(time) + F.col("rep"), F.col("_n"))).otherwise(F.col(time))).drop("_n")
 
 
@@ -162,18 +176,14 @@ def cross_order_locking(reads: DataFrame, reference: str, low: float, order: int
     near = lambda f: F.abs(F.col("f0") - f) < 1e-9
     r = reads.where((F.col("channel") == reference) & near(low)).select("session_id", "frame", F.atan2("im", "re").alias("_r"))
     rows = reads.where((F.col("channel") != reference) & near(order * low)).join(r, ["session_id", "frame"])
-    d = F.atan2("im", "re") - order * F.col("_r")
-    rows = rows.withColumn("_d", d).withColumn("at", F.explode(F.sequence(F.col("frame") - half, F.col("frame") + half)))
-    found = rows.groupBy("session_id", "channel", "at").agg(F.sqrt(F.avg(F.cos("_d")) ** 2 + F.avg(F.sin("_d")) ** 2).alias("plv"), F.count("*").alias("_n"))
-    return found.where(F.col("_n") == 2 * half + 1).drop("_n")
+    return _sliding_length(rows, ["session_id", "channel"], "frame", half, F.atan2("im", "re") - order * F.col("_r"))
 
 
 def metastability_with_null(phases: DataFrame, reps: int) -> DataFrame:
     """Variance of the synchrony over time, against that with each channel's times moved round by rep times its rank (the first: not)."""
     rank = F.dense_rank().over(W.partitionBy("session_id").orderBy("channel")) - 1
-    count = phases.groupBy("session_id").agg(F.countDistinct("idx").alias("_n"))
-    each = phases.withColumn("_k", rank).join(count, "session_id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    each = each.withColumn("idx", F.pmod(F.col("idx") + F.col("rep") * F.col("_k"), F.col("_n")))
+    each = numbered(phases.withColumn("_k0", rank), "idx").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+    each = each.withColumn("idx", F.pmod(F.col("idx") + F.col("rep") * F.col("_k0"), F.col("_n")))
     r = each.groupBy("session_id", "rep", "idx").agg(F.sqrt(F.avg(F.cos("phase")) ** 2 + F.avg(F.sin("phase")) ** 2).alias("r"))
     return significance(r.groupBy("session_id", "rep").agg(F.var_pop("r").alias("metastability")), ["session_id"], "metastability")
 
@@ -200,11 +210,14 @@ def best_cell(cells: DataFrame, by: list[str]) -> DataFrame:
 
 
 def sliding_modulation(phases: DataFrame, half: int, bins: int) -> DataFrame:
-    """Modulation index over the 2 half + 1 times around each time (at), where all are there."""
-    count = phases.groupBy("session_id").agg(F.max("idx").alias("_last"))
-    rows = phases.join(count, "session_id").withColumn("at", F.explode(F.sequence(F.col("idx") - half, F.col("idx") + half)))
-    rows = rows.where((F.col("at") >= half) & (F.col("at") <= F.col("_last") - half))
-    return modulation_index(rows, ["session_id", "channel", "at"], bins)
+    """Modulation index over the 2 half + 1 times around each time (at), where all are there: from running sums of each bin's amplitudes and times."""
+    b = F.least(F.floor((F.col("phase") + math.pi) / (2 * math.pi) * bins), F.lit(bins - 1))
+    values = {f"a{k}": F.when(b == k, F.col("amp")).otherwise(0.0) for k in range(bins)} | {f"n{k}": (b == k).cast("double") for k in range(bins)}
+    sums = sliding_sums(phases, ["session_id", "channel"], "idx", values, half)
+    means = F.array(*[F.when(F.round(f"n{k}") > 0, F.greatest(F.col(f"a{k}"), F.lit(0.0)) / F.round(f"n{k}")).otherwise(0.0) for k in range(bins)])
+    share = sums.select("session_id", "channel", "at", means.alias("_m")).withColumn("_t", F.aggregate("_m", F.lit(0.0), lambda t, v: t + v))
+    minus = F.aggregate("_m", F.lit(0.0), lambda t, v: t + F.when(v > 0, v / F.col("_t") * F.ln(v / F.col("_t"))).otherwise(0.0))
+    return share.select("session_id", "channel", "at", ((math.log(bins) + minus) / math.log(bins)).alias("mi"))
 
 
 def series_lag_scan(series: DataFrame, other: DataFrame, most: int) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.blocks import pair_blocks
+
 
 def _with_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
     """``rows`` with ``_w``, the windows of their session in one array, or all of them where windows name no session.
@@ -90,6 +93,27 @@ def channel_pairs(samples: DataFrame, value: str = "x", by: tuple[str, ...] = ("
     return i.join(j, list(by)).where("ch_i < ch_j")
 
 
-def gram(samples: DataFrame) -> DataFrame:
-    """Covariance and correlation of each two channels of a session."""
-    return channel_pairs(samples).groupBy("session_id", "ch_i", "ch_j").agg(F.covar_pop("xi", "xj").alias("cov"), F.corr("xi", "xj").alias("r"))
+def gram(samples: DataFrame, by: tuple[str, ...] = ("session_id",), value: str = "x", size: int = 4096) -> DataFrame:
+    """Covariance and correlation of each two channels of a session (or of what else ``by`` names) over the times that both have.
+
+    Products are taken matrix by matrix in stretches of time, from the stretch's means; these parts then add up by the means' distances.
+    """
+
+    def kernel(known: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        m = known.astype(float)
+        base = x.sum(1) / np.maximum(m.sum(1), 1)
+        x = (x - base[:, None]) * m
+        n = m @ m.T
+        some = np.maximum(n, 1)
+        own = x @ m.T  # sums of a row's values over the times that the column's channel has
+        square = (x * x) @ m.T
+        return {"n": n, "mi": base[:, None] + own / some, "mj": base[None, :] + own.T / some, "cij": x @ x.T - own * own.T / some, "cii": square - own**2 / some, "cjj": (square - own**2 / some).T}
+
+    keys = [*by, "ch_i", "ch_j"]
+    parts = pair_blocks(samples.where(F.col(value).isNotNull()), list(by), [value], kernel, "n long, mi double, mj double, cij double, cii double, cjj double", size=size)
+    every = W.partitionBy(*keys)
+    mean = lambda c: F.sum(F.col("n") * F.col(c)).over(every) / F.sum("n").over(every)
+    parts = parts.withColumns({"_i": F.col("mi") - mean("mi"), "_j": F.col("mj") - mean("mj")})
+    whole = lambda c, a, b: F.sum(F.col(c) + F.col("n") * F.col(a) * F.col(b))
+    found = parts.groupBy(*keys).agg(F.sum("n").alias("n"), whole("cij", "_i", "_j").alias("_c"), whole("cii", "_i", "_i").alias("_a"), whole("cjj", "_j", "_j").alias("_b"))
+    return found.select(*keys, (F.col("_c") / F.col("n")).alias("cov"), (F.col("_c") / F.nullif(F.sqrt(F.greatest(F.col("_a"), F.lit(0.0)) * F.greatest(F.col("_b"), F.lit(0.0))), F.lit(0.0))).alias("r"))

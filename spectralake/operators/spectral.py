@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import analytic_band, fractal_power, high_passed, welch_power
 from .cleaning import frames
+from .windows import sliding_sums
 
 
 def lock_in(framed: DataFrame, lines: DataFrame, win: int, fs: float) -> DataFrame:
@@ -285,10 +286,23 @@ def band_features(framed: DataFrame, bands: DataFrame, names: list[str]) -> Data
     return own.groupBy("session_id", "channel", "frame").pivot("band", names).agg(F.sum("p"))
 
 
-def sliding_coherence(reads: DataFrame, reference: str, half: int) -> DataFrame:
-    """Coherence with the reference over the 2 half + 1 frames around each frame (at), where all are there."""
-    spread = reads.withColumn("at", F.explode(F.sequence(F.col("frame") - half, F.col("frame") + half)))
-    return coherence(spread, reference, ("session_id", "at")).where(F.col("frames") == 2 * half + 1)
+def with_reference_products(reads: DataFrame, reference: str, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """For each other channel's read the parts of its product with the reference's (x, y) and both powers (p, q)."""
+    r = reads.where(F.col("channel") == reference).select(*by, "frame", "f0", F.col("re").alias("rr"), F.col("im").alias("ri"))
+    both = reads.where(F.col("channel") != reference).join(r, [*by, "frame", "f0"])
+    return both.select(*by, "channel", "frame", "f0", (F.col("re") * F.col("rr") + F.col("im") * F.col("ri")).alias("x"), (F.col("im") * F.col("rr") - F.col("re") * F.col("ri")).alias("y"), (F.col("re") ** 2 + F.col("im") ** 2).alias("p"), (F.col("rr") ** 2 + F.col("ri") ** 2).alias("q"))
+
+
+def sliding_coherence(reads: DataFrame, reference: str, half: int | Column, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """Coherence with the reference over the 2 half + 1 frames around each frame (at), where all are there; half may follow from f0."""
+    sums = sliding_sums(with_reference_products(reads, reference, by), [*by, "channel", "f0"], "frame", {c: F.col(c) for c in "xypq"}, half)
+    return sums.select(*by, "at", "channel", "f0", ((F.col("x") ** 2 + F.col("y") ** 2) / F.nullif(F.col("p") * F.col("q"), F.lit(0.0))).alias("msc"), F.col("n").alias("frames"))
+
+
+def frames_for_cycles(cycles: float, win: int, step: int, fs: float, shortest: float, longest: float) -> Column:
+    """Half the number of frames around one that together span ``cycles`` of f0, between ``shortest`` and ``longest`` seconds; at least 1."""
+    seconds = F.least(F.greatest(cycles / F.col("f0"), F.lit(shortest)), F.lit(longest))
+    return F.greatest(F.lit(1), F.ceil(F.round((seconds * fs - win) / (2 * step), 9)))
 
 
 def trace_summary(traces: DataFrame, by: list[str], value: str, threshold: float) -> DataFrame:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .spectral import coherence, sliding_coherence
+from ..functions.blocks import halo_blocks, map_blocks
+from .cleaning import detrend, hann_average, rolling_robust_z
+from .events import islands
+from .spectral import sliding_coherence
+from .windows import numbered
 
 
 def _weighted_reads(framed: DataFrame, win: int, weight: Column, turn: Column, keys: list[str]) -> DataFrame:
@@ -19,12 +24,94 @@ def _weighted_reads(framed: DataFrame, win: int, weight: Column, turn: Column, k
     return own.select("session_id", "channel", "frame", *keys, ((F.col("xc") - F.col("m") * F.col("c")) / F.sqrt("e")).alias("re"), ((F.col("m") * F.col("s") - F.col("xs")) / F.sqrt("e")).alias("im"))
 
 
-def morlet(framed: DataFrame, lines: DataFrame, win: int, fs: float, w0: float = 6.0) -> DataFrame:
-    """Morlet coefficient of each line at the centre of each whole frame of ``win`` (odd) samples; the wavelet has sigma
-    w0 / (2 pi f0) seconds and unit energy."""
-    k = F.col("j") - win // 2
-    sigma = w0 / (2 * math.pi * F.col("f0")) * fs
-    return _weighted_reads(framed.crossJoin(F.broadcast(lines)), win, F.exp(-k * k / (2 * sigma * sigma)), 2 * math.pi * F.col("f0") * k / fs, ["f0"])
+def _wavelet_reads(rows: dict[str, np.ndarray], first: int, count: int, found: list[float], win: int, fs: float, w0: float) -> tuple[np.ndarray, np.ndarray]:
+    """Morlet coefficients (lines x centres) at the ``count`` times from ``first`` on, and which of these have all ``win`` samples of their frame."""
+    half = win // 2
+    value = rows["x"].astype(np.float64)
+    at = rows["_t"] - (first - half)
+    known = ~np.isnan(value) & (at >= 0) & (at < count + 2 * half)
+    x, there = np.zeros(count + 2 * half), np.zeros(count + 2 * half, np.int64)
+    # Less their mean, which keeps sums small; the frames' own means are taken off below.
+    x[at[known]], there[at[known]] = value[known] - (value[known].mean() if known.any() else 0), 1
+    over = lambda v: np.diff(np.lib.stride_tricks.sliding_window_view(np.r_[0, np.cumsum(v)], win + 1)[:, [0, -1]], axis=1)[:, 0]
+    whole, mean = over(there) == win, over(x) / win
+    n = 1 << int(len(x) + win - 1).bit_length()
+    spectrum, k, out = np.fft.fft(x, n), np.arange(-half, half + 1), np.empty((len(found), count), complex)
+    for i, f0 in enumerate(found):
+        envelope = np.exp(-k * k / (2 * (w0 / (2 * math.pi * f0) * fs) ** 2))
+        wave = envelope * np.exp(-2j * math.pi * f0 * k / fs)
+        read = np.fft.ifft(spectrum * np.fft.fft(wave[::-1], n))[win - 1 : win - 1 + count]
+        out[i] = (read - mean * wave.sum()) / math.sqrt((envelope**2).sum())
+    return out, whole
+
+
+def _with_lines(blocks: DataFrame, lines: DataFrame, *columns: str) -> DataFrame:
+    """Blocks with all lines, a parameter of the query, as arrays in order of their frequency."""
+    packed = F.array_sort(F.collect_set(F.struct(F.col("f0"), *columns)))
+    return blocks.crossJoin(F.broadcast(lines.agg(packed.alias("_l")))).select(*blocks.columns, *[F.col("_l")[c].alias(f"line_{c}") for c in ("f0", *columns)])
+
+
+def morlet(samples: DataFrame, lines: DataFrame, win: int, step: int, fs: float, w0: float = 6.0, size: int = 1 << 14) -> DataFrame:
+    """Morlet coefficients of each line (f0) at the centres of the whole frames of ``win`` (odd) samples begun every ``step``; the wavelet has
+    sigma w0 / (2 pi f0) seconds and unit energy, and the frame's mean is taken off: session_id, channel, frame, f0, re, im.
+
+    A kernel convolves blocks of at least ``size`` samples, with half a frame on either side, with the wavelets of all lines by FFT; frames
+    that miss a sample have no row.
+    """
+    half, size, keys = win // 2, max(size, 4 * win), ["session_id", "channel"]
+
+    def kernel(start: int, rows: dict[str, np.ndarray], found: list[float]) -> dict[str, np.ndarray]:
+        z, whole = _wavelet_reads(rows, start, size, found, win, fs, w0)
+        at = np.arange(start, start + size)
+        at = at[whole & ((at - half) % step == 0)]
+        z = z[:, at - start].ravel()
+        return {"frame": np.tile((at - half) // step, len(found)), "f0": np.repeat(found, len(at)), "re": z.real, "im": z.imag}
+
+    blocks = halo_blocks(samples.withColumn("x", F.col("x").cast("double")), keys, size, half, ["x"])
+    return map_blocks(_with_lines(blocks, lines), keys, size, kernel, "frame long, f0 double, re double, im double", ["line_f0"])
+
+
+def ridge_tracks(samples: DataFrame, grid: DataFrame, win: int, fs: float, median_half: int, w0: float = 6.0, size: int = 1 << 14) -> DataFrame:
+    """The drifting frequency of each order of a grid (k, f0): session_id, channel, k, idx, f, x.
+
+    At every sample whose frame is whole, the order's strongest wavelet (to nine places; of equal ones the lowest) gives a place on its
+    grid; the lower median of these places over up to 2 ``median_half`` + 1 samples gives f, and x is the wavelet's amplitude there. A
+    kernel reads the grids of all orders in a block at once, and only the ridges leave it.
+    """
+    keys, size = ["session_id", "channel"], max(size, 4 * win)
+
+    def kernel(start: int, rows: dict[str, np.ndarray], found: list[float], orders: list[int]) -> dict[str, np.ndarray]:
+        first, count = start - median_half, size + 2 * median_half
+        z, whole = _wavelet_reads(rows, first, count, found, win, fs, w0)
+        amplitude, own, out = np.abs(z), whole.copy(), []
+        own[:median_half] = False
+        own[count - median_half :] = False
+        for k in sorted(set(orders)):
+            mine = np.flatnonzero(np.array(orders) == k)
+            place = np.where(whole, amplitude[mine].round(9).argmax(0).astype(float), np.nan)
+            around = np.sort(np.lib.stride_tricks.sliding_window_view(np.pad(place, median_half, constant_values=np.nan), 2 * median_half + 1), axis=1)
+            n = (~np.isnan(around)).sum(1)
+            middle = np.take_along_axis(around, np.maximum((n - 1) // 2, 0)[:, None], 1)[own, 0].astype(int)
+            at = np.flatnonzero(own)
+            out.append((np.full(len(at), k), at + first, np.array(found)[mine][middle], amplitude[mine][middle, at]))
+        return dict(zip(("k", "idx", "f", "x"), map(np.concatenate, zip(*out, strict=True)), strict=True)) if out else None
+
+    blocks = halo_blocks(samples.withColumn("x", F.col("x").cast("double")), keys, size, win // 2 + median_half, ["x"])
+    return map_blocks(_with_lines(blocks, grid, "k"), keys, size, kernel, "k int, idx long, f double, x double", ["line_f0", "line_k"])
+
+
+def drifting_spikes(samples: DataFrame, grid: DataFrame, win: int, fs: float, median_half: int, smooth_half: int, baseline_half: int, level: float, least: int) -> DataFrame:
+    """Spikes of each order along its drifting ridge: stretches of ``least`` samples or more whose amplitude, smoothed by a Hann window, is
+    ``level`` or more robust deviations above its rolling baseline.
+
+    session_id, channel, k, start, end (behind), n, peak_z, peak_idx (the first of equal ones) and peak_f, the ridge's frequency there.
+    """
+    by = ["session_id", "channel", "k"]
+    tracks = ridge_tracks(detrend(samples), grid, win, fs, median_half)
+    smooth = hann_average(tracks, smooth_half, by).select(*by, "idx", "x")
+    z = rolling_robust_z(smooth, baseline_half, by).select(*by, "idx", F.round("z", 9).alias("x"))
+    found = islands(z, F.col("x") >= level, by, least)
+    return found.join(tracks.select(*by, F.col("idx").alias("peak_idx"), F.col("f").alias("peak_f")), [*by, "peak_idx"]).select(*by, "start", "end", "n", F.col("peak").alias("peak_z"), "peak_idx", "peak_f")
 
 
 def multitaper(framed: DataFrame, lines: DataFrame, win: int, fs: float, tapers: int) -> DataFrame:
@@ -49,14 +136,12 @@ def multitaper_coherence(reads: DataFrame, reference: str) -> DataFrame:
     return found.select(*keys, "msc", (F.col("msc") - 1.96 * F.col("_se")).alias("low"), (F.col("msc") + 1.96 * F.col("_se")).alias("high"), "phase", (F.col("phase") / (2 * math.pi * F.col("f0"))).alias("lag"))
 
 
-def max_null_map(reads: DataFrame, reference: str, half: int, reps: int, step: int) -> DataFrame:
+def max_null_map(reads: DataFrame, reference: str, half: int | Column, reps: int, step: int) -> DataFrame:
     """Sliding coherence at each frame and line against the 95 % point of the largest values it has when the reference's frames are
-    moved round by rep * step: session_id, channel, f0, threshold, cells, significant (cells above it)."""
-    count = reads.groupBy("session_id").agg(F.countDistinct("frame").alias("_n"))
-    spread = reads.join(count, "session_id").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    moved round by rep * step: session_id, channel, f0, threshold, cells, significant (cells above it). For the null frames are numbered in order."""
+    spread = numbered(reads, "frame").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     moved = spread.withColumn("frame", F.when(F.col("channel") == reference, F.pmod(F.col("frame") + F.col("rep") * step, F.col("_n"))).otherwise(F.col("frame"))).drop("_n")
-    around = moved.withColumn("at", F.explode(F.sequence(F.col("frame") - half, F.col("frame") + half)))
-    null = coherence(around, reference, ("session_id", "rep", "at")).where(F.col("frames") == 2 * half + 1)
+    null = sliding_coherence(moved, reference, half, ("session_id", "rep"))
     top = null.groupBy("session_id", "channel", "f0", "rep").agg(F.max("msc").alias("_m")).groupBy("session_id", "channel", "f0").agg(F.percentile("_m", 0.95).alias("threshold"))
     own = sliding_coherence(reads, reference, half).join(top, ["session_id", "channel", "f0"])
     return own.groupBy("session_id", "channel", "f0").agg(F.first("threshold").alias("threshold"), F.count("*").alias("cells"), F.count_if(F.round(F.col("msc") - F.col("threshold"), 9) > 0).alias("significant"))

@@ -79,7 +79,7 @@ def s6_written_results(spark, s):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("SELECT session_id, channel, idx, r{(x - quantile_cont(x, 0.5) OVER w) / (1.4826 * mad(x) OVER w + 1e-12)} AS z FROM samples WINDOW w AS (PARTITION BY session_id, channel ORDER BY idx ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)", places=3)
+@query("SELECT session_id, channel, idx, r{(x - quantile_cont(x, 0.5) OVER w) / (1.4826 * mad(x) OVER w + 1e-12)} AS z FROM samples WINDOW w AS (PARTITION BY session_id, channel ORDER BY idx ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)", places=6)
 def p5_rolling_robust_z(spark, s):
     return cl.rolling_robust_z(s, 12).select("session_id", "channel", "idx", "z")
 
@@ -187,7 +187,7 @@ MORLET = f"""{SAMPLES}, fm AS (SELECT s.*, frame, s.idx - frame * 12 AS j FROM s
 
 
 def wavelets(spark, s):
-    return tf.morlet(cl.frames(s, 97, 12), lines(spark), 97, 1.0)
+    return tf.morlet(s, lines(spark), 97, 12, 1.0)
 
 
 @query(" SELECT session_id, channel, frame, r{f0} AS f0, r{re * re + im * im} AS p FROM mo", MORLET)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from spectralake.plans import catalog, further  # noqa: F401  further registers its queries in catalog
+from spectralake.plans import catalog, extended, further  # noqa: F401  the others register their queries in catalog
 
 SF = "/root/testdata/sf0.01"
 FITTED = {"m2_microstate_maps", "m6_connectivity_states", "m8_mixture_states", "m10_change_regression", "m11_feature_components"}
