@@ -122,3 +122,22 @@ def fractal_power(x: np.ndarray, win: int, fs: float, factors: np.ndarray) -> np
         longer, shorter = (np.interp(np.arange(0, len(x) - 1, step), at, x) for step in (1 / h, h))
         found.append(np.sqrt(welch_power(longer, win, fs) * welch_power(shorter, win, fs)))
     return np.median(found, axis=0)
+
+
+def grid_components(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """For cells of a grid (in order of row, then column) the index of the first cell that each is joined with by cells with a side in common."""
+    n = len(row)
+    place = {cell: i for i, cell in enumerate(zip(row.tolist(), col.tolist(), strict=True))}
+    links = [(i, place[near]) for (r, c), i in place.items() for near in ((r, c + 1), (r + 1, c)) if near in place]
+    label = np.arange(n)
+    if links:
+        a, b = np.array(links).T
+        while True:
+            low, new = np.minimum(label[a], label[b]), label.copy()
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+    return label

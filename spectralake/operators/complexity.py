@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,12 +134,12 @@ def against_envelope(scores: DataFrame, envelope: DataFrame, reps: int) -> DataF
 
 
 def _tiles(points: DataFrame, size: int) -> DataFrame:
-    """Points (session_id, channel, idx, point, ..) in tiles: every two blocks of ``size`` points of a series meet in one (i, j),
-    so that no task gets a whole series. ``own`` tells a point's block."""
-    numbered = points.withColumn("own", F.floor((F.row_number().over(W.partitionBy(*KEYS).orderBy("idx")) - 1) / size))
-    count = numbered.groupBy(*KEYS).agg((F.max("own") + 1).alias("_blocks"))
-    spread = numbered.join(count, KEYS).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    return spread.withColumns({"i": F.least("own", "_o"), "j": F.greatest("own", "_o")}).drop("_o", "_blocks")
+    """Points (session_id, channel, idx, point, ..) in tiles: every two blocks of a series, of ``size`` idx each, meet in one (i, j),
+    so that no task gets or orders a whole series. ``own`` tells a point's block."""
+    blocked = points.withColumn("own", F.floor(F.col("idx") / size))
+    known = blocked.groupBy(*KEYS).agg(F.collect_set("own").alias("_o"))
+    spread = blocked.join(known, KEYS).withColumn("_o", F.explode("_o"))
+    return spread.withColumns({"i": F.least("own", "_o"), "j": F.greatest("own", "_o")}).drop("_o")
 
 
 def _sides(own: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -226,47 +227,95 @@ def divergence(samples: DataFrame, m: int, delay: int, theiler: int, most: int)
     return curve.groupBy(*KEYS).agg(F.regr_slope("mean", "k").alias("exponent"))
 
 
-def recurrences(points: DataFrame, share: float, size: int = 512) -> DataFrame:
-    """Pairs of points (i < j) nearer than ``share`` of their series' spread (the root of the sum of the coordinates' variances)."""
-    spread = points.select(*KEYS, F.posexplode("point").alias("_k", "_x")).groupBy(*KEYS, "_k").agg(F.var_pop("_x").alias("_v")).groupBy(*KEYS).agg((share * F.sqrt(F.sum("_v"))).alias("eps"))
+def _spread(points: DataFrame) -> DataFrame:
+    """The root of the sum of the coordinates' variances of each series, and how many points it has."""
+    each = points.select(*KEYS, F.posexplode("point").alias("_k", "_x")).groupBy(*KEYS, "_k").agg(F.var_pop("_x").alias("_v"), F.count("*").alias("_n"))
+    return each.groupBy(*KEYS).agg(F.sqrt(F.sum("_v")).alias("spread"), F.max("_n").alias("n"))
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        a, b = _sides(own)
-        x, y = np.stack(a["point"].to_numpy()), np.stack(b["point"].to_numpy())
-        near = ((x[:, None, :] - y[None, :, :]) ** 2).sum(2) < own["eps"].iloc[0] ** 2
-        if own["i"].iloc[0] == own["j"].iloc[0]:
-            near = np.triu(near, 1)
-        left, right = np.nonzero(near)
-        out = pd.DataFrame({"i": a["idx"].to_numpy()[left], "j": b["idx"].to_numpy()[right]})
-        return out.assign(session_id=own["session_id"].iloc[0], channel=own["channel"].iloc[0])[[*KEYS, "i", "j"]]
 
-    tiled = _tiles(points.select(*KEYS, "idx", "point").join(spread, KEYS), size)
-    return tiled.groupBy(*KEYS, "i", "j").applyInPandas(run, "session_id string, channel string, i long, j long")
+def _squared_distances(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Of a tile: the idx of both sides, squared distances between them, and whether the sides are one block."""
+    a, b = _sides(own)
+    x, y = np.stack(a["point"].to_numpy()), np.stack(b["point"].to_numpy())
+    return a["idx"].to_numpy(), b["idx"].to_numpy(), sum((x[:, None, c] - y[None, :, c]) ** 2 for c in range(x.shape[1])), bool(own["i"].iloc[0] == own["j"].iloc[0])
+
+
+def _runs(line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of successive ``at`` within a line (both in order of line, then at): line, first at and length."""
+    new = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (at[1:] != at[:-1] + 1)]) if len(line) else np.empty(0, int)
+    return line[new], at[new], np.diff(np.r_[new, len(line)])
+
 
+def recurrence_runs(points: DataFrame, share: float, size: int = 512) -> DataFrame:
+    """Lengths of the lines of a recurrence plot: session_id, channel, kind (diagonal or column), n (length) and c (how many).
 
-def recurrence_measures(pairs: DataFrame, counts: DataFrame, least: int = 2) -> DataFrame:
-    """Of recurrent pairs (i < j): rate (of the n (n - 1) / 2 there are; counts: n), share on diagonals of ``least`` or more (det), longest and
-    mean diagonal and the entropy of their lengths, share on columns (lam) and their mean length (tt). Columns take both halves of the plot."""
-    diagonal = pairs.withColumn("_d", F.col("j") - F.col("i")).withColumn("_run", F.col("i") - F.row_number().over(W.partitionBy(*KEYS, "_d").orderBy("i")))
-    lines = diagonal.groupBy(*KEYS, "_d", "_run").agg(F.count("*").alias("n"))
+    Two points recur when they are nearer than ``share`` of their series' spread. Diagonals are those of pairs i < j; columns take both
+    halves of the plot without its main diagonal. A tile counts the runs that end inside it, and only those that reach its border
+    leave it as rows, to be joined with what goes on beyond it: rows grow with tiles and their borders, not with pairs.
+    """
+    limit = _spread(points).select(*KEYS, (F.col("spread") * share).alias("eps"))
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        at, other, d, same = _squared_distances(own)
+        near = d < own["eps"].iloc[0] ** 2
+        rows, columns = int(own["i"].iloc[0]) * size, int(own["j"].iloc[0]) * size
+        left, right = np.nonzero(np.triu(near, 1) if same else near)
+        i, j = at[left], other[right]
+        out = []
+
+        def add(kind: str, line: np.ndarray, place: np.ndarray, open_) -> None:
+            order = np.lexsort((place, line))
+            line, start, n = _runs(line[order], place[order])
+            reaches = open_(line, start, start + n - 1)
+            length, count = np.unique(n[~reaches], return_counts=True)
+            out.append(pd.DataFrame({"kind": kind, "line": None, "start": None, "n": length, "c": count}))
+            out.append(pd.DataFrame({"kind": kind, "line": line[reaches], "start": start[reaches], "n": n[reaches], "c": 1}))
+
+        # A diagonal is told by j - i and followed in i; it leaves the tile by its first or last row or column.
+        add("diagonal", j - i, i, lambda d, a, z: (a == rows) | (a + d == columns) | (z == rows + size - 1) | (z + d == columns + size - 1))
+        add("column", i, j, lambda _, a, z: (a == columns) | (z == columns + size - 1))
+        add("column", j, i, lambda _, a, z: (a == rows) | (z == rows + size - 1))
+        found = pd.concat(out, ignore_index=True).astype({"line": "Int64", "start": "Int64", "n": "int64", "c": "int64"})
+        return found.assign(session_id=own["session_id"].iloc[0], channel=own["channel"].iloc[0])[[*KEYS, "kind", "line", "start", "n", "c"]]
+
+    tiled = _tiles(points.select(*KEYS, "idx", "point").join(limit, KEYS), size)
+    parts = tiled.groupBy(*KEYS, "i", "j").applyInPandas(run, "session_id string, channel string, kind string, line long, start long, n long, c long")
+    order = W.partitionBy(*KEYS, "kind", "line").orderBy("start")
+    new = F.coalesce(F.col("start") > F.lag(F.col("start") + F.col("n")).over(order), F.lit(True)).cast("int")
+    open_ = parts.where("line is not null").withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
+    whole = open_.groupBy(*KEYS, "kind", "line", "_run").agg(F.sum("n").alias("n")).select(*KEYS, "kind", "n", F.lit(1).cast("long").alias("c"))
+    return parts.where("line is null").select(*KEYS, "kind", "n", "c").unionByName(whole).groupBy(*KEYS, "kind", "n").agg(F.sum("c").alias("c"))
+
+
+def recurrence_measures(points: DataFrame, share: float, least: int = 2, size: int = 512) -> DataFrame:
+    """Of the pairs i < j of a series' points that recur (see :func:`recurrence_runs`): rate (of all pairs), share on diagonals of ``least`` or more
+    (det), longest and mean diagonal and the entropy of their lengths, share on columns of ``least`` or more (lam) and their mean length (tt)."""
+    lines = recurrence_runs(points, share, size)
     long = F.col("n") >= least
-    both = pairs.union(pairs.select(*KEYS, F.col("j").alias("i"), F.col("i").alias("j")))
-    column = both.withColumn("_run", F.col("j") - F.row_number().over(W.partitionBy(*KEYS, "i").orderBy("j"))).groupBy(*KEYS, "i", "_run").agg(F.count("*").alias("n"))
-    sizes = lines.where(long).groupBy(*KEYS, "n").agg(F.count("*").alias("c")).withColumn("_q", F.col("c") / F.sum("c").over(W.partitionBy(*KEYS)))
-    entropy = sizes.groupBy(*KEYS).agg((-F.sum(F.col("_q") * F.ln("_q"))).alias("hdiag"))
-    a = lines.groupBy(*KEYS).agg(F.sum("n").alias("_all"), F.sum(F.when(long, F.col("n"))).alias("_on"), F.max("n").alias("lmax"), F.avg(F.when(long, F.col("n"))).alias("lmean"))
-    b = column.groupBy(*KEYS).agg(F.sum("n").alias("_call"), F.sum(F.when(long, F.col("n"))).alias("_con"), F.avg(F.when(long, F.col("n"))).alias("tt"))
-    rows = counts.join(a, KEYS).join(b, KEYS).join(entropy, KEYS, "left")
+    own = lines.where("kind = 'diagonal'").withColumn("_q", F.when(long, F.col("c") / F.sum(F.when(long, F.col("c"))).over(W.partitionBy(*KEYS))))
+    cells, on = F.sum(F.col("n") * F.col("c")), F.sum(F.when(long, F.col("n") * F.col("c")))
+    mean = on / F.sum(F.when(long, F.col("c")))
+    a = own.groupBy(*KEYS).agg(cells.alias("_all"), on.alias("_on"), F.max("n").alias("lmax"), mean.alias("lmean"), (-F.sum(F.col("_q") * F.ln("_q"))).alias("hdiag"))
+    b = lines.where("kind = 'column'").groupBy(*KEYS).agg(cells.alias("_call"), on.alias("_con"), mean.alias("tt"))
+    rows = _spread(points).join(a, KEYS).join(b, KEYS)
     return rows.select(*KEYS, (2 * F.col("_all") / (F.col("n") * (F.col("n") - 1))).alias("rate"), (F.coalesce("_on", F.lit(0)) / F.col("_all")).alias("det"), "lmax", "lmean", "hdiag", (F.coalesce("_con", F.lit(0)) / F.col("_call")).alias("lam"), "tt")
 
 
+def correlation_sums(points: DataFrame, radii: list[float], size: int = 512) -> DataFrame:
+    """For each of ``radii``, shares of a series' spread, how many pairs of its points are nearer (session_id, channel, r, c): a tile counts for all radii at once."""
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        _, _, d, same = _squared_distances(own)
+        d = np.sort(d[np.triu_indices(len(d), 1)] if same else d.ravel())
+        count = np.searchsorted(d, (np.array(radii) * own["spread"].iloc[0]) ** 2, side="left")
+        return pd.DataFrame({"session_id": own["session_id"].iloc[0], "channel": own["channel"].iloc[0], "r": radii, "c": count})
+
+    tiled = _tiles(points.select(*KEYS, "idx", "point").join(_spread(points).select(*KEYS, "spread"), KEYS), size)
+    return tiled.groupBy(*KEYS, "i", "j").applyInPandas(run, "session_id string, channel string, r double, c long").groupBy(*KEYS, "r").agg(F.sum("c").alias("c"))
+
+
 def correlation_dimension(points: DataFrame, radii: list[float], size: int = 512) -> DataFrame:
-    """Slope of the log of the share of pairs nearer than r on ln r, for r the given shares of a series' spread."""
-    out = None
-    for r in radii:
-        part = recurrences(points, r, size).groupBy(*KEYS).agg(F.count("*").alias("c")).withColumn("r", F.lit(r))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(*KEYS).agg(F.regr_slope(F.ln("c"), F.ln("r")).alias("dimension"))
+    """Slope of the log of the number of pairs nearer than r on ln r, for r the given shares of a series' spread."""
+    return correlation_sums(points, radii, size).where("c > 0").groupBy(*KEYS).agg(F.regr_slope(F.ln("c"), F.ln("r")).alias("dimension"))
 
 
 def two_nearest_dimension(points: DataFrame) -> DataFrame:
@@ -317,3 +366,55 @@ def relative_breadth(powers: DataFrame, by: list[str], state: str, base: str) ->
     h = rows.groupBy(*by, "state").agg((-F.sum(F.when(F.col("_q") > 0, F.col("_q") * F.ln("_q")).otherwise(0.0)) / F.ln(F.first("_n"))).alias("h"))
     own = lambda s: F.max(F.when(F.col("state") == s, F.col("h")))
     return h.groupBy(*by).agg(own(state).alias("in_state"), own(base).alias("in_base"), (own(state) - own(base)).alias("delta"))
+
+
+def log_covariances(samples: DataFrame, win: int, step: int) -> DataFrame:
+    """The logarithm of the covariance (sample; 1e-9 added to its diagonal) of all channels in each whole frame: session_id, frame, channels, v.
+
+    v is the upper triangle, entries beside the diagonal times the root of 2, so that distances of v are those of the matrices. Frames in
+    which a channel misses a sample have no row.
+    """
+    from .cleaning import frames
+
+    packed = frames(samples, win, step).groupBy("session_id", "frame").agg(F.collect_list(F.struct("channel", "j", "x")).alias("s"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                s = batch.column("s")[i].values
+                names, row = np.unique(np.array(s.field("channel").to_pylist(), object).astype(str), return_inverse=True)
+                x = np.full((len(names), win), np.nan)
+                x[row, s.field("j").to_numpy(zero_copy_only=False)] = s.field("x").to_numpy(zero_copy_only=False)
+                if np.isnan(x).any():
+                    continue
+                values, axes = np.linalg.eigh(np.atleast_2d(np.cov(x)) + 1e-9 * np.eye(len(names)))
+                log = (axes * np.log(np.maximum(values, 1e-12))) @ axes.T
+                upper = np.triu_indices(len(names))
+                out.append({"session_id": batch.column("session_id")[i].as_py(), "frame": batch.column("frame")[i].as_py(), "channels": names.tolist(), "v": (log * np.where(np.eye(len(names), dtype=bool), 1, np.sqrt(2)))[upper].tolist()})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("session_id", pa.string()), ("frame", pa.int64()), ("channels", pa.list_(pa.string())), ("v", pa.list_(pa.float64()))]))
+
+    return packed.mapInArrow(run, "session_id string, frame long, channels array<string>, v array<double>")
+
+
+def covariance_spread(samples: DataFrame, win: int, step: int, size: int = 512) -> DataFrame:
+    """Log-Euclidean spread of a session's covariances: mean distance of the logarithms of every two frames' covariances, and the root
+    of the mean squared distance (session_id, frames, spread, rms).
+
+    The first is summed tile by tile, every two blocks of frames in one, so that pairs are no rows; the second needs no pairs, as the sum
+    of all squared distances is n times the sum of squares less the square of the sum. Frames of other channels than most of their session's are left out.
+    """
+    logs = log_covariances(samples, win, step)
+    most = logs.groupBy("session_id", "channels").agg(F.count("*").alias("_n")).groupBy("session_id").agg(F.min_by("channels", F.struct(-F.col("_n"), "channels")).alias("channels"))
+    points = logs.join(most, ["session_id", "channels"]).select("session_id", F.lit("all").alias("channel"), F.col("frame").alias("idx"), F.col("v").alias("point"))
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        _, _, d, same = _squared_distances(own)
+        d = np.sqrt(d)
+        return pd.DataFrame({"session_id": [own["session_id"].iloc[0]], "total": [float((np.triu(d, 1) if same else d).sum())]})
+
+    total = _tiles(points, size).groupBy(*KEYS, "i", "j").applyInPandas(run, "session_id string, total double").groupBy("session_id").agg(F.sum("total").alias("_d"))
+    places = points.select("session_id", F.posexplode("point").alias("k", "x")).groupBy("session_id", "k").agg(F.count("*").alias("_n"), F.var_pop("x").alias("_v"))
+    square = places.groupBy("session_id").agg(F.max("_n").alias("frames"), F.sum("_v").alias("_v"))
+    n = F.col("frames")
+    return square.where("frames > 1").join(total, "session_id").select("session_id", "frames", (F.col("_d") / (n * (n - 1) / 2)).alias("spread"), F.sqrt(2 * n / (n - 1) * F.col("_v")).alias("rms"))

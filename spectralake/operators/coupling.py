@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.blocks import pair_blocks, signs_of_pairs
+from ..functions.blocks import halo_blocks, map_blocks, pair_blocks, signs_of_pairs
 from .windows import numbered, sliding_sums
 
 
@@ -117,6 +117,28 @@ def sliding_locking(phases: DataFrame, reference: str, half: int) -> DataFrame:
     return _sliding_length(_with_reference(phases, reference), ["session_id", "channel"], "idx", half, F.col("_d"))
 
 
+def locking_curves(phases: DataFrame, reference: str, half: int, reps: int, block: int, draws: int) -> tuple[DataFrame, DataFrame]:
+    """Sliding locking with the reference against the same with the reference's times moved round by 1 to ``reps``.
+
+    First table: session_id, channel, at, plv, null95 (95 % point over the shifts at that time). Second: session_id, channel, mean, p of
+    the mean, coverage (share of times above null95, in %), and low and high, the 95 % interval of the mean by ``draws`` draws of
+    circular blocks of ``block`` times. The curves of all shifts come from one set of running sums.
+    """
+    from .inference import circular_block_bootstrap
+
+    keys = ["session_id", "channel"]
+    each = shifted(phases.select(*keys, "idx", "phase"), F.col("channel") == reference, reps)
+    r = each.where(F.col("channel") == reference).select("session_id", "rep", "idx", F.col("phase").alias("_r"))
+    rows = each.where(F.col("channel") != reference).join(r, ["session_id", "rep", "idx"])
+    curves = _sliding_length(rows, [*keys, "rep"], "idx", half, F.col("phase") - F.col("_r"))
+    limits = curves.where("rep > 0").groupBy(*keys, "at").agg(F.percentile("plv", 0.95).alias("null95"))
+    own = curves.where("rep = 0").drop("rep").join(limits, [*keys, "at"])
+    means = significance(curves.groupBy(*keys, "rep").agg(F.avg("plv").alias("mean")), keys, "mean").select(*keys, "mean", "p")
+    share = own.groupBy(*keys).agg((100 * F.avg((F.round(F.col("plv") - F.col("null95"), 9) > 0).cast("int"))).alias("coverage"))
+    interval = circular_block_bootstrap(own.select(*keys, F.col("at").alias("idx"), F.col("plv").alias("x")), keys, block, draws)
+    return own, means.join(share, keys).join(interval, keys)
+
+
 def phase_lead(phases: DataFrame, reference: str) -> DataFrame:
     """Share of the times at which a channel's phase is ahead of the reference's by less than half a turn."""
     ahead = F.round(F.sin("_d"), 9) > 0
@@ -391,9 +413,7 @@ def sub_harmonic_locking(reads: DataFrame, reference: str, low: float, order: in
     near = lambda f: F.abs(F.col("f0") - f) < 1e-9
     r = reads.where((F.col("channel") == reference) & near(order * low)).select("session_id", "frame", F.atan2("im", "re").alias("_r"))
     rows = reads.where((F.col("channel") != reference) & near(low)).join(r, ["session_id", "frame"])
-    rows = rows.withColumn("_d", order * F.atan2("im", "re") - F.col("_r")).withColumn("at", F.explode(F.sequence(F.col("frame") - half, F.col("frame") + half)))
-    found = rows.groupBy("session_id", "channel", "at").agg(F.sqrt(F.avg(F.cos("_d")) ** 2 + F.avg(F.sin("_d")) ** 2).alias("plv"), F.count("*").alias("_n"))
-    return found.where(F.col("_n") == 2 * half + 1).drop("_n")
+    return _sliding_length(rows, ["session_id", "channel"], "frame", half, order * F.atan2("im", "re") - F.col("_r"))
 
 
 def peak_lag_null(samples: DataFrame, reference: str, most: int, n: int, reps: int, step: int) -> DataFrame:
@@ -404,33 +424,105 @@ def peak_lag_null(samples: DataFrame, reference: str, most: int, n: int, reps: i
     return significance(each.groupBy("session_id", "channel", "rep").agg(F.max("r").alias("r")), ["session_id", "channel"], "r")
 
 
-def transfer_entropy(samples: DataFrame, reference: str, lags: list[int], block: int = 360, k: int = 4) -> DataFrame:
+def transfer_entropy(samples: DataFrame, reference: str, lags: list[int], block: int = 360, k: int = 4, reps: int = 0) -> DataFrame:
     """Transfer entropy between each channel and the reference, both ways, at each lag: entropies by k-th neighbours within blocks of
-    ``block`` samples, averaged over the blocks of a recording.
+    ``block`` samples, averaged over the blocks of a recording (te); with ``reps`` also its p, 95 % point and z against as many shifts.
 
-    The series are taken in units of their sd. A block with fewer than 8 k points is left out.
+    For rep r the source is moved round within its block by r / (reps + 1) of the block, which leaves distances within the target and within
+    the source as they are: these are taken once for all reps, and only their joint neighbours anew. The series are
+    taken in units of their sd. A block with fewer than 8 k points is left out.
     """
-    import numpy as np
     import pandas as pd
 
-    from ..functions.kernels import knn_entropy
+    from ..functions.kernels import digamma
     from .cleaning import z_score
 
     z = z_score(samples).select("session_id", "channel", "idx", F.col("z").alias("x"))
     r = z.where(F.col("channel") == reference).select("session_id", "idx", F.col("x").alias("r"))
     both = z.where(F.col("channel") != reference).join(r, ["session_id", "idx"]).withColumn("block", F.floor(F.col("idx") / block))
 
+    def entropy(gap: np.ndarray, dimensions: int) -> float:
+        radius = np.maximum(np.partition(gap, k, axis=1)[:, k], 1e-12)
+        return digamma(len(gap)) - digamma(k) + dimensions * np.log(2 * radius).mean()
+
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("idx")
+        apart = lambda v: np.abs(v[:, None] - v[None, :])
         out = []
         for lag in lags:
-            if len(own) - lag >= 8 * k:
-                for way, x, y in (("from_reference", own["r"], own["x"]), ("to_reference", own["x"], own["r"])):
-                    x, y = x.to_numpy(), y.to_numpy()
-                    f, p, s = y[lag:], y[:-lag], x[:-lag]
-                    h = lambda *columns: knn_entropy(np.column_stack(columns), k)
-                    out.append((own["session_id"].iloc[0], own["channel"].iloc[0], way, lag, h(f, p) - h(p) - h(f, p, s) + h(p, s)))
-        return pd.DataFrame(out, columns=["session_id", "channel", "direction", "lag", "te"])
-
-    found = both.groupBy("session_id", "channel", "block").applyInPandas(run, "session_id string, channel string, direction string, lag int, te double")
-    return found.groupBy("session_id", "channel", "direction", "lag").agg(F.avg("te").alias("te"))
+            n = len(own) - lag
+            if n < 8 * k:
+                continue
+            for way, x, y in (("from_reference", own["r"], own["x"]), ("to_reference", own["x"], own["r"])):
+                x, y = x.to_numpy(), y.to_numpy()
+                past, source = apart(y[:n]), apart(x[:n])
+                joint = np.maximum(apart(y[lag:]), past)
+                alone = entropy(joint, 2) - entropy(past, 1)
+                for rep in range(reps + 1):
+                    move = rep * n // (reps + 1)
+                    moved = np.roll(source, (move, move), (0, 1))
+                    te = alone - entropy(np.maximum(joint, moved), 3) + entropy(np.maximum(past, moved), 2)
+                    out.append((own["session_id"].iloc[0], own["channel"].iloc[0], way, lag, rep, te))
+        return pd.DataFrame(out, columns=["session_id", "channel", "direction", "lag", "rep", "te"])
+
+    found = both.groupBy("session_id", "channel", "block").applyInPandas(run, "session_id string, channel string, direction string, lag int, rep int, te double")
+    keys = ["session_id", "channel", "direction", "lag"]
+    values = found.groupBy(*keys, "rep").agg(F.avg("te").alias("te"))
+    return significance(values, keys, "te") if reps else values.drop("rep")
+
+
+def conditional_granger(samples: DataFrame, order: int, win: int, step: int, frames_each: int = 32) -> DataFrame:
+    """For every ordered pair of channels in each whole frame of ``win`` samples begun every ``step``: F and log-variance gain of the source's past of
+    ``order`` samples in predicting the target from the past of all channels (f, log_gain), and from the pasts of the two alone (f_pair, log_gain_pair).
+
+    session_id, frame, source, target and these four. Step divides win. A kernel gets stretches of ``frames_each`` frames; products of lagged
+    channels are summed once for each step, and a frame's are the difference of two running sums. What a source adds follows from the inverse of
+    the moments of all pasts: the full model is solved once for each target, none is fitted again without the source. A frame needs its
+    samples and the ``order`` before it of all channels of its session, and more samples than the full model has coefficients.
+    """
+    if win % step:
+        raise ValueError("step must divide win")
+    size, halo = step * frames_each, win + order
+    count = samples.groupBy("session_id").agg(F.countDistinct("channel").alias("_all"))
+
+    def kernel(start: int, rows: dict[str, np.ndarray], channels: int) -> dict[str, np.ndarray] | None:
+        names, row = np.unique(rows["channel"].astype(str), return_inverse=True)
+        c, first = len(names), start - order
+        x = np.full((c, order + size + win), np.nan)
+        at = rows["_t"] - first
+        inside = (at >= 0) & (at < x.shape[1])
+        x[row[inside], at[inside]] = rows["x"][inside]
+        if c < channels or c < 2:
+            return None
+        base = np.nanmean(x, 1, keepdims=True)
+        # A row for each time: 1, the channels, and their values 1 to ``order`` before (by lag, then channel).
+        lagged = np.concatenate([np.ones((1, size + win)), *[(x - base)[:, order - k : order - k + size + win] for k in range(order + 1)]])
+        whole = ~np.isnan(lagged).any(0)
+        lagged = np.where(whole, lagged, 0).reshape(len(lagged), -1, step).transpose(1, 0, 2)
+        sums = np.cumsum(np.concatenate([np.zeros((1, len(lagged[0]), len(lagged[0]))), lagged @ lagged.transpose(0, 2, 1)]), 0)
+        per, out = win // step, []
+        for f in range(frames_each):
+            m = sums[f + per] - sums[f]
+            if m[0, 0] < win or win <= c * order + 1:
+                continue
+            m = m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / win
+            past = np.arange(c, c * (order + 1))
+            inverse = np.linalg.pinv(m[np.ix_(past, past)], hermitian=True)
+            weights = inverse @ m[past, :c]
+            left = np.maximum(np.diag(m)[:c] - (m[past, :c] * weights).sum(0), 1e-300)
+            for a in range(c):
+                mine = np.arange(order) * c + a
+                block = np.linalg.pinv(inverse[np.ix_(mine, mine)], hermitian=True)
+                for b in range(c):
+                    if a == b:
+                        continue
+                    added = max(weights[mine, b] @ block @ weights[mine, b], 0)
+                    theirs = np.arange(order) * c + b
+                    two = past[np.r_[theirs, mine]]
+                    fit = lambda p: max(m[b, b] - m[b, p] @ np.linalg.lstsq(m[np.ix_(p, p)], m[p, b], rcond=None)[0], 1e-300)  # noqa: E731, B023
+                    less, full = fit(past[theirs]), fit(two)
+                    out.append((start // step + f, names[a], names[b], added / order / (left[b] / (win - c * order - 1)), np.log1p(added / left[b]), (less - full) / order / (full / (win - 2 * order - 1)), np.log(less / full)))
+        return dict(zip(("frame", "source", "target", "f", "log_gain", "f_pair", "log_gain_pair"), map(np.array, zip(*out, strict=True)), strict=True)) if out else None
+
+    blocks = halo_blocks(samples.withColumn("x", F.col("x").cast("double")), ["session_id"], size, halo, ["channel", "x"]).join(count, "session_id")
+    return map_blocks(blocks, ["session_id"], size, kernel, "frame long, source string, target string, f double, log_gain double, f_pair double, log_gain_pair double", ["_all"])

@@ -11,11 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from .windows import numbered, running_sums
 
 
-def circular_shift(rows: DataFrame, n: int, reps: int, step: int) -> DataFrame:
-    """Each row once for every rep, its idx moved round by rep * step within n."""
-    return rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("idx", F.pmod(F.col("idx") + F.col("rep") * step, F.lit(n)))
+def circular_shift(rows: DataFrame, reps: int, step: int, by: list[str] = ["session_id", "channel"]) -> DataFrame:  # noqa: B006
+    """Each row once for every rep, its place in the order of idx among those of ``by`` moved round by rep * step; idx is that place, so a gap closes."""
+    each = numbered(rows, "idx", by).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    return each.withColumn("idx", F.pmod(F.col("idx") + F.col("rep") * step, F.col("_n"))).drop("_n")
 
 
 def against_null(observed: DataFrame, null: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -31,9 +33,9 @@ def against_null(observed: DataFrame, null: DataFrame, by: list[str], value: str
     )
 
 
-def metric_against_surrogates(samples: DataFrame, metric: Callable[[DataFrame, list[str]], DataFrame], by: list[str], value: str, n: int, reps: int, step: int) -> DataFrame:
+def metric_against_surrogates(samples: DataFrame, metric: Callable[[DataFrame, list[str]], DataFrame], by: list[str], value: str, reps: int, step: int) -> DataFrame:
     """Any metric (rows, keys -> keys, value) against its circular-shift nulls; rep is one more key."""
-    return against_null(metric(samples, by), metric(circular_shift(samples, n, reps, step), [*by, "rep"]), by, value)
+    return against_null(metric(samples, by), metric(circular_shift(samples, reps, step), [*by, "rep"]), by, value)
 
 
 def block_bootstrap(series: DataFrame, by: list[str], n: int, block: int, reps: int) -> DataFrame:
@@ -48,18 +50,28 @@ def block_bootstrap(series: DataFrame, by: list[str], n: int, block: int, reps:
     return means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
 
 
-def circular_block_bootstrap(series: DataFrame, by: list[str], n: int, block: int, reps: int) -> DataFrame:
-    """95 % interval of the mean of n values by resampling circular blocks; n is a multiple of block.
+def _circular_draws(series: DataFrame, by: list[str], block: int, reps: int) -> DataFrame:
+    """For each rep the blocks of which a series of n values is built anew: by, rep, idx (place of a block's first value, from 0), size, _n.
 
-    The start of a block is a digest of rep and block, mod n, so that every rep is a draw of its own.
+    A block begins at a digest of rep and its number, mod n, so that every rep is a draw of its own; the last one may be shorter.
     """
-    spark = series.sparkSession
-    plan = spark.range(1, reps + 1).select(F.col("id").alias("rep")).crossJoin(spark.range(n // block).select(F.col("id").alias("b")))
-    digest = F.substring(F.md5(F.concat_ws(":", "rep", "b")), 1, 12)
-    plan = plan.withColumn("idx", F.pmod(F.conv(digest, 16, 10).cast("long"), F.lit(n)))
-    wrapped = series.select(*by, "idx", "x").union(series.where(F.col("idx") < block - 1).select(*by, F.col("idx") + n, "x"))
-    sums = wrapped.withColumn("_s", F.sum("x").over(W.partitionBy(*by).orderBy("idx").rowsBetween(0, block - 1)))
-    means = sums.join(plan, "idx").groupBy(*by, "rep").agg((F.sum("_s") / n).alias("_m"))
+    count = series.groupBy(*by).agg(F.count("*").alias("_n"))
+    draws = count.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / block) - 1)))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "b")), 1, 12), 16, 10).cast("long")
+    return draws.select(*by, "rep", F.pmod(digest, F.col("_n")).alias("idx"), F.least(F.lit(block), F.col("_n") - F.col("b") * block).alias("size"), "_n")
+
+
+def circular_block_bootstrap(series: DataFrame, by: list[str], block: int, reps: int) -> DataFrame:
+    """95 % interval of the mean of a series (by, idx, x) by resampling circular blocks: from running sums at the two ends of each block."""
+    placed = numbered(series.select(*by, "idx", "x"), "idx", by).drop("_n")
+    sums = running_sums(placed, by, "idx", ["x"])
+    upto = sums.select(*by, (F.col("idx") + 1).alias("_p"), F.col("x").alias("_s")).unionByName(sums.select(*by).distinct().select(*by, F.lit(0).cast("long").alias("_p"), F.lit(0.0).alias("_s")))
+    total = sums.groupBy(*by).agg(F.max_by("x", "idx").alias("_all"))
+    # A block is the sum up to its end less that up to its start, with the whole once more if it goes round.
+    end = F.col("idx") + F.col("size")
+    ends = F.array(F.struct(F.col("idx").alias("p"), F.lit(-1.0).alias("w"), F.lit(0).alias("round")), F.struct(F.when(end > F.col("_n"), end - F.col("_n")).otherwise(end).alias("p"), F.lit(1.0).alias("w"), (end > F.col("_n")).cast("int").alias("round")))
+    draws = _circular_draws(placed, by, block, reps).select(*by, "rep", "_n", F.explode(ends).alias("e")).select(*by, "rep", "_n", F.col("e.p").alias("_p"), "e.w", "e.round")
+    means = draws.join(upto, [*by, "_p"]).join(total, by).groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col("_s") + F.col("round") * F.col("_all")) / F.first("_n")).alias("_m"))
     return means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
 
 
@@ -101,13 +113,15 @@ def time_shuffle(rows: DataFrame, reps: int) -> DataFrame:
 
 
 def phase_randomised(samples: DataFrame, reps: int) -> DataFrame:
-    """Each channel once for every rep with its amplitude spectrum and random phases, seeded by (session, channel, rep)."""
+    """Each channel once for every rep with its amplitude spectrum and random phases, seeded by (session, channel, rep). A channel is sent once."""
     packed = samples.groupBy("session_id", "channel").agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s"))
-    each = packed.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).select("session_id", "channel", "rep", F.xxhash64("session_id", "channel", "rep").alias("seed"), F.transform("s", lambda v: v["x"]).alias("x"))
+    each = packed.select("session_id", "channel", F.transform(F.sequence(F.lit(1), F.lit(reps)), lambda rep: F.xxhash64("session_id", "channel", rep)).alias("seeds"), F.transform("s", lambda v: v["x"]).alias("x"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own in parts:
-            yield own[["session_id", "channel", "rep"]].assign(x=[kernels.phase_randomised(np.asarray(x), seed % (1 << 63)) for x, seed in zip(own["x"], own["seed"], strict=True)])
+            for row in own.itertuples():
+                for rep, seed in enumerate(row.seeds, 1):
+                    yield pd.DataFrame({"session_id": [row.session_id], "channel": [row.channel], "rep": [rep], "x": [kernels.phase_randomised(np.asarray(row.x), int(seed) % (1 << 63))]})
 
     found = each.mapInPandas(run, "session_id string, channel string, rep int, x array<double>")
     return found.select("session_id", "channel", "rep", F.posexplode("x").alias("idx", "x"))
@@ -126,26 +140,36 @@ def within_cycle_shuffle(samples: DataFrame, starts: DataFrame, reps: int, step:
     return placed.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).select(*keys, "rep", (F.col("_a") + F.pmod(F.col("idx") - F.col("_a") + F.col("rep") * step, F.col("_n"))).alias("idx"), "x")
 
 
-def max_of_resampled(series: DataFrame, by: list[str], n: int, block: int, reps: int) -> DataFrame:
-    """95 % point of the largest value of a trace built of n // block random blocks of itself (circular), over ``reps``."""
-    spark = series.sparkSession
-    plan = spark.range(1, reps + 1).select(F.col("id").alias("rep")).crossJoin(spark.range(n // block).select(F.col("id").alias("b")))
-    plan = plan.withColumn("idx", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "b")), 1, 12), 16, 10).cast("long"), F.lit(n)))
-    wrapped = series.select(*by, "idx", "x").union(series.where(F.col("idx") < block - 1).select(*by, F.col("idx") + n, "x"))
-    top = wrapped.withColumn("_m", F.max("x").over(W.partitionBy(*by).orderBy("idx").rowsBetween(0, block - 1)))
-    return top.join(plan, "idx").groupBy(*by, "rep").agg(F.max("_m").alias("_m")).groupBy(*by).agg(F.percentile("_m", 0.95).alias("threshold"))
+def max_of_resampled(series: DataFrame, by: list[str], block: int, reps: int) -> DataFrame:
+    """95 % point of the largest value of a trace (by, idx, x) built anew of random circular blocks of itself, over ``reps``."""
+    placed = numbered(series.select(*by, "idx", "x"), "idx", by)
+    wrapped = placed.select(*by, "idx", "x").union(placed.where(F.col("idx") < block - 1).select(*by, F.col("idx") + F.col("_n"), "x"))
+    ahead = W.partitionBy(*by).orderBy("idx")
+    draws = _circular_draws(placed, by, block, reps)
+    top = wrapped.withColumn("size", F.lit(block).cast("long")).withColumn("_m", F.max("x").over(ahead.rowsBetween(0, block - 1)))
+    full = draws.where(F.col("size") == block).join(top.select(*by, "idx", "_m"), [*by, "idx"]).select(*by, "rep", "_m")
+    # The shorter last block of each rep: its values are read one by one.
+    rest = draws.where(F.col("size") < block).withColumn("idx", F.explode(F.transform(F.sequence("idx", F.col("idx") + F.col("size") - 1), lambda i: F.pmod(i, F.col("_n")))))
+    rest = rest.join(placed.select(*by, "idx", F.col("x").alias("_m")), [*by, "idx"]).select(*by, "rep", "_m")
+    return full.union(rest).groupBy(*by, "rep").agg(F.max("_m").alias("_m")).groupBy(*by).agg(F.percentile("_m", 0.95).alias("threshold"))
 
 
 def control_windows(baseline: DataFrame, length: int, reps: int) -> DataFrame:
-    """Mean of x in ``reps`` windows of ``length`` samples drawn from each session and channel's baseline.
+    """Mean of x in ``reps`` windows of ``length`` samples drawn from each session and channel's baseline (mean; start: the first idx).
 
-    A window begins at the baseline sample whose number is a digest of session and rep, mod the places there are.
+    A window lies whole within a stretch of baseline without a gap, so it never runs across an event that was taken out. Of all the places
+    where one may begin, in the order of idx, the digest of session and rep tells the number. Sums come from running sums at its ends.
     """
     keys = ["session_id", "channel"]
-    rows = baseline.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy("idx")) - 1).withColumn("_n", F.count("*").over(W.partitionBy(*keys)))
-    rows = rows.where(F.col("_n") >= length).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "session_id", "rep")), 1, 12), 16, 10).cast("long"), F.col("_n") - length + 1)
-    return rows.where((F.col("_k") >= start) & (F.col("_k") < start + length)).groupBy(*keys, "rep").agg(F.avg("x").alias("mean"))
+    run = W.partitionBy(*keys).orderBy("idx")
+    rows = baseline.select(*keys, "idx", "x").withColumn("_run", F.col("idx") - F.row_number().over(run))
+    sums = rows.withColumn("_c", F.sum("x").over(W.partitionBy(*keys, "_run").orderBy("idx")))
+    last = sums.select(*keys, "_run", (F.col("idx") - length + 1).alias("start"), F.col("_c").alias("_hi"))
+    places = sums.select(*keys, "_run", F.col("idx").alias("start"), (F.col("_c") - F.col("x")).alias("_lo")).join(last, [*keys, "_run", "start"])
+    places = places.withColumns({"_k": F.row_number().over(W.partitionBy(*keys).orderBy("start")) - 1, "_n": F.count("*").over(W.partitionBy(*keys))})
+    count = places.groupBy(*keys).agg(F.first("_n").alias("_n")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    drawn = count.withColumn("_k", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "session_id", "rep")), 1, 12), 16, 10).cast("long"), F.col("_n"))).drop("_n")
+    return drawn.join(places, [*keys, "_k"]).select(*keys, "rep", "start", ((F.col("_hi") - F.col("_lo")) / length).alias("mean"))
 
 
 def sign_flip_clusters(trials: DataFrame, reps: int, share: float = 0.95) -> DataFrame:
@@ -170,6 +194,33 @@ def sign_flip_clusters(trials: DataFrame, reps: int, share: float = 0.95) -> Dat
     return counts.withColumn("significant", F.col("p") <= 1 - share + 1e-9)
 
 
+def sign_flip_grid_clusters(trials: DataFrame, reps: int, share: float = 0.95) -> DataFrame:
+    """Clusters of the mean map of ``trials`` (trial, row, col, x) above the pointwise ``share`` point of its sign-flipped means.
+
+    A cluster is what cells with a side in common make up; its mass, the sum of the means, is held against the largest mass of each flipped
+    map. Rep 0 is the map itself. Returns first_row, first_col (its first cell by row, then column), cells, row and column ends, mass, p
+    and significant. A map, a row for each line or frequency and a column for each tau, is a group; trials are averaged before.
+    """
+    sign = F.when((F.col("rep") == 0) | (F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "trial")), 1, 1), 16, 10).cast("int") < 8), 1.0).otherwise(-1.0)
+    maps = trials.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).groupBy("rep", "row", "col").agg(F.avg(sign * F.col("x")).alias("m"))
+    limit = maps.where("rep > 0").groupBy("row", "col").agg(F.percentile("m", share).alias("_t"))
+    above = maps.join(limit, ["row", "col"]).where(F.round(F.col("m") - F.col("_t"), 9) > 0).select("rep", "row", "col", "m")
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["row", "col"], ignore_index=True)
+        number = kernels.grid_components(own["row"].to_numpy(), own["col"].to_numpy())
+        found = own.assign(label=number).groupby("label").agg(first_row=("row", "first"), first_col=("col", "first"), cells=("m", "size"), low_row=("row", "min"), high_row=("row", "max"), low_col=("col", "min"), high_col=("col", "max"), mass=("m", "sum"))
+        return found.reset_index(drop=True).assign(rep=own["rep"].iloc[0])[["rep", *found.columns]]
+
+    clusters = above.groupBy("rep").applyInPandas(run, "rep int, first_row long, first_col long, cells long, low_row long, high_row long, low_col long, high_col long, mass double")
+    every = trials.sparkSession.range(1, reps + 1).select(F.col("id").alias("rep"))
+    null = every.join(clusters.where("rep > 0").groupBy("rep").agg(F.max("mass").alias("top")), "rep", "left").select(F.coalesce("top", F.lit(0.0)).alias("top"))
+    tops = F.broadcast(null.agg(F.collect_list("top").alias("_tops")))
+    as_large = F.size(F.filter("_tops", lambda t: F.round(t - F.col("mass"), 9) >= 0))
+    own = clusters.where("rep = 0").drop("rep").crossJoin(tops).withColumn("p", (as_large + 1) / (F.size("_tops") + 1)).drop("_tops")
+    return own.withColumn("significant", F.col("p") <= 1 - share + 1e-9)
+
+
 def stacked(tables: dict[str, DataFrame]) -> DataFrame:
     """Result tables one under another with their name as ``metric``; columns that a table lacks are null."""
     parts = [df.withColumn("metric", F.lit(name)) for name, df in tables.items()]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import analytic_band, fractal_power, high_passed, welch_power
 from .cleaning import frames
+from .joins import gram
 from .windows import sliding_sums
 
 
@@ -243,9 +244,14 @@ def line_hits(z: DataFrame, by: list[str], level: float) -> DataFrame:
 
 
 def binomial_tail(n: Column, least: Column, p0: float) -> Column:
-    """Chance of ``least`` or more successes in ``n`` draws of chance p0."""
-    term = lambda k: F.factorial(n.cast("int")) / (F.factorial(k.cast("int")) * F.factorial((n - k).cast("int"))) * F.pow(F.lit(p0), k) * F.pow(F.lit(1 - p0), n - k)
-    return F.aggregate(F.sequence(least.cast("int"), n.cast("int")), F.lit(0.0), lambda got, k: got + term(k))
+    """Chance of ``least`` or more successes in ``n`` draws of chance p0, for any n: each term follows from the one before by their ratio, as logarithms."""
+    start = F.struct(F.lit(0.0).alias("total"), (n * math.log1p(-p0)).alias("term"))
+
+    def step(got: Column, k: Column) -> Column:
+        term = F.when(k == 0, got["term"]).otherwise(got["term"] + F.ln((n - k + 1) / F.greatest(k, F.lit(1))) + math.log(p0 / (1 - p0)))
+        return F.struct((got["total"] + F.when(k >= least, F.exp(term)).otherwise(0.0)).alias("total"), term.alias("term"))
+
+    return F.least(F.aggregate(F.sequence(F.lit(0), n.cast("int")), start, step)["total"], F.lit(1.0))
 
 
 def epoch_consistency(z: DataFrame, by: list[str], level: float, p0: float) -> DataFrame:
@@ -305,6 +311,56 @@ def frames_for_cycles(cycles: float, win: int, step: int, fs: float, shortest: f
     return F.greatest(F.lit(1), F.ceil(F.round((seconds * fs - win) / (2 * step), 9)))
 
 
+def component_weights(samples: DataFrame, f0: float, half: float, flank: float, fs: float, kind: str = "ssd", by: tuple[str, ...] = ("session_id",), size: int = 4096, halo: int = 1024) -> DataFrame:
+    """Weights of the channels (by, channel, w; length 1, the largest positive) and ``ratio``, what the weighted sum makes largest.
+
+    ``ssd``: power within ``half`` of f0 over that in the flanks of width ``flank`` on either side; ``pca``: power within ``half`` of f0 over that of
+    all channels. Bands are cut from blocks of samples; only their covariances, a row for each two channels, reach the kernel. ``by`` may
+    name more than the session, such as the state or event that samples belong to; bands are cut before samples are parted so, where
+    ``samples`` has these columns.
+    """
+    bands = [("signal", f0 - half, f0 + half)] + ([("low", max(f0 - half - flank, 1e-3 * fs), f0 - half), ("high", f0 + half, f0 + half + flank)] if kind == "ssd" else [])
+    cut = band_phase(blocks_of(samples, size, halo, fs), samples.sparkSession.createDataFrame(bands, "band string, f_lo double, f_hi double"))
+    cut = cut.select("session_id", "channel", "idx", "band", (F.col("amp") * F.cos("phase")).alias("x"))
+    more = [c for c in by if c != "session_id"]
+    if more:
+        cut = cut.join(samples.select("session_id", "channel", "idx", *more), ["session_id", "channel", "idx"])
+    keys = [*by, "band"]
+    own = cut.groupBy(*keys, "channel").agg(F.var_pop("x").alias("cov"), F.count("*").alias("n")).select(*keys, F.col("channel").alias("ch_i"), F.col("channel").alias("ch_j"), "cov", "n")
+    pairs = gram(cut, tuple(keys)).select(*keys, "ch_i", "ch_j", "cov", F.lit(None).cast("long").alias("n"))
+    kinds = dict(cut.dtypes)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(part["ch_i"].unique())
+
+        def matrix(band: str) -> tuple[np.ndarray, float]:
+            rows = part[part["band"] == band]
+            m = rows.pivot(index="ch_i", columns="ch_j", values="cov").reindex(index=names, columns=names).to_numpy(float)
+            return np.nan_to_num(np.where(np.isnan(m), m.T, m)), float(rows["n"].max()) if len(rows) else 0.0
+
+        signal = matrix("signal")[0]
+        if kind == "ssd":
+            (low, n_low), (high, n_high) = matrix("low"), matrix("high")
+            noise = (low * n_low + high * n_high) / max(n_low + n_high, 1)
+            values, axes = np.linalg.eigh(noise)
+            keep = values > 1e-10 * max(values.max(), 1e-300)
+            turn = axes[:, keep] / np.sqrt(values[keep])  # the flanks' covariance becomes the unit matrix
+            gains, inner = np.linalg.eigh(turn.T @ signal @ turn)
+            w, ratio = turn @ inner[:, -1], gains[-1]
+        else:
+            gains, axes = np.linalg.eigh(signal)
+            w, ratio = axes[:, -1], gains[-1] / max(np.trace(signal), 1e-300)
+        w = w / np.linalg.norm(w) * np.sign(w[np.abs(w).argmax()])
+        return pd.DataFrame({**{c: part[c].iloc[0] for c in by}, "channel": names, "w": w, "ratio": ratio})[[*by, "channel", "w", "ratio"]]
+
+    return own.unionByName(pairs).groupBy(*by).applyInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "channel string, w double, ratio double"]))
+
+
+def weighted_sum(samples: DataFrame, weights: DataFrame, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """One series for each of ``by``: the sum of its channels times their weights (by, channel, w)."""
+    return samples.join(weights.select(*by, "channel", "w"), [*by, "channel"]).groupBy(*by, "idx").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+
+
 def trace_summary(traces: DataFrame, by: list[str], value: str, threshold: float) -> DataFrame:
     """Median and largest value of traces, and the share of their points above ``threshold``."""
     return traces.groupBy(*by).agg(F.percentile(value, 0.5).alias("median"), F.max(value).alias("largest"), F.avg((F.col(value) > threshold).cast("int")).alias("coverage"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,14 +54,35 @@ def occupancy(epoched: DataFrame) -> DataFrame:
 
 
 def smoothed_labels(labels: DataFrame, least: int) -> DataFrame:
-    """Labels in which runs shorter than ``least`` take the label of the longer run beside them (of equal ones the one before).
+    """Labels in which runs shorter than ``least``, from left to right, take the label of the longer run beside them (of equal ones the one before).
 
-    Lengths are those before smoothing; a run without neighbours stays.
+    The run before is taken as it has become, with all that was joined to it, the run after as it was. A run without neighbours stays.
+    Behind two long runs in a row nothing that came before matters: the second stays, and what is before it has another label. So
+    runs part into stretches there, and only within a stretch are they folded one after another.
     """
     order = W.partitionBy("session_id").orderBy("start")
-    own = runs(labels).withColumns({"_l": F.lag("label").over(order), "_ln": F.lag("n").over(order), "_r": F.lead("label").over(order), "_rn": F.lead("n").over(order)})
-    merged = F.when(F.col("n") >= least, F.col("label")).otherwise(F.coalesce(F.when(F.col("_rn").isNull() | (F.col("_ln") >= F.col("_rn")), F.col("_l")), F.col("_r"), F.col("_l"), F.col("label")))
-    return own.withColumn("label", merged).select("session_id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("idx"), "label")
+    long = F.col("n") >= least
+    own = runs(labels).withColumns({"_r": F.lead("label").over(order), "_rn": F.lead("n").over(order), "_new": (long & F.lag(long, 1, False).over(order)).cast("int")})
+    own = own.withColumn("_part", F.sum("_new").over(order))
+    packed = own.groupBy("session_id", "_part").agg(F.array_sort(F.collect_list(F.struct("start", "n", "label", "_r", "_rn"))).alias("runs"))
+    kind = dict(labels.dtypes)["label"]
+
+    def run(parts):
+        for part in parts:
+            out = []
+            for session, found in zip(part["session_id"], part["runs"], strict=True):
+                before, length = None, 0
+                for r in found:
+                    label = r["label"]
+                    if r["n"] < least and (before is not None or r["_r"] is not None):
+                        label = before if r["_r"] is None or before is not None and length >= r["_rn"] else r["_r"]
+                    length = length + r["n"] if label == before else r["n"]
+                    before = label
+                    out.append((session, r["start"], r["n"], label))
+            yield pd.DataFrame(out, columns=["session_id", "start", "n", "label"])
+
+    folded = packed.mapInPandas(run, f"session_id string, start long, n long, label {kind}")
+    return folded.select("session_id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("idx"), "label")
 
 
 def sequence_entropy(metrics: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blocks import halo_blocks, map_blocks
 from .cleaning import detrend, hann_average, rolling_robust_z
+from .coupling import significance
 from .events import islands
 from .spectral import sliding_coherence
 from .windows import numbered
@@ -171,6 +172,33 @@ def shape_or_resonance(auto: DataFrame, cross: DataFrame, null: DataFrame, by: l
     return both.withColumn("label", F.when(own & across, "true_resonance").when(own, "shape_only").otherwise("ambiguous"))
 
 
+def bispectral_direction(bins: DataFrame, reference: str, ks: list[int], reps: int) -> DataFrame:
+    """Which of a channel (E) and the reference (S) makes the other's overtone: for each bin k of ``ks`` the size of the mean over frames of
+    S_k S_k conj(E_2k) (sse) and of E_k E_k conj(S_2k) (ees), their difference, and its p against means with random signs.
+
+    Both products are taken once for each frame; a rep gives a frame one sign (by a digest of rep and frame) for both.
+    """
+    grid = F.broadcast(bins.sparkSession.createDataFrame([(k,) for k in ks], "k int"))
+    near = lambda own, name, factor: own.join(grid.select((F.col("k") * factor).alias("_k"), F.col("k").alias("base")), F.col("k") == F.col("_k")).select("session_id", "frame", "base", *[c for c in ("channel",) if name == "e"], F.col("re").alias(f"{name}{factor}r"), F.col("im").alias(f"{name}{factor}i"))
+    at = ["session_id", "frame", "base"]
+    s, e = bins.where(F.col("channel") == reference), bins.where(F.col("channel") != reference)
+    rows = near(e, "e", 1).join(near(e, "e", 2), [*at, "channel"]).join(near(s, "s", 1), at).join(near(s, "s", 2), at)
+
+    def product(a: str, b: str) -> tuple[Column, Column]:
+        re, im = F.col(f"{a}1r") ** 2 - F.col(f"{a}1i") ** 2, 2 * F.col(f"{a}1r") * F.col(f"{a}1i")
+        return re * F.col(f"{b}2r") + im * F.col(f"{b}2i"), im * F.col(f"{b}2r") - re * F.col(f"{b}2i")
+
+    (ar, ai), (br, bi) = product("s", "e"), product("e", "s")
+    each = rows.select(*at, "channel", ar.alias("ar"), ai.alias("ai"), br.alias("br"), bi.alias("bi")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+    sign = F.when((F.col("rep") == 0) | (F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "frame")), 1, 1), 16, 10).cast("int") < 8), 1.0).otherwise(-1.0)
+    size = lambda r, i: F.sqrt(F.avg(sign * F.col(r)) ** 2 + F.avg(sign * F.col(i)) ** 2)
+    keys = ["session_id", "channel", "base"]
+    means = each.groupBy(*keys, "rep").agg(size("ar", "ai").alias("sse"), size("br", "bi").alias("ees"))
+    observed = means.where("rep = 0").select(*keys, "sse", "ees")
+    found = significance(means.withColumn("difference", F.col("sse") - F.col("ees")), keys, "difference")
+    return observed.join(found, keys).select("session_id", "channel", F.col("base").alias("k"), "sse", "ees", "difference", "p")
+
+
 def cyclic_correlation(bins: DataFrame, gap: int, df: float) -> DataFrame:
     """Spectral correlation of bins ``2 gap`` apart (k - gap, k + gap), over frames: its magnitude summed over the centres k, times
     ``df``, and the centre where it is largest."""

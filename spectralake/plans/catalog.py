@@ -459,7 +459,7 @@ def c1_band_phase(spark, s):
 
 @query("SELECT session_id, channel, rep::INT AS rep, (idx + rep * 37) % 720 AS idx, x FROM samples, range(1, 4) q(rep)")
 def i1_circular_shift(spark, s):
-    return inf.circular_shift(s, 720, 3, 37).select("session_id", "channel", "rep", "idx", "x")
+    return inf.circular_shift(s, 3, 37).select("session_id", "channel", "rep", "idx", "x")
 
 
 @query(""", o AS (SELECT a.session_id, a.channel, round(corr(a.x, b.x), 9) AS r FROM samples a JOIN samples b ON a.session_id = b.session_id AND a.idx = b.idx WHERE b.channel = 'view' AND a.channel <> 'view' GROUP BY ALL),
@@ -468,7 +468,7 @@ def i1_circular_shift(spark, s):
 def i9_metric_against_surrogates(spark, s):
     reference = s.where(F.col("channel") == REFERENCE).select("session_id", "idx", F.col("x").alias("_r"))
     metric = lambda rows, by: rows.join(reference, ["session_id", "idx"]).groupBy(*by).agg(F.corr("x", "_r").alias("r"))
-    return inf.metric_against_surrogates(s.where(F.col("channel") != REFERENCE), metric, ["session_id", "channel"], "r", 720, 19, 37)
+    return inf.metric_against_surrogates(s.where(F.col("channel") != REFERENCE), metric, ["session_id", "channel"], "r", 19, 37)
 
 
 @query(""", st AS (SELECT rep, b, (rep * 7919 + b * 104729) % 697 AS a FROM range(1, 21) q(rep), range(30) u(b)), m AS (SELECT session_id, channel, rep, avg(x) AS m FROM samples JOIN st ON idx >= a AND idx < a + 24 GROUP BY ALL)
@@ -488,7 +488,7 @@ def f11_coherence_null_full(spark, s):
 
 @query("SELECT session_id, channel, rep::INT AS rep, (idx + rep * 37) % 720 AS idx, x FROM samples, range(1, 101) q(rep)")
 def i1_circular_shift_full(spark, s):
-    return inf.circular_shift(s, 720, 100, 37).select("session_id", "channel", "rep", "idx", "x")
+    return inf.circular_shift(s, 100, 37).select("session_id", "channel", "rep", "idx", "x")
 
 
 @query("SELECT session_id, channel, rep::INT AS rep, row_number() OVER (PARTITION BY session_id, channel, rep ORDER BY md5(rep || ':' || session_id || ':' || channel || ':' || idx)) - 1 AS idx, x FROM samples, range(1, 101) q(rep)")
@@ -502,7 +502,7 @@ def i2_time_shuffle_full(spark, s):
 def i9_metric_against_surrogates_full(spark, s):
     reference = s.where(F.col("channel") == REFERENCE).select("session_id", "idx", F.col("x").alias("_r"))
     metric = lambda rows, by: rows.join(reference, ["session_id", "idx"]).groupBy(*by).agg(F.corr("x", "_r").alias("r"))
-    return inf.metric_against_surrogates(s.where(F.col("channel") != REFERENCE), metric, ["session_id", "channel"], "r", 720, 100, 37)
+    return inf.metric_against_surrogates(s.where(F.col("channel") != REFERENCE), metric, ["session_id", "channel"], "r", 100, 37)
 
 
 @query(""", st AS (SELECT rep, b, ('0x' || substr(md5(rep || ':' || b), 1, 12))::BIGINT % 720 AS a FROM range(1, 1001) q(rep), range(20) u(b)),
@@ -510,7 +510,7 @@ def i9_metric_against_surrogates_full(spark, s):
  w AS (SELECT session_id, channel, a, avg(x) AS v FROM e JOIN (SELECT DISTINCT a FROM st) ON idx >= a AND idx < a + 36 GROUP BY ALL), m AS (SELECT session_id, channel, rep, avg(v) AS m FROM w JOIN st USING (a) GROUP BY ALL)
  SELECT session_id, channel, r{quantile_cont(m, 0.025)} AS low, r{quantile_cont(m, 0.975)} AS high FROM m GROUP BY ALL""", places=9)
 def i4_block_bootstrap_full(spark, s):
-    return inf.circular_block_bootstrap(s, ["session_id", "channel"], 720, 36, 1000)
+    return inf.circular_block_bootstrap(s, ["session_id", "channel"], 36, 1000)
 
 
 @query("SELECT session_id, channel, count(x) AS n, r{avg(x)} AS mean, r{stddev_samp(x)} AS sd, r{stddev_samp(x) / sqrt(count(x))} AS sem, r{quantile_cont(x, 0.5)} AS median, r{quantile_cont(x, 0.25)} AS q1, r{quantile_cont(x, 0.75)} AS q3 FROM samples GROUP BY ALL")

@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as cl
+from ..operators import complexity as cx
+from ..operators import coupling as cp
+from ..operators import events as ev
+from ..operators import inference as inf
+from ..operators import joins as jn
+from ..operators import spectral as sp
 from ..operators import timefreq as tf
 from . import catalog as base
-from .catalog import SAMPLES, query
+from .catalog import READS, REFERENCE, SAMPLES, SPECTRA, STEP, WIN, phases, query, reads
+from .further import _BINS, _MSC, _bins, _significance, _smooth
 
 #: A grid of wavelets around each order of one cycle a day (k, f0 in cycles per hour).
 GRID = [(k, k / 24 + d) for k in (1, 2) for d in (-0.006, 0.0, 0.006)]
@@ -56,3 +63,113 @@ def f16_ridge_tracks(spark, s):
 def e6_drifting_spikes(spark, s):
     """Spikes of each order along its drifting ridge against a rolling baseline of a week."""
     return tf.drifting_spikes(s, spark.createDataFrame(GRID, "k int, f0 double"), 97, 1.0, 2, 1, 84, 1.5, 4)
+
+
+_ADAPTIVE = f""", wd AS (SELECT f0, greatest(1, ceil(round((least(greatest(8 / f0, 60.0), 200.0) - 48) / 48, 9)))::BIGINT AS h FROM lines)
+ SELECT a.session_id, a.channel, k AS "at", r{{a.f0}} AS f0, r{{{_MSC}}} AS msc, count(*) AS frames FROM range(0, 29) q(k) JOIN rd a ON true JOIN wd ON wd.f0 = a.f0 AND a.frame BETWEEN k - h AND k + h JOIN rd b ON a.session_id = b.session_id AND a.frame = b.frame AND a.f0 = b.f0
+ WHERE b.channel = 'view' AND a.channel <> 'view' GROUP BY a.session_id, a.channel, k, a.f0, h HAVING count(*) = 2 * h + 1"""
+
+
+@query(_ADAPTIVE, READS)
+def f12_adaptive_windows(spark, s):
+    """Sliding coherence whose window spans eight cycles of its line, between 60 and 200 hours."""
+    return sp.sliding_coherence(reads(spark, s), REFERENCE, sp.frames_for_cycles(8.0, WIN, STEP, 1.0, 60.0, 200.0))
+
+
+_DRAWS = "st AS (SELECT rep, ('0x' || substr(md5(rep || ':' || b), 1, 12))::BIGINT % 23 AS a, least({b}, 23 - {b} * b) AS n FROM range(1, {r} + 1) q(rep), range({k}) u(b)), dr AS (SELECT rep, (a + k) % 23 AS i FROM st JOIN range({b}) w(k) ON k < n)"
+
+
+@query(f""", sl AS (SELECT a.session_id, a.channel, k AS "at", a.f0, {_MSC} AS msc FROM range(3, 26) q(k) JOIN rd a ON a.frame BETWEEN k - 3 AND k + 3 JOIN rd b ON a.session_id = b.session_id AND a.frame = b.frame AND a.f0 = b.f0 WHERE b.channel = 'view' AND a.channel <> 'view' GROUP BY a.session_id, a.channel, k, a.f0),
+ {_DRAWS.format(b=5, r=200, k=5)}, mx AS (SELECT session_id, channel, f0, rep, max(msc) AS m FROM sl JOIN dr ON "at" - 3 = i GROUP BY ALL), th AS (SELECT session_id, channel, f0, quantile_cont(m, 0.95) AS t FROM mx GROUP BY ALL)
+ SELECT session_id, channel, r{{f0}} AS f0, r{{t}} AS threshold FROM th""", READS)
+def f12_block_null(spark, s):
+    """Threshold of each coherence trace by circular blocks of itself: the 95 % point of the largest value of 200 traces built anew."""
+    traces = sp.sliding_coherence(reads(spark, s), REFERENCE, 3)
+    return inf.max_of_resampled(traces.select("session_id", "channel", "f0", F.col("at").alias("idx"), F.col("msc").alias("x")), ["session_id", "channel", "f0"], 5, 200)
+
+
+_CURVES = """, sc AS (SELECT a.session_id, a.channel, rep, k AS "at", sqrt(avg(cos(a.phase - b.phase)) ** 2 + avg(sin(a.phase - b.phase)) ** 2) AS plv
+  FROM range(3, 26) q(k) JOIN ph a ON a.idx BETWEEN k - 3 AND k + 3 JOIN range(0, 29) u(rep) ON true JOIN ph b ON a.session_id = b.session_id AND a.idx = (b.idx + rep) % 29 WHERE b.channel = 'view' AND a.channel <> 'view' GROUP BY ALL),
+ lm AS (SELECT session_id, channel, "at", quantile_cont(plv, 0.95) AS null95 FROM sc WHERE rep > 0 GROUP BY ALL), oc AS (SELECT session_id, channel, "at", plv, null95 FROM sc JOIN lm USING (session_id, channel, "at") WHERE rep = 0)"""
+
+
+@query(_CURVES + ' SELECT session_id, channel, "at", r{plv} AS plv, r{null95} AS null95 FROM oc', READS)
+def c10_locking_null_curve(spark, s):
+    """Sliding locking with the reference and the 95 % point at each time of what it is under all 28 shifts."""
+    return cp.locking_curves(phases(spark, s), REFERENCE, 3, 28, 5, 200)[0]
+
+
+@query(_CURVES + ", mn AS (SELECT session_id, channel, rep, avg(plv) AS mean FROM sc GROUP BY ALL), sg AS (" + _significance("mn", "session_id, channel", "mean") + "), " + _DRAWS.format(b=5, r=200, k=5) + """,
+ bm AS (SELECT session_id, channel, rep, avg(plv) AS m FROM oc JOIN dr ON "at" - 3 = i GROUP BY ALL), iv AS (SELECT session_id, channel, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bm GROUP BY ALL),
+ cv AS (SELECT session_id, channel, 100 * avg((round(plv - null95, 9) > 0)::INT) AS coverage FROM oc GROUP BY ALL)
+ SELECT session_id, channel, r{mean} AS mean, r{p} AS p, r{coverage} AS coverage, r{low} AS low, r{high} AS high FROM sg JOIN cv USING (session_id, channel) JOIN iv USING (session_id, channel)""", READS)
+def c10_locking_summary(spark, s):
+    """Mean locking, its p, the share of the time above the null curve, and the mean's interval by blocks."""
+    return cp.locking_curves(phases(spark, s), REFERENCE, 3, 28, 5, 200)[1]
+
+
+@query(_BINS + """, pd AS (SELECT e1.session_id, e1.channel, e1.frame, e1.k, (s1.re ** 2 - s1.im ** 2) * e2.re + 2 * s1.re * s1.im * e2.im AS ar, 2 * s1.re * s1.im * e2.re - (s1.re ** 2 - s1.im ** 2) * e2.im AS ai,
+   (e1.re ** 2 - e1.im ** 2) * s2.re + 2 * e1.re * e1.im * s2.im AS br, 2 * e1.re * e1.im * s2.re - (e1.re ** 2 - e1.im ** 2) * s2.im AS bi
+  FROM bn e1 JOIN bn e2 ON e1.session_id = e2.session_id AND e1.channel = e2.channel AND e1.frame = e2.frame AND e2.k = 2 * e1.k JOIN bn s1 ON s1.session_id = e1.session_id AND s1.frame = e1.frame AND s1.k = e1.k JOIN bn s2 ON s2.session_id = e1.session_id AND s2.frame = e1.frame AND s2.k = 2 * e1.k
+  WHERE e1.k IN (2, 4, 6) AND e1.channel <> 'view' AND s1.channel = 'view' AND s2.channel = 'view'),
+ sn AS (SELECT pd.*, rep, CASE WHEN rep = 0 OR ('0x' || substr(md5(rep || ':' || frame), 1, 1))::INT < 8 THEN 1 ELSE -1 END AS g FROM pd, range(0, 201) q(rep)),
+ mb AS (SELECT session_id, channel, k, rep, sqrt(avg(g * ar) ** 2 + avg(g * ai) ** 2) AS sse, sqrt(avg(g * br) ** 2 + avg(g * bi) ** 2) AS ees FROM sn GROUP BY ALL),
+ df AS (SELECT session_id, channel, k, rep, sse - ees AS difference FROM mb), sg AS (""" + _significance("df", "session_id, channel, k", "difference") + """)
+ SELECT session_id, channel, k::INT AS k, r{sse} AS sse, r{ees} AS ees, r{difference} AS difference, r{p} AS p FROM mb JOIN sg USING (session_id, channel, k) WHERE rep = 0""", SPECTRA, 4)
+def f19_bispectral_direction(spark, s):
+    """Whether the reference makes a channel's overtone or the channel the reference's, with p by random signs of the frames' products."""
+    return tf.bispectral_direction(_bins(s), REFERENCE, [2, 4, 6], 200)
+
+
+_GRID = f""", mp AS (SELECT session_id, channel, frame, round(f0 * 48)::BIGINT AS "row", re * re + im * im AS p FROM rs WHERE round(f0 * 48) BETWEEN 1 AND 12),
+ av AS (SELECT session_id, frame, "row", ln(avg(p) + 1) AS p FROM mp GROUP BY ALL), mm AS (SELECT "row", avg(p) AS m FROM av GROUP BY ALL),
+ tr AS (SELECT session_id || '-' || e AS trial, "row", frame - o AS col, p - m AS x FROM av JOIN mm USING ("row") JOIN (VALUES (1, 5), (2, 12), (3, 21)) q(e, o) ON frame BETWEEN o - 4 AND o + 5),
+ cu AS (SELECT rep, "row", col, avg(x * CASE WHEN rep = 0 OR ('0x' || substr(md5(rep || ':' || trial), 1, 1))::INT < 8 THEN 1 ELSE -1 END) AS m FROM tr, range(0, 101) q(rep) GROUP BY ALL),
+ tt AS (SELECT "row", col, quantile_cont(m, 0.8) AS t FROM cu WHERE rep > 0 GROUP BY ALL), ab AS MATERIALIZED (SELECT rep, "row", col, m, "row" * 1000 + col + 500 AS id FROM cu JOIN tt USING ("row", col) WHERE round(m - t, 9) > 0),
+ rc AS (SELECT rep, id, id AS low FROM ab UNION SELECT b.rep, b.id, rc.low FROM rc JOIN ab b ON b.rep = rc.rep AND b.id IN (rc.id + 1, rc.id - 1, rc.id + 1000, rc.id - 1000) WHERE rc.low < b.id),
+ lb AS (SELECT rep, id, min(low) AS low FROM rc GROUP BY ALL), ms AS (SELECT rep, low, count(*) AS cells, min("row") AS low_row, max("row") AS high_row, min(col) AS low_col, max(col) AS high_col, sum(m) AS mass FROM lb JOIN ab USING (rep, id) GROUP BY ALL),
+ nl AS (SELECT q.rep, coalesce(max(mass), 0) AS top FROM range(1, 101) q(rep) LEFT JOIN ms ON ms.rep = q.rep GROUP BY q.rep),
+ cl AS (SELECT low // 1000 AS first_row, low % 1000 - 500 AS first_col, cells, low_row, high_row, low_col, high_col, mass, (count(*) FILTER (round(top - mass, 9) >= 0) + 1) / (count(*) + 1) AS p FROM ms, nl WHERE ms.rep = 0 GROUP BY ALL)
+ SELECT first_row::BIGINT AS first_row, first_col::BIGINT AS first_col, cells, low_row, high_row, low_col, high_col, r{{mass}} AS mass, r{{p}} AS p, p <= 0.2 + 1e-9 AS significant FROM cl"""
+
+
+@query(_GRID, f"RECURSIVE {SPECTRA}", 5)
+def i6_grid_clusters(spark, s):
+    """Clusters of the time-frequency map around three onsets, trials being sessions and onsets, against sign-flipped maps."""
+    power = sp.frame_spectra(s, WIN, STEP, 1.0, 0.02, 0.255).groupBy("session_id", "frame", F.round(F.col("f") * WIN).cast("long").alias("row")).agg(F.ln(F.avg("p") + 1).alias("p"))
+    mean = power.groupBy("row").agg(F.avg("p").alias("_m"))
+    onsets = base._onsets(s, ((1, 5), (2, 12), (3, 21)))
+    near = jn.epochs(power.withColumnRenamed("frame", "idx"), onsets, 4, 5).join(mean, "row")
+    trials = near.select(F.concat_ws("-", "session_id", "event_id").alias("trial"), "row", F.col("tau").alias("col"), (F.col("p") - F.col("_m")).alias("x"))
+    return inf.sign_flip_grid_clusters(trials, 100, 0.8)
+
+
+@query()
+def p17_component_weights(spark, s):
+    """Weights of the channels that bring the daily line out against its flanks, and those of the first principal component of its band."""
+    found = {kind: sp.component_weights(s, 1 / 24, 0.008, 0.02, 1.0, kind, size=240, halo=96) for kind in ("ssd", "pca")}
+    return inf.stacked(found).select("session_id", "metric", "channel", "w", "ratio")
+
+
+@query()
+def p17_component_channel(spark, s):
+    """The weighted sum of the channels by the weights that bring the daily line out."""
+    return sp.weighted_sum(s, sp.component_weights(s, 1 / 24, 0.008, 0.02, 1.0, "ssd", size=240, halo=96))
+
+
+@query()
+def c25_conditional_granger(spark, s):
+    """What each channel's past adds to the prediction of each other one over the pasts of all, frame by frame of ten days."""
+    return cp.conditional_granger(s, 3, 240, 120)
+
+
+@query()
+def c27_transfer_entropy_null(spark, s):
+    """Transfer entropy both ways with the reference, against 19 shifts of the source."""
+    return cp.transfer_entropy(_smooth(s), REFERENCE, [6, 12], reps=19)
+
+
+@query()
+def x15_covariance_spread(spark, s):
+    """How far apart the logarithms of the channels' covariances of two-day frames are."""
+    return cx.covariance_spread(s, WIN, STEP)

@@ -346,13 +346,12 @@ def c19_peak_lag(spark, s):
     return cp.peak_lag(cp.lag_correlation(s, REFERENCE, 6))
 
 
-@query(""", la AS (SELECT a.session_id, a.channel, a.idx, (round(sin(a.phase - b.phase), 9) > 0)::INT::DOUBLE AS x FROM ph a JOIN ph b ON a.session_id = b.session_id AND a.idx = b.idx WHERE b.channel = 'view' AND a.channel <> 'view' AND a.idx < 28),
- st AS (SELECT rep, b, ('0x' || substr(md5(rep || ':' || b), 1, 12))::BIGINT % 28 AS a FROM range(1, 201) q(rep), range(7) u(b)), e AS (SELECT * FROM la UNION ALL SELECT session_id, channel, idx + 28, x FROM la),
- w AS (SELECT session_id, channel, a, avg(x) AS v FROM e JOIN (SELECT DISTINCT a FROM st) ON idx >= a AND idx < a + 4 GROUP BY ALL), m AS (SELECT session_id, channel, rep, avg(v) AS m FROM w JOIN st USING (a) GROUP BY ALL)
- SELECT session_id, channel, r{quantile_cont(m, 0.025)} AS low, r{quantile_cont(m, 0.975)} AS high FROM m GROUP BY ALL""", READS)
+@query(""", la AS (SELECT a.session_id, a.channel, a.idx, (round(sin(a.phase - b.phase), 9) > 0)::INT::DOUBLE AS x FROM ph a JOIN ph b ON a.session_id = b.session_id AND a.idx = b.idx WHERE b.channel = 'view' AND a.channel <> 'view'),
+ st AS (SELECT rep, ('0x' || substr(md5(rep || ':' || b), 1, 12))::BIGINT % 29 AS a, least(4, 29 - 4 * b) AS n FROM range(1, 201) q(rep), range(8) u(b)), dr AS (SELECT rep, (a + k) % 29 AS idx FROM st JOIN range(4) w(k) ON k < n),
+ m AS (SELECT session_id, channel, rep, avg(x) AS m FROM la JOIN dr USING (idx) GROUP BY ALL) SELECT session_id, channel, r{quantile_cont(m, 0.025)} AS low, r{quantile_cont(m, 0.975)} AS high FROM m GROUP BY ALL""", READS)
 def c20_lead_interval(spark, s):
-    ahead = cp._with_reference(phases(spark, s), REFERENCE).where("idx < 28").select("session_id", "channel", "idx", (F.round(F.sin("_d"), 9) > 0).cast("int").cast("double").alias("x"))
-    return inf.circular_block_bootstrap(ahead, ["session_id", "channel"], 28, 4, 200)
+    ahead = cp._with_reference(phases(spark, s), REFERENCE).select("session_id", "channel", "idx", (F.round(F.sin("_d"), 9) > 0).cast("int").cast("double").alias("x"))
+    return inf.circular_block_bootstrap(ahead, ["session_id", "channel"], 4, 200)
 
 
 _LATENCY = _Z + ", lt AS (SELECT session_id, channel, min(idx) - 240 AS l FROM z WHERE idx >= 240 AND z >= 1 GROUP BY ALL)"
@@ -552,8 +551,7 @@ def x11_divergence(spark, s):
  da AS (SELECT session_id, channel, sum(n) AS al, coalesce(sum(n) FILTER (n >= 2), 0) AS onl, max(n) AS lmax, avg(n) FILTER (n >= 2) AS lmean FROM dl GROUP BY ALL), va AS (SELECT session_id, channel, sum(n) AS al, coalesce(sum(n) FILTER (n >= 2), 0) AS onl, avg(n) FILTER (n >= 2) AS tt FROM vl GROUP BY ALL)
  SELECT session_id, channel, r{2 * da.al / (sp.n * (sp.n - 1))} AS rate, r{da.onl / da.al} AS det, lmax, r{lmean} AS lmean, r{hdiag} AS hdiag, r{va.onl / va.al} AS lam, r{tt} AS tt FROM sp JOIN da USING (session_id, channel) JOIN va USING (session_id, channel) LEFT JOIN hd USING (session_id, channel)""", places=4)
 def x12_recurrence(spark, s):
-    points = cx.embed(_smooth(s), 3, 12)
-    return cx.recurrence_measures(cx.recurrences(points, 0.4), points.groupBy("session_id", "channel").agg(F.count("*").alias("n")))
+    return cx.recurrence_measures(cx.embed(_smooth(s), 3, 12), 0.4)
 
 
 @query(""", tp AS (SELECT session_id, idx, list(v ORDER BY channel, part) AS v FROM (SELECT session_id, idx, channel, unnest([0, 1]) AS part, unnest([cos(phase), sin(phase)]) AS v FROM ph) GROUP BY ALL), td AS (SELECT p.session_id, p.idx, round(list_distance(p.v, q.v), 9) AS d FROM tp p JOIN tp q USING (session_id) WHERE p.idx <> q.idx),
@@ -579,8 +577,11 @@ def m2_microstate_maps(spark, s):
 _RUN = base._LABELS + ", g AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY idx) - row_number() OVER (PARTITION BY session_id, label ORDER BY idx) AS g FROM lb), u AS (SELECT session_id, label, min(idx) AS start, count(*) AS n FROM g GROUP BY session_id, label, g)"
 
 
-@query(_RUN + """, v AS (SELECT *, lag(label) OVER w AS l, lag(n) OVER w AS ln, lead(label) OVER w AS r, lead(n) OVER w AS rn FROM u WINDOW w AS (PARTITION BY session_id ORDER BY start))
- SELECT session_id, unnest(range(start, start + n)) AS idx, CASE WHEN n >= 3 THEN label WHEN l IS NULL AND r IS NULL THEN label WHEN l IS NULL THEN r WHEN r IS NULL OR ln >= rn THEN l ELSE r END AS label FROM v""")
+@query(base._LABELS + """, g AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY idx) - row_number() OVER (PARTITION BY session_id, label ORDER BY idx) AS g FROM lb), u AS (SELECT session_id, label, min(idx) AS start, count(*) AS n FROM g GROUP BY session_id, label, g),
+ v AS MATERIALIZED (SELECT *, lead(label) OVER w AS r, lead(n) OVER w AS rn, row_number() OVER w AS k FROM u WINDOW w AS (PARTITION BY session_id ORDER BY start)),
+ f AS (SELECT session_id, k, start, n, CASE WHEN n >= 3 OR r IS NULL THEN label ELSE r END AS label, n AS len FROM v WHERE k = 1 UNION ALL
+  SELECT session_id, k, start, n, nl, CASE WHEN nl = was THEN len + n ELSE n END FROM (SELECT v.session_id, v.k, v.start, v.n, f.label AS was, f.len, CASE WHEN v.n >= 3 THEN v.label WHEN r IS NULL OR f.len >= rn THEN f.label ELSE r END AS nl FROM f JOIN v ON v.session_id = f.session_id AND v.k = f.k + 1))
+ SELECT session_id, unnest(range(start, start + n)) AS idx, label FROM f""", f"RECURSIVE {SAMPLES}")
 def m4_smoothed_labels(spark, s):
     return st.smoothed_labels(base._labels(s), 3)
 
@@ -696,7 +697,7 @@ def i3_within_cycle_shuffle(spark, s):
 @query(""", st AS (SELECT rep, b, ('0x' || substr(md5(rep || ':' || b), 1, 12))::BIGINT % 720 AS a FROM range(1, 201) q(rep), range(20) u(b)), e AS (SELECT session_id, channel, idx, x FROM samples UNION ALL SELECT session_id, channel, idx + 720, x FROM samples),
  w AS (SELECT session_id, channel, a, max(x) AS v FROM e JOIN (SELECT DISTINCT a FROM st) ON idx >= a AND idx < a + 36 GROUP BY ALL), m AS (SELECT session_id, channel, rep, max(v) AS m FROM w JOIN st USING (a) GROUP BY ALL) SELECT session_id, channel, r{quantile_cont(m, 0.95)} AS threshold FROM m GROUP BY ALL""")
 def i4_max_null_threshold(spark, s):
-    return inf.max_of_resampled(s, ["session_id", "channel"], 720, 36, 200)
+    return inf.max_of_resampled(s, ["session_id", "channel"], 36, 200)
 
 
 @query(_Z + """, tl AS (SELECT session_id || '-' || event_id AS trial, idx - onset AS tau, activity - (SELECT avg(activity) FROM act) AS x FROM act, (VALUES (1, 100), (2, 300), (3, 500)) o(event_id, onset) WHERE idx BETWEEN onset - 6 AND onset + 12),
@@ -711,8 +712,10 @@ def i6_sign_flip_clusters(spark, s):
     return inf.sign_flip_clusters(trials, 100, 0.8)
 
 
-@query(""", bs AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY session_id, channel) AS n FROM samples WHERE NOT EXISTS (SELECT 1 FROM windows WHERE t >= t0 AND t < t1) WINDOW w AS (PARTITION BY session_id, channel ORDER BY idx)),
- sr AS (SELECT bs.*, rep, ('0x' || substr(md5(session_id || ':' || rep), 1, 12))::BIGINT % (n - 48 + 1) AS a FROM bs, range(1, 51) q(rep)) SELECT session_id, channel, rep::INT AS rep, r{avg(x)} AS mean FROM sr WHERE k >= a AND k < a + 48 GROUP BY ALL""")
+@query(""", bs AS (SELECT *, idx - row_number() OVER (PARTITION BY session_id, channel ORDER BY idx) AS g FROM samples WHERE NOT EXISTS (SELECT 1 FROM windows WHERE t >= t0 AND t < t1)),
+ wi AS (SELECT session_id, channel, idx AS start, avg(x) OVER w AS m, count(*) OVER w AS c FROM bs WINDOW w AS (PARTITION BY session_id, channel, g ORDER BY idx ROWS BETWEEN CURRENT ROW AND 47 FOLLOWING)),
+ pc AS (SELECT session_id, channel, start, m, row_number() OVER (PARTITION BY session_id, channel ORDER BY start) - 1 AS k, count(*) OVER (PARTITION BY session_id, channel) AS n FROM wi WHERE c = 48)
+ SELECT session_id, channel, rep::INT AS rep, start, r{m} AS mean FROM pc, range(1, 51) q(rep) WHERE k = ('0x' || substr(md5(session_id || ':' || rep), 1, 12))::BIGINT % n""")
 def i8_control_windows(spark, s):
     return inf.control_windows(jn.outside_windows(s, windows(spark)), 48, 50)
 
