@@ -141,3 +141,29 @@ def grid_components(row: np.ndarray, col: np.ndarray) -> np.ndarray:
                 break
             label = new
     return label
+
+
+def betweenness(length: np.ndarray) -> np.ndarray:
+    """For each node the mean, over the connected pairs of other nodes, of the share of their shortest ways that go by it (lengths to nine places);
+    NaN without such pairs. ``length``: of each edge, infinite where there is none."""
+    n = len(length)
+    edge = length.copy()
+    np.fill_diagonal(edge, np.inf)
+    d = edge.copy()
+    np.fill_diagonal(d, 0)
+    for k in range(n):
+        d = np.minimum(d, d[:, k : k + 1] + d[k : k + 1])
+    ways = np.eye(n)
+    for a in range(n):
+        for v in np.argsort(d[a], kind="stable"):
+            if v != a and np.isfinite(d[a, v]):
+                ways[a, v] = ways[a, np.abs(d[a] + edge[:, v] - d[a, v]) < 1e-9].sum()
+    out = np.full(n, np.nan)
+    for v in range(n):
+        a, b = np.triu_indices(n, 1)
+        keep = (a != v) & (b != v) & np.isfinite(d[a, v]) & np.isfinite(d[v, b])
+        a, b = a[keep], b[keep]
+        if len(a):
+            on = np.abs(d[a, v] + d[v, b] - d[a, b]) < 1e-9
+            out[v] = np.where(on, ways[a, v] * ways[v, b] / ways[a, b], 0).mean()
+    return out

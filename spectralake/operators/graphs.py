@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.kernels import betweenness as between
 from ..functions.kernels import laplacian_entropy, min_cut
 
 
@@ -82,11 +83,19 @@ def path_measures(paths: DataFrame, by: list[str]) -> DataFrame:
     return paths.groupBy(*by).agg(F.avg("d").alias("path_length"), F.avg(1 / F.col("d")).alias("efficiency"))
 
 
-def betweenness(paths: DataFrame, by: list[str]) -> DataFrame:
-    """For each node the share of the pairs of other nodes whose shortest way goes by it (to nine places)."""
-    first, second = paths.select(*by, "a", F.col("b").alias("node"), F.col("d").alias("d1")), paths.select(*by, F.col("a").alias("node"), "b", F.col("d").alias("d2"))
-    via = first.join(second, [*by, "node"]).where("a < b").join(paths, [*by, "a", "b"])
-    return via.groupBy(*by, "node").agg(F.avg((F.abs(F.col("d1") + F.col("d2") - F.col("d")) < 1e-9).cast("int")).alias("betweenness"))
+def betweenness(edges: DataFrame, by: list[str]) -> DataFrame:
+    """For each node (of two others at least that it is connected with) the mean over pairs of other nodes of the share of their shortest ways that go
+    by it, an edge being 1 / w long; of several ways of one length each counts. A graph is as small as a session has channels."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        nodes = sorted({*own["ch_i"], *own["ch_j"]})
+        i, j = (own[c].map({c: k for k, c in enumerate(nodes)}).to_numpy() for c in ("ch_i", "ch_j"))
+        length = np.full((len(nodes), len(nodes)), np.inf)
+        length[i, j] = length[j, i] = 1 / own["w"].to_numpy()
+        found = pd.DataFrame({**{c: own[c].iloc[0] for c in by}, "node": nodes, "betweenness": between(length)})
+        return found[found["betweenness"].notna()]
+
+    return edges.where("w > 0").groupBy(*by).applyInPandas(run, ", ".join(f"{c} {dict(edges.dtypes)[c]}" for c in by) + ", node string, betweenness double")
 
 
 def eigenmodes(edges: DataFrame, by: list[str]) -> DataFrame:

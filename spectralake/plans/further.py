@@ -670,7 +670,7 @@ def g4_path_measures(spark, s):
 
 @query(_PATHS + " SELECT x.session_id, x.b AS node, r{avg((abs(x.d + y.d - z.d) < 1e-9)::INT)} AS betweenness FROM e2 x JOIN e2 y ON x.session_id = y.session_id AND x.b = y.a AND x.a < y.b JOIN e2 z ON z.session_id = x.session_id AND z.a = x.a AND z.b = y.b GROUP BY x.session_id, x.b", READS)
 def g4_betweenness(spark, s):
-    return gr.betweenness(gr.shortest_paths(edges(spark, s), ["session_id"], 5), ["session_id"])
+    return gr.betweenness(edges(spark, s), ["session_id"])
 
 
 @query(" SELECT session_id, 1.0::DOUBLE AS total FROM edges GROUP BY session_id", READS)
