@@ -13,12 +13,8 @@ from ..functions.blocks import halo_blocks, map_blocks, pair_blocks, signs_of_pa
 from .windows import numbered, sliding_sums
 
 
-def phase_edges(phases: DataFrame, window: list[str] | None = None, size: int = 4096) -> DataFrame:
-    """plv, mean phase, pli and directed pli of each two channels (per session and what else ``window`` names).
-
-    A difference whose sine is 0 to nine places leads in neither direction. Unit phasors of all channels are multiplied stretch by stretch of
-    time, and only sums for each two channels and stretch leave the kernel.
-    """
+def _edge_sums(phases: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """For each two channels and stretch of time the number of times, the sums of cosine and sine of their phases' difference, and of the sine's sign and being above 0."""
 
     def kernel(known: np.ndarray, phase: np.ndarray) -> dict[str, np.ndarray]:
         z, m = np.where(known, np.exp(1j * phase), 0), known.astype(float)
@@ -26,10 +22,44 @@ def phase_edges(phases: DataFrame, window: list[str] | None = None, size: int =
         sign, above, _ = signs_of_pairs(z)
         return {"n": m @ m.T, "c": mean.real, "s": mean.imag, "sign": sign, "above": above}
 
-    keys = [*(window or ["session_id"]), "ch_i", "ch_j"]
-    parts = pair_blocks(phases, keys[:-2], ["phase"], kernel, "n long, c double, s double, sign double, above double", size=size)
+    return pair_blocks(phases, keys, ["phase"], kernel, "n long, c double, s double, sign double, above double", size=size)
+
+
+def phase_edges(phases: DataFrame, window: list[str] | None = None, size: int = 4096) -> DataFrame:
+    """plv, mean phase, pli and directed pli of each two channels (per session and what else ``window`` names).
+
+    A difference whose sine is 0 to nine places leads in neither direction. Unit phasors of all channels are multiplied stretch by stretch of
+    time, and only sums for each two channels and stretch leave the kernel.
+    """
+    keys = window or ["session_id"]
     mean = lambda c: F.sum(c) / F.sum("n")
-    return parts.groupBy(*keys).agg(F.sqrt(mean("c") ** 2 + mean("s") ** 2).alias("plv"), F.atan2(mean("s"), mean("c")).alias("mean_phase"), F.abs(mean("sign")).alias("pli"), mean("above").alias("dpli"))
+    own = _edge_sums(phases, keys, size).groupBy(*keys, "ch_i", "ch_j")
+    return own.agg(F.sqrt(mean("c") ** 2 + mean("s") ** 2).alias("plv"), F.atan2(mean("s"), mean("c")).alias("mean_phase"), F.abs(mean("sign")).alias("pli"), mean("above").alias("dpli"))
+
+
+def directed_control(phases: DataFrame, state: str, base: str, length: int, reps: int, size: int = 4096) -> DataFrame:
+    """Directed phase lag of each two channels in ``state`` less in ``base`` (phases with a column state), against stretches of the base.
+
+    session_id, ch_i, ch_j, in_state, in_base, delta, reverse (the same from ch_j to ch_i), null95 and p: of ``reps`` stretches of
+    ``length`` times drawn from the base (see ``control_windows``), the 95 % point of the size of their difference from the base, and
+    how often it is as large as that of delta. A session's stretches are the same for all its channels.
+    """
+    from .inference import control_windows
+
+    ends = ["ch_i", "ch_j"]
+    share = lambda c: F.sum(c) / F.sum("n")
+    lead = lambda rows, keys: _edge_sums(rows, keys, size).groupBy(*keys, *ends).agg(share("above").alias("lead"), share(F.col("above") - F.col("sign")).alias("back"))
+    own = lead(phases.where(F.col("state").isin(state, base)), ["session_id", "state"])
+    of = lambda c, s: F.max(F.when(F.col("state") == s, F.col(c)))
+    own = own.groupBy("session_id", *ends).agg(of("lead", state).alias("in_state"), of("lead", base).alias("in_base"), (of("back", state) - of("back", base)).alias("reverse"))
+    times = phases.where(F.col("state") == base).select("session_id", F.lit("all").alias("channel"), "idx", F.lit(0.0).alias("x")).distinct()
+    drawn = control_windows(times, length, reps).select("session_id", "rep", F.explode(F.sequence("start", F.col("start") + length - 1)).alias("idx"))
+    null = lead(phases.select("session_id", "channel", "idx", "phase").join(drawn, ["session_id", "idx"]), ["session_id", "rep"])
+    both = own.join(null.select("session_id", "rep", *ends, F.col("lead").alias("_l")), ["session_id", *ends])
+    far, near = F.round(F.abs(F.col("_l") - F.col("in_base")), 9), F.round(F.abs(F.col("in_state") - F.col("in_base")), 9)
+    keys = ["session_id", *ends, "in_state", "in_base", "reverse"]
+    found = both.groupBy(*keys).agg(F.percentile(far, 0.95).alias("null95"), ((F.count_if(far >= near) + 1) / (F.count("*") + 1)).alias("p"))
+    return found.select("session_id", *ends, "in_state", "in_base", (F.col("in_state") - F.col("in_base")).alias("delta"), "reverse", "null95", "p")
 
 
 def locking_n_m(phases: DataFrame, reference: str, orders: list[tuple[int, int]]) -> DataFrame:
@@ -361,6 +391,85 @@ def phase_to_amplitude(phases: DataFrame, reference: str, most: int) -> DataFram
     return own.select("session_id", "channel", "lag", gain.alias("gain"))
 
 
+def phase_amplitude_direction(phases: DataFrame, reference: str, most: int, reps: int) -> DataFrame:
+    """Whether the reference's phase foretells a channel's amplitude or the amplitude the phase: for each direction the lag (1 to ``most``) with the largest
+    gain, that gain and its p against channels moved round by 1 to ``reps``.
+
+    phase_to_amplitude: by how much sine and cosine of the phase ``lag`` before raise the R² of the amplitude over its own past; amplitude_to_phase:
+    by how much the amplitude raises that of the phase's sine over the phase's past. All from correlations.
+    """
+    keys = ["session_id", "channel", "rep", "lag"]
+    each = shifted(phases.select("session_id", "channel", "idx", "phase", "amp"), F.col("channel") != reference, reps)
+    r = each.where(F.col("channel") == reference).select("session_id", "rep", "idx", F.sin("phase").alias("_s"), F.cos("phase").alias("_c"))
+    now = each.where(F.col("channel") != reference).select("session_id", "channel", "rep", "idx", F.col("amp").alias("_a")).join(r, ["session_id", "rep", "idx"])
+    before = now.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(most)))).withColumn("idx", F.col("idx") + F.col("lag"))
+    rows = now.select("session_id", "channel", "rep", "idx", F.col("_a").alias("_y"), F.col("_s").alias("_z")).join(before, ["session_id", "channel", "rep", "idx"])
+    names = ["ya", "ys", "yc", "za", "zs", "zc", "as", "ac", "sc"]
+    own = rows.groupBy(*keys).agg(*[F.corr(f"_{n[0]}", f"_{n[1]}").alias(n) for n in names])
+    c = {n: F.col(n) for n in names}
+    part = lambda xy, xz, yz: (xy - xz * yz) / F.sqrt((1 - xz * xz) * (1 - yz * yz))
+    # y on s and c, given a.
+    s, k, x = part(c["ys"], c["ya"], c["as"]), part(c["yc"], c["ya"], c["ac"]), part(c["sc"], c["as"], c["ac"])
+    forward = (1 - c["ya"] ** 2) * (s * s + k * k - 2 * s * k * x) / (1 - x * x)
+    # z on a, given s and c.
+    given = lambda p, q, r: part(p, q, r)
+    za, zc, ac = given(c["za"], c["zs"], c["as"]), given(c["zc"], c["zs"], c["sc"]), given(c["ac"], c["as"], c["sc"])
+    known = (c["zs"] ** 2 + c["zc"] ** 2 - 2 * c["zs"] * c["zc"] * c["sc"]) / (1 - c["sc"] ** 2)
+    backward = (1 - known) * part(za, zc, ac) ** 2
+    gains = own.select(*keys, F.explode(F.array(F.struct(F.lit("phase_to_amplitude").alias("direction"), forward.alias("gain")), F.struct(F.lit("amplitude_to_phase").alias("direction"), backward.alias("gain")))).alias("g")).select(*keys, "g.*")
+    by = ["session_id", "channel", "direction"]
+    peak = gains.groupBy(*by, "rep").agg(F.max("gain").alias("gain"), F.min_by("lag", F.struct(-F.round("gain", 9), F.col("lag"))).alias("lag"))
+    return significance(peak, by, "gain").join(peak.where("rep = 0").select(*by, "lag"), by).select(*by, "lag", "gain", "p")
+
+
+def envelope_matrix(reads: DataFrame, reference: str, reps: int, ridge: float = 1e-9) -> DataFrame:
+    """The linear map of the lines' amplitudes of one frame to those of the next, from the reference to each channel and back: session_id, channel,
+    direction, f_from, f_to, gain, threshold and significant.
+
+    Gains come from one ridge regression for all lines together. The threshold is the 95 % point of a gain's size over ``reps`` in which each line
+    of the source is moved round by rep times its rank. Only sums of products, a row for each two lines, reach the kernel.
+    """
+    import pandas as pd
+
+    amp = numbered(reads, "frame").select("session_id", "channel", "frame", "_n", "f0", F.dense_rank().over(W.partitionBy("session_id").orderBy("f0")).alias("_k"), F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("amp"))
+    others = amp.where(F.col("channel") != reference).select("session_id", "channel").distinct()
+    ref = amp.where(F.col("channel") == reference).drop("channel").join(others, "session_id")
+    own = amp.where(F.col("channel") != reference)
+    sides = [("from_reference", ref, own), ("to_reference", own, ref)]
+    sums = None
+    for way, source, target in sides:
+        moved = source.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("frame", F.pmod(F.col("frame") + F.col("rep") * F.col("_k"), F.col("_n")))
+        x = moved.where("frame < _n - 1").select("session_id", "channel", "rep", "frame", F.col("f0").alias("b"), F.col("amp").alias("xb"))
+        left = x.select("session_id", "channel", "rep", "frame", F.lit("x").alias("side"), F.col("b").alias("a"), F.col("xb").alias("xa"))
+        y = target.where("frame > 0").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).select("session_id", "channel", "rep", (F.col("frame") - 1).alias("frame"), F.lit("y").alias("side"), F.col("f0").alias("a"), F.col("amp").alias("xa"))
+        part = left.unionByName(y).join(x, ["session_id", "channel", "rep", "frame"]).groupBy("session_id", "channel", "rep", "side", "a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("s")).withColumn("direction", F.lit(way))
+        sums = part if sums is None else sums.unionByName(part)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        xx, yx = (part[part["side"] == side].pivot(index="a", columns="b", values="s") for side in "xy")
+        g = np.linalg.solve(xx.to_numpy() + ridge * np.eye(len(xx)), yx[xx.index].to_numpy().T).T
+        out = pd.DataFrame(g, index=yx.index, columns=xx.index).stack().rename("gain").rename_axis(["f_to", "f_from"]).reset_index()
+        return out.assign(**{c: part[c].iloc[0] for c in ("session_id", "channel", "direction", "rep")})[["session_id", "channel", "direction", "rep", "f_from", "f_to", "gain"]]
+
+    found = sums.groupBy("session_id", "channel", "direction", "rep").applyInPandas(run, "session_id string, channel string, direction string, rep int, f_from double, f_to double, gain double")
+    keys = ["session_id", "channel", "direction", "f_from", "f_to"]
+    both = found.groupBy(*keys).agg(F.max(F.when(F.col("rep") == 0, F.col("gain"))).alias("gain"), F.percentile(F.when(F.col("rep") > 0, F.abs("gain")), 0.95).alias("threshold"))
+    return both.withColumn("significant", F.round(F.abs("gain") - F.col("threshold"), 9) > 0)
+
+
+def epoch_coupling(phases: DataFrame, onsets: DataFrame, before: int, after: int, half: int, bins: int) -> DataFrame:
+    """Modulation index of each epoch around the times of ``onsets``: session_id, event_id, tau, mi and change, mi less the epoch's mean before its onset.
+
+    At each tau it is the index over the 2 half + 1 times around, averaged over channels.
+    """
+    from .joins import epochs
+
+    curve = sliding_modulation(phases, half, bins).groupBy("session_id", F.col("at").alias("idx")).agg(F.avg("mi").alias("mi"))
+    rows = epochs(curve, onsets, before, after)
+    base = F.avg(F.when(F.col("tau") < 0, F.col("mi"))).over(W.partitionBy("session_id", "event_id"))
+    return rows.select("session_id", "event_id", "tau", "mi", (F.col("mi") - base).alias("change"))
+
+
 def directed_spectra(samples: DataFrame, order: int, lines: list[float], fs: float, ridge: float = 1e-8) -> DataFrame:
     """Vector autoregression of each session's channels (the order up to ``order`` with the least BIC), and from it at each line the
     directed transfer function (shares of a target's inflow) and partial directed coherence (shares of a source's outflow) of every

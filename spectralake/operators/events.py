@@ -21,11 +21,11 @@ def islands(rows: DataFrame, mask: Column, by: list[str], min_len: int = 1, valu
     return found.where(F.col("n") >= min_len).drop("_run")
 
 
-def spike_events(samples: DataFrame, z: float, least: int, min_len: int, baseline: Column | None = None) -> DataFrame:
-    """Runs in which at least ``least`` channels are above mean + z sd (sample sd) of their baseline."""
+def spike_events(samples: DataFrame, z: float, least: int, min_len: int, baseline: Column | None = None, of: str = "channel") -> DataFrame:
+    """Runs in which at least ``least`` channels (or of what else ``of`` names, such as bands) are above mean + z sd (sample sd) of their baseline."""
     base = samples.where(baseline) if baseline is not None else samples
-    limits = base.groupBy("session_id", "channel").agg((F.avg("x") + z * F.stddev_samp("x")).alias("_limit"))
-    count = samples.join(limits, ["session_id", "channel"]).groupBy("session_id", "idx").agg(F.count_if(F.col("x") > F.col("_limit")).alias("x"))
+    limits = base.groupBy("session_id", of).agg((F.avg("x") + z * F.stddev_samp("x")).alias("_limit"))
+    count = samples.join(limits, ["session_id", of]).groupBy("session_id", "idx").agg(F.count_if(F.col("x") > F.col("_limit")).alias("x"))
     return islands(count, F.col("x") >= least, ["session_id"], min_len)
 
 
@@ -207,3 +207,110 @@ def latency_summary(latency: DataFrame, roi_of, within: int) -> DataFrame:
     """For each session and region (``roi_of``: a column of channel): first latency, spread (median less first) and the share of channels within ``within``."""
     own = latency.withColumn("roi", roi_of)
     return own.groupBy("session_id", "roi").agg(F.min("latency").alias("first"), (F.percentile("latency", 0.5) - F.min("latency")).alias("spread"), F.avg((F.col("latency") <= within).cast("int")).alias("synchronised"))
+
+
+def event_line_summaries(reads: DataFrame, reference: str, windows: DataFrame, slow: float, fast: float, step: float, before: float, around: float) -> DataFrame:
+    """What the lines say of each session's windows (state, window_id, t0, t1), a frame being at ``step`` times its number.
+
+    Of the mean of all channels but the reference: line_z, the largest amplitude at ``slow`` in the window in sd above its mean in the ``before``
+    seconds ahead of it, line_area, the sum of these z times ``step`` within ``around`` of its start, msc, its coherence with the reference over the
+    window's frames, and lead, how much later the slow line peaks than the fast one in the ``before`` seconds ahead. Of the reference's amplitude in
+    sd of its session: ref_z_max and ref_peak_t in the window, ref_z_near within ``around`` of its start, ref_z_after in the ``around``
+    seconds from its peak on. What has no frames is null.
+    """
+    from .joins import in_windows
+
+    keys, at = ["session_id", "state", "window_id"], (F.col("frame") * step).cast("double")
+    line = lambda f: F.abs(F.col("f0") - f) < 1e-9
+    size = F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)
+    mean = reads.where(F.col("channel") != reference).groupBy("session_id", "frame", "f0").agg(F.avg("re").alias("re"), F.avg("im").alias("im")).select("session_id", "f0", at.alias("t"), "re", "im", size.alias("amp"))
+    ref = reads.where((F.col("channel") == reference) & line(slow)).select("session_id", at.alias("t"), F.col("re").alias("rr"), F.col("im").alias("ri"), size.alias("ref"))
+    own = mean.where(line(slow)).join(ref, ["session_id", "t"])
+    moments = own.groupBy("session_id").agg(F.avg("ref").alias("_m"), F.stddev_pop("ref").alias("_s"))
+    own = own.join(moments, "session_id").withColumn("ref_z", (F.col("ref") - F.col("_m")) / (F.col("_s") + 1e-12))
+    span = lambda t0, t1: windows.select("state", "window_id", t0.alias("t0"), t1.alias("t1"))
+    ahead, near = span(F.col("t0") - before, F.col("t0")), span(F.col("t0") - around, F.col("t0") + around)
+    base = in_windows(own, ahead).groupBy(*keys).agg(F.avg("amp").alias("_b"), F.stddev_pop("amp").alias("_d"))
+    z = (F.col("amp") - F.col("_b")) / (F.col("_d") + 1e-12)
+    x, y = F.sum(F.col("re") * F.col("rr") + F.col("im") * F.col("ri")), F.sum(F.col("im") * F.col("rr") - F.col("re") * F.col("ri"))
+    inside = in_windows(own, windows).join(base, keys, "left").groupBy(*keys).agg(
+        F.max(z).alias("line_z"), ((x * x + y * y) / F.nullif(F.sum(F.col("re") ** 2 + F.col("im") ** 2) * F.sum(F.col("rr") ** 2 + F.col("ri") ** 2), F.lit(0.0))).alias("msc"),
+        F.max("ref_z").alias("ref_z_max"), F.min_by("t", F.struct(-F.round("ref_z", 9), F.col("t"))).alias("ref_peak_t"),
+    )
+    start = in_windows(own, near).join(base, keys, "left").groupBy(*keys).agg((F.sum(z) * step).alias("line_area"), F.avg("ref_z").alias("ref_z_near"))
+    top = lambda f: F.min_by(F.when(line(f), F.col("t")), F.struct(F.when(line(f), 0).otherwise(1), -F.round("amp", 9), F.col("t")))
+    lead = in_windows(mean.select("session_id", "t", "f0", "amp"), ahead).groupBy(*keys).agg((top(slow) - top(fast)).alias("lead"))
+    after = inside.select(*keys, F.col("ref_peak_t").alias("t0"), (F.col("ref_peak_t") + around).alias("t1"))
+    after = in_windows(own.select("session_id", "t", "ref_z"), after).groupBy(*keys).agg(F.avg("ref_z").alias("ref_z_after"))
+    found = inside.join(start, keys, "left").join(lead, keys, "left").join(after, keys, "left")
+    return found.select(*keys, "line_z", "line_area", "msc", "lead", "ref_z_max", "ref_peak_t", "ref_z_near", "ref_z_after")
+
+
+def peak_widths(curve: DataFrame, peaks: DataFrame, by: list[str], reach: int) -> DataFrame:
+    """Peaks (by, idx, x, prominence) of a curve (by, idx, x) with left, right and width at half their prominence.
+
+    An end is where the line between two samples crosses that height, going out from the peak; it is sought within ``reach`` samples, by
+    stretches of the curve, and is the last sample there if the curve stays above.
+    """
+    stretch = lambda c: F.floor(c / reach)
+    tops = peaks.select(*by, F.col("idx").alias("_p"), F.col("x").alias("_top"), "prominence", (F.col("x") - F.col("prominence") / 2).alias("_h"))
+    spread = tops.withColumn("_b", F.explode(F.sequence(stretch(F.col("_p") - reach), stretch(F.col("_p") + reach))))
+    near = curve.withColumn("_b", stretch(F.col("idx"))).join(spread, [*by, "_b"]).where(F.abs(F.col("idx") - F.col("_p")) <= reach)
+    low = F.col("x") <= F.col("_h")
+    keys = [*by, "_p", "_top", "prominence", "_h"]
+    ends = near.groupBy(*keys).agg(
+        F.coalesce(F.max(F.when(low & (F.col("idx") < F.col("_p")), F.col("idx"))), F.min("idx")).alias("_i"), F.coalesce(F.min(F.when(low & (F.col("idx") > F.col("_p")), F.col("idx"))), F.max("idx")).alias("_j"), F.collect_list(F.struct("idx", "x")).alias("_c"),
+    )
+    value = lambda i: F.element_at(F.transform(F.filter("_c", lambda v: v["idx"] == i), lambda v: v["x"]), 1)
+    rows = ends.withColumns({"_a": value(F.col("_i")), "_a1": value(F.col("_i") + 1), "_z": value(F.col("_j")), "_z1": value(F.col("_j") - 1)})
+    left = F.col("_i") + F.when(F.col("_a") < F.col("_h"), (F.col("_h") - F.col("_a")) / (F.col("_a1") - F.col("_a"))).otherwise(0.0)
+    right = F.col("_j") - F.when(F.col("_z") < F.col("_h"), (F.col("_h") - F.col("_z")) / (F.col("_z1") - F.col("_z"))).otherwise(0.0)
+    return rows.select(*by, F.col("_p").alias("idx"), F.col("_top").alias("x"), "prominence", left.alias("left"), right.alias("right"), (right - left).alias("width"))
+
+
+def shape_asymmetry(samples: DataFrame, k: int = 1) -> DataFrame:
+    """For each channel how much sharper its peaks are than its troughs, and how much steeper it rises than it decays, as shares from -1 to 1.
+
+    Sharpness is x less the mean of the samples ``k`` away on either side; steepness the largest (or least) central difference between an extremum
+    and the next.
+    """
+    keys = ["session_id", "channel"]
+    run = W.partitionBy(*keys).orderBy("idx")
+    rows = samples.select(*keys, "idx", "x", F.lag("x").over(run).alias("_l"), F.lead("x").over(run).alias("_r"), F.lag("x", k).over(run).alias("_a"), F.lead("x", k).over(run).alias("_b"))
+    rows = rows.withColumn("_k", F.when((F.col("x") > F.col("_l")) & (F.col("x") >= F.col("_r")), 1).when((F.col("x") < F.col("_l")) & (F.col("x") <= F.col("_r")), -1))
+    sharp = F.col("x") - (F.col("_a") + F.col("_b")) / 2
+    part = lambda up, down: (up - F.abs(down)) / (F.abs(up) + F.abs(down) + 1e-12)
+    peaks = rows.groupBy(*keys).agg(F.avg(F.when(F.col("_k") == 1, sharp)).alias("_p"), F.avg(F.when(F.col("_k") == -1, sharp)).alias("_t"))
+    slope = (F.col("_r") - F.col("_l")) / 2
+    legs = rows.withColumn("_leg", F.count("_k").over(run)).where("_leg > 0 and _l is not null and _r is not null")
+    legs = legs.groupBy(*keys, "_leg").agg(F.min_by("_k", "idx").alias("_from"), F.max(slope).alias("_up"), F.min(slope).alias("_down"))
+    # The last leg ends in no extremum.
+    last = W.partitionBy(*keys)
+    legs = legs.withColumn("_n", F.max("_leg").over(last)).where("_leg < _n").groupBy(*keys).agg(F.avg(F.when(F.col("_from") == -1, F.col("_up"))).alias("_u"), F.avg(F.when(F.col("_from") == 1, F.col("_down"))).alias("_d"))
+    return peaks.join(legs, keys).select(*keys, part(F.col("_p"), F.col("_t")).alias("sharpness"), part(F.col("_u"), F.col("_d")).alias("steepness"))
+
+
+def trial_features(powers: DataFrame, phases: DataFrame, onsets: DataFrame, reference: str, before: int, after: int, bins: int) -> DataFrame:
+    """For each trial (onset of a session) and channel: the bin of the circle that the reference's phase is in at its onset, and the mean of each band's
+    power (session_id, channel, band, idx, p) from ``before`` ahead of it to ``after`` behind."""
+    import math
+
+    from .joins import epochs
+
+    b = F.least(F.floor((F.col("phase") + math.pi) / (2 * math.pi) * bins), F.lit(bins - 1)).cast("int")
+    at = phases.where(F.col("channel") == reference).join(onsets.select("session_id", "event_id", F.col("onset").alias("idx")), ["session_id", "idx"]).select("session_id", "event_id", b.alias("bin"))
+    mean = epochs(powers, onsets, before, after).groupBy("session_id", "event_id", "channel", "band").agg(F.avg("p").alias("power"))
+    return mean.join(at, ["session_id", "event_id"])
+
+
+def coupling_by_onset_phase(phases: DataFrame, onsets: DataFrame, reference: str, before: int, after: int, bins: int, cells: int) -> DataFrame:
+    """Modulation index (of ``cells`` phases) of each channel over the times around all onsets at which the reference's phase is in one bin, averaged over channels."""
+    import math
+
+    from .coupling import modulation_index
+    from .joins import epochs
+
+    b = F.least(F.floor((F.col("phase") + math.pi) / (2 * math.pi) * bins), F.lit(bins - 1)).cast("int")
+    at = phases.where(F.col("channel") == reference).join(onsets.select("session_id", "event_id", F.col("onset").alias("idx")), ["session_id", "idx"]).select("session_id", "event_id", b.alias("bin"))
+    rows = epochs(phases, onsets, before, after).join(at, ["session_id", "event_id"])
+    return modulation_index(rows, ["bin", "channel"], cells).groupBy("bin").agg(F.avg("mi").alias("mi"), F.count("*").alias("channels"))

@@ -273,6 +273,16 @@ def ridge_agreement(ridges: DataFrame, reference: str, f0: float, level: float)
     return both.groupBy("session_id", "channel").agg(F.avg(F.abs(F.col("f") - f0)).alias("alignment"), F.avg((F.col("p") > level).cast("int")).alias("coverage"), F.corr("f", "_r").alias("r"))
 
 
+def ridge_coupling(ridges: DataFrame, reference: str, reps: int) -> DataFrame:
+    """Correlation of each channel's ridge power with the reference's, and its p, 95 % point and z against the reference moved round by 1 to ``reps`` frames."""
+    from .coupling import shifted, significance
+
+    each = shifted(ridges.select("session_id", "channel", "frame", "p"), F.col("channel") == reference, reps, "frame")
+    r = each.where(F.col("channel") == reference).select("session_id", "rep", "frame", F.col("p").alias("_r"))
+    both = each.where(F.col("channel") != reference).join(r, ["session_id", "rep", "frame"])
+    return significance(both.groupBy("session_id", "channel", "rep").agg(F.coalesce(F.corr("p", "_r"), F.lit(0.0)).alias("r")), ["session_id", "channel"], "r")
+
+
 def largest_overtone(spectra: DataFrame, by: list[str], f0: float, half: float, most: int) -> DataFrame:
     """The overtone (2 to ``most``) with the largest mean power over that near f0, and that ratio."""
     near = lambda k: F.avg(F.when(F.abs(F.col("f") - k * f0) <= half, F.col("p")))

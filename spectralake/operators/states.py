@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .coupling import significance
+from .windows import numbered
+
 
 def field_peaks(gfp: DataFrame, half: int) -> DataFrame:
     """Times at which the field power is the largest of the ``half`` samples on either side."""
@@ -170,15 +173,28 @@ def connectivity_states(vectors: DataFrame, names: list[str], ks: list[int], see
     return found.withColumnRenamed("prediction", "state").withColumns({"k": F.lit(-k), "silhouette": F.lit(float(score))}).drop("features")
 
 
-def change_auc(labels: DataFrame, amplitude: DataFrame) -> DataFrame:
-    """How well the amplitude (session_id, idx, amp) tells times before which the label changes from the others: area under the ROC curve, by mean ranks."""
+def _change_ranks(labels: DataFrame, amplitude: DataFrame) -> DataFrame:
+    """Times but the first of each session: whether the label changes there (y), and the mean rank of the amplitude among these times (_r)."""
     order = W.partitionBy("session_id").orderBy("idx")
     rows = labels.withColumn("_was", F.lag("label").over(order)).where("_was is not null").withColumn("y", (F.col("label") != F.col("_was")).cast("int")).join(amplitude, ["session_id", "idx"])
     rows = rows.withColumn("amp", F.round("amp", 9))
     by = W.partitionBy("session_id").orderBy("amp")
-    ranked = rows.withColumn("_r", F.rank().over(by) + (F.count("*").over(W.partitionBy("session_id", "amp")) - 1) / 2)
+    return rows.withColumn("_r", F.rank().over(by) + (F.count("*").over(W.partitionBy("session_id", "amp")) - 1) / 2)
+
+
+def change_auc(labels: DataFrame, amplitude: DataFrame) -> DataFrame:
+    """How well the amplitude (session_id, idx, amp) tells times before which the label changes from the others: area under the ROC curve, by mean ranks."""
     n1, n0 = F.sum("y"), F.sum(1 - F.col("y"))
-    return ranked.groupBy("session_id").agg(((F.sum(F.when(F.col("y") == 1, F.col("_r"))) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0))).alias("auc"), n1.alias("changes"))
+    return _change_ranks(labels, amplitude).groupBy("session_id").agg(((F.sum(F.when(F.col("y") == 1, F.col("_r"))) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0))).alias("auc"), n1.alias("changes"))
+
+
+def change_auc_with_null(labels: DataFrame, amplitude: DataFrame, reps: int, step: int) -> DataFrame:
+    """The area of :func:`change_auc`, its p, 95 % point and z against the amplitude moved round by rep * step. Ranks move with the amplitude, so they are taken once."""
+    ranked = numbered(_change_ranks(labels, amplitude).select("session_id", "idx", "y", "_r"), "idx")
+    changes = ranked.where("y = 1").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).select("session_id", "rep", "_n", F.pmod(F.col("idx") + F.col("rep") * step, F.col("_n")).alias("idx"))
+    n1 = F.count("*")
+    area = (F.sum("_r") - n1 * (n1 + 1) / 2) / F.nullif(n1 * (F.first("_n") - n1), F.lit(0))
+    return significance(changes.join(ranked.select("session_id", "idx", "_r"), ["session_id", "idx"]).groupBy("session_id", "rep").agg(area.alias("auc")), ["session_id"], "auc")
 
 
 def change_regression(labels: DataFrame, amplitude: DataFrame) -> DataFrame:

@@ -8,13 +8,15 @@ from ..operators import cleaning as cl
 from ..operators import complexity as cx
 from ..operators import coupling as cp
 from ..operators import events as ev
+from ..operators import graphs as gr
 from ..operators import inference as inf
 from ..operators import joins as jn
 from ..operators import spectral as sp
+from ..operators import states as st
 from ..operators import timefreq as tf
 from . import catalog as base
-from .catalog import READS, REFERENCE, SAMPLES, SPECTRA, STEP, WIN, phases, query, reads
-from .further import _BINS, _MSC, _bins, _significance, _smooth
+from .catalog import BANDS, READS, REFERENCE, SAMPLES, SPECTRA, STEP, WIN, bands, edges, lines, phases, query, reads, windows
+from .further import _BINS, _FRAMES, _MSC, _PEAKS, _Z, FRAME_ONSETS, _bins, _peaks, _significance, _smooth
 
 #: A grid of wavelets around each order of one cycle a day (k, f0 in cycles per hour).
 GRID = [(k, k / 24 + d) for k in (1, 2) for d in (-0.006, 0.0, 0.006)]
@@ -173,3 +175,189 @@ def c27_transfer_entropy_null(spark, s):
 def x15_covariance_spread(spark, s):
     """How far apart the logarithms of the channels' covariances of two-day frames are."""
     return cx.covariance_spread(s, WIN, STEP)
+
+
+_LINE_SUMMARIES = """, vm AS (SELECT session_id, frame * 24.0 AS t, f0, avg(re) AS re, avg(im) AS im, sqrt(avg(re) ** 2 + avg(im) ** 2) AS amp FROM rd WHERE channel <> 'view' GROUP BY ALL),
+ rf AS (SELECT session_id, frame * 24.0 AS t, re AS rr, im AS ri, sqrt(re * re + im * im) AS ref FROM rd WHERE channel = 'view' AND f0 < 0.05),
+ ow AS (SELECT *, (ref - avg(ref) OVER w) / (stddev_pop(ref) OVER w + 1e-12) AS rz FROM vm JOIN rf USING (session_id, t) WHERE f0 < 0.05 WINDOW w AS (PARTITION BY session_id)),
+ bs AS (SELECT session_id, state, window_id, avg(amp) AS b, stddev_pop(amp) AS d FROM ow JOIN windows ON t >= t0 - 120 AND t < t0 GROUP BY ALL),
+ iw AS (SELECT session_id, state, window_id, max((amp - b) / (d + 1e-12)) AS line_z, (sum(re * rr + im * ri) ** 2 + sum(im * rr - re * ri) ** 2) / (sum(re * re + im * im) * sum(rr * rr + ri * ri)) AS msc, max(rz) AS ref_z_max, first(t ORDER BY round(rz, 9) DESC, t) AS ref_peak_t FROM ow JOIN windows ON t >= t0 AND t < t1 LEFT JOIN bs USING (session_id, state, window_id) GROUP BY ALL),
+ nr AS (SELECT session_id, state, window_id, sum((amp - b) / (d + 1e-12)) * 24 AS line_area, avg(rz) AS ref_z_near FROM ow JOIN windows ON t >= t0 - 48 AND t < t0 + 48 LEFT JOIN bs USING (session_id, state, window_id) GROUP BY ALL),
+ ld AS (SELECT session_id, state, window_id, first(t ORDER BY round(amp, 9) DESC, t) FILTER (f0 < 0.05) - first(t ORDER BY round(amp, 9) DESC, t) FILTER (f0 > 0.05) AS lead FROM vm JOIN windows ON t >= t0 - 120 AND t < t0 GROUP BY ALL),
+ af AS (SELECT iw.session_id, state, window_id, avg(rz) AS ref_z_after FROM iw JOIN ow ON ow.session_id = iw.session_id AND t >= ref_peak_t AND t < ref_peak_t + 48 GROUP BY ALL)
+ SELECT session_id, state, window_id, r{line_z} AS line_z, r{line_area} AS line_area, r{msc} AS msc, r{lead} AS lead, r{ref_z_max} AS ref_z_max, r{ref_peak_t} AS ref_peak_t, r{ref_z_near} AS ref_z_near, r{ref_z_after} AS ref_z_after
+ FROM iw JOIN nr USING (session_id, state, window_id) JOIN ld USING (session_id, state, window_id) JOIN af USING (session_id, state, window_id)"""
+
+
+@query(_LINE_SUMMARIES, READS, 5)
+def e10_line_summaries(spark, s):
+    """The second half of each event's record: line z and area, coherence, lead, and what the reference's line does."""
+    return ev.event_line_summaries(reads(spark, s), REFERENCE, windows(spark), 1 / 24, 1 / 12, 24.0, 120.0, 48.0)
+
+
+_BAND_POWER = """, fb AS (SELECT session_id, channel, frame, sum(re * re + im * im) FILTER (f0 >= 0.02 AND f0 < 0.1) AS slow, sum(re * re + im * im) FILTER (f0 >= 0.1 AND f0 < 0.25) AS mid, sum(re * re + im * im) FILTER (f0 >= 0.25 AND f0 < 0.5) AS fast FROM rs GROUP BY ALL),
+ bp AS (SELECT session_id, channel, frame AS idx, unnest(['slow', 'mid', 'fast']) AS band, unnest([slow, mid, fast]) AS p FROM fb)"""
+
+
+def _band_power(spark, s):
+    """Power of each band in each frame, a row for each: session_id, channel, band, idx, p."""
+    wide = sp.band_features(sp.frame_spectra(s, WIN, STEP, 1.0, 0.0, 0.5), bands(spark), [b[0] for b in BANDS])
+    return wide.unpivot(["session_id", "channel", "frame"], [b[0] for b in BANDS], "band", "p").withColumnRenamed("frame", "idx")
+
+
+@query(_BAND_POWER + """, fp AS (SELECT session_id, band, idx, round(stddev_pop(p), 9) AS x FROM bp GROUP BY ALL), l AS (SELECT session_id, band, avg(x) + 0.5 * stddev_samp(x) AS l FROM fp WHERE idx < 10 GROUP BY ALL),
+ q AS (SELECT session_id, idx, (count(*) FILTER (x > l))::BIGINT AS x FROM fp JOIN l USING (session_id, band) GROUP BY ALL) """ + (base._RUNS % "x >= 2").replace("r{max(x)}", "max(x)"), SPECTRA)
+def e2_band_spike_events(spark, s):
+    """Stretches in which the field power of two bands or more is above its baseline; peak is the most bands at once."""
+    field = _band_power(spark, s).groupBy("session_id", "band", "idx").agg(F.round(F.stddev_pop("p"), 9).alias("x"))
+    return ev.spike_events(field, 0.5, 2, 1, F.col("idx") < 10, "band")
+
+
+_STATES = ", pl AS (SELECT *, CASE WHEN idx IN (10, 11, 20, 21) THEN 'event' WHEN idx IN (12, 13) THEN 'rebound' ELSE 'baseline' END AS state FROM ph)"
+
+
+def _labelled(spark, s):
+    return jn.label_state(phases(spark, s).withColumn("t", F.col("idx") * STEP), windows(spark), ["event", "rebound"], "baseline")
+
+
+@query(_STATES + """, pp AS (SELECT a.session_id, a.channel AS ch_i, b.channel AS ch_j, a.idx, a.state, round(sin(a.phase - b.phase), 9) AS g FROM pl a JOIN pl b ON a.session_id = b.session_id AND a.idx = b.idx AND a.channel < b.channel),
+ o AS (SELECT session_id, ch_i, ch_j, avg((g > 0)::INT) FILTER (state = 'event') AS e, avg((g > 0)::INT) FILTER (state = 'baseline') AS b, avg((g < 0)::INT) FILTER (state = 'event') - avg((g < 0)::INT) FILTER (state = 'baseline') AS rv FROM pp GROUP BY ALL),
+ pc AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY start) - 1 AS k, count(*) OVER (PARTITION BY session_id) AS n FROM (SELECT DISTINCT session_id, a AS start FROM pl, range(0, 26) q(a) WHERE list_sum(list_transform(range(a, a + 4), lambda i: CASE WHEN i IN (10, 11, 12, 13, 20, 21) THEN 1 ELSE 0 END)) = 0)),
+ dw AS (SELECT session_id, rep, start FROM pc, range(1, 101) q(rep) WHERE k = ('0x' || substr(md5(session_id || ':' || rep), 1, 12))::BIGINT % n),
+ nl AS (SELECT pp.session_id, ch_i, ch_j, rep, avg((g > 0)::INT) AS l FROM pp JOIN dw ON pp.session_id = dw.session_id AND idx >= start AND idx < start + 4 GROUP BY ALL)
+ SELECT session_id, ch_i, ch_j, r{any_value(e)} AS in_state, r{any_value(b)} AS in_base, r{any_value(e - b)} AS delta, r{any_value(rv)} AS reverse, r{quantile_cont(round(abs(l - b), 9), 0.95)} AS null95, r{(count(*) FILTER (round(abs(l - b), 9) >= round(abs(e - b), 9)) + 1) / (count(*) + 1)} AS p FROM o JOIN nl USING (session_id, ch_i, ch_j) GROUP BY ALL""", READS)
+def c8_directed_control(spark, s):
+    """Directed lag in the events less in the baseline, with the reverse direction and stretches of the baseline as controls."""
+    return cp.directed_control(_labelled(spark, s), "event", "baseline", 4, 100)
+
+
+@query(f""", sl AS (SELECT a.session_id, a.channel, k AS "at", a.f0, {_MSC} AS msc FROM range(3, 26) q(k) JOIN rd a ON a.frame BETWEEN k - 3 AND k + 3 JOIN rd b ON a.session_id = b.session_id AND a.frame = b.frame AND a.f0 = b.f0 WHERE b.channel = 'view' AND a.channel <> 'view' GROUP BY a.session_id, a.channel, k, a.f0)
+ SELECT session_id, channel, "at", r{{sum(msc / round(f0 * 24)) / sum(1 / round(f0 * 24))}} AS score FROM sl GROUP BY ALL""", READS)
+def c11_frame_score(spark, s):
+    """Sliding coherence averaged over the orders with weights 1 / k, frame by frame."""
+    found = sp.sliding_coherence(reads(spark, s), REFERENCE, 3)
+    return cp.weighted_score(found.select("session_id", "channel", "at", F.col("msc").alias("v"), F.round(F.col("f0") * 24).alias("k")), ["session_id", "channel", "at"])
+
+
+@query(f""", sb AS (SELECT session_id, channel, k, least(floor((phase + pi()) / (2 * pi()) * 4), 3) AS b, avg(amp) AS a FROM ph JOIN range(2, 27) q(k) ON idx BETWEEN k - 2 AND k + 2 GROUP BY ALL),
+ sq AS (SELECT *, a / sum(a) OVER (PARTITION BY session_id, channel, k) AS p FROM sb), si AS (SELECT session_id, channel, k, (ln(4) + sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END)) / ln(4) AS mi FROM sq GROUP BY ALL),
+ sm AS (SELECT session_id, k, avg(mi) AS mi FROM si GROUP BY ALL), ec AS (SELECT session_id, event_id, k - onset AS tau, mi FROM sm, {_FRAMES} WHERE k BETWEEN onset - 2 AND onset + 3)
+ SELECT session_id, event_id, tau, r{{mi}} AS mi, r{{mi - avg(mi) FILTER (tau < 0) OVER (PARTITION BY session_id, event_id)}} AS change FROM ec""", READS, 5)
+def c18_epoch_coupling(spark, s):
+    """Modulation index of each epoch at each time around its onset, less that before it."""
+    return cp.epoch_coupling(phases(spark, s), base._onsets(s, FRAME_ONSETS), 2, 3, 2, 4)
+
+
+_DIRECTION = """, ea AS (SELECT a.session_id, a.channel, rep, l::INT AS lag, y.amp AS y, sin(ry.phase) AS z, a.amp AS a, sin(r.phase) AS s, cos(r.phase) AS c FROM range(0, 29) u(rep) JOIN range(1, 4) q(l) ON true
+  JOIN ph r ON r.channel = 'view' JOIN ph a ON a.session_id = r.session_id AND a.channel <> 'view' AND (a.idx + rep) % 29 = r.idx JOIN ph ry ON ry.session_id = r.session_id AND ry.channel = 'view' AND ry.idx = r.idx + l JOIN ph y ON y.session_id = a.session_id AND y.channel = a.channel AND (y.idx + rep) % 29 = r.idx + l),
+ co AS (SELECT session_id, channel, rep, lag, corr(y, a) AS ya, corr(y, s) AS ys, corr(y, c) AS yc, corr(z, a) AS za, corr(z, s) AS zs, corr(z, c) AS zc, corr(a, s) AS sa, corr(a, c) AS ca, corr(s, c) AS sc FROM ea GROUP BY ALL),
+ p1 AS (SELECT *, (ys - ya * sa) / sqrt((1 - ya * ya) * (1 - sa * sa)) AS s1, (yc - ya * ca) / sqrt((1 - ya * ya) * (1 - ca * ca)) AS k1, (sc - sa * ca) / sqrt((1 - sa * sa) * (1 - ca * ca)) AS x1,
+  (za - zs * sa) / sqrt((1 - zs * zs) * (1 - sa * sa)) AS za1, (zc - zs * sc) / sqrt((1 - zs * zs) * (1 - sc * sc)) AS zc1, (ca - sa * sc) / sqrt((1 - sa * sa) * (1 - sc * sc)) AS ac1 FROM co),
+ gn AS (SELECT session_id, channel, 'phase_to_amplitude' AS direction, rep, lag, (1 - ya * ya) * (s1 * s1 + k1 * k1 - 2 * s1 * k1 * x1) / (1 - x1 * x1) AS gain FROM p1 UNION ALL
+  SELECT session_id, channel, 'amplitude_to_phase', rep, lag, (1 - (zs * zs + zc * zc - 2 * zs * zc * sc) / (1 - sc * sc)) * (za1 - zc1 * ac1) ** 2 / ((1 - zc1 * zc1) * (1 - ac1 * ac1)) FROM p1),
+ pk AS (SELECT session_id, channel, direction, rep, max(gain) AS gain, first(lag ORDER BY round(gain, 9) DESC, lag) AS lag FROM gn GROUP BY ALL), sg AS ("""
+
+
+@query(_DIRECTION + _significance("pk", "session_id, channel, direction", "gain") + ") SELECT session_id, channel, direction, lag, r{gain} AS gain, r{p} AS p FROM sg JOIN (SELECT session_id, channel, direction, lag FROM pk WHERE rep = 0) USING (session_id, channel, direction)", READS, 5)
+def c23_direction(spark, s):
+    """Phase to amplitude and amplitude to phase with the reference: best lag, gain and its p under all shifts."""
+    return cp.phase_amplitude_direction(phases(spark, s), REFERENCE, 3, 28)
+
+
+_ENVELOPES = """, am AS (SELECT session_id, channel, frame, CASE WHEN f0 < 0.05 THEN 1 ELSE 2 END AS k, sqrt(re * re + im * im) AS a FROM rd), oc AS (SELECT DISTINCT session_id, channel FROM am WHERE channel <> 'view'),
+ sr AS (SELECT oc.session_id, oc.channel, 'from_reference' AS direction, frame, k, a FROM oc JOIN am ON am.session_id = oc.session_id AND am.channel = 'view' UNION ALL SELECT session_id, channel, 'to_reference', frame, k, a FROM am WHERE channel <> 'view'),
+ ta AS (SELECT oc.session_id, oc.channel, 'to_reference' AS direction, frame, k, a FROM oc JOIN am ON am.session_id = oc.session_id AND am.channel = 'view' UNION ALL SELECT session_id, channel, 'from_reference', frame, k, a FROM am WHERE channel <> 'view'),
+ mx AS (SELECT session_id, channel, direction, rep, (frame + rep * k) % 29 AS frame, k, a FROM sr, range(0, 29) q(rep)),
+ xw AS (SELECT session_id, channel, direction, rep, frame, max(a) FILTER (k = 1) AS x1, max(a) FILTER (k = 2) AS x2 FROM mx WHERE frame < 28 GROUP BY ALL), yw AS (SELECT session_id, channel, direction, frame - 1 AS frame, max(a) FILTER (k = 1) AS y1, max(a) FILTER (k = 2) AS y2 FROM ta WHERE frame > 0 GROUP BY ALL),
+ su AS (SELECT session_id, channel, direction, rep, sum(x1 * x1) + 1e-9 AS p, sum(x2 * x2) + 1e-9 AS q, sum(x1 * x2) AS r, sum(y1 * x1) AS a1, sum(y1 * x2) AS a2, sum(y2 * x1) AS b1, sum(y2 * x2) AS b2 FROM xw JOIN yw USING (session_id, channel, direction, frame) GROUP BY ALL),
+ gg AS (SELECT session_id, channel, direction, rep, unnest([1 / 24.0, 1 / 12.0, 1 / 24.0, 1 / 12.0]) AS f_from, unnest([1 / 24.0, 1 / 24.0, 1 / 12.0, 1 / 12.0]) AS f_to, unnest([(a1 * q - a2 * r) / (p * q - r * r), (a2 * p - a1 * r) / (p * q - r * r), (b1 * q - b2 * r) / (p * q - r * r), (b2 * p - b1 * r) / (p * q - r * r)]) AS g FROM su),
+ gr AS (SELECT session_id, channel, direction, f_from, f_to, max(g) FILTER (rep = 0) AS gain, quantile_cont(abs(g), 0.95) FILTER (rep > 0) AS threshold FROM gg GROUP BY ALL)"""
+
+
+@query(_ENVELOPES + " SELECT session_id, channel, direction, r{f_from} AS f_from, r{f_to} AS f_to, r{gain} AS gain, r{threshold} AS threshold, round(abs(gain) - threshold, 9) > 0 AS significant FROM gr", READS, 5)
+def c28_envelope_matrix(spark, s):
+    """How the amplitudes of all lines of one frame make those of the next, from the reference to each channel and back."""
+    return cp.envelope_matrix(reads(spark, s), REFERENCE, 28)
+
+
+_CUT = """ nu AS (SELECT {keys}, ch, row_number() OVER (PARTITION BY {keys} ORDER BY ch) - 1 AS k FROM (SELECT {keys}, ch_i AS ch FROM ge UNION SELECT {keys}, ch_j FROM ge)),
+ ct AS (SELECT {keys}, m, sum(CASE WHEN ((m >> a.k) & 1) <> ((m >> b.k) & 1) THEN w ELSE 0 END) AS cut FROM ge JOIN nu a USING ({keys}) JOIN nu b USING ({keys}), range(1, 16) q(m) WHERE a.ch = ch_i AND b.ch = ch_j GROUP BY ALL), mc AS (SELECT {keys}, min(cut) AS min_cut FROM ct GROUP BY ALL)"""
+
+
+@query(", ge AS (SELECT * FROM edges)," + _CUT.format(keys="session_id") + " SELECT session_id, r{min_cut} AS min_cut FROM mc", READS)
+def g7_min_cut(spark, s):
+    """The least weight of edges that part each session's locking graph in two."""
+    return gr.matrix_measures(edges(spark, s), ["session_id"]).select("session_id", "min_cut")
+
+
+@query(""", pz AS (SELECT session_id, channel, f0, frame, atan2(im, re) AS phase, CASE WHEN frame IN (10, 11, 20, 21) THEN 'event' WHEN frame IN (12, 13) THEN 'rebound' ELSE 'baseline' END AS state FROM rd),
+ ge AS (SELECT a.session_id, a.f0, a.state, a.channel AS ch_i, b.channel AS ch_j, sqrt(avg(cos(a.phase - b.phase)) ** 2 + avg(sin(a.phase - b.phase)) ** 2) AS w FROM pz a JOIN pz b ON a.session_id = b.session_id AND a.frame = b.frame AND a.f0 = b.f0 AND a.channel < b.channel GROUP BY ALL),""" + _CUT.format(keys="session_id, f0, state")
+       + """, va AS (SELECT session_id, f0, state, 'min_cut' AS metric, min_cut AS v FROM mc UNION ALL SELECT session_id, f0, state, 'plv', avg(w) FROM ge GROUP BY ALL),
+ de AS (SELECT session_id, f0, metric, max(v) FILTER (state = 'event') - max(v) FILTER (state = 'baseline') AS d FROM va GROUP BY ALL)
+ SELECT r{f0} AS f0, metric, count(d) AS sessions, r{avg(d)} AS mean, r{stddev_samp(d) / sqrt(count(d))} AS sem FROM de GROUP BY f0, metric""", READS)
+def g11_band_contrast(spark, s):
+    """Minimum cut and mean locking in the events less in the baseline, line by line: mean and standard error over the sessions."""
+    own = reads(spark, s).select("session_id", "channel", "f0", F.col("frame").alias("idx"), F.atan2("im", "re").alias("phase"), (F.col("frame") * STEP).alias("t"))
+    graph = cp.phase_edges(jn.label_state(own, windows(spark), ["event", "rebound"], "baseline"), ["session_id", "f0", "state"])
+    keys = ["session_id", "f0", "state"]
+    graph = graph.select(*keys, "ch_i", "ch_j", F.col("plv").alias("w"))
+    cut = gr.matrix_measures(graph, keys).select(*keys, F.lit("min_cut").alias("metric"), F.col("min_cut").alias("value"))
+    values = cut.unionByName(graph.groupBy(*keys).agg(F.avg("w").alias("value")).withColumn("metric", F.lit("plv")))
+    return inf.summary(inf.state_contrast(values, ["session_id", "f0", "metric"]), ["f0", "metric"], "delta").select("f0", "metric", F.col("n").alias("sessions"), "mean", "sem")
+
+
+@query(_Z + _PEAKS + """, hp AS (SELECT session_id, idx AS p, x AS top, prominence, x - prominence / 2 AS h FROM pk),
+ nr AS (SELECT hp.*, max(c.idx) FILTER (c.idx < p AND c.x <= h) AS i, min(c.idx) FILTER (c.idx > p AND c.x <= h) AS j, min(c.idx) AS lo, max(c.idx) AS hi FROM hp JOIN cv c ON c.session_id = hp.session_id AND c.idx BETWEEN p - 24 AND p + 24 GROUP BY ALL),
+ en AS (SELECT n.*, a.idx AS ia, a.x AS xa, a1.x AS xa1, z.idx AS iz, z.x AS xz, z1.x AS xz1 FROM nr n JOIN cv a ON a.session_id = n.session_id AND a.idx = coalesce(i, lo) JOIN cv a1 ON a1.session_id = n.session_id AND a1.idx = a.idx + 1 JOIN cv z ON z.session_id = n.session_id AND z.idx = coalesce(j, hi) JOIN cv z1 ON z1.session_id = n.session_id AND z1.idx = z.idx - 1),
+ wd AS (SELECT session_id, p AS idx, top AS x, prominence, ia + CASE WHEN xa < h THEN (h - xa) / (xa1 - xa) ELSE 0 END AS l, iz - CASE WHEN xz < h THEN (h - xz) / (xz1 - xz) ELSE 0 END AS r FROM en)
+ SELECT session_id, idx, r{x} AS x, r{prominence} AS prominence, r{l} AS "left", r{r} AS "right", r{r - l} AS width FROM wd""", places=5)
+def e9_peak_widths(spark, s):
+    """Where each prominent peak of the activity begins and ends at half its prominence."""
+    curve = ev.activity(cl.z_score(s), 1.0).select("session_id", "idx", F.round("activity", 9).alias("x"))
+    return ev.peak_widths(curve, _peaks(s), ["session_id"], 24)
+
+
+@query(""", nb AS (SELECT *, lag(x) OVER w AS l, lead(x) OVER w AS r FROM samples WINDOW w AS (PARTITION BY session_id, channel ORDER BY idx)), kd AS (SELECT *, CASE WHEN x > l AND x >= r THEN 1 WHEN x < l AND x <= r THEN -1 END AS k FROM nb),
+ sh AS (SELECT session_id, channel, avg(x - (l + r) / 2) FILTER (k = 1) AS p, avg(x - (l + r) / 2) FILTER (k = -1) AS t FROM kd GROUP BY ALL), lg AS (SELECT *, count(k) OVER (PARTITION BY session_id, channel ORDER BY idx) AS leg FROM kd),
+ ls AS (SELECT session_id, channel, leg, arg_min(k, idx) AS f, max((r - l) / 2) AS up, min((r - l) / 2) AS down, max(leg) OVER (PARTITION BY session_id, channel) AS n FROM lg WHERE leg > 0 AND l IS NOT NULL AND r IS NOT NULL GROUP BY session_id, channel, leg),
+ st AS (SELECT session_id, channel, avg(up) FILTER (f = -1) AS u, avg(down) FILTER (f = 1) AS d FROM ls WHERE leg < n GROUP BY ALL)
+ SELECT session_id, channel, r{(p - abs(t)) / (abs(p) + abs(t) + 1e-12)} AS sharpness, r{(u - abs(d)) / (abs(u) + abs(d) + 1e-12)} AS steepness FROM sh JOIN st USING (session_id, channel)""")
+def e17_shape_asymmetry(spark, s):
+    """How much sharper peaks are than troughs and rises steeper than decays."""
+    return ev.shape_asymmetry(s)
+
+
+@query(_BAND_POWER + f""", ob AS (SELECT session_id, event_id, least(floor((atan2(im, re) + pi()) / (2 * pi()) * 4), 3)::INT AS bin FROM rs, {_FRAMES} WHERE channel = 'view' AND frame = onset AND round(f0 * 48) = 2)
+ SELECT session_id, event_id, channel, band, bin, r{{avg(p)}} AS power FROM bp JOIN ob USING (session_id), {_FRAMES.replace("o(event_id, onset)", "o(eid, onset)")} WHERE eid = event_id AND idx BETWEEN onset - 1 AND onset + 2 GROUP BY ALL""", SPECTRA, 4)
+def e19_trial_features(spark, s):
+    """Band powers of each trial and the bin of the reference's phase at its onset."""
+    return ev.trial_features(_band_power(spark, s), phases(spark, s), base._onsets(s, FRAME_ONSETS), REFERENCE, 1, 2, 4)
+
+
+@query(f""", ob AS (SELECT session_id, event_id, onset, least(floor((phase + pi()) / (2 * pi()) * 2), 1)::INT AS bin FROM ph, {_FRAMES} WHERE channel = 'view' AND idx = onset),
+ eb AS (SELECT bin, channel, least(floor((phase + pi()) / (2 * pi()) * 4), 3) AS b, avg(amp) AS a FROM ph JOIN ob USING (session_id) WHERE idx BETWEEN onset - 2 AND onset + 3 GROUP BY ALL), eq AS (SELECT *, a / sum(a) OVER (PARTITION BY bin, channel) AS p FROM eb),
+ ei AS (SELECT bin, channel, (ln(4) + sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END)) / ln(4) AS mi FROM eq GROUP BY ALL) SELECT bin, r{{avg(mi)}} AS mi, count(*) AS channels FROM ei GROUP BY bin""", READS)
+def e19_coupling_by_phase(spark, s):
+    """Modulation index of the trials whose reference phase at the onset lies in one half of the circle."""
+    return ev.coupling_by_onset_phase(phases(spark, s), base._onsets(s, FRAME_ONSETS), REFERENCE, 2, 3, 2, 4)
+
+
+@query(base._LABELS + """, ch AS (SELECT session_id, idx, label, lag(label) OVER (PARTITION BY session_id ORDER BY idx) AS was FROM lb), av AS (SELECT session_id, idx, (label <> was)::INT AS y, round(var_pop(x), 9) AS amp FROM ch JOIN samples USING (session_id, idx) WHERE was IS NOT NULL GROUP BY session_id, idx, label, was),
+ rk AS (SELECT session_id, idx - 1 AS k, y, rank() OVER (PARTITION BY session_id ORDER BY amp) + (count(*) OVER (PARTITION BY session_id, amp) - 1) / 2 AS r FROM av),
+ au AS (SELECT a.session_id, rep, (sum(b.r) - count(*) * (count(*) + 1) / 2) / nullif(count(*) * (719 - count(*)), 0) AS auc FROM rk a JOIN range(0, 20) q(rep) ON true JOIN rk b ON b.session_id = a.session_id AND b.k = (a.k + rep * 37) % 719 WHERE a.y = 1 GROUP BY a.session_id, rep), sg AS (""" + _significance("au", "session_id", "auc") + ") SELECT session_id, r{auc} AS auc, r{p} AS p, r{null95} AS null95, r{z} AS z FROM sg", places=5)
+def m10_change_auc_null(spark, s):
+    """How well the field power tells label changes, against the field power moved round."""
+    return st.change_auc_with_null(base._labels(s), ev.field_power(s).withColumnRenamed("gfp", "amp"), 19, 37)
+
+
+@query(""", ri AS (SELECT session_id, channel, frame, max(re * re + im * im) AS p FROM rs WHERE f0 BETWEEN 0.02 AND 0.25 GROUP BY ALL),
+ rc AS (SELECT a.session_id, a.channel, rep, coalesce(corr(a.p, b.p), 0) AS r FROM ri a JOIN range(0, 29) q(rep) ON true JOIN ri b ON a.session_id = b.session_id AND a.frame = (b.frame + rep) % 29 WHERE b.channel = 'view' AND a.channel <> 'view' GROUP BY ALL), sg AS (""" + _significance("rc", "session_id, channel", "r") + ") SELECT session_id, channel, r{r} AS r, r{p} AS p, r{null95} AS null95, r{z} AS z FROM sg", SPECTRA, 5)
+def f16_ridge_coupling(spark, s):
+    """Correlation of the ridges' power with the reference's, and its p under all shifts."""
+    return sp.ridge_coupling(sp.ridge(sp.frame_spectra(s, WIN, STEP, 1.0, 0.02, 0.25)), REFERENCE, 28)
+
+
+@query()
+def x9_choice_of_dimension(spark, s):
+    """Shares of false neighbours in two to five dimensions and the dimension chosen."""
+    return cx.false_neighbours(_smooth(s), [2, 3, 4, 5], 12)
