@@ -44,12 +44,17 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that :func:`written` made and that nothing reads any more."""
     for t in tables:
-        sc = t.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(t._written_at)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        remove(t.sparkSession, t._written_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,8 +182,8 @@ def summed(rows: DataFrame, keys: list[str], column: str, kind: str) -> dict[tup
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b); component is the smallest node reachable.
 
-    Alternates large-star and small-star steps; each is an aggregate and an equi-join, so no node's
-    neighbours meet in one task. Stars never have more edges than before. Self-loops and nulls are
+    Alternates large-star and small-star steps; each is an aggregate, of which a node sends one row for each task, and an
+    equi-join, whose side of edges AQE splits where a node has a large share of them. Stars never have more edges than before. Self-loops and nulls are
     ignored; no edges give no rows.
     """
     e = written(

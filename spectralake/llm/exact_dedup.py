@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, shared_dir, written
+from .common import SPACE_RUN, forget, remove, shared_dir, written
 
 
 def normalised(text: Column) -> Column:
@@ -40,6 +40,11 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        """Takes the table from the catalog and deletes its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
+
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Dedups ``docs`` against the index and within itself, and appends what is new.
 
@@ -51,6 +56,10 @@ class DigestIndex:
         Other columns of ``docs`` are ignored; no rows give no rows. A hot text costs one row per map task,
         since groups are counted before the shuffle, and its rows join back by a join that AQE can split.
         """
+        return self._add(docs, id_col, text_col)[0]
+
+    def _add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+        """As :meth:`add`, with the written tables that the result reads."""
         rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col)).alias("digest")), "digests")
         fresh = written(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("group_size")), "fresh")
         new = fresh.hint("merge").join(self.rows(), "digest", "left_anti").select("digest", F.col("first_id").alias("keep_id"))
@@ -58,11 +67,12 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
         # A text is kept by this batch only if the index got it from here.
         known = fresh.hint("merge").join(self.rows(), "digest").withColumn("ours", F.col("first_id").eqNullSafe(F.col("keep_id")))
-        return rows.join(known, "digest").select(
+        found = rows.join(known, "digest").select(
             "doc_id", "keep_id", "group_size",
             (F.col("ours") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
+        return found, [rows, fresh]
 
 
 def buckets_for(rows: int) -> int:
@@ -73,9 +83,15 @@ def buckets_for(rows: int) -> int:
 def exact_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """``docs`` deduplicated as the first batch of an index of its own; see :meth:`DigestIndex.add`.
 
-    Without ``buckets`` their number follows from the number of rows.
+    Without ``buckets`` their number follows from the number of rows. The result is written, a narrow row for each row of ``docs``; the index
+    and what else was written for it go at once.
     """
-    return DigestIndex(docs.sparkSession, buckets=buckets or buckets_for(docs.count())).add(docs)
+    index = DigestIndex(docs.sparkSession, buckets=buckets or buckets_for(docs.count()))
+    found, made = index._add(docs)
+    found = written(found, "deduplicated")
+    forget(*made)
+    index.drop()
+    return found
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -45,6 +45,19 @@ def test_exact_dedup(spark, texts):
     assert exact_dedup.keep_first(docs(spark, texts)).count() == len(set(norm))
 
 
+def test_anonymous_index_leaves_nothing(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    got = exact_dedup.exact_dedup(docs(spark, ["a", "a", "b"]))
+    assert {t.name for t in spark.catalog.listTables()} == before and sorted(r.keep_id for r in got.collect()) == [0, 0, 2]
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    # A second batch of odd rows: null texts and ids, repeated rows, a text that the index has.
+    index.add(docs(spark, ["a", None])).collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.keep_id is None else r.keep_id, r.group_size, r.kept) for r in index.add(docs(spark, ["a", "", "c", "c", "d"], [7, 8, None, 4, None])).collect())
+    assert got == [(-1, -1, 1, True), (-1, 4, 2, False), (4, 4, 2, True), (7, 0, 1, False), (8, 1, 1, False)]
+    index.drop()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_index_remembers_earlier_batches(spark):
     index = exact_dedup.DigestIndex(spark, buckets=2)
     index.add(docs(spark, ["a", "b"], [5, 6])).collect()
