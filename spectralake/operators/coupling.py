@@ -37,6 +37,30 @@ def phase_edges(phases: DataFrame, window: list[str] | None = None, size: int =
     return own.agg(F.sqrt(mean("c") ** 2 + mean("s") ** 2).alias("plv"), F.atan2(mean("s"), mean("c")).alias("mean_phase"), F.abs(mean("sign")).alias("pli"), mean("above").alias("dpli"))
 
 
+def sliding_edges(phases: DataFrame, half: int, size: int = 512) -> DataFrame:
+    """plv of each two channels over the 2 half + 1 times around each (session_id, at, ch_i, ch_j, plv), where both have all of these.
+
+    A kernel takes the products of all channels' unit phasors in a stretch of ``size`` times; a window's sum is the difference of two running sums.
+    """
+
+    def kernel(start: int, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
+        names, row = np.unique(rows["channel"].astype(str), return_inverse=True)
+        first, win = start - half, 2 * half + 1
+        z = np.zeros((size + 2 * half, len(names)), complex)
+        z[rows["_t"] - first, row] = np.exp(1j * rows["phase"])
+        i, j = np.triu_indices(len(names), 1)
+        over = lambda v: np.diff(np.concatenate([np.zeros((1, v.shape[1]), v.dtype), np.cumsum(v, 0)])[[np.arange(size), np.arange(size) + win]], axis=0)[0]
+        there = (z != 0).astype(int)
+        at, pair = np.nonzero(over(there[:, i] * there[:, j]) == win)
+        if not len(at):
+            return None
+        plv = np.abs(over(z[:, i] * z[:, j].conj()))[at, pair] / win
+        return {"at": at + start, "ch_i": names[i[pair]], "ch_j": names[j[pair]], "plv": plv}
+
+    blocks = halo_blocks(phases.where("phase is not null"), ["session_id"], size, half, ["channel", "phase"])
+    return map_blocks(blocks, ["session_id"], size, kernel, "at long, ch_i string, ch_j string, plv double")
+
+
 def directed_control(phases: DataFrame, state: str, base: str, length: int, reps: int, size: int = 4096) -> DataFrame:
     """Directed phase lag of each two channels in ``state`` less in ``base`` (phases with a column state), against stretches of the base.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -207,31 +209,108 @@ def change_regression(labels: DataFrame, amplitude: DataFrame) -> DataFrame:
     return labels.sparkSession.createDataFrame([(float(model.coefficients[0]), float(model.intercept), float(model.summary.areaUnderROC))], "coefficient double, intercept double, auc double")
 
 
-def _pair_distances(points: DataFrame, names: list[str], value: str) -> DataFrame:
-    a, b = points.select("session_id", F.col("idx").alias("i"), *[F.col(c).alias(f"a_{c}") for c in names]), points.select("session_id", F.col("idx").alias("j"), *[F.col(c).alias(f"b_{c}") for c in names])
-    d = F.sqrt(sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in names[1:]), (F.col(f"a_{names[0]}") - F.col(f"b_{names[0]}")) ** 2))
-    return a.join(b, "session_id").where("i <> j").select("session_id", "i", "j", F.round(d, 9).alias(value))
+def _tiled(points: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """Every two blocks of ``size`` idx of a session (own and other, both ways round) with their rows: session_id, i, j, a, b (structs of idx and columns)."""
+    packed = points.withColumn("_b", F.floor(F.col("idx") / size)).groupBy("session_id", "_b").agg(F.array_sort(F.collect_list(F.struct("idx", *columns))).alias("_s"))
+    a, b = packed.select("session_id", F.col("_b").alias("i"), F.col("_s").alias("a")), packed.select("session_id", F.col("_b").alias("j"), F.col("_s").alias("b"))
+    return a.join(b, "session_id")
 
 
-def neighbourhood_preservation(points: DataFrame, high: list[str], low: list[str], k: int) -> DataFrame:
-    """Trustworthiness and continuity of the columns ``low`` as a picture of the columns ``high``, over the windows of each session."""
-    both = _pair_distances(points, high, "dh").join(_pair_distances(points, low, "dl"), ["session_id", "i", "j"])
-    at = W.partitionBy("session_id", "i")
-    ranked = both.withColumns({"rh": F.row_number().over(at.orderBy("dh", "j")), "rl": F.row_number().over(at.orderBy("dl", "j")), "_n": F.count("*").over(at) + 1})
-    n = F.first("_n")
-    scale = 2 / (n * k * (2 * n - 3 * k - 1))
-    lost = lambda a, b: F.sum(F.when((F.col(a) <= k) & (F.col(b) > k), F.col(b) - k).otherwise(0))
-    return ranked.groupBy("session_id").agg((1 - scale * lost("rl", "rh")).alias("trustworthiness"), (1 - scale * lost("rh", "rl")).alias("continuity"))
+def _matrix(s, names: list[str]) -> np.ndarray:
+    return np.stack([s.field(c).to_numpy(zero_copy_only=False).astype(float) for c in names], 1)
 
 
-def silhouette_with_null(points: DataFrame, names: list[str], reps: int) -> DataFrame:
-    """Mean silhouette of ``state`` over the windows (idx 0, 1, ..) of each session, against that with the states moved round by rep."""
-    from .coupling import significance
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(sum((x[:, None, c] - y[None, :, c]) ** 2 for c in range(x.shape[1]))).round(9)
+
+
+def _nearest_of(points: DataFrame, names: list[str], k: int, size: int) -> DataFrame:
+    """The k nearest other windows of each in the space of ``names`` (to nine places; of equal ones the earlier): session_id, idx, near (d, other)."""
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, b = batch.column("a")[r].values, batch.column("b")[r].values
+                at, other = (s.field("idx").to_numpy(zero_copy_only=False) for s in (a, b))
+                d = _distances(_matrix(a, names), _matrix(b, names))
+                d[at[:, None] == other[None, :]] = np.inf
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                near = np.take_along_axis(d, order, 1)
+                row, place = np.nonzero(np.isfinite(near))
+                yield pa.RecordBatch.from_arrays([batch.column("session_id").take(pa.array(np.full(len(row), r))), pa.array(at[row]), pa.array(near[row, place]), pa.array(other[order[row, place]])], ["session_id", "idx", "d", "other"])
+
+    found = _tiled(points, names, size).mapInArrow(run, "session_id string, idx long, d double, other long")
+    return found.groupBy("session_id", "idx").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("near"))
+
+
+def neighbourhood_preservation(points: DataFrame, high: list[str], low: list[str], k: int, size: int = 1024) -> DataFrame:
+    """Trustworthiness and continuity of the columns ``low`` as a picture of the columns ``high``, over the windows of each session.
 
+    Each window's k nearest ones are found in either space; how many windows are nearer than these in the other space is then counted tile by
+    tile, so that what leaves a tile are k numbers for each window and not its pairs.
+    """
+    names = sorted({*high, *low})
     count = points.groupBy("session_id").agg(F.count("*").alias("_n"))
-    label = points.join(count, "session_id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).select("session_id", "rep", F.pmod(F.col("idx") + F.col("rep"), F.col("_n")).alias("idx"), "state")
-    pairs = _pair_distances(points, names, "d").join(label.withColumnsRenamed({"idx": "i", "state": "si"}), ["session_id", "i"]).join(label.withColumnsRenamed({"idx": "j", "state": "sj"}), ["session_id", "rep", "j"])
-    mean = pairs.groupBy("session_id", "rep", "i", "si", "sj").agg(F.avg("d").alias("d"))
+
+    def penalties(near_in: list[str], ranked_in: list[str]) -> DataFrame:
+        """For each session the sum over windows and their k nearest in one space of rank - k in the other, where that is above 0."""
+        asked = _nearest_of(points, near_in, k, size).select("session_id", "idx", F.explode("near.other").alias("_o"))
+        there = points.select("session_id", F.col("idx").alias("_o"), F.struct(F.col("idx").alias("_i"), *ranked_in).alias("_q"))
+        with_places = asked.join(there, ["session_id", "_o"]).groupBy("session_id", "idx").agg(F.collect_list("_q").alias("asked"))
+        rows = points.join(with_places, ["session_id", "idx"])
+
+        def run(batches):
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    a, b = batch.column("a")[r].values, batch.column("b")[r].values
+                    at, other = (s.field("idx").to_numpy(zero_copy_only=False) for s in (a, b))
+                    x, y = _matrix(a, ranked_in), _matrix(b, ranked_in)
+                    d, out = _distances(x, y), []
+                    for i, q in enumerate(a.field("asked")):
+                        q = q.values
+                        limit, who = _distances(x[i : i + 1], _matrix(q, ranked_in))[0], q.field("_i").to_numpy(zero_copy_only=False)
+                        nearer = (d[i][None, :] < limit[:, None]) | ((d[i][None, :] == limit[:, None]) & (other[None, :] < who[:, None]))
+                        nearer &= other[None, :] != at[i]
+                        out += [(at[i], w, c) for w, c in zip(who.tolist(), nearer.sum(1).tolist(), strict=True)]
+                    i, w, c = map(np.array, zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column("session_id").take(pa.array(np.full(len(i), r))), pa.array(i), pa.array(w), pa.array(c)], ["session_id", "idx", "other", "c"])
+
+        ranks = _tiled(rows, [*ranked_in, "asked"], size).mapInArrow(run, "session_id string, idx long, other long, c long").groupBy("session_id", "idx", "other").agg((F.sum("c") + 1).alias("rank"))
+        return ranks.groupBy("session_id").agg(F.sum(F.greatest(F.col("rank") - k, F.lit(0))).alias("_p"))
+
+    trust, kept = penalties(low, high).withColumnRenamed("_p", "_t"), penalties(high, low).withColumnRenamed("_p", "_c")
+    n = F.col("_n")
+    scale = 2 / (n * k * (2 * n - 3 * k - 1))
+    return count.join(trust, "session_id").join(kept, "session_id").select("session_id", (1 - scale * F.col("_t")).alias("trustworthiness"), (1 - scale * F.col("_c")).alias("continuity"))
+
+
+def silhouette_with_null(points: DataFrame, names: list[str], reps: int, size: int = 1024) -> DataFrame:
+    """Mean silhouette of ``state`` over the windows (numbered in order of idx) of each session, against that with the states moved round by rep.
+
+    Distances are taken once for all reps, tile by tile; what leaves a tile is a window's sum of them to each state and rep.
+    """
+    placed = numbered(points, "idx")
+    moved = placed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).select("session_id", F.pmod(F.col("idx") + F.col("rep"), F.col("_n")).alias("idx"), "rep", "state")
+    states = moved.groupBy("session_id", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "state"))), lambda v: v["state"]).alias("states"))
+    rows = placed.join(states, ["session_id", "idx"])
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, b = batch.column("a")[r].values, batch.column("b")[r].values
+                at, other = (s.field("idx").to_numpy(zero_copy_only=False) for s in (a, b))
+                d = _distances(_matrix(a, names), _matrix(b, names))
+                left, right = (np.array(s.field("states").to_pylist(), object) for s in (a, b))
+                apart = at[:, None] != other[None, :]
+                for state in sorted({*right.ravel()}):
+                    mine = (right == state).astype(float)  # windows x reps
+                    total, many = (d * apart) @ mine, apart.astype(float) @ mine
+                    i, rep = np.nonzero(many)
+                    columns = [pa.array(at[i]), pa.array(rep.astype(np.int32)), pa.array(left[i, rep].astype(str)), pa.array([state] * len(i), pa.string()), pa.array(total[i, rep]), pa.array(many[i, rep])]
+                    yield pa.RecordBatch.from_arrays([batch.column("session_id").take(pa.array(np.full(len(i), r))), *columns], ["session_id", "i", "rep", "si", "sj", "d", "n"])
+
+    sums = _tiled(rows, [*names, "states"], size).mapInArrow(run, "session_id string, i long, rep int, si string, sj string, d double, n double")
+    mean = sums.groupBy("session_id", "rep", "i", "si", "sj").agg((F.sum("d") / F.sum("n")).alias("d"))
     own = mean.groupBy("session_id", "rep", "i").agg(F.max(F.when(F.col("si") == F.col("sj"), F.col("d"))).alias("a"), F.min(F.when(F.col("si") != F.col("sj"), F.col("d"))).alias("b"))
     score = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), (F.col("b") - F.col("a")) / (F.greatest("a", "b") + 1e-12)).otherwise(0.0)
     return significance(own.groupBy("session_id", "rep").agg(F.avg(score).alias("silhouette")), ["session_id"], "silhouette")

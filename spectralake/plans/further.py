@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as cl
@@ -599,8 +601,7 @@ def _features(spark, s):
 
 @query()
 def m6_connectivity_states(spark, s):
-    around = phases(spark, s).withColumn("at", F.explode(F.sequence(F.col("idx") - 3, F.col("idx") + 3))).where("at between 3 and 25")
-    each = cp.phase_edges(around, ["session_id", "at"]).groupBy("session_id", F.col("at").alias("idx"))
+    each = cp.sliding_edges(phases(spark, s), 3).groupBy("session_id", F.col("at").alias("idx"))
     names = [f"{a}_{b}" for i, a in enumerate(CHANNELS) for b in CHANNELS[i + 1 :]]
     wide = each.agg(*[F.max(F.when((F.col("ch_i") == n.split("_")[0]) & (F.col("ch_j") == n.split("_")[1]), F.col("plv"))).alias(n) for n in names])
     return st.connectivity_states(wide, names, [2, 3, 4, 5, 6]).select("session_id", "idx", "state", "k", "silhouette")
@@ -673,17 +674,25 @@ def g4_betweenness(spark, s):
     return gr.betweenness(edges(spark, s), ["session_id"])
 
 
-@query(" SELECT session_id, 1.0::DOUBLE AS total FROM edges GROUP BY session_id", READS)
+@query(""", v AS (SELECT session_id, channel, avg(x) AS v FROM samples GROUP BY ALL), b AS (SELECT session_id, ch_i AS a, ch_j AS b, w FROM edges UNION ALL SELECT session_id, ch_j, ch_i, w FROM edges),
+ l AS (SELECT p.session_id, p.channel, any_value(p.v) AS v, sum(w * (p.v - q.v)) AS l FROM v p JOIN b ON b.session_id = p.session_id AND b.a = p.channel JOIN v q ON q.session_id = p.session_id AND q.channel = b.b GROUP BY p.session_id, p.channel)
+ SELECT session_id, 1.0::DOUBLE AS total, r{sum(v * l) / sum(v * v)} AS roughness, r{sum(l * l) / sum(v * v)} AS curvature FROM l GROUP BY session_id""", READS)
 def g9_mode_shares(spark, s):
-    """The modes are an orthonormal basis, so the shares of a map sum to 1."""
+    """A map's shares sum to 1 over the modes; weighted with the modes' values and their squares they give v'Lv and |Lv|² over v'v, which need no modes."""
     maps = s.groupBy("session_id", "channel").agg(F.avg("x").alias("v"))
-    return gr.mode_shares(gr.eigenmodes(edges(spark, s), ["session_id"]), maps, ["session_id"]).groupBy("session_id").agg(F.sum("share").alias("total"))
+    modes = gr.eigenmodes(edges(spark, s), ["session_id"])
+    shares = gr.mode_shares(modes, maps, ["session_id"]).join(modes.select("session_id", "mode", "value").distinct(), ["session_id", "mode"])
+    return shares.groupBy("session_id").agg(F.sum("share").alias("total"), F.sum(F.col("share") * F.col("value")).alias("roughness"), F.sum(F.col("share") * F.col("value") ** 2).alias("curvature"))
 
 
-@query("SELECT session_id, channel, rep::INT AS rep, count(*) AS n, r{avg(x)} AS mean, r{var_pop(x)} AS variance FROM samples, range(1, 4) q(rep) GROUP BY ALL")
+@query("""SELECT session_id, channel, rep::INT AS rep, count(*) AS n, r{avg(x)} AS mean, r{var_pop(x)} AS variance, """ + ", ".join(f"r{{(sum(x * cos(2 * pi() * {k} * idx / 720)) ** 2 + sum(x * sin(2 * pi() * {k} * idx / 720)) ** 2) / 720}} AS p{k}" for k in (1, 30, 101)) + ", true AS differs FROM samples, range(1, 4) q(rep) GROUP BY ALL")
 def i2_phase_randomised(spark, s):
-    """A surrogate keeps the amplitude spectrum, and so mean and variance."""
-    return inf.phase_randomised(s, 3).groupBy("session_id", "channel", "rep").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("variance"))
+    """A surrogate keeps the amplitude spectrum, here the power at three bins, and so mean and variance; most of its samples are others."""
+    made = inf.phase_randomised(s, 3).join(s.select("session_id", "channel", "idx", F.col("x").alias("_x")), ["session_id", "channel", "idx"])
+    turn = lambda k, f: F.sum(F.col("x") * f(2 * math.pi * k * F.col("idx") / 720))
+    power = [((turn(k, F.cos) ** 2 + turn(k, F.sin) ** 2) / 720).alias(f"p{k}") for k in (1, 30, 101)]
+    differs = (2 * F.count_if(F.abs(F.col("x") - F.col("_x")) > 1e-6) > F.count("*")).alias("differs")
+    return made.groupBy("session_id", "channel", "rep").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("variance"), *power, differs)
 
 
 @query(""", cs AS (SELECT *, CASE WHEN x < lag(x) OVER w AND x <= lead(x) OVER w THEN 1 ELSE 0 END AS b FROM samples WINDOW w AS (PARTITION BY session_id, channel ORDER BY idx)), cc AS (SELECT *, sum(b) OVER (PARTITION BY session_id, channel ORDER BY idx) AS c FROM cs), cn AS (SELECT *, min(idx) OVER w AS a, count(*) OVER w AS n FROM cc WINDOW w AS (PARTITION BY session_id, channel, c))

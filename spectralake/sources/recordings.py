@@ -94,15 +94,20 @@ def write_results(df: DataFrame, path: str, kind: str = "parquet", by: str | Non
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table events as recordings: counts of each event type (a channel) in each of 720 hours from 2024-01-01.
+    """The table events as recordings: counts of each event type (a channel) in each hour from 2024-01-01, 720 hours at least and as many more, before
+    and behind, as the table has.
 
-    Users are dealt into sessions by remainder; there is a session for each 2,500 events, four at least.
+    Users are dealt into sessions by remainder; there is a session for each 2,500 events, four at least, and one ("none") for events without a
+    user if there are any. Events without a time are left out.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts")
-    sessions = max(4, events.count() // 2500)
     hour = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200) / 3600)
-    counts = events.groupBy((F.col("user_id") % sessions).cast("string").alias("session_id"), F.col("event_type").alias("channel"), hour.alias("idx")).agg(F.count("*").cast("double").alias("x"))
-    grid = spark.range(sessions).select(F.col("id").cast("string").alias("session_id")).crossJoin(events.select(F.col("event_type").alias("channel")).distinct()).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", hour.alias("idx"))
+    found = events.agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"), F.count_if(F.col("user_id").isNull() & F.col("idx").isNotNull()).alias("alone")).first()
+    sessions, first, last = max(4, found["n"] // 2500), min(0, found["first"] or 0), max(719, found["last"] or 0)
+    counts = events.where("idx is not null").groupBy(F.coalesce((F.col("user_id") % sessions).cast("string"), F.lit("none")).alias("session_id"), F.col("event_type").alias("channel"), "idx").agg(F.count("*").cast("double").alias("x"))
+    names = spark.range(sessions).select(F.col("id").cast("string").alias("session_id"))
+    names = names.union(spark.createDataFrame([("none",)], "session_id string")) if found["alone"] else names
+    grid = names.crossJoin(events.select(F.col("event_type").alias("channel")).distinct()).withColumn("idx", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
     return grid.join(counts, [*KEYS, "idx"], "left").select(*KEYS, "idx", F.col("idx").cast("double").alias("t"), F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
