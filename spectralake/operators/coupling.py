@@ -549,10 +549,12 @@ def sub_harmonic_locking(reads: DataFrame, reference: str, low: float, order: in
     return _sliding_length(rows, ["session_id", "channel"], "frame", half, order * F.atan2("im", "re") - F.col("_r"))
 
 
-def peak_lag_null(samples: DataFrame, reference: str, most: int, n: int, reps: int, step: int) -> DataFrame:
-    """The strongest correlation with the reference at any lag up to ``most``, against that with the reference moved round by rep * step."""
-    r = samples.where(F.col("channel") == reference).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).select("session_id", "rep", F.pmod(F.col("idx") + F.col("rep") * step, F.lit(n)).alias("_i"), F.col("x").alias("_r"))
-    rows = samples.where(F.col("channel") != reference).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("_i", F.col("idx") - F.col("lag"))
+def peak_lag_null(samples: DataFrame, reference: str, most: int, reps: int, step: int) -> DataFrame:
+    """The strongest correlation with the reference at any lag up to ``most``, against that with the reference moved round by rep * step among the
+    session's times, which are numbered in order."""
+    placed = numbered(samples, "idx")
+    r = placed.where(F.col("channel") == reference).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).select("session_id", "rep", F.pmod(F.col("idx") + F.col("rep") * step, F.col("_n")).alias("_i"), F.col("x").alias("_r"))
+    rows = placed.where(F.col("channel") != reference).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("_i", F.col("idx") - F.col("lag"))
     each = rows.join(r, ["session_id", "_i"]).groupBy("session_id", "channel", "rep", "lag").agg(F.abs(F.corr("x", "_r")).alias("r"))
     return significance(each.groupBy("session_id", "channel", "rep").agg(F.max("r").alias("r")), ["session_id", "channel"], "r")
 

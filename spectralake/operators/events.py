@@ -147,12 +147,14 @@ def cycle_shape(samples: DataFrame, k: int = 1) -> DataFrame:
     return found.select("session_id", "channel", "idx", (F.col("rise") / F.col("decay")).alias("ratio"), "sharpness", (F.col("rise") / F.col("period")).alias("asymmetry"))
 
 
-def pseudo_onset_band(curve: DataFrame, onsets: DataFrame, n: int, before: int, after: int, reps: int, step: int) -> DataFrame:
-    """Event average of a series (session_id, idx, x) at each tau, with the 2.5 and 97.5 % points of the averages at onsets moved round by rep * step."""
+def pseudo_onset_band(curve: DataFrame, onsets: DataFrame, before: int, after: int, reps: int, step: int) -> DataFrame:
+    """Event average of a series (session_id, idx, x) at each tau, with the 2.5 and 97.5 % points of the averages at onsets moved round by rep * step
+    among each session's times, which are numbered in order."""
     from .joins import epochs
+    from .windows import moved_onsets
 
-    moved = onsets.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("onset", F.pmod(F.col("onset") + F.col("rep") * step, F.lit(n)))
-    means = epochs(curve, moved, before, after).groupBy("rep", "tau").agg(F.avg("x").alias("m"))
+    placed, moved = moved_onsets(curve, onsets, reps, step)
+    means = epochs(placed, moved, before, after).groupBy("rep", "tau").agg(F.avg("x").alias("m"))
     null = F.when(F.col("rep") > 0, F.col("m"))
     return means.groupBy("tau").agg(F.max(F.when(F.col("rep") == 0, F.col("m"))).alias("mean"), F.percentile(null, 0.025).alias("low"), F.percentile(null, 0.975).alias("high"))
 

@@ -38,15 +38,16 @@ def metric_against_surrogates(samples: DataFrame, metric: Callable[[DataFrame, l
     return against_null(metric(samples, by), metric(circular_shift(samples, reps, step), [*by, "rep"]), by, value)
 
 
-def block_bootstrap(series: DataFrame, by: list[str], n: int, block: int, reps: int) -> DataFrame:
-    """95 % interval of the mean of n values by resampling blocks; a block of a rep begins at (7919 rep + 104729 block) mod (n - block + 1)."""
-    spark, pieces = series.sparkSession, n // block
-    plan = spark.range(1, reps + 1).select(F.col("id").alias("rep")).crossJoin(spark.range(pieces).select(F.col("id").alias("b")))
-    plan = plan.withColumn("_start", F.pmod(F.col("rep") * 7919 + F.col("b") * 104729, F.lit(n - block + 1)))
-    sums = series.withColumn("_c", F.sum("x").over(W.partitionBy(*by).orderBy("idx"))).select(*by, "idx", "_c")
-    low = sums.select(*by, (F.col("idx") + 1).alias("_start"), F.col("_c").alias("_lo")).unionByName(sums.select(*by).distinct().withColumns({"_start": F.lit(0).cast("long"), "_lo": F.lit(0.0)}))
-    high = sums.select(*by, (F.col("idx") - block + 1).alias("_start"), F.col("_c").alias("_hi"))
-    means = low.join(high, [*by, "_start"]).join(plan, "_start").groupBy(*by, "rep").agg((F.sum(F.col("_hi") - F.col("_lo")) / (block * pieces)).alias("_m"))
+def block_bootstrap(series: DataFrame, by: list[str], block: int, reps: int) -> DataFrame:
+    """95 % interval of the mean of a series (by, idx, x) of n values by resampling n // block blocks of it; a block of a rep begins at
+    (7919 rep + 104729 block) mod (n - block + 1). Series shorter than a block go."""
+    placed = numbered(series.select(*by, "idx", "x"), "idx", by)
+    sums = running_sums(placed.drop("_n"), by, "idx", ["x"]).select(*by, (F.col("idx") + 1).alias("_p"), F.col("x").alias("_s"))
+    sums = sums.unionByName(sums.select(*by).distinct().select(*by, F.lit(0).cast("long").alias("_p"), F.lit(0.0).alias("_s")))
+    plan = placed.select(*by, "_n").distinct().where(F.col("_n") >= block).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("b", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / block).cast("int") - 1)))
+    start = F.pmod(F.col("rep") * 7919 + F.col("b") * 104729, F.col("_n") - block + 1)
+    ends = plan.select(*by, "rep", "b", F.explode(F.array(F.struct(start.alias("p"), F.lit(-1.0).alias("w")), F.struct((start + block).alias("p"), F.lit(1.0).alias("w")))).alias("e"))
+    means = ends.select(*by, "rep", "b", F.col("e.p").alias("_p"), "e.w").join(sums, [*by, "_p"]).groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col("_s")) / (F.countDistinct("b") * block)).alias("_m"))
     return means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
 
 

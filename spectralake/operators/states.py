@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .coupling import significance
-from .windows import numbered
+from .windows import moved_onsets, numbered
 
 
 def field_peaks(gfp: DataFrame, half: int) -> DataFrame:
@@ -333,15 +333,15 @@ def spatial_mode(reads: DataFrame) -> DataFrame:
     return gram.groupBy("session_id", "f0").applyInPandas(run, "session_id string, f0 double, share double, in_phase double")
 
 
-def occupancy_boost(labels: DataFrame, onsets: DataFrame, n: int, span: int, reps: int, step: int) -> DataFrame:
-    """Share of each label within ``span`` of the onsets over its share everywhere, against onsets moved round by rep * step."""
-    from .coupling import significance
+def occupancy_boost(labels: DataFrame, onsets: DataFrame, span: int, reps: int, step: int) -> DataFrame:
+    """Share of each label within ``span`` of the onsets over its share everywhere, against onsets moved round by rep * step among each session's times."""
     from .joins import epochs
 
-    moved = onsets.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("onset", F.pmod(F.col("onset") + F.col("rep") * step, F.lit(n)))
-    near = epochs(labels, moved, span, span)
-    every = labels.groupBy("label").agg((F.count("*") / labels.count()).alias("_all"))
+    placed, moved = moved_onsets(labels, onsets, reps, step)
+    near = epochs(placed, moved, span, span)
+    every = labels.groupBy("label").agg(F.count("*").alias("_all"))
+    all_ = F.broadcast(every.agg(F.sum("_all").alias("_sum")))
     total = near.groupBy("rep").agg(F.count("*").alias("_t"))
-    grid = every.crossJoin(F.broadcast(total))  # a row for each rep
+    grid = every.crossJoin(all_).crossJoin(F.broadcast(total))  # one row, and a row for each rep
     found = grid.join(near.groupBy("rep", "label").agg(F.count("*").alias("_c")), ["rep", "label"], "left")
-    return significance(found.select("rep", "label", (F.coalesce("_c", F.lit(0)) / F.col("_t") / F.col("_all")).alias("boost")), ["label"], "boost")
+    return significance(found.select("rep", "label", (F.coalesce("_c", F.lit(0)) / F.col("_t") / (F.col("_all") / F.col("_sum"))).alias("boost")), ["label"], "boost")

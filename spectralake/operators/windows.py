@@ -41,3 +41,15 @@ def numbered(rows: DataFrame, time: str, by: list[str] = ["session_id"]) -> Data
     order = W.partitionBy(*by)
     times = times.select(*by, time, (F.row_number().over(order.orderBy(time)) - 1).cast("long").alias("_k"), F.count("*").over(order).alias("_n"))
     return rows.join(times, [*by, time]).withColumn(time, F.col("_k")).drop("_k")
+
+
+def moved_onsets(rows: DataFrame, onsets: DataFrame, reps: int, step: int, time: str = "idx") -> tuple[DataFrame, DataFrame]:
+    """``rows`` with their times numbered in order for each session, and the onsets (session_id, event_id, onset) once for each rep from 0 on,
+    at the number of the first time not before them, moved round by rep * step among the session's times."""
+    times = rows.select("session_id", F.col(time).alias("_t")).distinct()
+    both = times.select("session_id", "_t", F.lit(1).alias("_is"), F.lit(None).cast(dict(onsets.dtypes)["event_id"]).alias("event_id"))
+    both = both.unionByName(onsets.select("session_id", F.col("onset").cast("long").alias("_t"), F.lit(0).alias("_is"), "event_id"))
+    before = W.partitionBy("session_id").orderBy("_t", "_is").rowsBetween(W.unboundedPreceding, -1)
+    placed = both.withColumns({"_k": F.coalesce(F.sum("_is").over(before), F.lit(0)), "_n": F.sum("_is").over(W.partitionBy("session_id"))}).where("_is = 0 and _n > 0")
+    moved = placed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).select("session_id", "event_id", "rep", F.pmod(F.col("_k") + F.col("rep") * step, F.col("_n")).alias("onset"))
+    return numbered(rows, time).drop("_n"), moved

@@ -475,7 +475,7 @@ def i9_metric_against_surrogates(spark, s):
 @query(""", st AS (SELECT rep, b, (rep * 7919 + b * 104729) % 697 AS a FROM range(1, 21) q(rep), range(30) u(b)), m AS (SELECT session_id, channel, rep, avg(x) AS m FROM samples JOIN st ON idx >= a AND idx < a + 24 GROUP BY ALL)
  SELECT session_id, channel, r{quantile_cont(m, 0.025)} AS low, r{quantile_cont(m, 0.975)} AS high FROM m GROUP BY ALL""", places=9)
 def i4_block_bootstrap(spark, s):
-    return inf.block_bootstrap(s, ["session_id", "channel"], 720, 24, 20)
+    return inf.block_bootstrap(s, ["session_id", "channel"], 24, 20)
 
 
 # The surrogates above with as many replicates as the survey and the reference take.

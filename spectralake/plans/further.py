@@ -472,7 +472,7 @@ def e13_event_type(spark, s):
  SELECT tau, r{max(m) FILTER (rep = 0)} AS mean, r{quantile_cont(m, 0.025) FILTER (rep > 0)} AS low, r{quantile_cont(m, 0.975) FILTER (rep > 0)} AS high FROM pe GROUP BY tau""")
 def e15_pseudo_onset_band(spark, s):
     curve = ev.activity(cl.z_score(s), 1.0).select("session_id", "idx", F.col("activity").alias("x"))
-    return ev.pseudo_onset_band(curve, base._onsets(s), 720, 6, 12, 20, 37)
+    return ev.pseudo_onset_band(curve, base._onsets(s), 6, 12, 20, 37)
 
 
 @query(f""", ep AS (SELECT session_id, channel, f0, event_id, frame - onset AS tau, re * re + im * im AS p, atan2(im, re) AS phase FROM rd, {_FRAMES} WHERE frame BETWEEN onset - 2 AND onset + 3), eb AS (SELECT *, avg(p) FILTER (tau < 0) OVER (PARTITION BY session_id, channel, f0, event_id) AS b FROM ep)
@@ -657,7 +657,7 @@ def m14_spatial_mode(spark, s):
 @query(base._LABELS + """, po AS (SELECT rep, (onset + rep * 37) % 720 AS onset FROM (VALUES (100), (300), (715)) o(onset), range(0, 20) q(rep)), ne AS (SELECT rep, label FROM lb JOIN po ON idx BETWEEN onset - 10 AND onset + 10), al AS (SELECT label, count(*) / (SELECT count(*) FROM lb) AS q FROM lb GROUP BY label),
  bo AS (SELECT t.rep, al.label, coalesce(c, 0) / n / q AS boost FROM al CROSS JOIN (SELECT rep, count(*) AS n FROM ne GROUP BY rep) t LEFT JOIN (SELECT rep, label, count(*) AS c FROM ne GROUP BY ALL) k ON k.rep = t.rep AND k.label = al.label) """ + _significance("bo", "label", "boost"))
 def m9_occupancy_boost(spark, s):
-    return st.occupancy_boost(base._labels(s), base._onsets(s), 720, 10, 19, 37)
+    return st.occupancy_boost(base._labels(s), base._onsets(s), 10, 19, 37)
 
 
 _PATHS = """, e0 AS (SELECT session_id, ch_i AS a, ch_j AS b, 1 / w AS d FROM edges WHERE w > 0 UNION ALL SELECT session_id, ch_j, ch_i, 1 / w FROM edges WHERE w > 0),
@@ -786,7 +786,7 @@ def c10_sub_harmonic(spark, s):
 
 @query(", pl AS (SELECT a.session_id, a.channel, rep, l, abs(corr(a.x, b.x)) AS r FROM samples a, range(-3, 4) q(l), range(0, 20) u(rep), samples b WHERE b.session_id = a.session_id AND (b.idx + rep * 37) % 720 = a.idx - l AND b.channel = 'view' AND a.channel <> 'view' GROUP BY ALL), pm AS (SELECT session_id, channel, rep, max(r) AS r FROM pl GROUP BY ALL) " + _significance("pm", "session_id, channel", "r"))
 def c19_peak_lag_null(spark, s):
-    return cp.peak_lag_null(s, REFERENCE, 3, 720, 19, 37)
+    return cp.peak_lag_null(s, REFERENCE, 3, 19, 37)
 
 
 @query(""", ps AS (SELECT session_id, channel, CASE WHEN t >= 240 AND t < 288 OR t >= 480 AND t < 528 THEN 'event' WHEN t >= 288 AND t < 336 THEN 'rebound' ELSE 'baseline' END AS state, avg(x * x) AS p FROM samples GROUP BY ALL), pq AS (SELECT *, p / sum(p) OVER w AS q, count(*) OVER w AS n FROM ps WINDOW w AS (PARTITION BY session_id, state)),

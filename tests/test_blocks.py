@@ -322,3 +322,80 @@ def test_betweenness_of_equal_ways(spark):
     got = {r.node: r.betweenness for r in graphs.betweenness(edges, ["session_id"]).collect()}
     # Pairs of the four others of each node: a: b-d; b: a-c; c: b-d; d: a-c half, e with a, b, c; e: none.
     assert got == pytest.approx({"a": (0.5 + 0.5) / 6, "b": 0.5 / 6, "c": (0.5 + 0.5) / 6, "d": (0.5 + 1 + 1 + 1) / 6, "e": 0})
+
+
+def test_onsets_move_among_the_times_there_are(spark):
+    idx = np.array([0, 1, 2, 10, 11, 12])
+    curve = series(spark, idx=idx, a=idx * 1.0).select("session_id", "idx", "x")
+    onsets = spark.createDataFrame([("a", 1, 10), ("a", 2, 5)], "session_id string, event_id int, onset long")
+    placed, moved = windows.moved_onsets(curve, onsets, 2, 4)
+    assert sorted((r.idx, r.x) for r in placed.collect()) == list(zip(range(6), idx.tolist(), strict=True))
+    assert sorted((r.event_id, r.rep, r.onset) for r in moved.collect()) == [(1, 0, 3), (1, 1, 1), (1, 2, 5), (2, 0, 3), (2, 1, 1), (2, 2, 5)]
+
+
+@pytest.mark.parametrize("size", [4, 100])
+def test_neighbourhoods_and_silhouettes_by_tiles(spark, size):
+    rng = np.random.default_rng(13)
+    n, k = 30, 4
+    x = rng.normal(size=(n, 3)).round(1)  # with ties
+    state = rng.choice(["p", "q"], n)
+    given = spark.createDataFrame([("a", i, *map(float, x[i]), str(state[i])) for i in range(n)], "session_id string, idx long, u double, v double, w double, state string")
+
+    def distances(columns):
+        return np.sqrt(((x[:, None, columns] - x[None, :, columns]) ** 2).sum(2)).round(9)
+
+    def ranks(d):
+        order = [[j for j in sorted(range(n), key=lambda j: (d[i, j], j)) if j != i] for i in range(n)]
+        return np.array([[order[i].index(j) + 1 if i != j else 0 for j in range(n)] for i in range(n)])
+
+    high, low = ranks(distances([0, 1, 2])), ranks(distances([0, 1]))
+    scale = 2 / (n * k * (2 * n - 3 * k - 1))
+    lost = lambda a, b: sum(b[i, j] - k for i in range(n) for j in range(n) if i != j and a[i, j] <= k < b[i, j])
+    got = states.neighbourhood_preservation(given, ["u", "v", "w"], ["u", "v"], k, size).first()
+    assert np.allclose([got.trustworthiness, got.continuity], [1 - scale * lost(low, high), 1 - scale * lost(high, low)])
+    d = distances([0, 1, 2])
+
+    def silhouette(s):
+        out = []
+        for i in range(n):
+            own = [d[i, j] for j in range(n) if j != i and s[j] == s[i]]
+            far = [d[i, j] for j in range(n) if s[j] != s[i]]
+            out.append((np.mean(far) - np.mean(own)) / (max(np.mean(far), np.mean(own)) + 1e-12))
+        return np.mean(out)
+
+    observed, null = silhouette(state), [silhouette(np.roll(state, r)) for r in range(1, 11)]
+    got = states.silhouette_with_null(given, ["u", "v", "w"], 10, size).first()
+    assert np.isclose(got.silhouette, observed, atol=1e-8) and np.isclose(got.null95, np.quantile(null, 0.95), atol=1e-8)
+
+
+def test_sliding_edges_by_stretches(spark):
+    rng = np.random.default_rng(14)
+    phase = rng.uniform(-3, 3, (3, 90))
+    rows = [("a", f"c{c}", i, float(phase[c, i])) for c in range(3) for i in range(90) if (c, i) != (1, 40)]
+    got = coupling.sliding_edges(spark.createDataFrame(rows, "session_id string, channel string, idx long, phase double"), 4, 16).toPandas()
+    want = {(i, f"c{a}", f"c{b}"): abs(np.exp(1j * (phase[a] - phase[b])[i - 4 : i + 5]).mean()) for a in range(3) for b in range(a + 1, 3) for i in range(4, 86) if 1 not in (a, b) or abs(i - 40) > 4}
+    found = {(r.at, r.ch_i, r.ch_j): r.plv for r in got.itertuples()}
+    assert found.keys() == want.keys() and np.allclose([found[k] for k in want], list(want.values()))
+
+
+def test_widths_at_half_prominence(spark):
+    x = [0, 1, 4, 8, 6, 2, 0, 0, 3, 0]
+    curve = series(spark, a=x).select("session_id", "idx", "x")
+    peaks = spark.createDataFrame([("a", 3, 8.0, 8.0), ("a", 8, 3.0, 3.0)], "session_id string, idx long, x double, prominence double")
+    got = {r.idx: (r.left, r.right, r.width) for r in events.peak_widths(curve, peaks, ["session_id"], 6).collect()}
+    assert np.allclose(got[3], (2, 4.5, 2.5)) and np.allclose(got[8], (7.5, 8.5, 1))
+
+
+def test_which_way_phase_and_amplitude_go(spark):
+    """The amplitude follows the reference's phase by two steps."""
+    rng = np.random.default_rng(15)
+    phase = np.cumsum(0.6 + 0.5 * rng.normal(size=400))
+    amp = np.r_[1, 1, 2 + np.cos(phase[:-2])] + 0.2 * rng.normal(size=400)
+    rows = [("a", "ref", i, float(np.angle(np.exp(1j * phase[i]))), 1.0) for i in range(400)] + [("a", "own", i, 0.0, float(amp[i])) for i in range(400)]
+    given = spark.createDataFrame(rows, "session_id string, channel string, idx long, phase double, amp double")
+    got = coupling.phase_amplitude_direction(given, "ref", 3, 60).toPandas().set_index("direction")
+    assert got.lag["phase_to_amplitude"] == 2 and got.p["phase_to_amplitude"] < 0.05 and got.gain["phase_to_amplitude"] > 3 * got.gain["amplitude_to_phase"]
+    # Against least squares.
+    y, a, s, c = amp[2:], amp[:-2], np.sin(phase[:-2]), np.cos(phase[:-2])
+    r2 = lambda *cols: 1 - ((y - (m := np.column_stack([np.ones(398), *cols])) @ np.linalg.lstsq(m, y, rcond=None)[0]) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    assert np.isclose(got.gain["phase_to_amplitude"], r2(a, s, c) - r2(a), atol=1e-7)
