@@ -16,7 +16,7 @@ from ..operators import states as st
 from ..operators import timefreq as tf
 from . import catalog as base
 from .catalog import BANDS, READS, REFERENCE, SAMPLES, SPECTRA, STEP, WIN, bands, edges, lines, phases, query, reads, windows
-from .further import _BINS, _FRAMES, _MSC, _PEAKS, _Z, FRAME_ONSETS, _bins, _peaks, _significance, _smooth
+from .further import _BINS, _FRAMES, _MSC, _PEAKS, _SMOOTH, _Z, FRAME_ONSETS, _bins, _peaks, _significance, _smooth
 
 #: A grid of wavelets around each order of one cycle a day (k, f0 in cycles per hour).
 GRID = [(k, k / 24 + d) for k in (1, 2) for d in (-0.006, 0.0, 0.006)]
@@ -359,5 +359,87 @@ def f16_ridge_coupling(spark, s):
 
 @query()
 def x9_choice_of_dimension(spark, s):
-    """Shares of false neighbours in two to five dimensions and the dimension chosen."""
-    return cx.false_neighbours(_smooth(s), [2, 3, 4, 5], 12)
+    """Shares of false neighbours in two to four dimensions and the dimension chosen."""
+    return cx.false_neighbours(_smooth(s), [2, 3, 4], 12)
+
+
+def _eliminated(name: str, table: str, keys: str, steps: int) -> str:
+    """CTEs that take one variable after another out of the matrices (keys, i, j, v) of ``table``: name_k has what is left after k of ``steps``, and
+    name_pivots (keys, k, v) the diagonal entry that each step divides by."""
+    at = " AND ".join(f"{{0}}.{k.strip()} = {{1}}.{k.strip()}" for k in keys.split(","))
+    parts, last = [], table
+    for k in range(1, steps + 1):
+        own = ", ".join(f"m.{c.strip()}" for c in keys.split(","))
+        parts.append(f"""{name}_{k} AS MATERIALIZED (SELECT {own}, m.i, m.j, m.v - a.v * b.v / p.v AS v FROM {last} m JOIN {last} a ON {at.format("a", "m")} AND a.i = m.i AND a.j = {k}
+  JOIN {last} b ON {at.format("b", "m")} AND b.i = {k} AND b.j = m.j JOIN {last} p ON {at.format("p", "m")} AND p.i = {k} AND p.j = {k} WHERE m.i > {k} AND m.j > {k})""")
+        last = f"{name}_{k}"
+    pivots = " UNION ALL ".join(f"SELECT {keys}, {k} AS k, v FROM {table if k == 1 else f'{name}_{k - 1}'} WHERE i = {k} AND j = {k}" for k in range(1, steps + 1))
+    return ", ".join([*parts, f"{name}_pivots AS ({pivots})"])
+
+
+_LAGGED = """, nm AS (SELECT channel, row_number() OVER (ORDER BY channel) AS c FROM (SELECT DISTINCT channel FROM samples)),
+ lg AS MATERIALIZED (SELECT a.session_id, a.idx, c, l, b.x FROM samples a JOIN nm USING (channel) JOIN range(0, 4) q(l) ON true JOIN samples b ON b.session_id = a.session_id AND b.channel = a.channel AND b.idx = a.idx - l)"""
+
+
+def _placed(name: str, keys: str, source: str, where: str) -> str:
+    """CTEs with the moments of the variables that ``where`` keeps (of ``source``: keys, c1, l1, c2, l2, v), lags first, numbered as _eliminated wants them."""
+    return f"""{name}_v AS (SELECT {keys}, c, l, row_number() OVER (PARTITION BY {keys} ORDER BY l = 0, l, c) AS k FROM (SELECT DISTINCT {keys}, c1 AS c, l1 AS l FROM {source}) WHERE {where}),
+ {name} AS MATERIALIZED (SELECT {", ".join(f"s.{k.strip()}" for k in keys.split(","))}, a.k AS i, b.k AS j, s.v FROM {source} s JOIN {name}_v a ON {" AND ".join(f"a.{k.strip()} = s.{k.strip()}" for k in keys.split(","))} AND a.c = c1 AND a.l = l1 JOIN {name}_v b ON {" AND ".join(f"b.{k.strip()} = s.{k.strip()}" for k in keys.split(","))} AND b.c = c2 AND b.l = l2)"""
+
+
+_CONDITIONAL = _LAGGED + f""", fm AS (SELECT lg.*, f FROM lg JOIN range(1, 5) w(f) ON idx >= 120 * f AND idx < 120 * f + 240),
+ mo AS MATERIALIZED (SELECT a.session_id, a.f, a.c AS c1, a.l AS l1, b.c AS c2, b.l AS l2, sum(a.x * b.x) - sum(a.x) * sum(b.x) / 240 AS v FROM fm a JOIN fm b USING (session_id, f, idx) GROUP BY a.session_id, a.f, a.c, a.l, b.c, b.l),
+ {_placed("fu", "session_id, f", "mo", "true")}, {_eliminated("fu", "fu", "session_id, f", 15)}, ro AS (SELECT mo.*, s FROM mo, range(1, 6) w(s)), {_placed("re", "session_id, f, s", "ro", "l = 0 OR c <> s")}, {_eliminated("re", "re", "session_id, f, s", 12)},
+ po AS (SELECT mo.*, s, t FROM mo, range(1, 6) w(s), range(1, 6) u(t) WHERE s <> t), {_placed("pa", "session_id, f, s, t", "po", "l = 0 AND c = t OR l > 0 AND c IN (s, t)")}, {_eliminated("pa", "pa", "session_id, f, s, t", 6)},
+ oo AS (SELECT mo.*, t FROM mo, range(1, 6) u(t)), {_placed("ow", "session_id, f, t", "oo", "c = t")}, {_eliminated("ow", "ow", "session_id, f, t", 3)},
+ rs AS (SELECT p.session_id, p.f, p.s, p.t, a.v AS fu, b.v AS re, p.v AS pa, o.v AS ow FROM pa_6 p JOIN fu_15 a ON a.session_id = p.session_id AND a.f = p.f AND a.i = 15 + p.t AND a.j = a.i JOIN re_12 b ON b.session_id = p.session_id AND b.f = p.f AND b.s = p.s AND b.i = 12 + p.t AND b.j = b.i JOIN ow_3 o ON o.session_id = p.session_id AND o.f = p.f AND o.t = p.t)
+ SELECT session_id, f AS frame, a.channel AS source, b.channel AS target, r{{(re - fu) / 3 / (fu / 224)}} AS f, r{{ln(re / fu)}} AS log_gain, r{{(ow - pa) / 3 / (pa / 233)}} AS f_pair, r{{ln(ow / pa)}} AS log_gain_pair FROM rs JOIN nm a ON a.c = s JOIN nm b ON b.c = t"""
+base.ORACLE_SQL["c25_conditional_granger"] = f"WITH {SAMPLES} {base._rounded(_CONDITIONAL, 6)}"
+
+
+def _pairwise_sql() -> str:
+    """Pairwise Granger at orders 1 to 3 from moments over the whole series, taken from the series' means."""
+    parts = [_LAGGED.replace("b.x FROM", "b.x - b.m AS x FROM").replace("JOIN samples b ON", "JOIN (SELECT *, avg(x) OVER (PARTITION BY session_id, channel) AS m FROM samples) b ON"),
+             ", mo AS MATERIALIZED (SELECT a.session_id, a.c AS c1, a.l AS l1, b.c AS c2, b.l AS l2, sum(a.x * b.x) AS v FROM lg a JOIN lg b USING (session_id, idx) WHERE idx >= 3 GROUP BY a.session_id, a.c, a.l, b.c, b.l), po AS (SELECT mo.*, s, t FROM mo, range(1, 6) w(s), range(1, 6) u(t) WHERE s <> t), oo AS (SELECT mo.*, t FROM mo, range(1, 6) u(t))"]
+    found = []
+    for p in (1, 2, 3):
+        parts += [f", {_placed(f'pa{p}', 'session_id, s, t', 'po', f'l = 0 AND c = t OR l BETWEEN 1 AND {p} AND c IN (s, t)')}, {_eliminated(f'pa{p}', f'pa{p}', 'session_id, s, t', 2 * p)}, {_placed(f'ow{p}', 'session_id, t', 'oo', f'c = t AND l <= {p}')}, {_eliminated(f'ow{p}', f'ow{p}', 'session_id, t', p)}"]
+        found.append(f"SELECT a.session_id, a.s, a.t, {p} AS p, (o.v - a.v) / {p} / (a.v / (717 - {2 * p})) AS f, ln(o.v / a.v) AS g FROM pa{p}_{2 * p} a JOIN ow{p}_{p} o ON o.session_id = a.session_id AND o.t = a.t")
+    return "".join(parts) + f", tr AS ({' UNION ALL '.join(found)}), be AS (SELECT session_id, s, t, arg_max(p, f) AS p, max(f) AS f, arg_max(g, f) AS g FROM tr GROUP BY ALL) SELECT session_id, a.channel AS source, b.channel AS target, p::INT AS \"order\", r{{f}} AS f, r{{g}} AS log_gain FROM be JOIN nm a ON a.c = s JOIN nm b ON b.c = t".replace("{{", "{").replace("}}", "}")
+
+
+base.ORACLE_SQL["c25_granger"] = f"WITH {SAMPLES} {base._rounded(_pairwise_sql(), 6)}"
+
+
+_INFORMATION = f""", nm AS (SELECT channel, row_number() OVER (ORDER BY channel) AS c FROM (SELECT DISTINCT channel FROM samples)), sx AS (SELECT session_id, idx, c, x - avg(x) OVER (PARTITION BY session_id, c) AS x FROM samples JOIN nm USING (channel)),
+ c0 AS (SELECT a.session_id, a.c AS c1, b.c AS c2, avg(a.x * b.x) AS v FROM sx a JOIN sx b USING (session_id, idx) GROUP BY a.session_id, a.c, b.c), tc AS (SELECT session_id, 1e-9 * sum(v) / count(*) AS e FROM c0 WHERE c1 = c2 GROUP BY session_id),
+ mo AS MATERIALIZED (SELECT session_id, c1, 0 AS l1, c2, 0 AS l2, v + CASE WHEN c1 = c2 THEN e ELSE 0 END AS v FROM c0 JOIN tc USING (session_id)), ro AS (SELECT mo.*, s FROM mo, range(1, 6) w(s)),
+ {_placed("fu", "session_id", "mo", "true")}, {_eliminated("fu", "fu", "session_id", 5)}, {_placed("re", "session_id, s", "ro", "c <> s")}, {_eliminated("re", "re", "session_id, s", 4)},
+ fd AS (SELECT session_id, sum(ln(v)) AS d FROM fu_pivots GROUP BY ALL), rd AS (SELECT session_id, sum(ln(v)) AS d FROM re_pivots GROUP BY session_id), dg AS (SELECT session_id, sum(ln(v)) AS d FROM mo WHERE c1 = c2 GROUP BY session_id),
+ ii AS (SELECT session_id, 0.5 * (dg.d - fd.d) AS total, 0.5 * (fd.d + rd.d - 5 * fd.d) AS dual FROM fd JOIN rd USING (session_id) JOIN dg USING (session_id)) SELECT session_id, r{{total}} AS total, r{{dual}} AS dual, r{{total - dual}} AS o_information FROM ii"""
+base.ORACLE_SQL["x5_gaussian_information"] = f"WITH {SAMPLES} {base._rounded(_INFORMATION, 6)}"
+
+
+#: The digamma terms of the four entropies cancel: what is left are mean logs of the distances to the fourth neighbours.
+_TRANSFER = _SMOOTH + """, zs AS (SELECT session_id, channel, idx, (x - avg(x) OVER w) / (stddev_pop(x) OVER w + 1e-12) AS x FROM sm WINDOW w AS (PARTITION BY session_id, channel)),
+ bo AS (SELECT a.session_id, a.channel, a.idx, a.x, b.x AS r FROM zs a JOIN zs b USING (session_id, idx) WHERE b.channel = 'view' AND a.channel <> 'view'),
+ sd AS (SELECT session_id, channel, idx, d, CASE WHEN d = 'from_reference' THEN r ELSE x END AS s, CASE WHEN d = 'from_reference' THEN x ELSE r END AS y FROM bo, (VALUES ('from_reference'), ('to_reference')) w(d)),
+ pt4 AS MATERIALIZED (SELECT a.session_id, a.channel, a.d, a.idx // 360 AS b, l, a.idx, f.y AS f, a.y AS p, a.s FROM sd a JOIN (VALUES (6), (12)) q(l) ON true JOIN sd f ON f.session_id = a.session_id AND f.channel = a.channel AND f.d = a.d AND f.idx = a.idx + l AND f.idx // 360 = a.idx // 360),
+ nb AS (SELECT a.session_id, a.channel, a.d, a.b, a.l, a.idx, min(greatest(abs(a.f - c.f), abs(a.p - c.p)), 5)[5] AS fp, min(abs(a.p - c.p), 5)[5] AS p, min(greatest(abs(a.f - c.f), abs(a.p - c.p), abs(a.s - c.s)), 5)[5] AS fps, min(greatest(abs(a.p - c.p), abs(a.s - c.s)), 5)[5] AS ps FROM pt4 a JOIN pt4 c USING (session_id, channel, d, b, l) GROUP BY ALL),
+ te AS (SELECT session_id, channel, d, l, b, 2 * avg(ln(2 * greatest(fp, 1e-12))) - avg(ln(2 * greatest(p, 1e-12))) - 3 * avg(ln(2 * greatest(fps, 1e-12))) + 2 * avg(ln(2 * greatest(ps, 1e-12))) AS te FROM nb GROUP BY ALL)
+ SELECT session_id, channel, d AS direction, l::INT AS lag, r{avg(te)} AS te FROM te GROUP BY session_id, channel, d, l"""
+base.ORACLE_SQL["c27_transfer_entropy"] = f"WITH {SAMPLES} {base._rounded(_TRANSFER, 6)}"
+
+
+def _dimension_sql(dims: list[int]) -> str:
+    parts, found = [_SMOOTH], []
+    for m in dims:
+        gap = " + ".join(f"(p.a{k} - q.a{k}) ** 2" for k in range(m))
+        parts.append(f""", q{m} AS MATERIALIZED (SELECT * FROM (SELECT session_id, channel, idx, {", ".join(f"lead(x, {12 * k}) OVER w AS a{k}" for k in range(m))} FROM sm WINDOW w AS (PARTITION BY session_id, channel ORDER BY idx)) WHERE a{m - 1} IS NOT NULL),
+ d{m} AS (SELECT session_id, channel, i, min(d) AS d, arg_min(o, (d, o)) AS o FROM (SELECT p.session_id, p.channel, p.idx AS i, q.idx AS o, round(sqrt({gap}), 9) AS d FROM q{m} p JOIN q{m} q USING (session_id, channel) WHERE abs(p.idx - q.idx) > 10) GROUP BY ALL),
+ s{m} AS (SELECT n.session_id, n.channel, avg((abs(a.x - b.x) / n.d > 15)::INT) AS share, {m} AS m FROM d{m} n JOIN sm a ON a.session_id = n.session_id AND a.channel = n.channel AND a.idx = n.i + {12 * m} JOIN sm b ON b.session_id = n.session_id AND b.channel = n.channel AND b.idx = n.o + {12 * m} WHERE n.d > 0 GROUP BY ALL)""")
+        found.append(f"SELECT * FROM s{m}")
+    return "".join(parts) + f", sa AS ({' UNION ALL '.join(found)}) SELECT session_id, channel, m, r{{share}} AS share, greatest(3, coalesce(min(m) FILTER (share <= 0.05) OVER (PARTITION BY session_id, channel), {max(dims)})) AS chosen FROM sa"
+
+
+base.ORACLE_SQL["x9_choice_of_dimension"] = f"WITH {SAMPLES} {base._rounded(_dimension_sql([2, 3, 4]), 6)}"
