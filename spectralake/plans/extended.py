@@ -443,3 +443,15 @@ def _dimension_sql(dims: list[int]) -> str:
 
 
 base.ORACLE_SQL["x9_choice_of_dimension"] = f"WITH {SAMPLES} {base._rounded(_dimension_sql([2, 3, 4]), 6)}"
+
+
+def _first_component_sql(squarings: int = 10) -> str:
+    """The first component of a covariance as the limit of its powers, each squared and divided by its trace: the projection on that component."""
+    keys = "session_id, f0"
+    unit = lambda name, source: f"{name} AS MATERIALIZED (SELECT session_id, f0, i, j, v / sum(CASE WHEN i = j THEN v ELSE 0 END) OVER (PARTITION BY {keys}) AS v FROM ({source}))"
+    parts = [f"g0 AS MATERIALIZED (SELECT a.session_id, a.f0, a.channel AS i, b.channel AS j, avg(a.re * b.re + a.im * b.im) AS v FROM rd a JOIN rd b ON a.session_id = b.session_id AND a.f0 = b.f0 AND a.frame = b.frame GROUP BY ALL)", unit("b0", "SELECT * FROM g0")]
+    parts += [unit(f"b{k + 1}", f"SELECT a.session_id, a.f0, a.i, b.j, sum(a.v * b.v) AS v FROM b{k} a JOIN b{k} b ON a.session_id = b.session_id AND a.f0 = b.f0 AND a.j = b.i GROUP BY ALL") for k in range(squarings)]
+    return f", {', '.join(parts)} SELECT session_id, r{{f0}} AS f0, r{{sum(b.v * g.v) / sum(g.v) FILTER (i = j)}} AS share, r{{sqrt(sum(b.v) / count(*) FILTER (i = j))}} AS in_phase FROM g0 g JOIN b{squarings} b USING (session_id, f0, i, j) GROUP BY session_id, f0"
+
+
+base.ORACLE_SQL["m14_spatial_mode"] = f"WITH {READS} {base._rounded(_first_component_sql(), 6)}"
