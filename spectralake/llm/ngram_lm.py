@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, rolled, starts_of, written
+from .common import Words, mix, rolled, slices, starts_of, written
 
 #: N-grams of up to ORDER words; longer than one word they need CUTOFF occurrences, else they back off by ALPHA.
 ORDER, CUTOFF, ALPHA = 2, 2, 0.4
@@ -18,7 +18,13 @@ BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
 
 
 def ngrams(texts: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each length 1 to ``order`` the hash of the n-gram that ends at each word (0: it would begin before its text)."""
+    """For each length 1 to ``order`` the hash of the n-gram that ends at each word (0: it would begin before its text); texts are hashed slice by slice."""
+    whole = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    parts = [_ngrams(part.column("text"), order) for part in slices(pa.RecordBatch.from_arrays([whole], ["text"]))] or [_ngrams(whole, order)]
+    return [np.concatenate([grams[k] for grams, _ in parts]) for k in range(order)], np.concatenate([sizes for _, sizes in parts])
+
+
+def _ngrams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     found = Words.of(texts)
     words, sizes = found.hashes(), found.sizes
     place = np.arange(len(words)) - np.repeat(starts_of(sizes), sizes)
