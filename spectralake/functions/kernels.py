@@ -167,3 +167,16 @@ def betweenness(length: np.ndarray) -> np.ndarray:
             on = np.abs(d[a, v] + d[v, b] - d[a, b]) < 1e-9
             out[v] = np.where(on, ways[a, v] * ways[v, b] / ways[a, b], 0).mean()
     return out
+
+
+def slepian(win: int, nw: float, tapers: int) -> np.ndarray:
+    """The ``tapers`` sequences of ``win`` samples and unit energy that hold most of their power within nw / win of frequency 0: eigenvectors of a
+    tridiagonal matrix. Even ones have a positive sum, odd ones begin above 0."""
+    t = np.arange(win)
+    m = np.diag(((win - 1 - 2 * t) / 2) ** 2 * np.cos(2 * np.pi * nw / win))
+    off = t[1:] * (win - t[1:]) / 2
+    m += np.diag(off, 1) + np.diag(off, -1)
+    found = np.linalg.eigh(m)[1][:, ::-1][:, :tapers].T
+    for k, own in enumerate(found):
+        own *= np.sign(own.sum() if k % 2 == 0 else own[: win // 2].sum())
+    return found

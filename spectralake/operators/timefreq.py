@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.blocks import halo_blocks, map_blocks
+from ..functions.kernels import slepian
 from .cleaning import detrend, hann_average, rolling_robust_z
 from .coupling import significance
 from .events import islands
@@ -115,10 +116,18 @@ def drifting_spikes(samples: DataFrame, grid: DataFrame, win: int, fs: float, me
     return found.join(tracks.select(*by, F.col("idx").alias("peak_idx"), F.col("f").alias("peak_f")), [*by, "peak_idx"]).select(*by, "start", "end", "n", F.col("peak").alias("peak_z"), "peak_idx", "peak_f")
 
 
-def multitaper(framed: DataFrame, lines: DataFrame, win: int, fs: float, tapers: int) -> DataFrame:
-    """Reads of each line in each whole frame through each of ``tapers`` sine tapers, at the bin nearest to the line."""
-    each = framed.crossJoin(F.broadcast(lines)).withColumn("taper", F.explode(F.sequence(F.lit(1), F.lit(tapers))))
-    weight = math.sqrt(2 / (win + 1)) * F.sin(math.pi * F.col("taper") * (F.col("j") + 1) / (win + 1))
+def multitaper(framed: DataFrame, lines: DataFrame, win: int, fs: float, tapers: int, nw: float | None = None) -> DataFrame:
+    """Reads of each line in each whole frame through each of ``tapers`` tapers, at the bin nearest to the line: sine tapers, or with ``nw`` the
+    Slepian ones of that time-bandwidth product."""
+    each = framed.crossJoin(F.broadcast(lines))
+    if nw is None:
+        each = each.withColumn("taper", F.explode(F.sequence(F.lit(1), F.lit(tapers))))
+        weight = math.sqrt(2 / (win + 1)) * F.sin(math.pi * F.col("taper") * (F.col("j") + 1) / (win + 1))
+    else:
+        # A row for each sample of a frame, with all tapers' weights.
+        table = framed.sparkSession.createDataFrame([(j, w) for j, w in enumerate(slepian(win, nw, tapers).T.tolist())], "j long, _w array<double>")
+        each = each.join(F.broadcast(table), "j").select("*", F.posexplode("_w").alias("_k", "_v")).withColumn("taper", F.col("_k") + 1)
+        weight = F.col("_v")
     return _weighted_reads(each, win, weight, 2 * math.pi * F.round(F.col("f0") * win / fs) * F.col("j") / win, ["f0", "taper"])
 
 

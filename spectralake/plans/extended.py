@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.kernels import slepian
 from ..operators import cleaning as cl
 from ..operators import complexity as cx
 from ..operators import coupling as cp
@@ -455,3 +456,19 @@ def _first_component_sql(squarings: int = 10) -> str:
 
 
 base.ORACLE_SQL["m14_spatial_mode"] = f"WITH {READS} {base._rounded(_first_component_sql(), 6)}"
+
+
+_TAPERS = slepian(WIN, 2.5, 4)
+_SLEPIAN = f""", tw AS (SELECT unnest({[list(map(float, t)) for t in _TAPERS]}::DOUBLE[][]) AS w, unnest(range(1, {len(_TAPERS) + 1})) AS taper),
+ mt AS (SELECT session_id, channel, frame, f0, taper, (sum(x * w * c) - avg(x) * sum(w * c)) / sqrt(sum(w * w)) AS re, (avg(x) * sum(w * s) - sum(x * w * s)) / sqrt(sum(w * w)) AS im FROM
+  (SELECT fr.*, f0, taper, w[j + 1] AS w, cos(2 * pi() * round(f0 * 48) * j / 48) AS c, sin(2 * pi() * round(f0 * 48) * j / 48) AS s FROM fr, lines, tw) GROUP BY ALL HAVING count(*) = 48),
+ su AS (SELECT a.session_id, a.channel, a.f0, a.taper, sum(a.re * b.re + a.im * b.im) AS x, sum(a.im * b.re - a.re * b.im) AS y, sum(a.re ** 2 + a.im ** 2) AS p, sum(b.re ** 2 + b.im ** 2) AS q FROM mt a JOIN mt b USING (session_id, frame, f0, taper) WHERE b.channel = 'view' AND a.channel <> 'view' GROUP BY ALL),
+ jk AS (SELECT *, sum(x) OVER w AS tx, sum(y) OVER w AS ty, sum(p) OVER w AS tp, sum(q) OVER w AS tq FROM su WINDOW w AS (PARTITION BY session_id, channel, f0)),
+ f AS (SELECT session_id, channel, f0, any_value((tx * tx + ty * ty) / (tp * tq)) AS msc, sqrt(3 * var_pop(((tx - x) ** 2 + (ty - y) ** 2) / ((tp - p) * (tq - q)))) AS se, any_value(atan2(ty, tx)) AS phase FROM jk GROUP BY ALL)
+ SELECT session_id, channel, r{{f0}} AS f0, r{{msc}} AS msc, r{{msc - 1.96 * se}} AS low, r{{msc + 1.96 * se}} AS high, r{{phase}} AS phase, r{{phase / (2 * pi() * f0)}} AS lag FROM f"""
+
+
+@query(_SLEPIAN, places=5)
+def f14_slepian_coherence(spark, s):
+    """Coherence with the reference over frames and four Slepian tapers, with its interval by leaving out a taper at a time."""
+    return tf.multitaper_coherence(tf.multitaper(cl.frames(s, WIN, STEP), lines(spark), WIN, 1.0, 4, 2.5), REFERENCE)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spectralake.functions import kernels
 from spectralake.functions.order_statistics import rolling_median_and_deviation
 from spectralake.operators import cleaning, complexity, coupling, events, graphs, inference, joins, spectral, states, timefreq, windows
+from spectralake.sources import recordings
 
 
 def series(spark, session="a", idx=None, **channels):
@@ -399,3 +400,25 @@ def test_which_way_phase_and_amplitude_go(spark):
     y, a, s, c = amp[2:], amp[:-2], np.sin(phase[:-2]), np.cos(phase[:-2])
     r2 = lambda *cols: 1 - ((y - (m := np.column_stack([np.ones(398), *cols])) @ np.linalg.lstsq(m, y, rcond=None)[0]) ** 2).sum() / ((y - y.mean()) ** 2).sum()
     assert np.isclose(got.gain["phase_to_amplitude"], r2(a, s, c) - r2(a), atol=1e-7)
+
+
+def test_hours_follow_the_table(spark, tmp_path):
+    """Events ahead of and behind the 720 hours, and those without a user, are in the grid; those without a time are not."""
+    rows = [(1, "view", "2023-12-31 23:30:00"), (2, "view", "2024-01-01 00:10:00"), (None, "view", "2024-02-10 05:00:00"), (3, "click", None)]
+    spark.createDataFrame(rows, "user_id long, event_type string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    got = recordings.hourly_events(spark, str(tmp_path))
+    last = 40 * 24 + 5
+    ends = got.agg(F.min("idx").alias("a"), F.max("idx").alias("b"), F.count("*").alias("n"), F.sum("x").alias("x")).first()
+    assert (ends.a, ends.b, ends.x) == (-1, last, 3) and ends.n == 5 * 2 * (last + 2)
+    assert {(r.session_id, r.idx) for r in got.where("x > 0").collect()} == {("1", -1), ("2", 0), ("none", last)}
+
+
+@pytest.mark.parametrize("win, nw", [(48, 2.5), (101, 4.0)])
+def test_slepian_tapers(win, nw):
+    """Orthonormal, and the eigenvectors of the matrix of sinc(2 W (i - j)): nearly all of their power is within the band."""
+    got = kernels.slepian(win, nw, 4)
+    t = np.arange(win)
+    band = 2 * nw / win * np.sinc(2 * nw / win * (t[:, None] - t[None]))
+    share = (got @ band * got).sum(1)
+    assert np.allclose(got @ got.T, np.eye(4)) and np.allclose(got @ band, share[:, None] * got, atol=1e-8)
+    assert (np.diff(share) < 0).all() and share[0] > 0.9999 and np.allclose(np.linalg.eigvalsh(band)[::-1][:4], share)
