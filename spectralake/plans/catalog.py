@@ -34,8 +34,8 @@ REGIONS = [("front", "view"), ("front", "click"), ("back", "purchase"), ("back",
 BASIS = [(0, "view", 0.5), (0, "click", 0.5), (1, "view", 0.7), (1, "purchase", -0.7), (2, "error", 1.0)]
 
 SAMPLES = """ns AS (SELECT greatest(4, count(*) // 2500) AS k FROM events), c AS (SELECT coalesce((user_id % (SELECT k FROM ns))::VARCHAR, 'none') AS session_id, event_type AS channel, floor((floor(epoch(ts)) - 1704067200) / 3600)::BIGINT AS idx, count(*)::DOUBLE AS x FROM events WHERE ts IS NOT NULL GROUP BY ALL),
- hr AS (SELECT unnest(range(least(0, min(idx)), greatest(719, max(idx)) + 1)) AS idx FROM c), sn AS (SELECT unnest(range(k))::VARCHAR AS session_id FROM ns UNION SELECT session_id FROM c WHERE session_id = 'none'),
- samples AS (SELECT g.session_id, g.channel, g.idx, g.idx::DOUBLE AS t, coalesce(c.x, 0) AS x FROM (SELECT session_id, channel, idx FROM sn, (SELECT DISTINCT event_type AS channel FROM events), hr) g LEFT JOIN c USING (session_id, channel, idx)),
+ grid_hours AS (SELECT unnest(range(least(0, min(idx)), greatest(719, max(idx)) + 1)) AS idx FROM c), grid_sessions AS (SELECT unnest(range(k))::VARCHAR AS session_id FROM ns UNION SELECT session_id FROM c WHERE session_id = 'none'),
+ samples AS (SELECT g.session_id, g.channel, g.idx, g.idx::DOUBLE AS t, coalesce(c.x, 0) AS x FROM (SELECT session_id, channel, idx FROM grid_sessions, (SELECT DISTINCT event_type AS channel FROM events), grid_hours) g LEFT JOIN c USING (session_id, channel, idx)),
  windows(state, window_id, t0, t1) AS (VALUES ('event', 0, 240.0, 288.0), ('event', 1, 480.0, 528.0), ('rebound', 2, 288.0, 336.0)),
  lines AS (SELECT unnest([1.0::DOUBLE / 24, 1.0::DOUBLE / 12]) AS f0), bands(band, f_lo, f_hi) AS (VALUES ('slow', 0.02, 0.1), ('mid', 0.1, 0.25), ('fast', 0.25, 0.5)),
  regions(roi, channel) AS (VALUES ('front', 'view'), ('front', 'click'), ('back', 'purchase'), ('back', 'signup'), ('back', 'error')),
