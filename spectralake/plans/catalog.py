@@ -211,7 +211,8 @@ def _onsets(s, onsets=((1, 100), (2, 300), (3, 715))):
     return s.select("session_id").distinct().crossJoin(s.sparkSession.createDataFrame(onsets, "event_id int, onset long"))
 
 
-@query("SELECT a.session_id, a.channel AS ch_i, b.channel AS ch_j, r{covar_pop(a.x, b.x)} AS cov, r{corr(a.x, b.x)} AS r FROM samples a JOIN samples b ON a.session_id = b.session_id AND a.idx = b.idx AND a.channel < b.channel GROUP BY ALL")
+# Covariances of counts over 720 hours are multiples of 1 / 518,400: to eight places none of them is a tie.
+@query("SELECT a.session_id, a.channel AS ch_i, b.channel AS ch_j, r{covar_pop(a.x, b.x)} AS cov, r{corr(a.x, b.x)} AS r FROM samples a JOIN samples b ON a.session_id = b.session_id AND a.idx = b.idx AND a.channel < b.channel GROUP BY ALL", places=8)
 def j7_channel_gram(spark, s):
     return jn.gram(s)
 
