@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spectralake.llm import common, embedding_dedup, exact_dedup, jaccard_join, license_scan, mixing, ngram_lm, piece_codec, secret_scan, sharding, toxicity
 from spectralake.llm.embedding_dedup import near_duplicates
@@ -396,6 +397,51 @@ def test_toxicity_learns(spark):
     assert toxicity.score_toxicity(docs(spark, [None, ""]), model).count() == 2
 
 
+def labelled_corpus(spark, toxic: int, clean: int, late: int):
+    """doc_id, text, lang, toxic; toxic rows beyond the ``late``-th by the hash of their ids have a toxic word of their own, ``zorn``."""
+    rng, words = random.Random(6), [f"wort{i}" for i in range(150)]
+    ids = [r.id for r in spark.range(toxic).where("crc32(cast(cast(id as string) as binary)) % 5 <> 0").orderBy(F.xxhash64("id"), "id").collect()]
+    rank = {i: k for k, i in enumerate(ids)}
+    rows = []
+    for i in range(toxic + clean):
+        w = rng.choices(words, k=rng.randint(5, 20))
+        if i < toxic:
+            w.insert(rng.randrange(len(w)), "zorn" if rank.get(i, late + i % 2) > late else f"grumbl{rng.choice('abc')}")
+        rows.append((i, " ".join(w), "en", int(i < toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    d = labelled_corpus(spark, 1900, 2000, 1200)
+    model = toxicity.fit_toxicity(d.drop("toxic"), d.select("doc_id", "toxic"))
+    got = toxicity.score_toxicity(d.drop("toxic"), model).join(d.select("doc_id", "text", "toxic"), "doc_id").where("held_out").toPandas()
+    late = got[got.text.str.contains("zorn")]
+    assert len(late) > 100 and late.predicted.mean() > 0.95 and (got.predicted == got.toxic).mean() > 0.95
+
+
+def test_toxicity_blocks(spark):
+    d = labelled_corpus(spark, 100, 800, 100)
+    usable = toxicity.labels_to_learn(d.select("doc_id", "toxic"))
+    rows = toxicity.labelled_rows(d.drop("toxic"), usable)
+    counts = {k: rows.where(F.col("toxic") == k).count() for k in (0, 1)}
+    small = toxicity.ConvClassifier(rows=1 << 10)
+    packed, n = toxicity._blocks(rows, 4 * 20_000, counts, 20_000, small)
+    blocks = [toxicity.Block.unpacked(list(r)) for r in packed.collect()]
+    # Every row is new in one block, and the rarer class is in all of them.
+    assert n == len(blocks) == 4 and [sum(int(((b.labels == k) & (b.fresh == 1)).sum()) for b in blocks) for k in (0, 1)] == [counts[0], counts[1]]
+    assert all((b.labels == 1).sum() >= 32 for b in blocks)
+    texts = [r.text for r in rows.collect()]
+    want = Counter(x for t in texts for x in set(small.word_rows(pa.array([t]))[0].ravel().tolist()) if x < small.rows)
+    assert toxicity._often_enough(packed, small.rows, 5).tolist() == sorted(x for x, c in want.items() if c >= 5)
+    # Several blocks learn, and what they learn follows from the rows alone.
+    fit = lambda parts, **how: toxicity.fit_toxicity(d.drop("toxic").repartition(parts), d.select("doc_id", "toxic"), block_bytes=20_000, rows=1 << 14, **how)
+    models = [fit(1), fit(7, max_broadcast=0)]
+    scored = [toxicity.score_toxicity(d.drop("toxic"), m).orderBy("doc_id").toPandas() for m in models]
+    assert models[0].thresholds == models[1].thresholds and (scored[0].score == scored[1].score).all()
+    got = scored[0].assign(toxic=[int(i < 100) for i in scored[0].doc_id])[scored[0].held_out]
+    assert (got.predicted == got.toxic).mean() > 0.95
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (None, 3)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
