@@ -461,6 +461,17 @@ def test_pipeline(spark, tmp_path):
     assert len(out) and out.round_trip.all() and len(corpus_pipeline.STAGES) == 5
 
 
+def test_pipeline_learns_from_all_labelled_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    d = labelled_corpus(spark, 1900, 2000, 1200)
+    d.select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, d.drop("toxic"), str(tmp_path))
+    late = d.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 and text like '%zorn%'")
+    assert kept.columns == ["doc_id", "text", "lang"] and late.count() > 100
+    assert kept.join(late, "doc_id").count() < 0.05 * late.count() and kept.where("doc_id >= 1900").count() > 1900
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
