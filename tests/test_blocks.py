@@ -460,3 +460,16 @@ def test_block_bootstrap_makes_no_rows_of_draws(spark, monkeypatch, stretch):
     for c, v in (("a", x), ("c", np.nan_to_num(z))):
         means = [np.mean([v[(7919 * rep + 104729 * b) % (len(v) - 5) :][:6] for b in range(len(v) // 6)]) for rep in range(1, 41)]
         assert np.allclose(found[c], np.quantile(means, [0.025, 0.975]))
+
+
+@pytest.mark.parametrize("stretch", [7, 1 << 16])
+def test_largest_of_circular_blocks_makes_no_rows_of_draws(spark, monkeypatch, stretch):
+    monkeypatch.setattr(inference, "STRETCH", stretch)
+    x, y = np.random.default_rng(5).normal(size=50), np.arange(3.0)
+    rows = series(spark, a=x, b=y, c=np.full(9, np.nan)).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    got = inference.max_of_resampled(rows, ["channel"], 6, 40)
+    assert "explode" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {r.channel: r.threshold for r in got.collect()}
+    assert found["c"] is None
+    for c, v in (("a", x), ("b", y)):
+        assert np.isclose(found[c], np.quantile([d.max() for d in drawn_values(v, 6, 40)], 0.95))
