@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED, Words, connected_components, forget, mix, rolled, slices, starts_of, written
+from .common import FOLDED, Words, connected_components, forget, mix, rolled, shuffles_go, slices, starts_of, union_all, written
 
 #: Sets link when DEN * intersection >= NUM * union.
 NUM, DEN, WIDTH = 75, 100, 5
@@ -23,6 +24,10 @@ SMALL = 16
 COMMON = 4
 #: Signatures with at least HOT documents have these compared in blocks of BLOCK documents or BLOCK_ELEMENTS elements.
 HOT, BLOCK, BLOCK_ELEMENTS = 64, 1000, 500_000
+#: Elements that a round of such comparisons sends at least, if there are more.
+ROUND_ELEMENTS = 50_000_000
+#: Times that documents which cannot link are taken out of the groups.
+PASSES = 2
 #: Pairs of sets that share a rare element which are counted in one go.
 COUNTED = 1_000_000
 #: Document ids that are broadcast at most; more are joined by a shuffle.
@@ -94,6 +99,23 @@ class PartEnum:
         low, high = F.least(band(size), band(other)), F.greatest(band(size), band(other))
         return F.when(low == high, of_key(low - 1) + of_key(low)).otherwise(of_key(low))
 
+    def least_common(self, size, largest: int):
+        """A column: no set of this size (a column) shares fewer signatures with any set of up to ``largest`` that it links with.
+
+        That is ``surely_common`` at its least over the sizes of a partner in its own band, the next and the one before; sets that differ in d
+        elements and link have d <= (den - num) / (den + num) of their sizes' sum, which grows with the partner.
+        """
+        self.band(largest * self.den // self.num + 1)
+        lows, tops = self.lows, [self.top(j) for j in range(len(self.lows))]
+        kept = [1 if self.top(j) < SMALL else self.differences(j) + COMMON for j in range(len(self.lows) - 1)]
+        at = lambda values, j: F.get(F.array(*map(F.lit, values)), j)
+        j = F.size(F.filter(F.array(*map(F.lit, lows)), lambda x: x <= size)) - 1
+        of_key = lambda j, other: F.when(j < 0, 0).otherwise(F.greatest(F.lit(1), F.coalesce(at(kept, j), F.lit(1)) - F.floor((self.den - self.num) * (size + other) / (self.den + self.num))))
+        most, low, top = F.floor(size * self.den / self.num), at(lows, j), at(tops, j)
+        own = of_key(j - 1, F.least(most, top)) + of_key(j, F.least(most, top))
+        above, below = F.when(most > top, of_key(j, most)), F.when((j > 0) & (self.den * (low - 1) >= self.num * size), of_key(j - 1, low - 1))
+        return F.least(own, above, below)
+
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         """64-bit signatures of a set (sorted distinct hashes)."""
         n = len(elements)
@@ -186,6 +208,26 @@ def _shared(own: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"gid": np.repeat(group, sizes)[take].view(np.int64), "doc": docs[take], "times": np.repeat(times[number], sizes)[take]})
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows (gid, doc, component, ...) of groups with several components, with m, the group's number of documents, and cluster, its smallest."""
+    of = rows.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.min("doc").alias("cluster")).where("low < high")
+    return rows.join(of.select("gid", "m", "cluster"), "gid")
+
+
+def _may_link(open_: DataFrame, largest: int) -> DataFrame:
+    """Without the documents that share, in all groups taken together, fewer signatures than any link across components takes.
+
+    Documents of different components share none but those of open groups. What goes makes groups smaller, some of which are no longer open.
+    """
+    for _ in range(PASSES):
+        enough = F.sum("times") >= PartEnum().least_common(F.max("size"), largest)
+        able = open_.groupBy("doc").agg(enough.alias("_able")).where("_able").select("doc")
+        less = written(_open(open_.drop("m", "cluster").join(able, "doc", "left_semi")), "open")
+        forget(open_)
+        open_ = less
+    return open_
+
+
 def _elements_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id and elements of the documents ``ids`` (id) names; only these are read again."""
     named = written(ids, "ids")
@@ -278,19 +320,27 @@ def _hot_links(hot: DataFrame, docs: DataFrame) -> DataFrame:
 
     ``hot`` has cluster (the signature's smallest document), doc, size and component. A cluster's documents are dealt
     into blocks of bounded size; a cell is two blocks of a cluster, and a task works on one cell at a time. Every pair of a
-    cluster meets in a cell; a cell returns the components that its links join, never its pairs.
+    cluster meets in a cell; a cell returns the components that its links join, never its pairs. Cells are worked off in rounds, each of which
+    sends no more than twice the sets of all these documents, or ROUND_ELEMENTS.
     """
     members = written(hot.select("cluster", "doc", "size", "component").distinct(), "hot")
+    once = members.groupBy("doc").agg(F.max("size").alias("size")).agg(F.sum("size")).first()[0] or 0
     number = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_ELEMENTS)).alias("blocks"))
     placed = members.join(number, "cluster").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component")
+    placed = written(placed.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component", "size"), "placed")
+    sent = placed.agg(F.sum("size")).first()[0] or 0
+    rounds = max(1, math.ceil(sent / max(ROUND_ELEMENTS, 2 * once)))
     sets = _elements_of(members.select(F.col("doc").alias("id")).distinct(), docs)
-    cells = placed.join(sets, placed["doc"] == sets["doc_id"]).select("cluster", "i", "j", "own", "component", "elements")
-    links = written(cells.groupBy("cluster", "i", "j").applyInPandas(_cell_links, "a long, b long"), "hot-links")
-    forget(sets, members)
-    return links
+    found = []
+    for k in range(rounds):
+        own = placed.where(F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(rounds)) == k)
+        cells = own.join(sets, own["doc"] == sets["doc_id"]).select("cluster", "i", "j", "own", "component", "elements")
+        found.append(written(cells.groupBy("cluster", "i", "j").applyInPandas(_cell_links, "a long, b long"), "hot-links"))
+    forget(sets, members, placed)
+    return union_all(found)
 
 
+@shuffles_go
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Links documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more; exact.
 
@@ -326,8 +376,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     labels = connected_components(links)
     labelled = groups.join(labels, groups["doc"] == labels["node"], "left").select("gid", "doc", "times", "size", F.coalesce("component", "doc").alias("component"))
     labelled = written(labelled, "labelled")
-    open_ = labelled.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.min("doc").alias("cluster")).where("low < high")
-    open_ = written(labelled.join(open_.select("gid", "m", "cluster"), "gid"), "open")
+    open_ = _may_link(written(_open(labelled), "open"), largest)
     left, hot = open_.where(F.col("m") < HOT), open_.where(F.col("m") >= HOT)
     other = left.select("gid", F.col("doc").alias("b"), F.col("size").alias("other"), F.col("component").alias("other_component"))
     across = left.join(other, "gid").where(f"doc > b and component <> other_component and {fits}")

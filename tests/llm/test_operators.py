@@ -533,3 +533,37 @@ def test_pipeline_stages(spark):
             assert r.copies == epochs + (used <= alloc[leaf] - epochs * tokens)
     out = corpus_pipeline.run(spark, sf).collect()
     assert sorted(r.doc_id for r in out) == ids(steps[4]) and all(r.round_trip for r in out)
+
+
+def test_no_link_takes_fewer_signatures_than_the_least(spark):
+    """For every two sizes that fit, what linked sets surely share is at least what a set of either size shares with any that it links with."""
+    top, scheme = 400, jaccard_join.PartEnum()
+    sizes = spark.range(1, top + 1)
+    pairs = sizes.select(F.col("id").alias("size")).join(sizes.select(F.col("id").alias("other")), F.expr("100 * least(size, other) >= 75 * greatest(size, other)"))
+    sure = scheme.surely_common(F.col("size"), F.col("other"), 3 * top)  # with the keys of all sizes up to top
+    least = jaccard_join.PartEnum().least_common(F.col("size"), top)
+    found = pairs.select("size", sure.alias("sure"), least.alias("least")).groupBy("size").agg(F.min("sure").alias("sure"), F.max("least").alias("least")).toPandas()
+    assert len(found) == top and (found.sure >= found.least).all() and found.least.max() > 4
+
+
+def test_documents_that_cannot_link_are_not_sent(spark, monkeypatch):
+    """Documents that share a passage and little else shared signatures of many, for which all their sets were sent, block by block."""
+    sent, write = [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: (sent.append(df.count()) if name == "hot" else None) or write(df, name))
+    rng = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(24))
+    docs = [(i, " ".join([passage, *[f"w{rng.randrange(10**9)}" for _ in range(250 + i % 40)]])) for i in range(300)]
+    docs.append((1000, docs[7][1] + " more"))
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(300)} | {1000: 7}
+    assert sum(sent) < 100
+
+
+@pytest.mark.parametrize("elements", [1, 10**9])
+def test_rounds_of_cells_find_the_same_links(spark, texts, monkeypatch, elements):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, jaccard_join.jaccard_components(docs).collect()))
+    monkeypatch.setattr(jaccard_join, "HOT", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 1)
+    monkeypatch.setattr(jaccard_join, "ROUND_ELEMENTS", elements)
+    assert sorted(map(tuple, jaccard_join.jaccard_components(docs).collect())) == want
