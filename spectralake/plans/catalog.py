@@ -503,8 +503,7 @@ def i2_time_shuffle_full(spark, s):
  SELECT session_id, channel, r{any_value(r)} AS r, r{(count(*) FILTER (v >= r) + 1) / (count(*) + 1)} AS p, r{quantile_cont(v, 0.95)} AS null95, r{(any_value(r) - avg(v)) / (stddev_pop(v) + 1e-12)} AS z FROM o JOIN n USING (session_id, channel) GROUP BY ALL""")
 def i9_metric_against_surrogates_full(spark, s):
     reference = s.where(F.col("channel") == REFERENCE).select("session_id", "idx", F.col("x").alias("_r"))
-    metric = lambda rows, by: rows.join(reference, ["session_id", "idx"]).groupBy(*by).agg(F.corr("x", "_r").alias("r"))
-    return inf.metric_against_surrogates(s.where(F.col("channel") != REFERENCE), metric, ["session_id", "channel"], "r", 100, 37)
+    return inf.correlation_against_shifts(s.where(F.col("channel") != REFERENCE), reference, 100, 37)
 
 
 @query(""", st AS (SELECT rep, b, ('0x' || substr(md5(rep || ':' || b), 1, 12))::BIGINT % 720 AS a FROM range(1, 1001) q(rep), range(20) u(b)),

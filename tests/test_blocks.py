@@ -473,3 +473,31 @@ def test_largest_of_circular_blocks_makes_no_rows_of_draws(spark, monkeypatch, s
     assert found["c"] is None
     for c, v in (("a", x), ("b", y)):
         assert np.isclose(found[c], np.quantile([d.max() for d in drawn_values(v, 6, 40)], 0.95))
+
+
+@pytest.mark.parametrize("size", [16, 1 << 13])
+def test_correlations_of_all_shifts_send_each_sample_once(spark, size):
+    """Against each shift as rows: gaps in channels and reference, nulls, several stretches; no row for each sample and rep."""
+    rng = np.random.default_rng(6)
+    rows = series(spark, view=rng.normal(size=60), a=rng.normal(size=60), b=rng.normal(size=60))
+    rows = rows.where("not (channel = 'a' and idx in (3, 40)) and not (channel = 'view' and idx = 17)").withColumn("x", F.when(F.expr("not (channel = 'b' and idx = 5)"), F.col("x")))
+    other, reference = rows.where("channel <> 'view'"), rows.where("channel = 'view'").select("session_id", "idx", F.col("x").alias("_r"))
+    metric = lambda t, by: t.join(reference, ["session_id", "idx"]).groupBy(*by).agg(F.corr("x", "_r").alias("r"))
+    want = inference.metric_against_surrogates(other, metric, ["session_id", "channel"], "r", 20, 7).toPandas().set_index("channel").sort_index()
+    made = inference.correlation_against_shifts(other, reference, 20, 7, size)
+    got = made.toPandas().set_index("channel").sort_index()
+    assert list(got.index) == ["a", "b"] and np.allclose(got[["r", "p", "null95", "z"]], want[["r", "p", "null95", "z"]], atol=1e-8)
+
+
+@pytest.mark.parametrize("packed", [5, 1 << 14])
+def test_shuffles_send_each_sample_once(spark, packed):
+    """Channels up to a size are put in order where they are, longer ones by a window; both as a digest says."""
+    import hashlib
+
+    rows = series(spark, a=np.arange(5.0), b=np.arange(9.0) * 2)
+    got = inference.time_shuffle(rows, 3, packed).toPandas()
+    assert len(got) == 42 and set(got.columns) == {"session_id", "channel", "idx", "t", "x", "rep"}
+    for c, n, f in (("a", 5, 1), ("b", 9, 2)):
+        for rep in (1, 2, 3):
+            order = sorted(range(n), key=lambda k: hashlib.md5(f"{rep}:a:{c}:{k}".encode()).hexdigest())
+            assert list(got[(got.channel == c) & (got.rep == rep)].sort_values("idx").x) == [k * f for k in order]
