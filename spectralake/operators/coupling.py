@@ -280,9 +280,9 @@ def comodulogram_with_null(reads: DataFrame, reps: int, bins: int) -> DataFrame:
     return significance(modulation_index(p.join(a, ["session_id", "frame"]).where("f_phase < f_amp"), [*keys, "rep"], bins), keys, "mi")
 
 
-def best_cell(cells: DataFrame, by: list[str]) -> DataFrame:
-    """The cell with the largest modulation index for each of ``by``."""
-    return cells.groupBy(*by).agg(F.min_by(F.struct("f_phase", "f_amp", "mi", "z"), F.struct(-F.round("mi", 9), "f_phase", "f_amp")).alias("b")).select(*by, "b.*")
+def best_cell(cells: DataFrame, by: list[str], places: int = 9) -> DataFrame:
+    """The cell with the largest modulation index for each of ``by``; of those equal to ``places`` places the one of the lowest lines, the phase's first."""
+    return cells.groupBy(*by).agg(F.min_by(F.struct("f_phase", "f_amp", "mi", "z"), F.struct(-F.round("mi", places), "f_phase", "f_amp")).alias("b")).select(*by, "b.*")
 
 
 def sliding_modulation(phases: DataFrame, half: int, bins: int) -> DataFrame:

@@ -510,3 +510,10 @@ def test_spatial_mode_of_nearly_equal_components(spark):
     weight = 1 / (1 + 0.9999 ** (2 * 1024))
     assert 0.5 < weight < 0.6
     assert np.isclose(got.share, (weight + (1 - weight) * 0.9999**2) / (1 + 0.9999**2)) and np.isclose(got.in_phase, math.sqrt(0.5))
+
+
+def test_best_cell_by_the_places_of_the_table(spark):
+    """Two cells equal to five places: the one of the lower lines, as the SQL has it, though the other's index is larger by less."""
+    cells = spark.createDataFrame([("s", 0.1, 0.2, 0.012651, 1.0), ("s", 0.2, 0.4, 0.012654, 2.0)], "session_id string, f_phase double, f_amp double, mi double, z double")
+    of = lambda *places: coupling.best_cell(cells, ["session_id"], *places).first().f_phase
+    assert of(5) == 0.1 and of() == 0.2
